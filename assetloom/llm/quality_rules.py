@@ -104,7 +104,7 @@ def fences(sketches: DataFrame, measures: list[str], accuracy: float, reach: flo
     return quart.groupBy(*by).agg(F.max("rows").alias("rows"), *[F.max(F.when(F.col("measure") == m, F.col("fence"))).alias(f"fence_{m}") for m in measures])
 
 
-def judge(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", source_col: str = "source", accuracy: float = 0.01, reach: float = 3.0, min_group: int = 200, slack: dict[str, float] | None = None) -> DataFrame:
+def judge(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", source_col: str = "source", accuracy: float = 0.01, reach: float = 3.0, min_group: int = 200, salts: int = 64, slack: dict[str, float] | None = None) -> DataFrame:
     """One row per document: id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, kept."""
     slack = slack or SLACK
     measures = list(slack)
@@ -121,5 +121,7 @@ def judge(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_
     chosen = F.when(F.col("rows") >= min_group, F.struct(*names)).when(F.col("lang_rows") >= min_group, F.col("of_lang")).otherwise(F.col("of_all"))
     limits = limits.select("lang", "source", chosen.alias("limit"))
     above = reduce(lambda a, m: a | (F.col(m) > F.col(f"limit.fence_{m}")), measures, F.lit(False))
-    judged = measured.join(limits, ["lang", "source"], "left")
+    # A group may hold a third of all rows: it is dealt over salts, and the limits, one row per group, go to each.
+    salted = limits.withColumn("salt", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(salts - 1).cast("long"))))
+    judged = measured.withColumn("salt", F.pmod(F.xxhash64("id"), F.lit(salts))).join(salted, ["lang", "source", "salt"], "left")
     return judged.select(F.col("id").alias(id_col), "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", (~F.col("base_failed") & ~F.coalesce(above, F.lit(False))).alias("kept"), *measures)
