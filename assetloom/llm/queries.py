@@ -5,11 +5,28 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from assetloom.common import load
-from assetloom.llm import chunk_dedup, decontaminate, jaccard_join, mixing, quality_rules, urls
+from assetloom.llm import chunk_dedup, decontaminate, jaccard_join, line_dedup, mixing, quality_rules, urls
 
 URL_RULES = [("block", "com", "/en/"), ("allow", "example.com", "/en/7"), ("allow", "net", "/de/"), ("block", "example.net", "/de/8"), ("block", "org", "/es/")]
 
 
+def op1_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One row per line that goes, with the earlier line it goes for."""
+    gone = line_dedup.repeated_lines(load(spark, sf_dir, "documents"))
+    return gone.select(F.col("id").alias("doc_id"), F.col("no").alias("line_no"), F.col("keep_id").alias("keep_doc_id"), F.col("keep_no").alias("keep_line_no"), "distance")
+
+
+OP1_SQL = r"""
+WITH l AS (SELECT doc_id, i - 1 AS no, ls[i] AS line FROM (SELECT doc_id, ls, unnest(range(1, len(ls) + 1)) AS i FROM (SELECT doc_id, string_split(text, chr(10)) AS ls FROM documents WHERE doc_id IS NOT NULL AND text IS NOT NULL)) WHERE regexp_matches(ls[i], '[^\x20\x09-\x0D]')),
+d AS (SELECT line, length(line) AS n, min({'id': doc_id, 'no': no}) AS pos FROM l GROUP BY line),
+long AS (SELECT * FROM d WHERE n >= 16),
+near AS (SELECT a.line, min(b.pos) AS near FROM long a JOIN (SELECT line, pos, unnest([n - 1, n, n + 1]) AS n FROM long) b ON a.n = b.n AND b.pos < a.pos AND a.line <> b.line
+    AND (left(a.line, (a.n - 1) // 2) = left(b.line, (a.n - 1) // 2) OR right(a.line, (a.n - 1) // 2) = right(b.line, (a.n - 1) // 2)) AND levenshtein(a.line, b.line) = 1 GROUP BY a.line)
+SELECT l.doc_id, l.no::INTEGER AS line_no, coalesce(near, pos).id AS keep_doc_id, coalesce(near, pos).no::INTEGER AS keep_line_no, (near IS NOT NULL)::INTEGER AS distance
+FROM l JOIN d USING (line) LEFT JOIN near USING (line) WHERE near IS NOT NULL OR {'id': l.doc_id, 'no': l.no} <> pos
+"""
+
+
 def op2_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One row per document and benchmark item that it holds."""
     return decontaminate.contaminated_pairs(load(spark, sf_dir, "documents"), load(spark, sf_dir, "benchmark"))
@@ -105,5 +122,5 @@ SELECT d.doc_id, coalesce(max(n.n), 0)::BIGINT AS n_shingles, min(r.c) AS compon
 """
 
 
-QUERIES = {"op2_decontamination": op2_decontamination, "op3_substring_dedup": op3_substring_dedup, "op5_quality_rules": op5_quality_rules, "op8_url_filters": op8_url_filters, "op9_jaccard_join": op9_jaccard_join, "op10_mixing": op10_mixing}
-ORACLE = {"op5_quality_rules": OP5_SQL, "op8_url_filters": OP8_SQL, "op9_jaccard_join": OP9_SQL}
+QUERIES = {"op1_line_dedup": op1_line_dedup, "op2_decontamination": op2_decontamination, "op3_substring_dedup": op3_substring_dedup, "op5_quality_rules": op5_quality_rules, "op8_url_filters": op8_url_filters, "op9_jaccard_join": op9_jaccard_join, "op10_mixing": op10_mixing}
+ORACLE = {"op1_line_dedup": OP1_SQL, "op5_quality_rules": OP5_SQL, "op8_url_filters": OP8_SQL, "op9_jaccard_join": OP9_SQL}
