@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from assetloom.common import load
-from assetloom.llm import chunk_dedup, decontaminate, jaccard_join, langid, line_dedup, mixing, quality_rules, urls
+from assetloom.llm import chunk_dedup, decontaminate, jaccard_join, langid, line_dedup, mixing, quality_rules, rule_ensemble, urls
 
 URL_RULES = [("block", "com", "/en/"), ("allow", "example.com", "/en/7"), ("allow", "net", "/de/"), ("block", "example.net", "/de/8"), ("block", "org", "/es/")]
 
@@ -86,6 +86,10 @@ SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base
 """
 
 
+def op6_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rule_ensemble.score_quality(load(spark, sf_dir, "documents"), load(spark, sf_dir, "labels"))
+
+
 def op8_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The list: canonical URLs of the pages on hosts with an advertising or tracking label."""
     pages = load(spark, sf_dir, "pages")
@@ -126,5 +130,5 @@ SELECT d.doc_id, coalesce(max(n.n), 0)::BIGINT AS n_shingles, min(r.c) AS compon
 """
 
 
-QUERIES = {"op1_line_dedup": op1_line_dedup, "op2_decontamination": op2_decontamination, "op3_substring_dedup": op3_substring_dedup, "op4_language_id": op4_language_id, "op5_quality_rules": op5_quality_rules, "op8_url_filters": op8_url_filters, "op9_jaccard_join": op9_jaccard_join, "op10_mixing": op10_mixing}
+QUERIES = {"op1_line_dedup": op1_line_dedup, "op2_decontamination": op2_decontamination, "op3_substring_dedup": op3_substring_dedup, "op4_language_id": op4_language_id, "op5_quality_rules": op5_quality_rules, "op6_quality_classifier": op6_quality_classifier, "op8_url_filters": op8_url_filters, "op9_jaccard_join": op9_jaccard_join, "op10_mixing": op10_mixing}
 ORACLE = {"op1_line_dedup": OP1_SQL, "op5_quality_rules": OP5_SQL, "op8_url_filters": OP8_SQL, "op9_jaccard_join": OP9_SQL}
