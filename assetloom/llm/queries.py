@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from assetloom.common import load
-from assetloom.llm import chunk_dedup, decontaminate, jaccard_join, langid, line_dedup, mixing, quality_rules, rule_ensemble, urls
+from assetloom.llm import chunk_dedup, decontaminate, fixity, jaccard_join, langid, line_dedup, mixing, quality_rules, rule_ensemble, urls
 
 URL_RULES = [("block", "com", "/en/"), ("allow", "example.com", "/en/7"), ("allow", "net", "/de/"), ("block", "example.net", "/de/8"), ("block", "org", "/es/")]
 
@@ -90,6 +90,22 @@ def op6_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rule_ensemble.score_quality(load(spark, sf_dir, "documents"), load(spark, sf_dir, "labels"))
 
 
+def op7_warc_fixity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The replica: the same pages after damage that a hash of the id decides: about 1 of 256 altered, 1 of 256 lost."""
+    pages = load(spark, sf_dir, "pages").select("page_id", "url", "html")
+    fate = F.substring(F.md5(F.col("page_id").cast("string")), 1, 2)
+    replica = pages.where(fate != "01").withColumn("html", F.when(fate == "00", F.concat(F.lit("?"), F.substring("html", 2, 1 << 30))).otherwise(F.col("html")))
+    return fixity.audit(pages, replica)
+
+
+OP7_SQL = r"""
+WITH r AS (SELECT page_id, page_id // 1024 AS file, left(md5(page_id::VARCHAR), 2) AS fate,
+    strlen('WARC/1.0..WARC-Type: response..WARC-Record-ID: <urn:page:>..WARC-Target-URI: ..Content-Length: ......') + strlen(page_id::VARCHAR) + strlen(url) + strlen(strlen(html)::VARCHAR) + strlen(html) + 2 AS length FROM pages),
+o AS (SELECT *, coalesce(sum(length) OVER (PARTITION BY file ORDER BY page_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS off FROM r)
+SELECT page_id, file, off::BIGINT AS "offset", length::BIGINT AS length, CASE fate WHEN '00' THEN 'altered' ELSE 'missing' END AS status FROM o WHERE fate IN ('00', '01')
+"""
+
+
 def op8_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The list: canonical URLs of the pages on hosts with an advertising or tracking label."""
     pages = load(spark, sf_dir, "pages")
@@ -130,5 +146,5 @@ SELECT d.doc_id, coalesce(max(n.n), 0)::BIGINT AS n_shingles, min(r.c) AS compon
 """
 
 
-QUERIES = {"op1_line_dedup": op1_line_dedup, "op2_decontamination": op2_decontamination, "op3_substring_dedup": op3_substring_dedup, "op4_language_id": op4_language_id, "op5_quality_rules": op5_quality_rules, "op6_quality_classifier": op6_quality_classifier, "op8_url_filters": op8_url_filters, "op9_jaccard_join": op9_jaccard_join, "op10_mixing": op10_mixing}
-ORACLE = {"op1_line_dedup": OP1_SQL, "op5_quality_rules": OP5_SQL, "op8_url_filters": OP8_SQL, "op9_jaccard_join": OP9_SQL}
+QUERIES = {"op1_line_dedup": op1_line_dedup, "op2_decontamination": op2_decontamination, "op3_substring_dedup": op3_substring_dedup, "op4_language_id": op4_language_id, "op5_quality_rules": op5_quality_rules, "op6_quality_classifier": op6_quality_classifier, "op7_warc_fixity": op7_warc_fixity, "op8_url_filters": op8_url_filters, "op9_jaccard_join": op9_jaccard_join, "op10_mixing": op10_mixing}
+ORACLE = {"op1_line_dedup": OP1_SQL, "op5_quality_rules": OP5_SQL, "op7_warc_fixity": OP7_SQL, "op8_url_filters": OP8_SQL, "op9_jaccard_join": OP9_SQL}
