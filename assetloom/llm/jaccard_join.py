@@ -4,14 +4,15 @@
 2. Two sets that reach the threshold share a shingle among the first n - ceil(t * n) + 1 of each, in any order that is
    the same for all sets. Shingles of rare words come first in that order (estimated on a bounded sample of documents;
    it only affects speed). Representatives with a common shingle there meet in the group of the smallest of them.
-3. A group is dealt into blocks of bounded size, its pivot into each. A block builds a signature tree: leaves hold one
-   set's bitmap and size, nodes above the OR of their bitmaps, their size range and their largest count of colliding
-   shingles. The tree is traversed against itself; a pair of nodes is dropped when sizes are too far apart, when the
-   bits in common allow too little overlap, or when all below is linked already. Pairs of leaves that remain are
-   compared exactly, on whole sets.
-4. A document linked to the pivot needs no further look: blocks share the pivot. Documents that are not, in groups of
+3. A group's members first meet by their signatures only. A signature tree holds a bitmap and the size of each set in
+   its leaves, and above them the OR of their bitmaps, their size range and their largest count of colliding shingles.
+   The tree is traversed against itself; a pair of nodes is dropped when sizes are too far apart or when the bits in
+   common allow too little overlap. A member that no other could match leaves the group.
+4. The rest are dealt into blocks of bounded size, the pivot into each, with their whole texts. The same traversal,
+   which also drops pairs of nodes that are linked already, ends in exact comparisons of whole sets.
+5. A document linked to the pivot needs no further look: blocks share the pivot. Documents that are not, in groups of
    several blocks, are traversed against every block of their group.
-5. Components of all links, by Spark.
+6. Components of all links, by Spark.
 
 Defined cases: null or blank texts have no shingles and form a component of their own; a null id gets a null component
 and links nothing; rows with one id count as one document; repeated texts are one class; an empty table gives an empty
@@ -33,21 +34,24 @@ from assetloom.operators.components import connected_components
 
 #: Cells of the fixed tables that order shingles.
 CELLS = 1 << 16
-HOT_CELLS = 1 << 20
-BITS = 2048
-FAN = 4
+HOT_CELLS = 1 << 22
+#: Bits of a signature; sets above WIDE_FROM shingles have a second one.
+BITS, WIDE_BITS, WIDE_FROM = 2048, 16384, 1500
+#: Sets in a leaf of the tree, children of a node above.
+LEAF, FAN = 32, 4
 
 
 def _sample_counts(size: int):
     def of(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        """Word counts by cell, and the shingles that several sampled documents hold."""
-        words, seen = np.zeros(CELLS, np.int64), []
+        """Word counts by cell, and the cells of the shingles that several sampled documents hold."""
+        words, seen, docs = np.zeros(CELLS, np.int64), [np.empty(0, np.uint64)], 0
         for pdf in batches:
             w, at = word_hashes(utf8(pdf["text"]))
             words += np.bincount((w & np.uint64(CELLS - 1)).astype(np.int64), minlength=CELLS)
-            seen += [np.unique(shingle_hashes(w[a:b], size) & np.uint64(HOT_CELLS - 1)) for a, b in zip(at, at[1:])]
-        cells, docs = np.unique(np.concatenate(seen), return_counts=True) if seen else (np.empty(0, np.uint64), np.empty(0, np.int64))
-        hot = cells[docs >= max(4, 4 * len(cells) // HOT_CELLS + len(seen) // 250)].astype(np.int64)
+            seen += [np.unique(shingle_hashes(w[a:b], size)) for a, b in zip(at, at[1:])]
+            docs += len(pdf)
+        shingles, n = np.unique(np.concatenate(seen), return_counts=True)
+        hot = np.unique(shingles[n >= max(3, docs // 2500)] & np.uint64(HOT_CELLS - 1)).astype(np.int64)
         used = np.flatnonzero(words)
         yield pd.DataFrame({"kind": 0, "cell": used, "n": words[used]})
         yield pd.DataFrame({"kind": 1, "cell": hot, "n": 1})
@@ -73,7 +77,7 @@ def _describe(size: int, percent: int, weight_b, hot_b):
         for pdf in batches:
             words, at = word_hashes(utf8(pdf["text"]))
             cost = weight[words & np.uint64(CELLS - 1)].astype(np.uint64)
-            n, d1, d2, prefix = [], [], [], []
+            n, d1, d2, prefix, bits, wide = [], [], [], [], [], []
             for a, b in zip(at, at[1:]):
                 every = shingle_hashes(words[a:b], size)
                 own, first = np.unique(every, return_index=True)
@@ -81,47 +85,68 @@ def _describe(size: int, percent: int, weight_b, hot_b):
                 n.append(len(own))
                 d1.append(digest[0])
                 d2.append(digest[1])
+                prefix_of = own.view(np.int64)
                 k = len(own) - -(-percent * len(own) // 100) + 1 if len(own) else 0
                 if k < len(own):
                     span = min(size, b - a)
                     total = np.cumsum(np.concatenate(([np.uint64(0)], cost[a:b])))
                     rank = np.minimum((total[span:] - total[:-span])[first], np.uint64(2047)) | (hot[own & np.uint64(HOT_CELLS - 1)].astype(np.uint64) << np.uint64(11))
-                    own = own[np.argpartition((rank << np.uint64(52)) | (own >> np.uint64(12)), k - 1)[:k]]
-                prefix.append(own.view(np.int64))
-            yield pd.DataFrame({"id": pdf["id"], "n": n, "d1": d1, "d2": d2, "prefix": prefix})
+                    prefix_of = prefix_of[np.argpartition((rank << np.uint64(52)) | (own >> np.uint64(12)), k - 1)[:k]]
+                prefix.append(prefix_of)
+                bits.append(signature(own, BITS).tobytes())
+                wide.append(signature(own, WIDE_BITS).tobytes() if len(own) >= WIDE_FROM else None)
+            yield pd.DataFrame({"id": pdf["id"], "n": n, "d1": d1, "d2": d2, "prefix": prefix, "bits": bits, "wide": wide})
 
     return of
 
 
+def signature(own: np.ndarray, width: int) -> np.ndarray:
+    """A bitmap of ``width`` bits with each shingle's low bits set."""
+    flags = np.zeros(width, np.uint8)
+    flags[(own & np.uint64(width - 1)).astype(np.int64)] = 1
+    return np.packbits(flags).view(np.uint64)
+
+
 class SignatureTree:
-    """Sets ordered by size under nodes of FAN children."""
-
-    def __init__(self, sets: list[np.ndarray]):
-        n = np.array([len(s) for s in sets], np.int64)
-        bits = np.zeros((len(sets), BITS // 64), np.uint64)
-        for k, s in enumerate(sets):
-            b = s & np.uint64(BITS - 1)
-            np.bitwise_or.at(bits[k], (b >> np.uint64(6)).astype(np.int64), np.uint64(1) << (b & np.uint64(63)))
-        spare = n - np.bitwise_count(bits).sum(axis=1).astype(np.int64)
-        self.levels = [(bits, n, n, spare)]
+    """Signatures of sets, ordered by size, under nodes with OR-ed bitmaps, size ranges and most colliding shingles."""
+
+    def __init__(self, n: np.ndarray, bits: np.ndarray, wide: list):
+        self.n, self.bits, self.wide = n, bits, wide
+        self.spare = n - np.bitwise_count(bits).sum(axis=1).astype(np.int64)
+        cut = np.arange(0, len(n), LEAF)
+        over = lambda bits, low, high, spare, cut: (np.bitwise_or.reduceat(bits, cut), np.minimum.reduceat(low, cut), np.maximum.reduceat(high, cut), np.maximum.reduceat(spare, cut))
+        self.levels = [over(bits, n, n, self.spare, cut)]
         while len(self.levels[-1][1]) > 1:
-            bits, low, high, spare = self.levels[-1]
-            cut = np.arange(0, len(low), FAN)
-            self.levels.append((np.bitwise_or.reduceat(bits, cut), np.minimum.reduceat(low, cut), np.maximum.reduceat(high, cut), np.maximum.reduceat(spare, cut)))
+            self.levels.append(over(*self.levels[-1], np.arange(0, len(self.levels[-1][1]), FAN)))
+
+    @classmethod
+    def of_sets(cls, sets: list[np.ndarray]) -> SignatureTree:
+        wide = [signature(s, WIDE_BITS) if len(s) >= WIDE_FROM else None for s in sets]
+        return cls(np.array([len(s) for s in sets], np.int64), np.array([signature(s, BITS) for s in sets]).reshape(len(sets), -1), wide)
 
     def below(self, level: int, node: int) -> slice:
-        width = FAN**level
+        width = LEAF * FAN**level
         return slice(node * width, (node + 1) * width)
 
     def children(self, level: int, node: int) -> range:
         return range(node * FAN, min((node + 1) * FAN, len(self.levels[level - 1][1])))
 
 
-def dual_traversal(one: SignatureTree, two: SignatureTree, sets_one: list, sets_two: list, roots_one: np.ndarray, roots_two: np.ndarray, percent: int) -> list[tuple[int, int]]:
-    """Links between leaves that join components. roots_*: component of each leaf, from one numbering, changed in
-    place. Pass the same tree twice for a self-join."""
-    same, links = one is two, []
-    stack = [(len(one.levels) - 1, 0, len(two.levels) - 1, 0)] if sets_one and sets_two else []
+def _close(one: SignatureTree, i: int, two: SignatureTree, j: int, percent: int) -> bool:
+    """Whether the wide bitmaps of two sets, if both have one, allow enough overlap."""
+    a, b = one.wide[i], two.wide[j]
+    if a is None or b is None:
+        return True
+    spare = min(one.n[i] - int(np.bitwise_count(a).sum()), two.n[j] - int(np.bitwise_count(b).sum()))
+    return (100 + percent) * (int(np.bitwise_count(a & b).sum()) + spare) >= percent * (one.n[i] + two.n[j])
+
+
+def dual_traversal(one: SignatureTree, two: SignatureTree, percent: int, settled) -> Iterator[tuple[int, int]]:
+    """Pairs of sets, one of each tree, that their signatures allow to reach the threshold. ``settled(a, b)`` tells of
+    two slices of sets whether nothing is left to find between them. Pass the same tree twice for a self-join, which
+    gives each pair once."""
+    same = one is two
+    stack = [(len(one.levels) - 1, 0, len(two.levels) - 1, 0)]
     while stack:
         p, i, q, j = stack.pop()
         bits_x, low_x, high_x, spare_x = (a[i] for a in one.levels[p])
@@ -129,19 +154,18 @@ def dual_traversal(one: SignatureTree, two: SignatureTree, sets_one: list, sets_
         if 100 * high_x < percent * low_y or 100 * high_y < percent * low_x:
             continue
         most = min(high_x, high_y, int(np.bitwise_count(bits_x & bits_y).sum()) + min(spare_x, spare_y))
-        if (100 + percent) * most < percent * (low_x + low_y):
-            continue
-        rx, ry = roots_one[one.below(p, i)], roots_two[two.below(q, j)]
-        if (rx == rx[0]).all() and (ry == rx[0]).all():
+        x, y = one.below(p, i), two.below(q, j)
+        if (100 + percent) * most < percent * (low_x + low_y) or settled(x, y):
             continue
         if p == 0 and q == 0:
-            a, b = sets_one[i], sets_two[j]
-            both = len(np.intersect1d(a, b, assume_unique=True))
-            if 100 * both >= percent * (len(a) + len(b) - both):
-                links.append((i, j))
-                old, new = roots_two[j], roots_one[i]
-                roots_one[roots_one == old] = new
-                roots_two[roots_two == old] = new
+            n, m = one.n[x, None], two.n[None, y]
+            common = np.bitwise_count(one.bits[x, None] & two.bits[None, y]).sum(axis=2, dtype=np.int64)
+            most = np.minimum(np.minimum(n, m), common + np.minimum(one.spare[x, None], two.spare[None, y]))
+            able = (100 + percent) * most >= percent * (n + m)
+            if same and i == j:
+                able = np.triu(able, 1)
+            for a, b in np.argwhere(able).tolist():
+                yield x.start + a, y.start + b
         elif same and p == q and i == j:
             kids = one.children(p, i)
             stack += [(p - 1, a, q - 1, b) for a in kids for b in kids if a <= b]
@@ -149,6 +173,26 @@ def dual_traversal(one: SignatureTree, two: SignatureTree, sets_one: list, sets_
             stack += [(p - 1, a, q, j) for a in one.children(p, i)]
         else:
             stack += [(p, i, q - 1, b) for b in two.children(q, j)]
+
+
+def exact_links(one: SignatureTree, two: SignatureTree, sets_one: list, sets_two: list, roots_one: np.ndarray, roots_two: np.ndarray, percent: int) -> list[tuple[int, int]]:
+    """Links that join components. roots_*: the component of each set, from one numbering, changed in place."""
+    links = []
+
+    def joined(x: slice, y: slice) -> bool:
+        a, b = roots_one[x], roots_two[y]
+        return bool((a == a[0]).all() and (b == a[0]).all())
+
+    for i, j in dual_traversal(one, two, percent, joined):
+        old, new = roots_two[j], roots_one[i]
+        if old == new or not _close(one, i, two, j, percent):
+            continue
+        a, b = sets_one[i], sets_two[j]
+        both = len(np.intersect1d(a, b, assume_unique=True))
+        if 100 * both >= percent * (len(a) + len(b) - both):
+            links.append((i, j))
+            roots_one[roots_one == old] = new
+            roots_two[roots_two == old] = new
     return links
 
 
@@ -174,6 +218,22 @@ def _sets_of(texts, size: int) -> list[np.ndarray]:
     return [np.unique(shingle_hashes(words[a:b], size)) for a, b in zip(at, at[1:])]
 
 
+def _screen(percent: int):
+    def of(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        """The members of each group that some other member could match, by signatures."""
+        for block in _by_block(batches, ["pivot"]):
+            block = block.sort_values("n", kind="stable")
+            bits = np.frombuffer(b"".join(block["bits"]), np.uint64).reshape(len(block), -1)
+            tree = SignatureTree(block["n"].to_numpy(), bits, [None if w is None else np.frombuffer(w, np.uint64) for w in block["wide"]])
+            hit = np.zeros(len(block), bool)
+            for i, j in dual_traversal(tree, tree, percent, lambda x, y: hit[x].all() and hit[y].all()):
+                if not (hit[i] and hit[j]) and _close(tree, i, tree, j, percent):
+                    hit[i] = hit[j] = True
+            yield block.loc[hit, ["id", "pivot"]]
+
+    return of
+
+
 def _join_block(size: int, percent: int):
     def of(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for block in _by_block(batches, ["pivot", "block"]):
@@ -181,8 +241,8 @@ def _join_block(size: int, percent: int):
             order = np.argsort([len(s) for s in sets], kind="stable")
             sets, ids = [sets[k] for k in order], block["id"].to_numpy()[order]
             roots = np.arange(len(sets))
-            tree = SignatureTree(sets)
-            links = dual_traversal(tree, tree, sets, sets, roots, roots, percent)
+            tree = SignatureTree.of_sets(sets)
+            links = exact_links(tree, tree, sets, sets, roots, roots, percent)
             pivot = block["pivot"].iloc[0]
             out = [(0, ids[i], ids[j]) for i, j in links]
             if block["n_blocks"].iloc[0] > 1:
@@ -205,18 +265,18 @@ def _join_rest(size: int, percent: int):
             # One document on both sides is one leaf of one component from the start.
             names = {x: k for k, x in enumerate(dict.fromkeys(ids.tolist()))}
             r1, r2 = (np.array([names[x] for x in ids[k].tolist()], np.int64) for k in (a, b))
-            links = dual_traversal(SignatureTree(one), SignatureTree(two), one, two, r1, r2, percent) if one and two else []
+            links = exact_links(SignatureTree.of_sets(one), SignatureTree.of_sets(two), one, two, r1, r2, percent) if one and two else []
             yield pd.DataFrame([(0, ids[a[i]], ids[b[j]]) for i, j in links], columns=["kind", "u", "v"])
 
     return of
 
 
-def jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 3, percent: int = 90, sample_docs: int = 2000, block_docs: int = 256) -> DataFrame:
+def jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 3, percent: int = 90, sample_docs: int = 10_000, block_docs: int = 256, screen_docs: int = 4096) -> DataFrame:
     """One row per input row: id, n_shingles, representative (smallest id with the same set), component_id."""
     spark = docs.sparkSession
     texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
     weight, hot = (spark.sparkContext.broadcast(x) for x in shingle_order(docs, text_col, shingle, sample_docs))
-    described = materialize(texts.mapInPandas(_describe(shingle, percent, weight, hot), "id long, n long, d1 long, d2 long, prefix array<long>"), "jac-sets")
+    described = materialize(texts.mapInPandas(_describe(shingle, percent, weight, hot), "id long, n long, d1 long, d2 long, prefix array<long>, bits binary, wide binary"), "jac-sets")
     # Empty sets equal nothing: each gets a digest of its own.
     keyed = described.select("id", "n", F.when(F.col("n") > 0, F.col("d1")).otherwise(F.xxhash64("id")).alias("d1"), F.when(F.col("n") > 0, F.col("d2")).otherwise(F.col("id")).alias("d2"))
     classes = materialize(keyed.where("n > 0 and id is not null").groupBy("d1", "d2").agg(F.min("id").alias("rep")), "jac-classes")
@@ -225,6 +285,14 @@ def jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     keys = first.select("id", F.explode("prefix").alias("key"))
     shared = keys.groupBy("key").agg(F.min("id").alias("pivot"), F.max("id").alias("last")).where("pivot < last").select("key", "pivot")
     members = materialize(keys.join(shared, "key").select("id", "pivot").distinct(), "jac-members")
+    # Groups too large for one task's memory, signatures and all, go on unscreened.
+    small = members.join(members.groupBy("pivot").agg(F.count(F.lit(1)).alias("size")), "pivot")
+    signed = small.where(F.col("size") <= screen_docs).join(described.where("n > 0").select("id", "n", "bits", "wide"), "id").drop("size")
+    screened = signed.repartition("pivot").sortWithinPartitions("pivot").mapInPandas(_screen(percent), "id long, pivot long")
+    members = materialize(screened.unionByName(small.where(F.col("size") > screen_docs).select("id", "pivot")).distinct(), "jac-screened")
+    # The pivot may have left its group; the smallest that stays takes its place.
+    again = members.groupBy("pivot").agg(F.min("id").alias("least"))
+    members = members.join(again, "pivot").select("id", F.col("least").alias("pivot")).distinct()
     sizes = members.groupBy("pivot").agg(F.ceil(F.count(F.lit(1)) / block_docs).alias("n_blocks"))
     others = members.where("id <> pivot").join(sizes, "pivot").select("id", "pivot", F.pmod(F.xxhash64("id"), "n_blocks").alias("block"), "n_blocks")
     pivots = sizes.select(F.col("pivot").alias("id"), "pivot", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n_blocks") - 1)).alias("block"), "n_blocks")
@@ -245,3 +313,10 @@ def jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     per_class = classes.join(component.withColumnRenamed("node", "rep"), "rep", "left").select("d1", "d2", "rep", F.coalesce("component", "rep").alias("component"))
     out = keyed.join(per_class, ["d1", "d2"], "left")
     return out.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.coalesce("rep", "id").alias("representative"), F.when(F.col("id").isNotNull(), F.coalesce("component", "id")).alias("component_id"))
+
+
+def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
+    """One document of each component, the one with the smallest id; columns unchanged. Rows with a null id stay."""
+    first = jaccard_join(docs, id_col, text_col, **options).where(F.col("component_id") == F.col(id_col)).select(F.col("component_id").alias("__id")).distinct()
+    named = docs.where(F.col(id_col).isNotNull())
+    return named.join(first, named[id_col].cast("long") == F.col("__id"), "left_semi").unionByName(docs.where(F.col(id_col).isNull()))

@@ -110,10 +110,10 @@ def _round_sizes(max_copies: int):
 
 
 def mix_sources(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights: tuple[int, ...] = (5, 2, 1), budget: float = 1.5, max_copies: int = 2, tol: float = 1e-6, max_iter: int = 60, bucket_rows: int = 512) -> DataFrame:
-    """One row per input row: id, source, size, source_size, target, rate, copies, taken (words: copies * size)."""
+    """One row per input row: id, th (hash of the text), source, size, source_size, target, rate, copies, taken (words: copies * size)."""
     source = F.col(source_col).cast("string")
     key = F.when(source.isNull(), F.lit(NULL_KEY)).otherwise(F.concat(F.lit("s"), source))
-    sizes = materialize(docs.select(F.col(id_col).alias("id"), key.alias("key"), n_words(F.col(text_col)).alias("size")), "mix-sizes")
+    sizes = materialize(docs.select(F.col(id_col).alias("id"), F.xxhash64(text_col).alias("th"), key.alias("key"), n_words(F.col(text_col)).alias("size")), "mix-sizes")
     hist = materialize(sizes.groupBy("key", "size").agg(F.count(F.lit(1)).alias("n")), "mix-hist")
     targets = materialize(source_targets(hist, weights, budget, max_copies), "mix-targets")
     tilt = balance(hist, targets, max_copies, tol, max_iter)
@@ -124,15 +124,15 @@ def mix_sources(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     rounded = rated.groupBy("key").applyInPandas(_round_sizes(max_copies), "key string, size long, n long, rate double, of_size long")
     plan = materialize(rounded.join(targets.drop("n_docs"), "key"), "mix-plan")
 
-    dealt = sizes.join(plan, ["key", "size"]).withColumn("h", F.xxhash64("id", "size")).withColumn("bucket", F.pmod("h", F.ceil(F.col("n") / bucket_rows)))
+    dealt = sizes.join(plan, ["key", "size"]).withColumn("h", F.xxhash64("id", "th")).withColumn("bucket", F.pmod("h", F.ceil(F.col("n") / bucket_rows)))
     # Rank inside a size: the rows of the buckets before, plus the rank inside the bucket.
-    counts = sizes.join(plan.select("key", "size", "n"), ["key", "size"]).groupBy("key", "size", F.pmod(F.xxhash64("id", "size"), F.ceil(F.col("n") / bucket_rows)).alias("bucket")).agg(F.count(F.lit(1)).alias("rows"))
+    counts = sizes.join(plan.select("key", "size", "n"), ["key", "size"]).groupBy("key", "size", F.pmod(F.xxhash64("id", "th"), F.ceil(F.col("n") / bucket_rows)).alias("bucket")).agg(F.count(F.lit(1)).alias("rows"))
     before = W.partitionBy("key", "size").orderBy("bucket").rowsBetween(W.unboundedPreceding, -1)
     offsets = counts.select("key", "size", "bucket", F.coalesce(F.sum("rows").over(before), F.lit(0)).alias("offset"))
-    in_bucket = F.row_number().over(W.partitionBy("key", "size", "bucket").orderBy("h", "id"))
+    in_bucket = F.row_number().over(W.partitionBy("key", "size", "bucket").orderBy("h", "id", "th"))
     ranked = dealt.withColumn("in_bucket", in_bucket).join(offsets, ["key", "size", "bucket"])
     extra = (F.col("offset") + F.col("in_bucket") <= F.col("of_size") % F.col("n")).cast("long")
     copies = F.floor(F.col("of_size") / F.col("n")).cast("long") + extra
     return ranked.select(
-        F.col("id").alias(id_col), F.when(F.col("key") != NULL_KEY, F.substring("key", 2, 1 << 30)).alias(source_col), "size", "source_size", "target", "rate", copies.alias("copies"), (copies * F.col("size")).alias("taken"),
+        F.col("id").alias(id_col), "th", F.when(F.col("key") != NULL_KEY, F.substring("key", 2, 1 << 30)).alias(source_col), "size", "source_size", "target", "rate", copies.alias("copies"), (copies * F.col("size")).alias("taken"),
     )

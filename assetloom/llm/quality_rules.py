@@ -47,7 +47,7 @@ def _covered(starts: Column) -> Column:
 def measure(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", source_col: str = "source") -> DataFrame:
     """id, lang, source, the counts and the ratio measures of every document, over its whole text."""
     text = F.coalesce(F.col(text_col), F.lit(""))
-    base = docs.select(F.col(id_col).alias("id"), F.col(lang_col).alias("lang"), F.col(source_col).alias("source"), text.alias("t"))
+    base = docs.select(F.col(id_col).alias("id"), F.xxhash64(text_col).alias("th"), F.col(lang_col).alias("lang"), F.col(source_col).alias("source"), text.alias("t"))
     base = base.withColumn("w", words_of(F.col("t"))).withColumn("lines", F.filter(F.split("t", "\n"), lambda x: x.rlike(r"[^\x20\x09-\x0D]")))
     n = F.size("w")
     # Each 3-word window becomes one long: its hash above, its position in the low bits. After a sort equal windows are
@@ -69,12 +69,12 @@ def measure(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lan
     upper = F.length(F.regexp_replace("t", r"[^\p{Lu}]+", ""))
     ratio = lambda a, b: F.when(b > 0, a / b).otherwise(0.0)
     counts = base.select(
-        "id", "lang", "source", n.cast("long").alias("n_words"), F.length(F.array_join("w", "")).cast("long").alias("word_chars"),
+        "id", "th", "lang", "source", n.cast("long").alias("n_words"), F.length(F.array_join("w", "")).cast("long").alias("word_chars"),
         _count_chars(F.col("t"), SYMBOLS).cast("long").alias("n_symbols"), F.size("lines").cast("long").alias("n_lines"), (F.size("lines") - F.size(F.array_distinct("lines"))).cast("long").alias("n_dup_lines"),
         F.coalesce(_covered(F.col("starts")), F.lit(0)).cast("long").alias("n_repeat_words"), _count_chars(F.col("t"), "!").cast("long").alias("n_bangs"), letters.alias("letters"), upper.alias("upper"),
     )
     return counts.select(
-        "id", "lang", "source", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words",
+        "id", "th", "lang", "source", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words",
         ((F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))).alias("base_failed"),
         ratio(F.col("n_symbols"), F.col("word_chars")).alias("symbol_ratio"), ratio(F.col("n_dup_lines"), F.col("n_lines")).alias("dup_line_ratio"),
         ratio(F.col("n_repeat_words"), F.col("n_words")).alias("repeat_ratio"), ratio(F.col("upper"), F.col("letters")).alias("upper_ratio"), ratio(F.col("n_bangs"), F.col("n_words")).alias("bang_ratio"),
@@ -105,7 +105,7 @@ def fences(sketches: DataFrame, measures: list[str], accuracy: float, reach: flo
 
 
 def judge(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", source_col: str = "source", accuracy: float = 0.01, reach: float = 3.0, min_group: int = 200, salts: int = 64, slack: dict[str, float] | None = None) -> DataFrame:
-    """One row per document: id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, kept."""
+    """One row per document: id, th (hash of the text), the counts, base_failed, kept, the measures."""
     slack = slack or SLACK
     measures = list(slack)
     measured = materialize(measure(docs, id_col, text_col, lang_col, source_col), "quality")
@@ -124,4 +124,11 @@ def judge(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_
     # A group may hold a third of all rows: it is dealt over salts, and the limits, one row per group, go to each.
     salted = limits.withColumn("salt", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(salts - 1).cast("long"))))
     judged = measured.withColumn("salt", F.pmod(F.xxhash64("id"), F.lit(salts))).join(salted, ["lang", "source", "salt"], "left")
-    return judged.select(F.col("id").alias(id_col), "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", (~F.col("base_failed") & ~F.coalesce(above, F.lit(False))).alias("kept"), *measures)
+    return judged.select(F.col("id").alias(id_col), "th", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", (~F.col("base_failed") & ~F.coalesce(above, F.lit(False))).alias("kept"), *measures)
+
+
+def filter_quality(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
+    """The documents that are kept, columns unchanged. Rows are told apart by id and text; a null id is an id."""
+    key = lambda c: F.coalesce(c.cast("string"), F.lit("null"))
+    kept = judge(docs, id_col, text_col, **options).where("kept").select(key(F.col(id_col)).alias("__id"), F.col("th").alias("__th")).distinct()
+    return docs.join(kept, (key(docs[id_col]) == F.col("__id")) & (F.xxhash64(docs[text_col]) == F.col("__th")), "left_semi")
