@@ -105,7 +105,7 @@ def undo_fold(log: DataFrame, depth: int = UNDO_DEPTH) -> DataFrame:
             elif op == "restore":
                 for p in paths:
                     pending.pop(p, None)
-        return pd.DataFrame({"project": pdf["project"].iloc[0], "path": list(pending)})
+        return pd.DataFrame({"project": pd.Series([pdf["project"].iloc[0]] * len(pending), dtype=pdf["project"].dtype), "path": pd.Series(list(pending), dtype=object)})
 
     kind = dict(log.dtypes)["project"]
     return log.groupBy("project").applyInPandas(fold, f"project {kind}, path string")

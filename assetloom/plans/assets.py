@@ -16,7 +16,7 @@ def assets(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = F.concat(F.lit("/lib/"), F.coalesce("source", F.lit("none")), F.lit("/"), (F.col("vec_id") % 50).cast("string"), F.lit("."), F.element_at(kinds, (F.col("vec_id") % 4 + 1).cast("int")))
     spaces = F.length("text") - F.length(F.replace("text", F.lit(" "), F.lit("")))
     return joined.select(
-        F.col("vec_id").alias("asset_id"), path.alias("path"), F.when(F.col("vec_id") % 7 != 0, F.col("ts")).alias("captured_at"), "label", "embedding",
+        F.col("vec_id").alias("asset_id"), path.alias("path"), F.when(F.col("vec_id") % 7 != 0, F.col("ts").cast("timestamp")).alias("captured_at"), "label", "embedding",
         F.coalesce("value", F.lit(0e0)).alias("musiq"), F.coalesce(F.col("n_chars").cast("double"), F.lit(0e0)).alias("nima"), F.coalesce(spaces.cast("double"), F.lit(0e0)).alias("laion_aes"),
     )
 
