@@ -47,9 +47,10 @@ def pending_lines(lines: DataFrame, strip: bool = False) -> DataFrame:
     return kept.select((F.trim("value") if strip else F.col("value")).alias("path"))
 
 
-def read_results(spark: SparkSession, path: str) -> DataFrame:
-    """One row per image of a results document or of a folder of JSON lines; absent fields are null."""
-    docs = spark.read.schema(RESULTS).option("multiLine", True).json(path)
+def read_results(spark: SparkSession, path: str, lines: bool = False) -> DataFrame:
+    """One row per image of a results document, or with ``lines`` of files of one document per line; absent fields are
+    null."""
+    docs = spark.read.schema(RESULTS).option("multiLine", not lines).json(path)
     clusters = docs.select(F.inline("clusters"))
     return clusters.select("cluster_id", "cluster_score", "best_image", F.inline("images"))
 
