@@ -26,9 +26,10 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import xxhash
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, Window as W, functions as F
 
 from assetloom.common import materialize
+from assetloom.llm.bloom import possible_rows
 from assetloom.llm.hashing import shingle_hashes, utf8, word_hashes
 from assetloom.operators.components import connected_components
 
@@ -36,39 +37,37 @@ from assetloom.operators.components import connected_components
 CELLS = 1 << 16
 HOT_CELLS = 1 << 22
 #: Bits of a signature; sets above WIDE_FROM shingles have a second one.
-BITS, WIDE_BITS, WIDE_FROM = 2048, 16384, 1500
+BITS, WIDE_BITS, WIDE_FROM = 2048, 8192, 3000
 #: Sets in a leaf of the tree, children of a node above.
 LEAF, FAN = 32, 4
 
 
 def _sample_counts(size: int):
     def of(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        """Word counts by cell, and the cells of the shingles that several sampled documents hold."""
-        words, seen, docs = np.zeros(CELLS, np.int64), [np.empty(0, np.uint64)], 0
+        """Word counts by cell (kind 0), and each document's shingles (kind 1)."""
         for pdf in batches:
             w, at = word_hashes(utf8(pdf["text"]))
-            words += np.bincount((w & np.uint64(CELLS - 1)).astype(np.int64), minlength=CELLS)
-            seen += [np.unique(shingle_hashes(w[a:b], size)) for a, b in zip(at, at[1:])]
-            docs += len(pdf)
-        shingles, n = np.unique(np.concatenate(seen), return_counts=True)
-        hot = np.unique(shingles[n >= max(3, docs // 2500)] & np.uint64(HOT_CELLS - 1)).astype(np.int64)
-        used = np.flatnonzero(words)
-        yield pd.DataFrame({"kind": 0, "cell": used, "n": words[used]})
-        yield pd.DataFrame({"kind": 1, "cell": hot, "n": 1})
+            words = np.bincount((w & np.uint64(CELLS - 1)).astype(np.int64), minlength=CELLS)
+            used = np.flatnonzero(words)
+            yield pd.DataFrame({"kind": 0, "cell": used, "n": words[used]})
+            for a, b in zip(at, at[1:]):
+                yield pd.DataFrame({"kind": 1, "cell": np.unique(shingle_hashes(w[a:b], size)).view(np.int64), "n": 1})
 
     return of
 
 
-def shingle_order(docs: DataFrame, text_col: str, size: int, sample_docs: int) -> tuple[np.ndarray, np.ndarray]:
-    """(weight of a word by cell, hot flag of a shingle by cell), both of fixed size."""
-    sample = docs.select(F.col(text_col).alias("text")).limit(sample_docs).mapInPandas(_sample_counts(size), "kind int, cell long, n long").toPandas()
-    words = np.zeros(CELLS)
-    own = sample[sample["kind"] == 0]
-    np.add.at(words, own["cell"].to_numpy(), own["n"].to_numpy())
-    weight = np.minimum(255, np.log2(words + 1) * 16).astype(np.uint16)
-    hot = np.zeros(HOT_CELLS, bool)
-    hot[sample.loc[sample["kind"] == 1, "cell"].to_numpy()] = True
-    return weight, hot
+def shingle_order(texts: DataFrame, size: int, sample_docs: int) -> tuple[np.ndarray, np.ndarray]:
+    """(weight of a word by cell, hot flag of a shingle by cell), both of fixed size, from about ``sample_docs``
+    documents. A shingle is hot if three of them hold it."""
+    share = min(1.0, sample_docs / max(1, texts.count()))
+    sample = texts.where(F.pmod(F.xxhash64("id"), F.lit(1 << 20)) < int(share * (1 << 20))).select("text")
+    counts = sample.mapInPandas(_sample_counts(size), "kind int, cell long, n long").groupBy("kind", "cell").agg(F.sum("n").alias("n"))
+    cell = F.when(F.col("kind") == 0, F.col("cell")).otherwise(F.col("cell").bitwiseAND(F.lit(HOT_CELLS - 1)))
+    found = counts.where("kind = 0 or n >= 3").select("kind", cell.alias("cell"), "n").toPandas()
+    words, own, hot = np.zeros(CELLS), found[found["kind"] == 0], np.zeros(HOT_CELLS, bool)
+    words[own["cell"].to_numpy()] = own["n"].to_numpy()
+    hot[found.loc[found["kind"] == 1, "cell"].to_numpy()] = True
+    return np.minimum(255, np.log2(words + 1) * 16).astype(np.uint16), hot
 
 
 def _describe(size: int, percent: int, weight_b, hot_b):
@@ -271,25 +270,28 @@ def _join_rest(size: int, percent: int):
     return of
 
 
-def jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 3, percent: int = 90, sample_docs: int = 10_000, block_docs: int = 256, screen_docs: int = 4096) -> DataFrame:
+def jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 3, percent: int = 90, sample_docs: int = 4_000, block_docs: int = 256, screen_docs: int = 4096) -> DataFrame:
     """One row per input row: id, n_shingles, representative (smallest id with the same set), component_id."""
     spark = docs.sparkSession
     texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
-    weight, hot = (spark.sparkContext.broadcast(x) for x in shingle_order(docs, text_col, shingle, sample_docs))
+    weight, hot = (spark.sparkContext.broadcast(x) for x in shingle_order(texts, shingle, sample_docs))
     described = materialize(texts.mapInPandas(_describe(shingle, percent, weight, hot), "id long, n long, d1 long, d2 long, prefix array<long>, bits binary, wide binary"), "jac-sets")
     # Empty sets equal nothing: each gets a digest of its own.
     keyed = described.select("id", "n", F.when(F.col("n") > 0, F.col("d1")).otherwise(F.xxhash64("id")).alias("d1"), F.when(F.col("n") > 0, F.col("d2")).otherwise(F.col("id")).alias("d2"))
     classes = materialize(keyed.where("n > 0 and id is not null").groupBy("d1", "d2").agg(F.min("id").alias("rep")), "jac-classes")
 
     first = described.join(classes.select(F.col("rep").alias("id")), "id", "left_semi")
-    keys = first.select("id", F.explode("prefix").alias("key"))
+    keys = first.select("id", "n", F.explode("prefix").alias("key"))
     shared = keys.groupBy("key").agg(F.min("id").alias("pivot"), F.max("id").alias("last")).where("pivot < last").select("key", "pivot")
-    members = materialize(keys.join(shared, "key").select("id", "pivot").distinct(), "jac-members")
+    members = materialize(keys.join(shared, "key").select("id", "n", "pivot").distinct(), "jac-members")
     # Groups too large for one task's memory, signatures and all, go on unscreened.
-    small = members.join(members.groupBy("pivot").agg(F.count(F.lit(1)).alias("size")), "pivot")
-    signed = small.where(F.col("size") <= screen_docs).join(described.where("n > 0").select("id", "n", "bits", "wide"), "id").drop("size")
+    sized = members.join(members.groupBy("pivot").agg(F.count(F.lit(1)).alias("size")), "pivot")
+    by_size = W.partitionBy("pivot").orderBy("n", "id")
+    near = (100 * F.lag("n").over(by_size) >= percent * F.col("n")) | (100 * F.col("n") >= percent * F.lead("n").over(by_size))
+    small = sized.where(F.col("size") <= screen_docs).withColumn("near", near).where("near").select("id", "pivot")
+    signed = small.join(described.where("n > 0").select("id", "n", "bits", "wide"), "id")
     screened = signed.repartition("pivot").sortWithinPartitions("pivot").mapInPandas(_screen(percent), "id long, pivot long")
-    members = materialize(screened.unionByName(small.where(F.col("size") > screen_docs).select("id", "pivot")).distinct(), "jac-screened")
+    members = materialize(screened.unionByName(sized.where(F.col("size") > screen_docs).select("id", "pivot")).distinct(), "jac-screened")
     # The pivot may have left its group; the smallest that stays takes its place.
     again = members.groupBy("pivot").agg(F.min("id").alias("least"))
     members = members.join(again, "pivot").select("id", F.col("least").alias("pivot")).distinct()
@@ -297,7 +299,10 @@ def jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     others = members.where("id <> pivot").join(sizes, "pivot").select("id", "pivot", F.pmod(F.xxhash64("id"), "n_blocks").alias("block"), "n_blocks")
     pivots = sizes.select(F.col("pivot").alias("id"), "pivot", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n_blocks") - 1)).alias("block"), "n_blocks")
     placed = others.unionByName(pivots)
-    found = texts.join(placed, "id").repartition("pivot", "block").sortWithinPartitions("pivot", "block").mapInPandas(_join_block(shingle, percent), "kind int, u long, v long")
+    # Members are few of all documents as a rule: only texts that may be theirs are moved.
+    blocks = 1 << min(20, max(10, members.count().bit_length() - 2))
+    own_texts = possible_rows(texts, "id", members, "id", blocks)
+    found = own_texts.join(placed, "id").repartition("pivot", "block").sortWithinPartitions("pivot", "block").mapInPandas(_join_block(shingle, percent), "kind int, u long, v long")
     found = materialize(found, "jac-found")
 
     links = found.where("kind = 0").select("u", "v")
@@ -306,7 +311,7 @@ def jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
         chunks = rest.groupBy("pivot").agg(F.ceil(F.count(F.lit(1)) / block_docs).alias("n_chunks"))
         base = others.unionByName(pivots).join(chunks, "pivot").select("id", "pivot", "block", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n_chunks") - 1)).alias("chunk"), F.lit(False).alias("rest"))
         left = rest.join(chunks, "pivot").join(sizes, "pivot").select("id", "pivot", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n_blocks") - 1)).alias("block"), F.pmod(F.xxhash64("id"), "n_chunks").alias("chunk"), F.lit(True).alias("rest"))
-        late = texts.join(base.unionByName(left), "id").repartition("pivot", "block", "chunk").sortWithinPartitions("pivot", "block", "chunk").mapInPandas(_join_rest(shingle, percent), "kind int, u long, v long")
+        late = own_texts.join(base.unionByName(left), "id").repartition("pivot", "block", "chunk").sortWithinPartitions("pivot", "block", "chunk").mapInPandas(_join_rest(shingle, percent), "kind int, u long, v long")
         links = materialize(links.unionByName(late.select("u", "v")), "jac-links")
 
     component = connected_components(links)

@@ -14,6 +14,8 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from assetloom.llm.bloom import block_of, bloom_filter, mask_of
+
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
@@ -45,33 +47,16 @@ def match_rule(host: Column, path: Column, rules: list[tuple[str, str, str]]) ->
     return out if out is not None else F.lit(None).cast("struct<rule:string,verdict:string>")
 
 
-def _block(key: Column, blocks: int) -> Column:
-    return F.pmod(F.xxhash64(F.lit(17), key), F.lit(blocks))
-
-
-def _mask(key: Column, bits: int) -> Column:
-    """A 64-bit word with the key's bits set: six bits of a second hash choose each of them."""
-    h, out = F.xxhash64(F.lit(29), key), F.lit(0).cast("long")
-    for k in range(bits):
-        out = out.bitwiseOR(F.call_function("shiftleft", F.lit(1).cast("long"), F.shiftrightunsigned(h, 6 * k).bitwiseAND(F.lit(63).cast("long")).cast("int")))
-    return out
-
-
-def bloom_filter(listed: DataFrame, key: str, blocks: int = 1 << 16, bits: int = 5) -> DataFrame:
-    """(block, word): at most ``blocks`` rows."""
-    return listed.where(F.col(key).isNotNull()).groupBy(_block(F.col(key), blocks).alias("block")).agg(F.bit_or(_mask(F.col(key), bits)).alias("word"))
-
-
 def filter_urls(pages: DataFrame, rules: list[tuple[str, str, str]], listed: DataFrame, id_col: str = "page_id", url_col: str = "url", blocks: int = 1 << 16, bits: int = 5) -> DataFrame:
     """One row per page: id, host, path, rule, verdict, listed. ``listed`` has one column, canonical_url, of URLs to
     block (repeats and nulls allowed)."""
     url = F.col(url_col)
     judged = pages.select(F.col(id_col).alias("id"), host_of(url).alias("host"), path_of(url).alias("path"), canonical_url(url).alias("key"))
-    judged = judged.withColumn("hit", match_rule(F.col("host"), F.col("path"), rules)).withColumn("block", _block(F.col("key"), blocks))
+    judged = judged.withColumn("hit", match_rule(F.col("host"), F.col("path"), rules)).withColumn("block", block_of(F.col("key"), blocks))
     words = bloom_filter(listed, "canonical_url", blocks, bits)
     # Broadcast is safe: the filter has no more rows than blocks, whatever the list.
-    tested = judged.join(F.broadcast(words.withColumnRenamed("block", "word_block")), F.col("block") == F.col("word_block"), "left")
-    mask = _mask(F.col("key"), bits)
+    tested = judged.join(F.broadcast(words), F.col("block") == F.col("word_block"), "left")
+    mask = mask_of(F.col("key"), bits)
     possible = F.coalesce(F.col("word").bitwiseAND(mask) == mask, F.lit(False))
     exact = listed.where(F.col("canonical_url").isNotNull()).distinct().withColumn("on_list", F.lit(True))
     passed = tested.where(possible).join(exact, F.col("key") == F.col("canonical_url"), "left").withColumn("listed", F.coalesce("on_list", F.lit(False)))
