@@ -17,8 +17,10 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Repeated lines go, all documents stay; n_chars follows the text."""
-    out = line_dedup.dedup_lines(docs)
+    """Repeated lines go, and documents that consisted of nothing else; n_chars follows the text."""
+    had = docs.where(F.col("text").rlike(line_dedup.WORD))
+    out = line_dedup.dedup_lines(had).where(F.col("text").rlike(line_dedup.WORD))
+    out = out.unionByName(docs.where(~F.coalesce(F.col("text").rlike(line_dedup.WORD), F.lit(False))))
     return out.withColumn("n_chars", F.when(F.col("text").isNotNull(), F.length("text").cast("long")))
 
 
