@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pandas as pd
 from pyspark.sql import DataFrame, functions as F
 
 from assetloom.common import materialize
@@ -21,19 +24,46 @@ def _small_star(edges: DataFrame) -> DataFrame:
     return down.join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).union(least.select("u", F.col("m").alias("v")))
 
 
-def connected_components(edges: DataFrame, max_rounds: int = 50) -> DataFrame:
+def _mark(edges: DataFrame) -> tuple[int, int]:
+    """Count and checksum of the edges: equal for equal tables."""
+    return tuple(edges.agg(F.count(F.lit(1)), F.expr("bit_xor(xxhash64(u, v))")).first())
+
+
+def _union_find(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Components of one bounded batch of edges."""
+    parent: dict = {}
+
+    def root(x):
+        top = parent.setdefault(x, x)
+        while parent[top] != top:
+            top = parent[top]
+        while parent[x] != top:
+            parent[x], x = top, parent[x]
+        return top
+
+    for pdf in batches:
+        for a, b in zip(pdf["u"].tolist(), pdf["v"].tolist()):
+            x, y = root(a), root(b)
+            if x != y:
+                parent[max(x, y)] = min(x, y)
+    yield pd.DataFrame({"node": list(parent), "component": [root(x) for x in parent]})
+
+
+def connected_components(edges: DataFrame, max_rounds: int = 50, local_edges: int = 100_000) -> DataFrame:
     """(node, component) for every node of an edge; the component is its smallest node. ``edges`` has two columns of
     one orderable type; nulls, self-loops and repeats are ignored. Rounds grow with the logarithm of the node count;
-    each is written to the shared folder."""
+    each is written to the shared folder. At most ``local_edges`` distinct edges, as counted, are solved in one task."""
     a, b = edges.columns
     state = edges.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).where(F.col(a).isNotNull() & F.col(b).isNotNull() & (F.col(a) != F.col(b))).distinct()
     state = materialize(state, "cc")
+    before = _mark(state)
+    if before[0] <= local_edges:
+        kind = dict(state.dtypes)["u"]
+        return state.coalesce(1).mapInPandas(_union_find, f"node {kind}, component {kind}")
     nodes = state.select(F.col("u").alias("node")).union(state.select("v")).distinct()
-    mark = lambda df: df.agg(F.count(F.lit(1)), F.expr("bit_xor(xxhash64(u, v))")).first()
-    before = mark(state)
     for _ in range(max_rounds):
         state = materialize(_small_star(_large_star(state)).where("u <> v").distinct(), "cc")
-        now = mark(state)
+        now = _mark(state)
         if now == before:
             break
         before = now
