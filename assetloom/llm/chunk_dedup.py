@@ -23,12 +23,15 @@ import pandas as pd
 import xxhash
 from pyspark.sql import DataFrame, Window as W, functions as F
 
+from assetloom.common import materialize
 from assetloom.llm.hashing import _table, utf8
 
 #: One 16-bit value for each byte.
 GEAR = (_table(256, 77) >> np.uint64(48)).astype(np.uint16)
 #: Bytes hashed at once; the hash needs 15 bytes before a piece, so pieces give the same boundaries as whole texts.
 PIECE = 4 << 20
+#: How many digests count as common at most.
+MOST_COMMON = 10_000
 
 
 def gear_hash(raw: np.ndarray) -> np.ndarray:
@@ -118,10 +121,15 @@ def chunk_table(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_words: int = 24, **chunking: int) -> DataFrame:
     """(id, start, n_bytes, n_words, n_chunks, keeper): byte spans that also occur in other documents. ``keeper`` is the
     smallest id that holds a chunk of the span; the span is a duplicate where keeper < id."""
-    chunks = chunk_table(docs, id_col, text_col, **chunking)
-    seen = chunks.groupBy("digest").agg(F.min("id").alias("keeper"), F.max("id").alias("last")).where("keeper < last").select("digest", "keeper")
-    # The copies of a common chunk are many rows on this side and one on the other, so Spark can split them.
-    again = chunks.join(seen, "digest").drop("digest")
+    chunks = materialize(chunk_table(docs, id_col, text_col, **chunking), "chunks")
+    counts = chunks.groupBy("digest").agg(F.min("id").alias("keeper"), F.max("id").alias("last"), F.count(F.lit(1)).alias("copies"))
+    seen = materialize(counts.where("keeper < last").select("digest", "keeper", "copies"), "chunks-seen")
+    # A digest may stand for a third of all chunks. Digests above a 10,000th of them are 10,000 at most, so they are
+    # broadcast and their chunks stay where they are; the others are joined by shuffle.
+    is_common = F.col("copies") * MOST_COMMON > chunks.count()
+    common = F.broadcast(seen.where(is_common).select("digest", "keeper"))
+    rare = seen.where(~is_common).select("digest", "keeper")
+    again = chunks.join(common, "digest").unionByName(chunks.join(common.drop("keeper"), "digest", "left_anti").join(rare, "digest")).drop("digest")
     order = W.partitionBy("id").orderBy("seq")
     runs = again.withColumn("run", F.col("seq") - F.row_number().over(order))
     spans = runs.groupBy("id", "run").agg(F.min("start").alias("start"), F.sum("n_bytes").alias("n_bytes"), F.sum("n_words").alias("n_words"), F.count(F.lit(1)).alias("n_chunks"), F.min("keeper").alias("keeper"))

@@ -87,12 +87,17 @@ def holds(text, item, min_tokens=8, min_share=0.7, window=20, window_share=0.8):
     t, b = tokens(text), tokens(item)
     if len(b) < min_tokens:
         return False
-    for start in range(1 - len(b), len(t)):
-        same = [0 <= start + k < len(t) and t[start + k] == b[k] for k in range(len(b))]
-        if sum(same) >= min_share * len(b):
-            return True
-        if len(b) > window and any(sum(same[k : k + window]) >= window_share * window for k in range(len(b) - window + 1)):
+    places = {}
+    for k, x in enumerate(b):
+        places.setdefault(x, []).append(k)
+    hits = Counter(i - k for i, x in enumerate(t) for k in places.get(x, []))
+    for start, n in hits.items():
+        if n >= min_share * len(b):
             return True
+        if len(b) > window and n >= window_share * window:
+            same = [0 <= start + k < len(t) and t[start + k] == b[k] for k in range(len(b))]
+            if any(sum(same[k : k + window]) >= window_share * window for k in range(len(b) - window + 1)):
+                return True
     return False
 
 
