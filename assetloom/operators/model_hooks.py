@@ -13,14 +13,15 @@ from pyspark.sql.types import ArrayType, DoubleType, StructField, StructType
 from assetloom.functions.vectors import l2_normalize, tta_average
 
 
-def embed(df: DataFrame, input_col: str, make_model: Callable[[], Callable], batch_size: int = 32, flipped_col: str | None = None, out_col: str = "embedding") -> DataFrame:
+def embed(df: DataFrame, input_col: str, make_model: Callable[[], Callable], batch_size: int = 32, flipped_col: str | None = None, out_col: str = "embedding", input_shape: list[int] | None = None) -> DataFrame:
     """``df`` with a unit vector from the user's model, loaded once per worker; with ``flipped_col`` the mean of both
-    passes, taken before it is normalised."""
-    model = predict_batch_udf(make_model, return_type=ArrayType(DoubleType()), batch_size=batch_size)
-    raw: Column = model(input_col)
+    passes, taken before it is normalised. Array inputs need their ``input_shape``."""
+    model = predict_batch_udf(make_model, return_type=ArrayType(DoubleType()), batch_size=batch_size, input_tensor_shapes=[input_shape] if input_shape else None)
+    # The outputs are columns before they enter array functions, whose lambdas take no Python functions.
+    out = df.withColumn("__raw", model(input_col))
     if flipped_col:
-        raw = tta_average(raw, model(flipped_col))
-    return df.withColumn(out_col, l2_normalize(raw))
+        out = out.withColumn("__flipped", model(flipped_col)).withColumn("__raw", tta_average(F.col("__raw"), F.col("__flipped"))).drop("__flipped")
+    return out.withColumn(out_col, l2_normalize(F.col("__raw"))).drop("__raw")
 
 
 def score_metrics(df: DataFrame, input_col: str, metrics: dict[str, Callable[[], Callable[[list], np.ndarray]]], batch_size: int = 16) -> DataFrame:

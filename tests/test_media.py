@@ -56,8 +56,10 @@ def test_hooks(spark):
     def make():
         return lambda batch: batch * 2
 
-    out = {r.id: r.embedding for r in embed(df, "x", make).collect()}
+    out = {r.id: r.embedding for r in embed(df, "x", make, input_shape=[2]).collect()}
     assert out[1] == pytest.approx([0.6, 0.8]) and out[2] == [0.0, 0.0]
+    both = embed(df.withColumn("y", F.reverse("x")), "x", make, flipped_col="y", input_shape=[2])
+    assert both.columns == ["id", "x", "y", "embedding"] and {r.id: r.embedding for r in both.collect()}[1] == pytest.approx([0.5**0.5, 0.5**0.5])
 
     def total():
         def score(batch):
