@@ -1,7 +1,8 @@
 """Benchmark decontamination by spaced seeds (operator 2).
 
 A seed is a mask over ``span`` consecutive tokens that looks at some positions and ignores the others, so a replaced
-token spoils only the seeds that look at it. Seeds of all benchmark items are hashed once; every document's seeds are
+token spoils only the seeds that look at it. The masks of an item are chosen by its length so that every alignment the
+rules below accept holds a seed without a replaced token: none is missed. Seeds of all benchmark items are hashed once; every document's seeds are
 joined with them by hash inside the task that holds its text. Each hit fixes an alignment of item and document, along
 which the tokens are compared one by one. A document holds an item if at least ``min_share`` of the item's tokens
 agree along an alignment, or if some window of ``window`` aligned tokens agrees to ``window_share``. The second rule
@@ -11,14 +12,16 @@ The benchmark is a stated query set. It goes to the tasks in blocks of at most `
 broadcast at once is bounded; a larger benchmark takes more passes, and its results are unioned per document.
 
 Tokens are runs of letters and digits of the lower-cased text. Defined cases: null and empty texts hold nothing; items
-of fewer than ``min_tokens`` tokens are no evidence and are skipped; items shorter than a mask's span use it cut to
-their length; repeated documents and items are each reported; empty tables give empty results; ids may be null; other
+of fewer than ``min_tokens`` tokens are skipped, or with ``short_items`` held by texts that hold all their tokens in a
+row; items with a null id are skipped; repeated documents and items are each reported; empty tables give empty results; ids may be null; other
 columns pass through ``drop_contaminated``.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
+from itertools import combinations
 
 import numpy as np
 import pandas as pd
@@ -26,8 +29,8 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from assetloom.llm.hashing import mix64, utf8, word_hashes
 
-#: Fixed masks: positions a seed looks at.
-MASKS = ((0, 1, 2, 4, 7, 8), (0, 2, 3, 5, 6, 9), (0, 1, 4, 5, 8, 9))
+#: Families of masks, (weight, span): all masks that look at ``weight`` of ``span`` tokens in a row. Best first.
+FAMILIES = ((6, 6), (5, 5), (4, 4), (4, 5), (4, 6), (3, 3), (3, 4), (3, 5), (2, 2), (2, 3), (2, 4), (1, 1))
 CELLS = 1 << 22
 HIT = "array<struct<item_id:long,start:int,matched:int,tokens:int,similarity:double>>"
 
@@ -45,22 +48,30 @@ def seeds(tokens: np.ndarray, mask: tuple[int, ...]) -> np.ndarray:
     return mix64(total)
 
 
-def masks_for(n: int) -> list[tuple[int, ...]]:
-    """The masks for an item of n tokens, cut to its length."""
-    return sorted({tuple(k for k in m if k < n) for m in MASKS})
+def masks_for(n: int, min_share: float = 0.7, window: int = 20, window_share: float = 0.8) -> list[tuple[int, ...]]:
+    """The masks for an item of n tokens: of the first family that has a seed in each accepted alignment. Tokens in a row
+    without a seed of (weight, span) agree at weight - 1 places of each ``span`` at most; that must not be enough."""
+    asked = [(n, math.ceil(min_share * n)), *([(window, math.ceil(window_share * window))] if n > window else [])]
+    for weight, span in FAMILIES:
+        if span <= n and all((weight - 1) * (k // span) + min(k % span, weight - 1) < need for k, need in asked):
+            return [(0, *m) for m in combinations(range(1, span), weight - 1)]
+    return [(0,)]
 
 
 class SeedIndex:
     """Sorted seed hashes of one block of items, with a bitmap of fixed size before them."""
 
-    def __init__(self, ids: list, texts: list, min_tokens: int):
+    def __init__(self, ids: list, texts: list, min_tokens: int, min_share: float, window: int, window_share: float, short_items: bool):
         words, at = word_hashes(utf8(texts), alnum=True)
-        keep = [k for k in range(len(ids)) if at[k + 1] - at[k] >= min_tokens and ids[k] is not None]
+        keep = [k for k in range(len(ids)) if at[k + 1] - at[k] >= (1 if short_items else min_tokens) and ids[k] is not None]
         self.ids, self.items = [ids[k] for k in keep], [words[at[k] : at[k + 1]] for k in keep]
-        self.masks = sorted({m for t in self.items for m in masks_for(len(t))})
+        # Short items must agree whole.
+        self.shares = [min_share if len(t) >= min_tokens else 1.0 for t in self.items]
+        masks = [masks_for(len(t), share, window, window_share) for t, share in zip(self.items, self.shares)]
+        self.masks = sorted({m for own in masks for m in own})
         self.by_mask = []
         for m in self.masks:
-            own = [(seeds(t, m), k) for k, t in enumerate(self.items) if m in masks_for(len(t))]
+            own = [(seeds(t, m), k) for k, t in enumerate(self.items) if m in masks[k]]
             h = np.concatenate([s for s, _ in own])
             item = np.concatenate([np.full(len(s), k) for s, k in own])
             place = np.concatenate([np.arange(len(s)) for s, _ in own])
@@ -76,16 +87,18 @@ class SeedIndex:
         index.__dict__.update(state)
         return index
 
-    def alignments(self, tokens: np.ndarray, bitmaps: list[np.ndarray]) -> set[tuple[int, int]]:
+    def alignments(self, tokens: np.ndarray, bitmaps: list[np.ndarray]) -> list[tuple[int, int]]:
         """(item, document position of the item's first token) of every seed hit."""
-        found: set[tuple[int, int]] = set()
+        found = []
         for m, (h, item, place, _), bitmap in zip(self.masks, self.by_mask, bitmaps):
             own = seeds(tokens, m)
             near = np.flatnonzero(bitmap[own & np.uint64(CELLS - 1)])
             low, high = np.searchsorted(h, own[near], "left"), np.searchsorted(h, own[near], "right")
-            for at, a, b in zip(near[low < high], low[low < high], high[low < high]):
-                found.update(zip(item[a:b].tolist(), (at - place[a:b]).tolist()))
-        return found
+            n = high - low
+            if n.any():
+                k = np.repeat(low - np.cumsum(n) + n, n) + np.arange(n.sum())
+                found.append(np.stack([item[k], np.repeat(near, n) - place[k]], axis=1))
+        return list(map(tuple, np.unique(np.concatenate(found), axis=0).tolist())) if found else []
 
 
 def compare(tokens: np.ndarray, item: np.ndarray, start: int, min_share: float, window: int, window_share: float) -> tuple[int, float] | None:
@@ -103,7 +116,7 @@ def compare(tokens: np.ndarray, item: np.ndarray, start: int, min_share: float,
     return None
 
 
-def hits_column(text: Column, block_b, min_share: float, window: int, window_share: float) -> Column:
+def hits_column(text: Column, block_b, window: int, window_share: float) -> Column:
     """All items of one block that a text holds; the best alignment of each."""
 
     @F.pandas_udf(HIT)
@@ -116,7 +129,7 @@ def hits_column(text: Column, block_b, min_share: float, window: int, window_sha
             for a, b in zip(at, at[1:]):
                 tokens, best = words[a:b], {}
                 for k, start in index.alignments(tokens, bitmaps):
-                    got = compare(tokens, index.items[k], start, min_share, window, window_share)
+                    got = compare(tokens, index.items[k], start, index.shares[k], window, window_share)
                     if got and (k not in best or (got[0], -start) > (best[k][1], -best[k][0])):
                         best[k] = (start, got[0], got[1])
                 out.append([{"item_id": index.ids[k], "start": s, "matched": m, "tokens": len(index.items[k]), "similarity": r} for k, (s, m, r) in sorted(best.items())])
@@ -138,13 +151,13 @@ def _blocks(bench: DataFrame, item_col: str, text_col: str, block_tokens: int) -
     yield ids, texts
 
 
-def find_hits(docs: DataFrame, bench: DataFrame, out: str, text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", min_tokens: int = 8, min_share: float = 0.7, window: int = 20, window_share: float = 0.8, block_tokens: int = 2_000_000) -> DataFrame:
+def find_hits(docs: DataFrame, bench: DataFrame, out: str, text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", min_tokens: int = 8, min_share: float = 0.7, window: int = 20, window_share: float = 0.8, block_tokens: int = 2_000_000, short_items: bool = False) -> DataFrame:
     """``docs`` with a column ``out``: the benchmark items that each text holds, as an array of structs."""
     sc, found = docs.sparkSession.sparkContext, []
     for ids, texts in _blocks(bench, item_col, item_text_col, block_tokens):
-        index = SeedIndex(ids, texts, min_tokens)
+        index = SeedIndex(ids, texts, min_tokens, min_share, window, window_share, short_items)
         if index.items:
-            found.append(hits_column(F.col(text_col), sc.broadcast(vars(index)), min_share, window, window_share))
+            found.append(hits_column(F.col(text_col), sc.broadcast(vars(index)), window, window_share))
     return docs.withColumn(out, F.concat(*found) if found else F.array().cast(HIT))
 
 

@@ -29,7 +29,7 @@ FROM l JOIN d USING (line) LEFT JOIN near USING (line) WHERE near IS NOT NULL OR
 
 def op2_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One row per document and benchmark item that it holds."""
-    return decontaminate.contaminated_pairs(load(spark, sf_dir, "documents"), load(spark, sf_dir, "benchmark"))
+    return decontaminate.contaminated_pairs(load(spark, sf_dir, "documents"), load(spark, sf_dir, "benchmark"), short_items=True)
 
 
 def op3_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
