@@ -10,7 +10,8 @@ A passage loses up to one chunk at each end to boundaries outside of it. With th
 five words) ``min_words`` = 24 finds nearly every passage of over 50 words, and is twice the longest boilerplate line.
 
 Defined cases: null and empty texts have no chunks; repeats inside one document only don't count; rows with one id
-count as one document; rows with a null id are left out; an empty table gives an empty result; other columns pass
+count as one document, whose texts are told apart by their hash and have spans of their own; repeated rows have the
+spans of one; rows with a null id are left out; an empty table gives an empty result; other columns pass
 through ``drop_spans``.
 """
 
@@ -24,6 +25,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window as W, functions as F
 
 from assetloom.common import materialize
+from assetloom.llm.distinct import distinct_rows
 from assetloom.llm.hashing import _table, utf8
 
 #: One 16-bit value for each byte.
@@ -81,15 +83,15 @@ def _chunks(min_bytes: int, avg_bytes: int, max_bytes: int):
 
     def of(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            ids, seqs, offs, sizes, words, digests = [], [], [], [], [], []
+            ids, hashes, seqs, offs, sizes, words, digests = [], [], [], [], [], [], []
 
             def flush() -> pd.DataFrame:
-                out = pd.DataFrame({"id": np.concatenate(ids), "seq": np.concatenate(seqs), "start": np.concatenate(offs), "n_bytes": np.concatenate(sizes), "n_words": np.concatenate(words), "digest": np.array(digests, np.uint64).view(np.int64)})
-                for x in (ids, seqs, offs, sizes, words, digests):
+                out = pd.DataFrame({"id": np.concatenate(ids), "th": np.concatenate(hashes), "seq": np.concatenate(seqs), "start": np.concatenate(offs), "n_bytes": np.concatenate(sizes), "n_words": np.concatenate(words), "digest": np.array(digests, np.uint64).view(np.int64)})
+                for x in (ids, hashes, seqs, offs, sizes, words, digests):
                     x.clear()
                 return out
 
-            for doc, text in zip(pdf["id"], utf8(pdf["text"])):
+            for doc, th, text in zip(pdf["id"], pdf["th"], utf8(pdf["text"])):
                 if not text:
                     continue
                 ends = boundaries(text, min_bytes, avg_bytes, max_bytes)
@@ -100,6 +102,7 @@ def _chunks(min_bytes: int, avg_bytes: int, max_bytes: int):
                 first = ~gap
                 first[1:] &= gap[:-1]
                 ids.append(np.full(len(ends), doc, np.int64))
+                hashes.append(np.full(len(ends), th, np.int64))
                 seqs.append(np.arange(len(ends), dtype=np.int32))
                 offs.append(np.array(starts, np.int32))
                 sizes.append(np.diff(ends, prepend=0).astype(np.int32))
@@ -113,14 +116,16 @@ def _chunks(min_bytes: int, avg_bytes: int, max_bytes: int):
 
 
 def chunk_table(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_bytes: int = 12, avg_bytes: int = 32, max_bytes: int = 128) -> DataFrame:
-    """(id, seq, start, n_bytes, n_words, digest): every chunk of every document."""
-    texts = docs.where(F.col(id_col).isNotNull() & (F.length(text_col) > 0)).select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
-    return texts.mapInPandas(_chunks(min_bytes, avg_bytes, max_bytes), "id long, seq int, start int, n_bytes int, n_words int, digest long")
+    """(id, th, seq, start, n_bytes, n_words, digest): every chunk of every distinct id and text; th is
+    the hash of the text."""
+    rows = docs.where(F.col(id_col).isNotNull() & (F.length(text_col) > 0)).select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
+    texts = distinct_rows(rows, "id").select("id", F.xxhash64("text").alias("th"), "text")
+    return texts.mapInPandas(_chunks(min_bytes, avg_bytes, max_bytes), "id long, th long, seq int, start int, n_bytes int, n_words int, digest long")
 
 
 def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_words: int = 24, **chunking: int) -> DataFrame:
-    """(id, start, n_bytes, n_words, n_chunks, keeper): byte spans that also occur in other documents. ``keeper`` is the
-    smallest id that holds a chunk of the span; the span is a duplicate where keeper < id."""
+    """(id, th, start, n_bytes, n_words, n_chunks, keeper): byte spans of the text with the hash th that also
+    occur in other documents. ``keeper`` is the smallest id that holds a chunk of the span; the span is a duplicate where keeper < id."""
     chunks = materialize(chunk_table(docs, id_col, text_col, **chunking), "chunks")
     counts = chunks.groupBy("digest").agg(F.min("id").alias("keeper"), F.max("id").alias("last"), F.count(F.lit(1)).alias("copies"))
     seen = materialize(counts.where("keeper < last").select("digest", "keeper", "copies"), "chunks-seen")
@@ -130,10 +135,10 @@ def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     common = F.broadcast(seen.where(is_common).select("digest", "keeper"))
     rare = seen.where(~is_common).select("digest", "keeper")
     again = chunks.join(common, "digest").unionByName(chunks.join(common.drop("keeper"), "digest", "left_anti").join(rare, "digest")).drop("digest")
-    order = W.partitionBy("id").orderBy("seq")
+    order = W.partitionBy("id", "th").orderBy("seq")
     runs = again.withColumn("run", F.col("seq") - F.row_number().over(order))
-    spans = runs.groupBy("id", "run").agg(F.min("start").alias("start"), F.sum("n_bytes").alias("n_bytes"), F.sum("n_words").alias("n_words"), F.count(F.lit(1)).alias("n_chunks"), F.min("keeper").alias("keeper"))
-    return spans.where(F.col("n_words") >= min_words).select(F.col("id").alias(id_col), "start", "n_bytes", "n_words", "n_chunks", "keeper")
+    spans = runs.groupBy("id", "th", "run").agg(F.min("start").alias("start"), F.sum("n_bytes").alias("n_bytes"), F.sum("n_words").alias("n_words"), F.count(F.lit(1)).alias("n_chunks"), F.min("keeper").alias("keeper"))
+    return spans.where(F.col("n_words") >= min_words).select(F.col("id").alias(id_col), "th", "start", "n_bytes", "n_words", "n_chunks", "keeper")
 
 
 def drop_spans(docs: DataFrame, spans: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -153,6 +158,6 @@ def drop_spans(docs: DataFrame, spans: DataFrame, id_col: str = "doc_id", text_c
             out.append(b"".join([*kept, raw[at:]]).decode("utf-8", "ignore"))
         return pd.Series(out)
 
-    holes = spans.where(F.col("keeper") < F.col(id_col)).groupBy(F.col(id_col).alias("__id")).agg(F.collect_list(F.struct("start", "n_bytes")).alias("__holes"))
-    joined = docs.join(holes, F.col(id_col) == F.col("__id"), "left")
-    return joined.withColumn(text_col, F.when(F.col("__holes").isNull(), F.col(text_col)).otherwise(cut(text_col, "__holes"))).drop("__id", "__holes")
+    holes = spans.where(F.col("keeper") < F.col(id_col)).groupBy(F.col(id_col).alias("__id"), F.col("th").alias("__th")).agg(F.collect_list(F.struct("start", "n_bytes")).alias("__holes"))
+    joined = docs.join(holes, (F.col(id_col) == F.col("__id")) & (F.xxhash64(text_col) == F.col("__th")), "left")
+    return joined.withColumn(text_col, F.when(F.col("__holes").isNull(), F.col(text_col)).otherwise(cut(text_col, "__holes"))).drop("__id", "__th", "__holes")
