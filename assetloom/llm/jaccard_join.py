@@ -30,6 +30,7 @@ from pyspark.sql import DataFrame, Window as W, functions as F
 
 from assetloom.common import materialize
 from assetloom.llm.bloom import possible_rows
+from assetloom.llm.distinct import distinct_rows
 from assetloom.llm.hashing import shingle_hashes, utf8, word_hashes
 from assetloom.operators.components import connected_components
 
@@ -321,7 +322,12 @@ def jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
 
 def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
-    """One document of each component, the one with the smallest id; columns unchanged. Rows with a null id stay."""
-    first = jaccard_join(docs, id_col, text_col, **options).where(F.col("component_id") == F.col(id_col)).select(F.col("component_id").alias("__id")).distinct()
-    named = docs.where(F.col(id_col).isNotNull())
-    return named.join(first, named[id_col].cast("long") == F.col("__id"), "left_semi").unionByName(docs.where(F.col(id_col).isNull()))
+    """One row of each component, the one with the smallest id; columns unchanged. Here a document is an id and a text: equal
+    rows are reduced to one, texts under one id or a null id take part like others. Null ids are largest, equal ids go
+    by the hash of the text."""
+    rows = distinct_rows(docs, id_col, text_col)
+    key = F.xxhash64(F.col(id_col).isNull(), F.col(id_col), F.xxhash64(text_col))
+    found = jaccard_join(rows.select(key.alias("__key"), F.col(text_col).alias("text")), "__key", "text", **options).select("__key", "component_id")
+    names = rows.select(key.alias("__key"), F.struct(F.col(id_col).isNull().alias("unnamed"), F.col(id_col).alias("id"), F.xxhash64(text_col).alias("th")).alias("name"))
+    first = found.join(names, "__key").groupBy("component_id").agg(F.min_by("__key", "name").alias("__key")).select("__key")
+    return rows.withColumn("__key", key).join(first, "__key", "left_semi").select(*docs.columns)

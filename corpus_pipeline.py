@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from assetloom.common import load, materialize
 from assetloom.llm import decontaminate, jaccard_join, line_dedup, mixing, quality_rules
+from assetloom.llm.distinct import distinct_rows
 
 #: Near duplicates: shingles of five words, similarity of 0.8 or more.
 SHINGLE, PERCENT = 5, 80
@@ -17,9 +18,11 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Repeated lines go, and documents that consisted of nothing else; n_chars follows the text."""
-    had = docs.where(F.col("text").rlike(line_dedup.WORD))
-    out = line_dedup.dedup_lines(had).where(F.col("text").rlike(line_dedup.WORD))
+    """Repeated lines go, and documents that consisted of nothing else; n_chars follows the text. Documents without an
+    id come after the others, by a hash of the text."""
+    unnamed = F.lit(1 << 62).bitwiseOR(F.xxhash64("text").bitwiseAND(F.lit((1 << 62) - 1)))
+    had = docs.where(F.col("text").rlike(line_dedup.WORD)).withColumn("__line_id", F.coalesce(F.col("doc_id").cast("long"), unnamed))
+    out = line_dedup.dedup_lines(had, "__line_id").where(F.col("text").rlike(line_dedup.WORD)).drop("__line_id")
     out = out.unionByName(docs.where(~F.coalesce(F.col("text").rlike(line_dedup.WORD), F.lit(False))))
     return out.withColumn("n_chars", F.when(F.col("text").isNotNull(), F.length("text").cast("long")))
 
@@ -35,10 +38,11 @@ def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The documents of the mix with their copies. Rows of one id and text are one document, whose copies add up."""
+    """The documents of the mix with their copies. Equal rows of one id and text are one document."""
+    docs = distinct_rows(docs)
     name = F.coalesce(F.col("doc_id").cast("string"), F.lit("null"))
-    plan = mixing.mix_sources(docs).where("copies > 0").groupBy(name.alias("__id"), F.col("th").alias("__th")).agg(*[F.max(c).alias(c) for c in ("size", "source_size", "target")], F.sum("copies").alias("copies"), F.sum("taken").alias("taken"))
-    named = docs.withColumns({"__id": name, "__th": F.xxhash64("text")}).dropDuplicates(["__id", "__th"])
+    plan = mixing.mix_sources(docs).where("copies > 0").select(name.alias("__id"), F.col("th").alias("__th"), "size", "source_size", "target", "copies", "taken")
+    named = docs.withColumns({"__id": name, "__th": F.xxhash64("text")})
     return named.join(plan, ["__id", "__th"]).drop("__id", "__th")
 
 

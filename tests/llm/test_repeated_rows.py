@@ -2,7 +2,8 @@
 
 import random
 
-from assetloom.llm import chunk_dedup
+import corpus_pipeline
+from assetloom.llm import chunk_dedup, jaccard_join
 
 
 def phrases(seed, n, size):
@@ -27,3 +28,29 @@ def test_spans_of_repeated_rows(spark):
     assert all(passage[130:290] not in t for t in cut) and (4, u[5]) in out
     # Outside the passage little goes: the rest of a chunk at each end.
     assert all(len(t) >= min(len(x) for i, x in rows if i in (2, 4) and x[:60] == t[:60]) - len(passage) - 256 for t in cut)
+
+
+SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
+
+
+def test_one_of_each_group_stays(spark):
+    a, b, c, d = phrases(4, 4, 60)
+    near = " ".join([*a.split()[:-1], "other"])
+    rows = [(1, a), (1, a), (1, a), (2, near), (None, a), (None, near), (None, b), (None, b), (3, c), (3, d), (3, c + " more"), (4, d), (None, None), (None, None)]
+    docs = spark.createDataFrame([(i, t, "en", f"s{k}", 1) for k, (i, t) in enumerate(rows)], SCHEMA)
+    got = jaccard_join.drop_near_duplicates(docs, shingle=5, percent=80)
+    assert got.columns == docs.columns
+    out = [(r.doc_id, r.text) for r in got.collect()]
+    assert len(out) == 5 and {(1, a), (None, b), (3, d), (None, None)} <= set(out) and len({(3, c), (3, c + " more")} & set(out)) == 1
+
+
+def test_pipeline_stages_on_repeated_rows(spark):
+    a, b, c = ("\n".join(phrases(k, 8, 12)) for k in (1, 2, 3))
+    rows = [(1, a), (1, a), (1, a), (1, a), (None, b), (None, b), (None, b), (2, c), (None, c)]
+    docs = spark.createDataFrame([(i, t, "en", "web", len(t)) for i, t in rows], SCHEMA)
+    out = corpus_pipeline.lines(spark, docs, "")
+    assert not [r for r in out.where("doc_id is null").collect() if r.text == c] and out.where("doc_id = 2").first().text == c
+    out = corpus_pipeline.near_duplicates(spark, out, "")
+    assert sorted((str(r.doc_id), r.text) for r in out.collect()) == sorted([("1", a), ("None", b), ("2", c)])
+    mixed = corpus_pipeline.mix(spark, docs, "").collect()
+    assert len(mixed) == len({(r.doc_id, r.text) for r in mixed}) and all(1 <= r.copies <= 2 and r.taken == r.copies * r.size for r in mixed)
