@@ -246,8 +246,8 @@ def calibrate_threshold(spark, sf_dir):
 
 @query("SELECT least(0.35e0, greatest(0.05e0, 0.35e0)) AS threshold")
 def calibrate_threshold_default(spark, sf_dir):
-    """All distances are above the default range here, so the fallback for an empty tail is clamped to its end."""
-    return N.calibrate_threshold(vectors(spark, sf_dir), 0.35).select(F.greatest(F.lit(0.35), F.col("threshold")).alias("threshold"))
+    """The default range and clamp; on the given tables the clamp's upper end."""
+    return N.calibrate_threshold(vectors(spark, sf_dir), 0.35)
 
 
 # Time
