@@ -19,9 +19,11 @@ def op1_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 OP1_SQL = r"""
 WITH l AS (SELECT doc_id, i - 1 AS no, ls[i] AS line FROM (SELECT doc_id, ls, unnest(range(1, len(ls) + 1)) AS i FROM (SELECT doc_id, string_split(text, chr(10)) AS ls FROM documents WHERE doc_id IS NOT NULL AND text IS NOT NULL)) WHERE regexp_matches(ls[i], '[^\x20\x09-\x0D]')),
 d AS (SELECT line, length(line) AS n, min({'id': doc_id, 'no': no}) AS pos FROM l GROUP BY line),
-long AS (SELECT * FROM d WHERE n >= 16),
-near AS (SELECT a.line, min(b.pos) AS near FROM long a JOIN (SELECT line, pos, unnest([n - 1, n, n + 1]) AS n FROM long) b ON a.n = b.n AND b.pos < a.pos AND a.line <> b.line
-    AND (left(a.line, (a.n - 1) // 2) = left(b.line, (a.n - 1) // 2) OR right(a.line, (a.n - 1) // 2) = right(b.line, (a.n - 1) // 2)) AND levenshtein(a.line, b.line) = 1 GROUP BY a.line)
+pairs AS (SELECT a.line, a.n, b.line AS other, b.m, b.pos AS other_pos FROM d a JOIN (SELECT line, pos, n AS m, unnest([n - 1, n, n + 1]) AS n FROM d) b ON a.n = b.n AND b.pos < a.pos AND a.line <> b.line
+    AND (left(a.line, (a.n - 1) // 2) = left(b.line, (a.n - 1) // 2) OR right(a.line, (a.n - 1) // 2) = right(b.line, (a.n - 1) // 2))),
+-- levenshtein counts bytes here, of which a character has four at most; the edit itself is looked for by characters.
+near AS (SELECT line, min(other_pos) AS near FROM pairs WHERE levenshtein(line, other) <= 4 AND len(list_filter(range(0, greatest(n, m)),
+    lambda i: left(line, i) = left(other, i) AND substr(line, i + 1 + (n >= m)::INTEGER) = substr(other, i + 1 + (m >= n)::INTEGER))) > 0 GROUP BY line)
 SELECT l.doc_id, l.no::INTEGER AS line_no, coalesce(near, pos).id AS keep_doc_id, coalesce(near, pos).no::INTEGER AS keep_line_no, (near IS NOT NULL)::INTEGER AS distance
 FROM l JOIN d USING (line) LEFT JOIN near USING (line) WHERE near IS NOT NULL OR {'id': l.doc_id, 'no': l.no} <> pos
 """
