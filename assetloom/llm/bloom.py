@@ -1,13 +1,22 @@
 """Blocked Bloom filters as tables: at most ``blocks`` rows of one 64-bit block each, whatever is put in.
 
-That bound makes the table safe to broadcast. A filter filled far above its size only lets more rows pass, and each use
-is followed by an exact join."""
+The number of blocks follows the number of keys up to MOST_BLOCKS, which makes the table safe to broadcast: it is right for
+six million keys. Above that a filter only lets more rows pass, and each use is followed by an exact join."""
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
 
+#: The most rows of a filter: 8 MB of bits, about 40 MB as a broadcast table.
+MOST_BLOCKS = 1 << 20
+
+
+def blocks_for(n: int, bits_per_key: int = 10) -> int:
+    """Blocks for n keys: a power of two that gives each ``bits_per_key`` bits or more, up to MOST_BLOCKS."""
+    return min(MOST_BLOCKS, 1 << max(10, (n * bits_per_key // 64).bit_length()))
+
+
 def block_of(key: Column, blocks: int) -> Column:
     return F.pmod(F.xxhash64(F.lit(17), key), F.lit(blocks))
 

@@ -5,24 +5,28 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, functions as F
 
 from assetloom.common import materialize
-from assetloom.llm.bloom import block_of, bloom_filter, mask_of
+from assetloom.llm.bloom import block_of, blocks_for, bloom_filter, mask_of
+from assetloom.llm.rows import field, packed, unpacked
 
 
 def distinct_rows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", bits: int = 5) -> DataFrame:
     """One row for each id and text, columns unchanged; a null id is an id. Of rows that differ elsewhere the least stays.
     Only rows that may be repeated are moved."""
-    keyed = docs.withColumn("__key", F.xxhash64(F.col(id_col).isNull(), F.col(id_col), F.col(text_col)))
-    repeated = materialize(keyed.groupBy("__key").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("__key"), "repeated")
+    if not docs.columns:
+        return docs
+    key = F.xxhash64(F.col(id_col).isNull(), F.col(id_col), F.col(text_col))
+    repeated = materialize(docs.groupBy(key.alias("key")).agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("key"), "repeated")
     n = repeated.count()
     if not n:
         return docs
-    blocks = 1 << min(20, max(10, n.bit_length() - 2))
-    words, mask = F.broadcast(bloom_filter(repeated, "__key", blocks, bits).withColumnsRenamed({"word_block": "__block", "word": "__word"})), mask_of(F.col("__key"), bits)
-    marked = keyed.join(words, block_of(F.col("__key"), blocks) == F.col("__block"), "left").withColumn("__may", F.coalesce(F.col("__word").bitwiseAND(mask) == mask, F.lit(False)))
-    single, several = (marked.where(F.col("__may") == may).select(*docs.columns) for may in (False, True))
+    blocks = blocks_for(n)
+    words, mask = F.broadcast(bloom_filter(repeated, "key", blocks, bits)), mask_of(F.col("key"), bits)
+    marked = packed(docs, key=key).join(words, block_of(F.col("key"), blocks) == F.col("word_block"), "left")
+    marked = marked.withColumn("may", F.coalesce(F.col("word").bitwiseAND(mask) == mask, F.lit(False)))
+    single, several = (marked.where(F.col("may") == may).select("row") for may in (False, True))
     others = [c for c in docs.columns if c not in (id_col, text_col)]
-    if others:
-        several = several.groupBy(id_col, text_col).agg(F.min(F.struct(*others)).alias("__least")).select(id_col, text_col, "__least.*")
-    else:
-        several = several.distinct()
-    return single.unionByName(several)
+    if not others:
+        return unpacked(single).unionByName(unpacked(several).distinct())
+    least = several.groupBy(field(id_col).alias("id"), field(text_col).alias("text")).agg(F.min(F.struct(*[field(c).alias(c) for c in others])).alias("least"))
+    rows = least.select(*[F.col("id").alias(c) if c == id_col else F.col("text").alias(c) if c == text_col else F.col("least").getField(c).alias(c) for c in docs.columns])
+    return unpacked(single).unionByName(rows)

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import re
 from collections import Counter
+from itertools import groupby
 
 UPPER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 
@@ -126,3 +127,51 @@ def mix_targets(sizes, weights=(5, 2, 1), budget=1.5, most=2):
             left -= most * sizes[s]
         free -= full
     return target
+
+
+def chunks(text, gear, min_bytes=12, avg_bytes=32, max_bytes=128):
+    """[(start, end)] of a text's chunks: each ends at the first byte in reach whose gear hash is small, else at the
+    smallest hash in reach, else at the end of the text."""
+    raw = text.encode()
+    hash_at = [sum(int(gear[raw[i - k]]) << k for k in range(min(i + 1, 16))) % 65536 for i in range(len(raw))]
+    limit, out, last = 65536 // (avg_bytes - min_bytes), [], 0
+    while last < len(raw):
+        reach = range(last + min_bytes, min(last + max_bytes, len(raw)) + 1)
+        end = next((c for c in reach if hash_at[c - 1] < limit), None)
+        if end is None:
+            end = len(raw) if len(raw) - last <= max_bytes else min(reach, key=lambda c: (hash_at[c - 1], c))
+        out.append((last, end))
+        last = end
+    whole = lambda k: next(e for e in range(k, len(raw) + 1) if e == len(raw) or raw[e] & 0xC0 != 0x80)
+    return [(whole(a), whole(b)) for a, b in out]
+
+
+def spans(rows, gear, min_words=24):
+    """{(id, text, start, bytes, keeper, cut)} of distinct (id, text) rows."""
+    held, cut_up = {}, {}
+    for i, t in set(rows):
+        if i is not None and t:
+            cut_up[i, t] = [(a, b, t.encode()[a:b]) for a, b in chunks(t, gear)]
+            for _, _, x in cut_up[i, t]:
+                held.setdefault(x, set()).add(i)
+    out = set()
+    for (i, t), own in cut_up.items():
+        runs = []
+        for a, b, x in own:
+            if len(held[x]) > 1:
+                if runs and runs[-1][-1][1] == a:
+                    runs[-1].append((a, b, min(held[x])))
+                else:
+                    runs.append([(a, b, min(held[x]))])
+        raw, gap = t.encode(), b" \t\n\v\f\r"
+        count = lambda a, b: sum(raw[k] not in gap and (k == 0 or raw[k - 1] in gap) for k in range(a, b))
+        for run in runs:
+            if count(run[0][0], run[-1][1]) < min_words:
+                continue
+            for theirs, stretch in groupby(run, key=lambda c: c[2] < i):
+                stretch = list(stretch)
+                cut = theirs and count(stretch[0][0], stretch[-1][1]) >= min_words
+                for keeper, piece in groupby(stretch, key=lambda c: c[2]):
+                    piece = list(piece)
+                    out.add((i, t, piece[0][0], piece[-1][1] - piece[0][0], keeper, cut))
+    return out
