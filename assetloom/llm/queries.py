@@ -34,6 +34,16 @@ def op2_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.contaminated_pairs(load(spark, sf_dir, "documents"), load(spark, sf_dir, "benchmark"), short_items=True)
 
 
+OP2_SQL = r"""
+WITH dt AS (SELECT doc_id, unnest(range(len(w))) AS p, unnest(w) AS t FROM (SELECT doc_id, regexp_extract_all(lower(text), '[\p{L}\p{M}\p{N}]+') AS w FROM documents)),
+bt AS (SELECT item_id, len(w) AS n, unnest(range(len(w))) AS k, unnest(w) AS t FROM (SELECT item_id, regexp_extract_all(lower(text), '[\p{L}\p{M}\p{N}]+') AS w FROM benchmark WHERE item_id IS NOT NULL)),
+along AS (SELECT doc_id, item_id, n, p - k AS start, count(*) AS matched, list(k) AS ks FROM dt JOIN bt USING (t) GROUP BY ALL),
+held AS (SELECT * FROM along WHERE matched >= CASE WHEN n < 8 THEN n ELSE 0.7e0 * n END
+    OR n > 20 AND matched >= 16 AND len(list_filter(ks, lambda k: len(list_filter(ks, lambda x: x BETWEEN k AND k + 19)) >= 16)) > 0)
+SELECT doc_id, item_id, start::INTEGER AS start, matched::INTEGER AS matched, n::INTEGER AS tokens, matched / n AS similarity FROM held QUALIFY row_number() OVER (PARTITION BY doc_id, item_id ORDER BY matched DESC, start) = 1
+"""
+
+
 def op3_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One row per span of a document that other documents hold too."""
     return chunk_dedup.repeated_spans(load(spark, sf_dir, "documents"))
@@ -149,4 +159,4 @@ SELECT d.doc_id, coalesce(max(n.n), 0)::BIGINT AS n_shingles, min(r.c) AS compon
 
 
 QUERIES = {"op1_line_dedup": op1_line_dedup, "op2_decontamination": op2_decontamination, "op3_substring_dedup": op3_substring_dedup, "op4_language_id": op4_language_id, "op5_quality_rules": op5_quality_rules, "op6_quality_classifier": op6_quality_classifier, "op7_warc_fixity": op7_warc_fixity, "op8_url_filters": op8_url_filters, "op9_jaccard_join": op9_jaccard_join, "op10_mixing": op10_mixing}
-ORACLE = {"op1_line_dedup": OP1_SQL, "op5_quality_rules": OP5_SQL, "op7_warc_fixity": OP7_SQL, "op8_url_filters": OP8_SQL, "op9_jaccard_join": OP9_SQL}
+ORACLE = {"op1_line_dedup": OP1_SQL, "op2_decontamination": OP2_SQL, "op5_quality_rules": OP5_SQL, "op7_warc_fixity": OP7_SQL, "op8_url_filters": OP8_SQL, "op9_jaccard_join": OP9_SQL}

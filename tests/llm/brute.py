@@ -6,6 +6,8 @@ import re
 from collections import Counter
 from itertools import groupby
 
+import regex
+
 UPPER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 
 
@@ -80,7 +82,7 @@ def components(sets, percent):
 
 
 def tokens(text):
-    return re.findall(r"[^\W_]+", (text or "").lower())
+    return regex.findall(r"[\p{L}\p{M}\p{N}]+", (text or "").lower())
 
 
 def holds(text, item, min_tokens=8, min_share=0.7, window=20, window_share=0.8):

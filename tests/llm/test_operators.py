@@ -72,14 +72,34 @@ def test_decontamination(spark, odd, none):
     want = {(k, i) for k, t in enumerate(texts) for i, b in items if i is not None and b and B.holds(t, b)}
     for block in (2_000_000, 60):
         got = {(r.doc_id, r.item_id) for r in decontaminate.contaminated_pairs(docs, bench, block_tokens=block).collect()}
-        # Seeds can miss alignments close to the threshold, never one with a tenth of the tokens replaced.
-        assert got <= want and len(want - got) <= len(want) // 20
-        assert {(5 * i + s, i) for i, t in items[:20] if len(t.split(" ")) >= 8 for s in (0, 1)} & want <= got
+        assert got == want
+        kept = decontaminate.drop_contaminated(docs.withColumns({"hits": F.lit(1), "row": F.lit(2), "__hits": F.lit(3)}), bench, block_tokens=block)
+        assert kept.columns == ["doc_id", "text", "hits", "row", "__hits"]
+        assert {r.doc_id for r in kept.collect()} == {k for k in range(len(texts) + 2)} - {k for k, _ in want}
     assert decontaminate.drop_contaminated(odd, bench).count() == odd.count()
     assert decontaminate.drop_contaminated(odd, bench.where("false")).columns == odd.columns
     assert decontaminate.contaminated_pairs(none, bench).count() == 0
 
 
+def test_decontamination_of_unicode(spark):
+    item = "die straße über den fluss führt उपलब्ध zu einem kleinen haus"
+    bench = spark.createDataFrame([(1, item)], "item_id long, text string")
+    w = item.split()
+    texts = [" ".join(f"“{x}”" for x in w), "\u00a0".join(w).upper(), "—".join(w), " ".join(w[:4]), "a_" + "_".join(w), " ".join(reversed(w))]
+    docs = spark.createDataFrame([(str(k), t) for k, t in enumerate(texts)], "doc_id string, text string")
+    got = {r.doc_id for r in decontaminate.contaminated_pairs(docs, bench).collect()}
+    assert got == {"0", "1", "2", "4"} == {str(k) for k, t in enumerate(texts) if B.holds(t, item)}
+
+
+def test_hot_template(spark):
+    """Items that share their start, and a text that repeats it."""
+    head = " ".join(f"t{k}" for k in range(12))
+    items = [(k, head + " " + " ".join(f"x{k}y{j}" for j in range(20))) for k in range(300)]
+    docs = spark.createDataFrame([(1, " ".join([head] * 200)), (2, items[7][1]), (3, head + " " + head)], "doc_id long, text string")
+    got = {(r.doc_id, r.item_id) for r in decontaminate.contaminated_pairs(docs, spark.createDataFrame(items, "item_id long, text string")).collect()}
+    assert got == {(2, 7)}
+
+
 def test_chunks_survive_shifts():
     rnd = random.Random(1)
     text = " ".join("".join(rnd.choice("abcdefgh") for _ in range(5)) for _ in range(3000)).encode()
