@@ -5,40 +5,48 @@ frequent n-grams are ranked likewise, and its distance to a language is the sum
 place, with the profile's length for those it lacks. The nearest language wins, the first by name on a tie; the score
 is 1 minus the distance over the largest possible.
 
-Profiles are learnt on a bounded sample: of each of the ``max_languages`` most frequent labels about ``sample_docs``
-rows, by a hash of the id. Every whole text is then judged, beside its table, without a shuffle.
-
-n-grams are of 1 to 3 letters of the lower-cased text; other characters separate words, and word edges count as one
-letter. Defined cases: null texts and texts without a letter get ``und`` and score 0, as does every text if no labelled
-row is left to learn from; null labels and null ids are not learnt from; repeated rows are judged alike; an empty table
-gives an empty result; other columns are not read.
+Profiles are learnt on a bounded sample: of each label about ``sample_docs`` rows, by a hash of the id. Every label gets
+one. They are ``profile_size`` n-grams each, so what is broadcast grows with the number of labels only. Every whole text
+is then judged, beside its table, without a shuffle.
+
+n-grams are of 1 to 3 letters of the lower-cased text; combining marks belong to words like letters, other characters
+separate words, and word edges count as one letter. Defined cases: null texts and texts without a letter (Unicode
+category L) get ``und`` and score 0, as does every text if no labelled row is left to learn from; null labels and null
+ids are not learnt from; repeated rows are judged alike; an empty table gives an empty result; other columns are not read.
 """
 
 from __future__ import annotations
 
+import unicodedata
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from assetloom.llm.hashing import mix64
+from assetloom.llm.rows import sample_of
 
 UND = "und"
 #: Code points looked at at once.
 PIECE = 1 << 20
 
 
-def letter_table() -> np.ndarray:
-    """Whether each code point below 0x30000 is a letter."""
-    return np.array([chr(i).isalpha() for i in range(0x30000)])
+@lru_cache(1)
+def character_classes() -> np.ndarray:
+    """Of every code point: 2 for a letter, 1 for a combining mark, else 0."""
+    kinds = {"L": 2, "M": 1}
+    return np.array([kinds.get(unicodedata.category(chr(i))[0], 0) for i in range(0x110000)], np.uint8)
 
 
-def gram_counts(text: str, letters: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(hashes of the distinct n-grams of a text, their counts)."""
+def gram_counts(text: str) -> tuple[np.ndarray, np.ndarray]:
+    """(hashes of the distinct n-grams of a text, their counts); none of a text without a letter."""
     code = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
-    isletter = letters[np.minimum(code, len(letters) - 1)] | (code >= len(letters))
-    c = np.where(isletter, code, 0)
+    kind = character_classes()[code]
+    if not (kind == 2).any():
+        return np.empty(0, np.uint64), np.empty(0, np.int64)
+    c = np.where(kind > 0, code, 0)
     keep = np.concatenate(([True], (c[1:] != 0) | (c[:-1] != 0))) if len(c) else np.empty(0, bool)
     c = np.concatenate(([0], c[keep], [0])).astype(np.uint64)
     parts = []
@@ -67,22 +75,20 @@ def most_frequent(grams: np.ndarray, counts: np.ndarray, k: int) -> np.ndarray:
 
 
 def _count_sample(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    letters = letter_table()
     for pdf in batches:
         for lang, own in pdf.groupby("lang"):
-            found = [gram_counts(t, letters) for t in own["text"]]
+            found = [gram_counts(t) for t in own["text"]]
             every, where = np.unique(np.concatenate([g for g, _ in found]), return_inverse=True)
             n = np.bincount(where, np.concatenate([c for _, c in found]), len(every)).astype(np.int64)
             yield pd.DataFrame({"lang": lang, "gram": every.view(np.int64), "n": n})
 
 
-def learn_profiles(labelled: DataFrame, sample_docs: int, max_languages: int, profile_size: int) -> dict[str, list[int]]:
+def learn_profiles(labelled: DataFrame, sample_docs: int, profile_size: int) -> dict[str, list[int]]:
     """language -> its n-grams, most frequent first. labelled: (id, text, lang), no nulls."""
-    per = labelled.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(max_languages).collect()
-    if not per:
-        return {}
-    share = F.create_map(*[F.lit(x) for r in per for x in (r["lang"], min(1.0, sample_docs / r["count"]))])
-    sample = labelled.where(F.pmod(F.xxhash64("id"), F.lit(1 << 20)) < share[F.col("lang")] * (1 << 20)).select(F.lower("text").alias("text"), "lang")
+    # One row per label.
+    shares = labelled.groupBy("lang").agg((F.lit(float(sample_docs)) / F.count(F.lit(1))).alias("share"))
+    chosen = F.shiftrightunsigned(F.xxhash64("id"), 11) < F.least("share", F.lit(1.0)) * float(1 << 53)
+    sample = labelled.join(F.broadcast(shares), "lang").where(chosen).select(F.lower("text").alias("text"), "lang")
     counts = sample.mapInPandas(_count_sample, "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
     rank = F.row_number().over(W.partitionBy("lang").orderBy(F.desc("n"), F.xxhash64("gram"), "gram"))
     top = counts.withColumn("rank", rank).where(F.col("rank") <= profile_size).orderBy("lang", "rank").collect()
@@ -92,33 +98,43 @@ def learn_profiles(labelled: DataFrame, sample_docs: int, max_languages: int, pr
     return out
 
 
-def identify(text: Column, profiles: dict[str, list[int]], profile_size: int, doc_grams: int) -> Column:
+class Profiles:
+    """The profiles as one list of (language, place) for each known n-gram."""
+
+    def __init__(self, profiles: dict[str, list[int]], size: int):
+        self.langs, self.size = sorted(profiles), size
+        gram = np.array([g for lang in self.langs for g in profiles[lang]], np.int64).view(np.uint64)
+        lang = np.repeat(np.arange(len(self.langs), dtype=np.int32), [len(profiles[x]) for x in self.langs])
+        place = np.concatenate([np.arange(len(profiles[x]), dtype=np.int32) for x in self.langs]) if self.langs else np.empty(0, np.int32)
+        order = np.argsort(gram, kind="stable")
+        self.gram, self.lang, self.place = gram[order], lang[order], place[order]
+
+    def distances(self, top: np.ndarray) -> np.ndarray:
+        """Of a document's n-grams in order to every language. An n-gram that the profile lacks costs its whole length."""
+        low, high = np.searchsorted(self.gram, top, "left"), np.searchsorted(self.gram, top, "right")
+        n = high - low
+        at, rank = np.repeat(low - np.cumsum(n) + n, n) + np.arange(n.sum()), np.repeat(np.arange(len(top)), n)
+        saved = self.size - np.abs(self.place[at] - rank)
+        return len(top) * self.size - np.bincount(self.lang[at], saved, len(self.langs)).astype(np.int64)
+
+
+def identify(text: Column, profiles_b, doc_grams: int) -> Column:
     """struct(lang, score) of a text."""
-    langs = sorted(profiles)
-    known = np.unique(np.array([g for own in profiles.values() for g in own], np.int64).view(np.uint64))
-    place = np.full((len(known) + 1, len(langs)), profile_size, np.int64)
-    for k, lang in enumerate(langs):
-        own = np.array(profiles[lang], np.int64).view(np.uint64)
-        place[np.searchsorted(known, own), k] = np.arange(len(own))
 
     @F.pandas_udf("struct<lang:string,score:double>")
     def judge(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
-        letters = letter_table()
+        known = Profiles(*profiles_b.value)
         for texts in batches:
             out = []
             for t in texts:
-                grams, counts = gram_counts(t, letters) if t else (np.empty(0, np.uint64), np.empty(0, np.int64))
-                if not len(grams) or not len(known):
+                grams, counts = gram_counts(t) if t else (np.empty(0), np.empty(0))
+                if not len(grams) or not known.langs:
                     out.append((UND, 0.0))
                     continue
                 top = most_frequent(grams, counts, doc_grams)
-                at = np.minimum(np.searchsorted(known, top), len(known) - 1)
-                at = np.where(known[at] == top, at, len(known))
-                # A gram the profile lacks costs its whole length, whatever the gram's rank.
-                theirs = place[at]
-                cost = np.where(theirs == profile_size, profile_size, np.abs(theirs - np.arange(len(top))[:, None])).sum(axis=0)
+                cost = known.distances(top)
                 best = int(cost.argmin())
-                out.append((langs[best], float(1 - cost[best] / (len(top) * profile_size))))
+                out.append((known.langs[best], max(0.0, float(1 - cost[best] / (len(top) * known.size)))))
             yield pd.DataFrame(out, columns=["lang", "score"])
 
     return judge(F.lower(text))
@@ -129,10 +145,11 @@ def held_out(id_col: Column, folds: int, fold: int) -> Column:
     return F.coalesce(F.crc32(id_col.cast("string").cast("binary")) % folds == fold, F.lit(False))
 
 
-def identify_languages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", sample_docs: int = 2000, max_languages: int = 200, profile_size: int = 400, doc_grams: int = 300, folds: int = 5, fold: int = 0) -> DataFrame:
+def identify_languages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", sample_docs: int = 2000, profile_size: int = 400, doc_grams: int = 300, folds: int = 5, fold: int = 0) -> DataFrame:
     """One row per input row: id, held_out, lang_pred, score. Learns from rows with a label that aren't held out."""
     d = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.col(lang_col).alias("lang"))
     out = held_out(F.col("id"), folds, fold)
-    profiles = learn_profiles(d.where(~out & F.col("id").isNotNull() & F.col("lang").isNotNull() & F.col("text").isNotNull()), sample_docs, max_languages, profile_size)
-    judged = d.select("id", out.alias("held_out"), identify(F.col("text"), profiles, profile_size, doc_grams).alias("j"))
+    profiles = learn_profiles(d.where(~out & F.col("id").isNotNull() & F.col("lang").isNotNull() & F.col("text").isNotNull()), sample_docs, profile_size)
+    block = docs.sparkSession.sparkContext.broadcast((profiles, profile_size))
+    judged = d.select("id", out.alias("held_out"), identify(F.col("text"), block, doc_grams).alias("j"))
     return judged.select(F.col("id").alias(id_col), "held_out", F.col("j.lang").alias("lang_pred"), F.col("j.score").alias("score"))
