@@ -7,9 +7,12 @@ order, and a quantile is off by at most ``accuracy`` times its value. A group sm
 of its language, and a language smaller than that the sketch of all documents; both are merged from the group sketches,
 not counted again. A document is kept if it passes the base rules and no measure is above its fence.
 
+Rows are measured once and written with their measures; a verdict then needs the fences of the row's group only, which
+are broadcast where they are few, so no text is moved.
+
 Defined cases: a null or blank text has no words, so its base rules fail; null languages and sources are groups of
-their own; repeated rows each count and are each returned; an empty table gives an empty result; other columns are not
-read by the measures, and ``filter_quality`` passes them through.
+their own; repeated rows each count and are each judged and returned; an empty table gives an empty result; other
+columns are not read by the measures, and ``filter_quality`` passes them through, whatever their names.
 """
 
 from __future__ import annotations
@@ -24,6 +27,8 @@ SPACE = r"[\x20\x09-\x0D]+"
 SYMBOLS = "#*$%&|<>"
 #: measure: slack below which a fence is never set
 SLACK = {"symbol_ratio": 0.02, "dup_line_ratio": 0.4, "repeat_ratio": 0.3, "upper_ratio": 0.15, "bang_ratio": 0.1}
+#: Fences of so many groups are broadcast at most; those of more are joined by shuffle, dealt over SALTS.
+BROADCAST_GROUPS, SALTS = 100_000, 64
 #: Smallest value that a bin tells from zero.
 TINY = 1e-4
 
@@ -44,37 +49,61 @@ def _covered(starts: Column) -> Column:
     return F.aggregate(step, F.lit(0).cast("long"), lambda a, x: a + x)
 
 
-def measure(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", source_col: str = "source") -> DataFrame:
-    """id, lang, source, the counts and the ratio measures of every document, over its whole text."""
-    text = F.coalesce(F.col(text_col), F.lit(""))
-    base = docs.select(F.col(id_col).alias("id"), F.xxhash64(text_col).alias("th"), F.col(lang_col).alias("lang"), F.col(source_col).alias("source"), text.alias("t"))
-    base = base.withColumn("w", words_of(F.col("t"))).withColumn("lines", F.filter(F.split("t", "\n"), lambda x: x.rlike(r"[^\x20\x09-\x0D]")))
-    n = F.size("w")
-    # Each 3-word window becomes one long: its hash above, its position in the low bits. After a sort equal windows are
-    # neighbours, and neighbours with equal hashes are compared word by word.
-    bits = F.length(F.bin(n.cast("long")))
-    low = F.call_function("shiftleft", F.lit(1).cast("long"), F.col("bits")) - 1
-    at = lambda i: F.get(F.col("w"), i)
-    tagged = F.when(n >= 3, F.transform(F.sequence(F.lit(0), F.greatest(n - 3, F.lit(0))), lambda i: F.call_function("shiftleft", F.xxhash64(at(i), at(i + 1), at(i + 2)), F.col("bits")).bitwiseOR(i.cast("long"))))
-    base = base.withColumn("bits", bits).withColumn("s", F.sort_array(tagged))
+def window_hash(a: Column, b: Column, c: Column) -> Column:
+    return F.xxhash64(a, b, c)
+
 
-    def same(a: Column, b: Column) -> Column:
-        p, q = a.bitwiseAND(low).cast("int"), b.bitwiseAND(low).cast("int")
-        return (F.call_function("shiftright", a, F.col("bits")) == F.call_function("shiftright", b, F.col("bits"))) & (at(p) == at(q)) & (at(p + 1) == at(q + 1)) & (at(p + 2) == at(q + 2))
+def repeated_windows(docs: DataFrame) -> DataFrame:
+    """``docs`` (with w, the words) with starts: the sorted positions of 3-word windows that occur twice or more.
 
-    no = F.lit(False)
-    twice = F.filter("s", lambda x, k: F.coalesce(same(x, F.get(F.col("s"), k - 1)), no) | F.coalesce(same(x, F.get(F.col("s"), k + 1)), no))
-    base = base.withColumn("starts", F.sort_array(F.transform(twice, lambda x: x.bitwiseAND(low))))
+    Each window becomes one long: its hash above, its position in the low bits. After a sort equal windows are
+    neighbours, and neighbours with equal hashes are compared word by word. Where two different windows share a hash,
+    they could stand between equal ones, so the windows of that text are sorted by their words instead."""
+    n, at = F.size("w"), lambda i: F.get(F.col("w"), i)
+    low = F.call_function("shiftleft", F.lit(1).cast("long"), F.col("bits")) - 1
+    tag = lambda i: F.call_function("shiftleft", window_hash(at(i), at(i + 1), at(i + 2)), F.col("bits")).bitwiseOR(i.cast("long"))
+    firsts = F.sequence(F.lit(0), F.greatest(n - 3, F.lit(0)))
+    place, top = lambda x: x.bitwiseAND(low).cast("int"), lambda x: F.call_function("shiftright", x, F.col("bits"))
+
+    def equal(p: Column, q: Column) -> Column:
+        return (at(p) == at(q)) & (at(p + 1) == at(q + 1)) & (at(p + 2) == at(q + 2))
+
+    def to_next(x: Column, k: Column) -> Column:
+        """0 if the next window's hash differs, 1 if the next is equal, 2 if only its hash is."""
+        y = F.get(F.col("s"), k + 1)
+        return F.when(y.isNull() | (top(x) != top(y)), 0).when(equal(place(x), place(y)), 1).otherwise(2)
+
+    def of_pair(codes: str):
+        return lambda _, k: (F.get(F.col(codes), k) == 1) | (F.coalesce(F.get(F.col(codes), k - 1), F.lit(0)) == 1)
+
+    docs = docs.withColumn("bits", F.length(F.bin(n.cast("long")))).withColumn("s", F.sort_array(F.when(n >= 3, F.transform(firsts, tag))))
+    docs = docs.withColumn("next", F.transform("s", to_next))
+    fast = F.transform(F.filter("s", of_pair("next")), lambda x: x.bitwiseAND(low))
+    # The slow order is made where it is needed only.
+    by_words = F.sort_array(F.transform(firsts, lambda i: F.struct(at(i).alias("a"), at(i + 1).alias("b"), at(i + 2).alias("c"), i.alias("i"))))
+    docs = docs.withColumn("words", F.when(F.array_contains("next", 2), F.transform(by_words, lambda x: x["i"])))
+    docs = docs.withColumn("word_next", F.transform("words", lambda p, k: F.coalesce(equal(p, F.get(F.col("words"), k + 1)), F.lit(False)).cast("int")))
+    slow = F.transform(F.filter("words", of_pair("word_next")), lambda p: p.cast("long"))
+    return docs.withColumn("starts", F.sort_array(F.when(F.col("words").isNull(), fast).otherwise(slow)))
+
+
+def measure(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", source_col: str = "source", carry: list[Column] | None = None) -> DataFrame:
+    """carry..., lang, source, the counts and the ratio measures of every document, over its whole text."""
+    kept = [c.alias(f"kept_{k}") for k, c in enumerate(carry or [])]
+    names = [f"kept_{k}" for k in range(len(kept))]
+    base = docs.select(*kept, F.col(lang_col).alias("lang"), F.col(source_col).alias("source"), F.coalesce(F.col(text_col), F.lit("")).alias("t"))
+    base = base.withColumn("w", words_of(F.col("t"))).withColumn("lines", F.filter(F.split("t", "\n"), lambda x: x.rlike(r"[^\x20\x09-\x0D]")))
+    base, n = repeated_windows(base), F.size("w")
     letters = F.length(F.regexp_replace("t", r"[^\p{L}]+", ""))
     upper = F.length(F.regexp_replace("t", r"[^\p{Lu}]+", ""))
     ratio = lambda a, b: F.when(b > 0, a / b).otherwise(0.0)
     counts = base.select(
-        "id", "th", "lang", "source", n.cast("long").alias("n_words"), F.length(F.array_join("w", "")).cast("long").alias("word_chars"),
+        *names, "lang", "source", n.cast("long").alias("n_words"), F.length(F.array_join("w", "")).cast("long").alias("word_chars"),
         _count_chars(F.col("t"), SYMBOLS).cast("long").alias("n_symbols"), F.size("lines").cast("long").alias("n_lines"), (F.size("lines") - F.size(F.array_distinct("lines"))).cast("long").alias("n_dup_lines"),
         F.coalesce(_covered(F.col("starts")), F.lit(0)).cast("long").alias("n_repeat_words"), _count_chars(F.col("t"), "!").cast("long").alias("n_bangs"), letters.alias("letters"), upper.alias("upper"),
     )
     return counts.select(
-        "id", "th", "lang", "source", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words",
+        *names, "lang", "source", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words",
         ((F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))).alias("base_failed"),
         ratio(F.col("n_symbols"), F.col("word_chars")).alias("symbol_ratio"), ratio(F.col("n_dup_lines"), F.col("n_lines")).alias("dup_line_ratio"),
         ratio(F.col("n_repeat_words"), F.col("n_words")).alias("repeat_ratio"), ratio(F.col("upper"), F.col("letters")).alias("upper_ratio"), ratio(F.col("n_bangs"), F.col("n_words")).alias("bang_ratio"),
@@ -104,14 +133,14 @@ def fences(sketches: DataFrame, measures: list[str], accuracy: float, reach: flo
     return quart.groupBy(*by).agg(F.max("rows").alias("rows"), *[F.max(F.when(F.col("measure") == m, F.col("fence"))).alias(f"fence_{m}") for m in measures])
 
 
-def judge(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", source_col: str = "source", accuracy: float = 0.01, reach: float = 3.0, min_group: int = 200, salts: int = 64, slack: dict[str, float] | None = None) -> DataFrame:
-    """One row per document: id, th (hash of the text), the counts, base_failed, kept, the measures."""
+def with_verdict(docs: DataFrame, carry: list[Column], text_col: str = "text", lang_col: str = "lang", source_col: str = "source", accuracy: float = 0.01, reach: float = 3.0, min_group: int = 200, slack: dict[str, float] | None = None) -> DataFrame:
+    """kept_0, kept_1, ... (the ``carry`` columns), the counts, base_failed, kept and the measures of every row."""
     slack = slack or SLACK
     measures = list(slack)
-    measured = materialize(measure(docs, id_col, text_col, lang_col, source_col), "quality")
     # Null groups get keys of their own, so that the joins below are plain equi-joins.
     key = lambda c: F.when(F.col(c).isNull(), F.lit("n")).otherwise(F.concat(F.lit("s"), F.col(c).cast("string")))
-    measured = measured.withColumn("lang", key("lang")).withColumn("source", key("source"))
+    measured = measure(docs, text_col, lang_col, source_col, carry).withColumns({"lang": key("lang"), "source": key("source")})
+    measured = materialize(measured, "quality")
     sketches = materialize(sketch(measured, measures, accuracy), "quality-sketch")
     names = [f"fence_{m}" for m in measures]
     group = fences(sketches, measures, accuracy, reach, ["lang", "source"], slack)
@@ -119,16 +148,24 @@ def judge(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_
     whole = fences(sketches.withColumn("all", F.lit(0)), measures, accuracy, reach, ["all"], slack).select("all", F.struct(*names).alias("of_all"))
     limits = group.withColumn("all", F.lit(0)).join(lang, "lang").join(whole, "all")
     chosen = F.when(F.col("rows") >= min_group, F.struct(*names)).when(F.col("lang_rows") >= min_group, F.col("of_lang")).otherwise(F.col("of_all"))
-    limits = limits.select("lang", "source", chosen.alias("limit"))
+    limits = materialize(limits.select("lang", "source", chosen.alias("limit")), "quality-limits")
+    if limits.count() <= BROADCAST_GROUPS:
+        judged = measured.join(F.broadcast(limits), ["lang", "source"], "left")
+    else:
+        # A group may hold a third of all rows: it is dealt over salts, and the limits, one row per group, go to each.
+        salted = limits.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+        judged = measured.withColumn("salt", F.floor(F.rand(7) * SALTS).cast("int")).join(salted, ["lang", "source", "salt"], "left")
     above = reduce(lambda a, m: a | (F.col(m) > F.col(f"limit.fence_{m}")), measures, F.lit(False))
-    # A group may hold a third of all rows: it is dealt over salts, and the limits, one row per group, go to each.
-    salted = limits.withColumn("salt", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(salts - 1).cast("long"))))
-    judged = measured.withColumn("salt", F.pmod(F.xxhash64("id"), F.lit(salts))).join(salted, ["lang", "source", "salt"], "left")
-    return judged.select(F.col("id").alias(id_col), "th", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", (~F.col("base_failed") & ~F.coalesce(above, F.lit(False))).alias("kept"), *measures)
+    return judged.withColumn("kept", ~F.col("base_failed") & ~F.coalesce(above, F.lit(False)))
+
+
+def judge(docs: DataFrame, id_col: str = "doc_id", **options) -> DataFrame:
+    """One row per document: id, the counts, base_failed, kept, the measures."""
+    out = with_verdict(docs, [F.col(id_col)], **options)
+    counts = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept"]
+    return out.select(F.col("kept_0").alias(id_col), *counts, *(options.get("slack") or SLACK))
 
 
-def filter_quality(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
-    """The documents that are kept, columns unchanged. Rows are told apart by id and text; a null id is an id."""
-    key = lambda c: F.coalesce(c.cast("string"), F.lit("null"))
-    kept = judge(docs, id_col, text_col, **options).where("kept").select(key(F.col(id_col)).alias("__id"), F.col("th").alias("__th")).distinct()
-    return docs.join(kept, (key(docs[id_col]) == F.col("__id")) & (F.xxhash64(docs[text_col]) == F.col("__th")), "left_semi")
+def filter_quality(docs: DataFrame, **options) -> DataFrame:
+    """The documents that are kept, columns unchanged. Each row has a verdict of its own."""
+    return with_verdict(docs, [F.struct("*")], **options).where("kept").select("kept_0.*")

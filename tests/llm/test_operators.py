@@ -159,8 +159,9 @@ def test_language_pieces():
         langid.PIECE = old
 
 
-def test_quality_rules(spark, odd, none):
-    got = quality_rules.judge(odd, min_group=4, salts=3).toPandas()
+def test_quality_rules(spark, odd, none, monkeypatch):
+    plain = sorted(map(str, quality_rules.judge(odd, min_group=4).collect()))
+    got = quality_rules.judge(odd, min_group=4).toPandas()
     want = [B.quality_base(r.text) for r in odd.collect()]
     cols = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed"]
     assert sorted(map(tuple, got[cols].values.tolist())) == sorted(want)
@@ -168,6 +169,17 @@ def test_quality_rules(spark, odd, none):
     kept = quality_rules.filter_quality(odd, min_group=4)
     assert kept.columns == odd.columns and kept.count() == got["kept"].sum()
     assert quality_rules.judge(none).count() == 0
+    # The other ways of the joins and of the windows give the same.
+    monkeypatch.setattr(quality_rules, "BROADCAST_GROUPS", 0)
+    monkeypatch.setattr(quality_rules, "window_hash", lambda a, b, c: F.pmod(F.xxhash64(a, b, c), F.lit(5)))
+    assert sorted(map(str, quality_rules.judge(odd, min_group=4).collect())) == plain
+
+
+def test_rows_of_one_text_have_their_own_verdict(spark):
+    long = " ".join(f"w{k}" for k in range(60))
+    rows = [(1, long + "!" * 40, "en", "loud"), (1, long + "!" * 40, "en", "calm"), *[(k, long + "!" * 40, "en", "loud") for k in range(2, 9)], *[(k, long, "en", "calm") for k in range(10, 20)]]
+    kept = quality_rules.filter_quality(spark.createDataFrame(rows, "doc_id long, text string, lang string, source string"), min_group=5)
+    assert {(r.doc_id, r.source) for r in kept.collect() if r.doc_id == 1} == {(1, "loud")}
 
 
 def test_quality_sketches_merge(spark):
