@@ -112,7 +112,7 @@ def op7_warc_fixity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 OP7_SQL = r"""
 WITH r AS (SELECT page_id, page_id // 1024 AS file, left(md5(page_id::VARCHAR), 2) AS fate,
-    strlen('WARC/1.0..WARC-Type: response..WARC-Record-ID: <urn:page:>..WARC-Target-URI: ..Content-Length: ......') + strlen(page_id::VARCHAR) + strlen(url) + strlen(strlen(html)::VARCHAR) + strlen(html) + 2 AS length FROM pages),
+    strlen('WARC/1.0..WARC-Type: resource..WARC-Record-ID: <urn:page:>..WARC-Date: 2000-01-01T00:00:00Z..WARC-Target-URI: ..Content-Type: text/html..Content-Length: ......') + strlen(page_id::VARCHAR) + strlen(url) + strlen(strlen(html)::VARCHAR) + strlen(html) + 2 AS length FROM pages),
 o AS (SELECT *, coalesce(sum(length) OVER (PARTITION BY file ORDER BY page_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS off FROM r)
 SELECT page_id, file, off::BIGINT AS "offset", length::BIGINT AS length, CASE fate WHEN '00' THEN 'altered' ELSE 'missing' END AS status FROM o WHERE fate IN ('00', '01')
 """

@@ -203,6 +203,8 @@ def test_rule_ensemble(spark, odd, none):
     one = spark.createDataFrame([(k, 1) for k in range(40)], "doc_id long, quality int")
     assert all(r.score > 0.5 for r in rule_ensemble.score_quality(odd, one).collect())
     assert rule_ensemble.score_quality(none, labels).count() == 0
+    strange = spark.createDataFrame([(k, [0, 1, 2, -1, None][k % 5]) for k in range(60)], "doc_id long, quality int")
+    assert rule_ensemble.score_quality(odd, strange).count() == odd.count()
     assert rule_ensemble.score_quality(odd, one).count() == odd.count()
 
 
@@ -220,7 +222,7 @@ def test_fixity(spark, tmp_path):
     two = [(i, u, "!" if change.get(i) == "altered" and h != "1" else h) for i, u, h in rows if change.get(i) != "missing"] + [(11, "u", "y")]
     got = fixity.audit(one, spark.createDataFrame(two, "page_id long, url string, html string"), 64, 4).collect()
     assert {r.page_id: r.status for r in got} == change
-    length = lambda i, u, h: len(f"WARC/1.0\r\nWARC-Type: response\r\nWARC-Record-ID: <urn:page:{i}>\r\nWARC-Target-URI: {u or ''}\r\nContent-Length: {len(h or '')}\r\n\r\n{h or ''}\r\n\r\n")
+    length = lambda i, u, h: len(f"WARC/1.0\r\nWARC-Type: resource\r\nWARC-Record-ID: <urn:page:{i}>\r\nWARC-Date: 2000-01-01T00:00:00Z\r\nWARC-Target-URI: {u or ''}\r\nContent-Type: text/html\r\nContent-Length: {len(h or '')}\r\n\r\n{h or ''}\r\n\r\n")
     offset = {i: sum(length(*r) for r in rows if r[0] is not None and r[0] // 64 == i // 64 and r[0] < i) for i in (10, 64, 398)}
     assert {r.page_id: r.offset for r in got if r.page_id in offset} == offset
     assert fixity.audit(one, one.where("false"), 64, 4).where("status = 'missing'").count() == len(rows) - 1
@@ -228,6 +230,28 @@ def test_fixity(spark, tmp_path):
     (tmp_path / "x.warc").write_bytes(b"".join(bytes(r.r) for r in files))
     back = fixity.read_warc(spark.read.format("binaryFile").load(f"file://{tmp_path}/x.warc")).orderBy("offset").collect()
     assert [(r.uri, bytes(r.payload).decode()) for r in back] == [(u, h) for i, u, h in rows if i is not None and i < 20]
+    # Members of a gzip file; then records that end a file.
+    import gzip
+
+    zipped = [gzip.compress(bytes(r.r)) for r in files]
+    (tmp_path / "y.warc.gz").write_bytes(b"".join(zipped) + zipped[0][:30])
+    read = lambda name: fixity.read_warc(spark.read.format("binaryFile").load(f"file://{tmp_path}/{name}")).orderBy("offset").collect()
+    assert [(r.uri, r.payload, r.length) for r in read("y.warc.gz")] == [(b.uri, b.payload, len(z)) for b, z in zip(back, zipped)]
+    (tmp_path / "z.warc").write_bytes(b"WARC/1.0\r\ncontent-LENGTH:  2\r\nwarc-target-uri: u\r\n\r\nab\r\n\r\nWARC/1.0\r\nContent-Length: many\r\n\r\nab\r\n\r\n")
+    assert [(r.uri, bytes(r.payload)) for r in read("z.warc")] == [("u", b"ab")]
+
+
+def test_fixity_of_odd_ids(spark):
+    big = (1 << 62) + 3
+    rows = [(-5, "a\r\nWARC-Type: x", "p"), (-1, "b", "p"), (big, "c", "p"), (big + 1, "d", "p")]
+    one = spark.createDataFrame(rows, "page_id long, url string, html string")
+    two = one.withColumn("html", F.when(F.col("page_id").isin(-5, big + 1), "q").otherwise(F.col("html")))
+    got = {r.page_id: (r.file, r.status) for r in fixity.audit(one, two, 64, 4).collect()}
+    assert got == {-5: (-1, "altered"), big + 1: ((big + 1) // 64, "altered")}
+    record = bytes(one.where("page_id = -5").select(fixity.warc_record(F.col("page_id"), F.col("url"), F.col("html")).alias("r")).first().r)
+    assert b"a%0D%0AWARC-Type" in record
+    with pytest.raises(TypeError):
+        fixity.audit(one.withColumn("page_id", F.lit("x")), two)
 
 
 def test_url_filters(spark):
@@ -238,7 +262,7 @@ def test_url_filters(spark):
     ]
     pages = spark.createDataFrame([r[:2] for r in rows], "page_id long, url string").withColumns({"host": F.lit("clash"), "key": F.lit("clash"), "word": F.lit("clash")})
     listed = spark.createDataFrame([("list.org/p",), ("list.org/p",), (None,)], "canonical_url string")
-    for blocks in (1, 1 << 16):
+    for blocks in (1, None):
         got = urls.filter_urls(pages, rules, listed, blocks=blocks).collect()
         assert sorted((r.page_id, r.verdict, r.rule or "") for r in got) == sorted((r[0], r[2], r[3] or "") for r in rows)
     assert {r.verdict for r in urls.filter_urls(pages, [], listed.where("false")).collect()} == {"allow"}
