@@ -7,6 +7,8 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from assetloom.common import materialize
+
 
 #: The most rows of a filter: 8 MB of bits, about 40 MB as a broadcast table.
 MOST_BLOCKS = 1 << 20
@@ -39,3 +41,16 @@ def possible_rows(df: DataFrame, key: str, listed: DataFrame, listed_key: str, b
     words = F.broadcast(bloom_filter(listed, listed_key, blocks, bits))
     mask = mask_of(F.col(key), bits)
     return df.join(words, block_of(F.col(key), blocks) == F.col("word_block")).where(F.col("word").bitwiseAND(mask) == mask).select(*df.columns)
+
+
+def without_keys(df: DataFrame, key: str, gone: DataFrame, bits: int = 5) -> DataFrame:
+    """``df`` without the rows whose key is in ``gone`` (one column of that name). Only rows that may be gone are moved."""
+    gone = materialize(gone.where(F.col(key).isNotNull()).distinct(), "gone")
+    n = gone.count()
+    if not n:
+        return df
+    blocks = blocks_for(n)
+    words, mask = F.broadcast(bloom_filter(gone, key, blocks, bits)), mask_of(F.col(key), bits)
+    marked = df.join(words, block_of(F.col(key), blocks) == F.col("word_block"), "left").withColumn("may", F.coalesce(F.col("word").bitwiseAND(mask) == mask, F.lit(False)))
+    stay, asked = (marked.where(F.col("may") == may).select(*df.columns) for may in (False, True))
+    return stay.unionByName(asked.join(gone, key, "left_anti"))

@@ -2,21 +2,27 @@
 
 1. Each text becomes its set of hashed shingles. Equal sets are one class, represented by its smallest id.
 2. Two sets that reach the threshold share a shingle among the first n - ceil(t * n) + 1 of each, in any order that is
-   the same for all sets. Shingles of rare words come first in that order (estimated on a bounded sample of documents;
-   it only affects speed). Representatives with a common shingle there meet in the group of the smallest of them.
-3. A group's members first meet by their signatures only. A signature tree holds a bitmap and the size of each set in
-   its leaves, and above them the OR of their bitmaps, their size range and their largest count of colliding shingles.
-   The tree is traversed against itself; a pair of nodes is dropped when sizes are too far apart or when the bits in
-   common allow too little overlap. A member that no other could match leaves the group.
-4. The rest are dealt into blocks of bounded size, the pivot into each, with their whole texts. The same traversal,
+   the same for all sets. Shingles of rare words come first in that order, and common shingles last (both estimated on a
+   sample of documents; it only affects speed). Representatives with a common shingle there meet in the group of the
+   smallest of them, the pivot. Common are shingles that three sampled documents hold; the sample is a 4,096th of the
+   corpus at least, so a shingle that over some ten thousand documents hold brings together only documents of which
+   nearly every shingle is common.
+3. A group's members first meet by their signatures only, dealt into blocks of bounded size, the pivot into each. A
+   signature tree holds a bitmap and the size of each set in its leaves, and above them the OR of their bitmaps, their
+   size range and their largest count of colliding shingles. The tree is traversed against itself; a pair of nodes is
+   dropped when sizes are too far apart or when the bits in common allow too little overlap. In groups of several blocks,
+   members that matched none in their own are traversed against the other blocks. A member that no other could match
+   leaves the group.
+4. The rest are dealt into blocks anew, bounded by documents and by shingles, with their whole texts. The same traversal,
    which also drops pairs of nodes that are linked already, ends in exact comparisons of whole sets.
 5. A document linked to the pivot needs no further look: blocks share the pivot. Documents that are not, in groups of
    several blocks, are traversed against every block of their group.
 6. Components of all links, by Spark.
 
 Defined cases: null or blank texts have no shingles and form a component of their own; a null id gets a null component
-and links nothing; rows with one id count as one document; repeated texts are one class; an empty table gives an empty
-result; other columns are not read.
+and links nothing; other ids are whole numbers; rows with one id are one document: their texts have sets of their own,
+and all are in one component; repeated texts are one class; an empty table gives an empty result; other columns are not
+read.
 """
 
 from __future__ import annotations
@@ -26,17 +32,20 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import xxhash
-from pyspark.sql import DataFrame, Window as W, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from assetloom.common import materialize
-from assetloom.llm.bloom import possible_rows
+from assetloom.llm.bloom import blocks_for, possible_rows, without_keys
 from assetloom.llm.distinct import distinct_rows
 from assetloom.llm.hashing import shingle_hashes, utf8, word_hashes
+from assetloom.llm.rows import integer_id, packed, sample_of, unpacked
 from assetloom.operators.components import connected_components
 
-#: Cells of the fixed tables that order shingles.
+#: Cells of the tables that order shingles: of words, and of common shingles at least and at most (32 MB of bits).
 CELLS = 1 << 16
-HOT_CELLS = 1 << 22
+HOT_CELLS = (1 << 22, 1 << 28)
+#: The least share of documents that is sampled for the order.
+LEAST_SHARE = 1 / 4096
 #: Bits of a signature; sets above WIDE_FROM shingles have a second one.
 BITS, WIDE_BITS, WIDE_FROM = 2048, 8192, 3000
 #: Sets in a leaf of the tree, children of a node above.
@@ -58,17 +67,26 @@ def _sample_counts(size: int):
 
 
 def shingle_order(texts: DataFrame, size: int, sample_docs: int) -> tuple[np.ndarray, np.ndarray]:
-    """(weight of a word by cell, hot flag of a shingle by cell), both of fixed size, from about ``sample_docs``
-    documents. A shingle is hot if three of them hold it."""
-    share = min(1.0, sample_docs / max(1, texts.count()))
-    sample = texts.where(F.pmod(F.xxhash64("id"), F.lit(1 << 20)) < int(share * (1 << 20))).select("text")
-    counts = sample.mapInPandas(_sample_counts(size), "kind int, cell long, n long").groupBy("kind", "cell").agg(F.sum("n").alias("n"))
-    cell = F.when(F.col("kind") == 0, F.col("cell")).otherwise(F.col("cell").bitwiseAND(F.lit(HOT_CELLS - 1)))
-    found = counts.where("kind = 0 or n >= 3").select("kind", cell.alias("cell"), "n").toPandas()
-    words, own, hot = np.zeros(CELLS), found[found["kind"] == 0], np.zeros(HOT_CELLS, bool)
+    """(weight of a word by cell, bits of the common shingles by cell) from about ``sample_docs`` documents, or a 4,096th
+    of all if that is more. A shingle is common if three of them hold it."""
+    share = max(sample_docs / max(1, texts.count()), LEAST_SHARE)
+    counts = texts.where(sample_of(F.col("id"), share)).select("text").mapInPandas(_sample_counts(size), "kind int, cell long, n long")
+    counts = materialize(counts.groupBy("kind", "cell").agg(F.sum("n").alias("n")).where("kind = 0 or n >= 3"), "jac-order")
+    words, own = np.zeros(CELLS), counts.where("kind = 0").toPandas()
     words[own["cell"].to_numpy()] = own["n"].to_numpy()
-    hot[found.loc[found["kind"] == 1, "cell"].to_numpy()] = True
-    return np.minimum(255, np.log2(words + 1) * 16).astype(np.uint16), hot
+    hot = counts.where("kind = 1")
+    cells = min(HOT_CELLS[1], max(HOT_CELLS[0], 1 << (64 * hot.count()).bit_length()))
+    cell = F.col("cell").bitwiseAND(F.lit(cells - 1))
+    flags = hot.groupBy(F.shiftright(cell, 3).alias("at")).agg(F.bit_or(F.call_function("shiftleft", F.lit(1), cell.bitwiseAND(F.lit(7)).cast("int"))).alias("flag")).toPandas()
+    bits = np.zeros(cells >> 3, np.uint8)
+    bits[flags["at"].to_numpy(np.int64)] = flags["flag"].to_numpy(np.uint8)
+    return np.minimum(255, np.log2(words + 1) * 16).astype(np.uint16), bits
+
+
+def _is_common(shingles: np.ndarray, bits: np.ndarray) -> np.ndarray:
+    """1 for shingles whose cell is set, else 0."""
+    cell = (shingles & np.uint64(8 * len(bits) - 1)).astype(np.int64)
+    return (bits[cell >> 3] >> (cell & 7).astype(np.uint8)) & 1
 
 
 def _describe(size: int, percent: int, weight_b, hot_b):
@@ -90,12 +108,12 @@ def _describe(size: int, percent: int, weight_b, hot_b):
                 if k < len(own):
                     span = min(size, b - a)
                     total = np.cumsum(np.concatenate(([np.uint64(0)], cost[a:b])))
-                    rank = np.minimum((total[span:] - total[:-span])[first], np.uint64(2047)) | (hot[own & np.uint64(HOT_CELLS - 1)].astype(np.uint64) << np.uint64(11))
+                    rank = np.minimum((total[span:] - total[:-span])[first], np.uint64(2047)) | (_is_common(own, hot).astype(np.uint64) << np.uint64(11))
                     prefix_of = prefix_of[np.argpartition((rank << np.uint64(52)) | (own >> np.uint64(12)), k - 1)[:k]]
                 prefix.append(prefix_of)
                 bits.append(signature(own, BITS).tobytes())
                 wide.append(signature(own, WIDE_BITS).tobytes() if len(own) >= WIDE_FROM else None)
-            yield pd.DataFrame({"id": pdf["id"], "n": n, "d1": d1, "d2": d2, "prefix": prefix, "bits": bits, "wide": wide})
+            yield pd.DataFrame({"id": pdf["id"], "known": pdf["known"], "n": n, "d1": d1, "d2": d2, "prefix": prefix, "bits": bits, "wide": wide})
 
     return of
 
@@ -218,18 +236,41 @@ def _sets_of(texts, size: int) -> list[np.ndarray]:
     return [np.unique(shingle_hashes(words[a:b], size)) for a, b in zip(at, at[1:])]
 
 
+def _signed(block: pd.DataFrame) -> tuple[pd.DataFrame, SignatureTree]:
+    """Rows of a block by size, and their tree."""
+    block = block.sort_values("n", kind="stable")
+    bits = np.frombuffer(b"".join(block["bits"]), np.uint64).reshape(len(block), -1)
+    return block, SignatureTree(block["n"].to_numpy(), bits, [None if w is None else np.frombuffer(w, np.uint64) for w in block["wide"]])
+
+
 def _screen(percent: int):
     def of(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        """The members of each group that some other member could match, by signatures."""
-        for block in _by_block(batches, ["pivot"]):
-            block = block.sort_values("n", kind="stable")
-            bits = np.frombuffer(b"".join(block["bits"]), np.uint64).reshape(len(block), -1)
-            tree = SignatureTree(block["n"].to_numpy(), bits, [None if w is None else np.frombuffer(w, np.uint64) for w in block["wide"]])
+        """Members that some other of their block could match, by signatures (kind 0). In groups of several blocks also the
+        others (kind 1)."""
+        for block in _by_block(batches, ["pivot", "block"]):
+            block, tree = _signed(block)
             hit = np.zeros(len(block), bool)
             for i, j in dual_traversal(tree, tree, percent, lambda x, y: hit[x].all() and hit[y].all()):
                 if not (hit[i] and hit[j]) and _close(tree, i, tree, j, percent):
                     hit[i] = hit[j] = True
-            yield block.loc[hit, ["id", "pivot"]]
+            told = hit | (block["n_blocks"].to_numpy() > 1)
+            yield pd.DataFrame({"kind": np.where(hit, 0, 1)[told], "id": block["id"][told], "n": block["n"][told], "pivot": block["pivot"][told]})
+
+    return of
+
+
+def _screen_rest(percent: int):
+    def of(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        """The ``rest`` of a group that some member of one of its blocks could match, by signatures."""
+        for block in _by_block(batches, ["pivot", "block", "chunk"]):
+            if not 0 < block["rest"].sum() < len(block):
+                continue
+            (base, one), (rest, two) = _signed(block[~block["rest"]]), _signed(block[block["rest"]])
+            hit, a, b = np.zeros(len(rest), bool), base["id"].to_numpy(), rest["id"].to_numpy()
+            for i, j in dual_traversal(one, two, percent, lambda x, y: hit[y].all()):
+                if not hit[j] and a[i] != b[j] and _close(one, i, two, j, percent):
+                    hit[j] = True
+            yield rest.loc[hit, ["id", "n", "pivot"]]
 
     return of
 
@@ -271,63 +312,100 @@ def _join_rest(size: int, percent: int):
     return of
 
 
-def jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 3, percent: int = 90, sample_docs: int = 4_000, block_docs: int = 256, screen_docs: int = 4096) -> DataFrame:
-    """One row per input row: id, n_shingles, representative (smallest id with the same set), component_id."""
-    spark = docs.sparkSession
-    texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
-    weight, hot = (spark.sparkContext.broadcast(x) for x in shingle_order(texts, shingle, sample_docs))
-    described = materialize(texts.mapInPandas(_describe(shingle, percent, weight, hot), "id long, n long, d1 long, d2 long, prefix array<long>, bits binary, wide binary"), "jac-sets")
-    # Empty sets equal nothing: each gets a digest of its own.
-    keyed = described.select("id", "n", F.when(F.col("n") > 0, F.col("d1")).otherwise(F.xxhash64("id")).alias("d1"), F.when(F.col("n") > 0, F.col("d2")).otherwise(F.col("id")).alias("d2"))
-    classes = materialize(keyed.where("n > 0 and id is not null").groupBy("d1", "d2").agg(F.min("id").alias("rep")), "jac-classes")
+def _deal(members: DataFrame, blocks: Column) -> tuple[DataFrame, DataFrame]:
+    """((pivot, n_blocks), (id, pivot, block, n_blocks)): members dealt over the blocks of their group, the pivot in each."""
+    sizes = members.groupBy("pivot").agg(F.ceil(blocks).cast("long").alias("n_blocks"))
+    others = members.where("id <> pivot").select("id", "pivot").distinct().join(sizes, "pivot")
+    others = others.select("id", "pivot", F.pmod(F.xxhash64("id"), "n_blocks").alias("block"), "n_blocks")
+    every = F.explode(F.sequence(F.lit(0).cast("long"), F.col("n_blocks") - 1)).alias("block")
+    return sizes, others.unionByName(sizes.select(F.col("pivot").alias("id"), "pivot", every, "n_blocks"))
 
-    first = described.join(classes.select(F.col("rep").alias("id")), "id", "left_semi")
-    keys = first.select("id", "n", F.explode("prefix").alias("key"))
-    shared = keys.groupBy("key").agg(F.min("id").alias("pivot"), F.max("id").alias("last")).where("pivot < last").select("key", "pivot")
-    members = materialize(keys.join(shared, "key").select("id", "n", "pivot").distinct(), "jac-members")
-    # Groups too large for one task's memory, signatures and all, go on unscreened.
-    sized = members.join(members.groupBy("pivot").agg(F.count(F.lit(1)).alias("size")), "pivot")
-    by_size = W.partitionBy("pivot").orderBy("n", "id")
-    near = (100 * F.lag("n").over(by_size) >= percent * F.col("n")) | (100 * F.col("n") >= percent * F.lead("n").over(by_size))
-    small = sized.where(F.col("size") <= screen_docs).withColumn("near", near).where("near").select("id", "pivot")
-    signed = small.join(described.where("n > 0").select("id", "n", "bits", "wide"), "id")
-    screened = signed.repartition("pivot").sortWithinPartitions("pivot").mapInPandas(_screen(percent), "id long, pivot long")
-    members = materialize(screened.unionByName(sized.where(F.col("size") > screen_docs).select("id", "pivot")).distinct(), "jac-screened")
+
+def _against(rest: DataFrame, sizes: DataFrame, placed: DataFrame, chunk_docs: int) -> DataFrame:
+    """(id, pivot, block, chunk, rest): the ``rest`` (pivot, id) of each group in chunks, each beside every block of it."""
+    chunks = rest.groupBy("pivot").agg(F.ceil(F.count(F.lit(1)) / chunk_docs).alias("n_chunks"))
+    to = lambda n, name: F.explode(F.sequence(F.lit(0).cast("long"), F.col(n) - 1)).alias(name)
+    base = placed.join(chunks, "pivot").select("id", "pivot", "block", to("n_chunks", "chunk"), F.lit(False).alias("rest"))
+    left = rest.join(chunks, "pivot").join(sizes, "pivot").select("id", "pivot", to("n_blocks", "block"), F.pmod(F.xxhash64("id"), "n_chunks").alias("chunk"), F.lit(True).alias("rest"))
+    return base.unionByName(left)
+
+
+def _in_blocks(rows: DataFrame, key: list[str]) -> DataFrame:
+    return rows.repartition(*key).sortWithinPartitions(*key)
+
+
+def screened(members: DataFrame, signatures: DataFrame, percent: int, screen_docs: int) -> DataFrame:
+    """The members (id, n, pivot) that some other of their group could match, by signatures (id, n, bits, wide)."""
+    sizes, placed = _deal(members, F.count(F.lit(1)) / screen_docs)
+    found = _in_blocks(placed.join(signatures, "id"), ["pivot", "block"]).mapInPandas(_screen(percent), "kind int, id long, n long, pivot long")
+    found = materialize(found, "jac-screened")
+    kept, rest = found.where("kind = 0").select("id", "n", "pivot"), found.where("kind = 1").select("pivot", "id").distinct()
+    if not rest.isEmpty():
+        late = _in_blocks(_against(rest, sizes, placed, screen_docs).join(signatures, "id"), ["pivot", "block", "chunk"])
+        kept = kept.unionByName(late.mapInPandas(_screen_rest(percent), "id long, n long, pivot long"))
+    return materialize(kept.groupBy("id", "pivot").agg(F.max("n").alias("n")), "jac-kept")
+
+
+def exact_pairs(members: DataFrame, texts: DataFrame, shingle: int, percent: int, block_docs: int, block_shingles: int) -> DataFrame:
+    """(u, v): links that join the members (id, n, pivot) of each group, from the whole texts (id, text)."""
     # The pivot may have left its group; the smallest that stays takes its place.
     again = members.groupBy("pivot").agg(F.min("id").alias("least"))
-    members = members.join(again, "pivot").select("id", F.col("least").alias("pivot")).distinct()
-    sizes = members.groupBy("pivot").agg(F.ceil(F.count(F.lit(1)) / block_docs).alias("n_blocks"))
-    others = members.where("id <> pivot").join(sizes, "pivot").select("id", "pivot", F.pmod(F.xxhash64("id"), "n_blocks").alias("block"), "n_blocks")
-    pivots = sizes.select(F.col("pivot").alias("id"), "pivot", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n_blocks") - 1)).alias("block"), "n_blocks")
-    placed = others.unionByName(pivots)
+    members = members.join(again, "pivot").groupBy("id", F.col("least").alias("pivot")).agg(F.max("n").alias("n"))
+    sizes, placed = _deal(members, F.greatest(F.count(F.lit(1)) / block_docs, F.sum("n") / block_shingles))
+    sizes, placed = materialize(sizes, "jac-sizes"), materialize(placed, "jac-placed")
     # Members are few of all documents as a rule: only texts that may be theirs are moved.
-    blocks = 1 << min(20, max(10, members.count().bit_length() - 2))
-    own_texts = possible_rows(texts, "id", members, "id", blocks)
-    found = own_texts.join(placed, "id").repartition("pivot", "block").sortWithinPartitions("pivot", "block").mapInPandas(_join_block(shingle, percent), "kind int, u long, v long")
+    own_texts = possible_rows(texts, "id", placed, "id", blocks_for(placed.count()))
+    found = _in_blocks(own_texts.join(placed, "id"), ["pivot", "block"]).mapInPandas(_join_block(shingle, percent), "kind int, u long, v long")
     found = materialize(found, "jac-found")
+    links, rest = found.where("kind = 0").select("u", "v"), found.where("kind = 1").select(F.col("u").alias("pivot"), F.col("v").alias("id")).distinct()
+    if rest.isEmpty():
+        return links
+    late = _in_blocks(own_texts.join(_against(rest, sizes, placed, block_docs), "id"), ["pivot", "block", "chunk"])
+    return materialize(links.unionByName(late.mapInPandas(_join_rest(shingle, percent), "kind int, u long, v long").select("u", "v")), "jac-links")
 
-    links = found.where("kind = 0").select("u", "v")
-    rest = found.where("kind = 1").select(F.col("u").alias("pivot"), F.col("v").alias("id")).distinct()
-    if not rest.isEmpty():
-        chunks = rest.groupBy("pivot").agg(F.ceil(F.count(F.lit(1)) / block_docs).alias("n_chunks"))
-        base = others.unionByName(pivots).join(chunks, "pivot").select("id", "pivot", "block", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n_chunks") - 1)).alias("chunk"), F.lit(False).alias("rest"))
-        left = rest.join(chunks, "pivot").join(sizes, "pivot").select("id", "pivot", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n_blocks") - 1)).alias("block"), F.pmod(F.xxhash64("id"), "n_chunks").alias("chunk"), F.lit(True).alias("rest"))
-        late = own_texts.join(base.unionByName(left), "id").repartition("pivot", "block", "chunk").sortWithinPartitions("pivot", "block", "chunk").mapInPandas(_join_rest(shingle, percent), "kind int, u long, v long")
-        links = materialize(links.unionByName(late.select("u", "v")), "jac-links")
-
-    component = connected_components(links)
-    per_class = classes.join(component.withColumnRenamed("node", "rep"), "rep", "left").select("d1", "d2", "rep", F.coalesce("component", "rep").alias("component"))
-    out = keyed.join(per_class, ["d1", "d2"], "left")
+
+def jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 3, percent: int = 90, sample_docs: int = 4_000, block_docs: int = 256, block_shingles: int = 400_000, screen_docs: int = 4096) -> DataFrame:
+    """One row per input row: id, n_shingles, representative (smallest id with the same set), component_id."""
+    sc, id_ = docs.sparkSession.sparkContext, integer_id(docs, id_col)
+    texts = docs.select(F.coalesce(id_, F.lit(0)).alias("id"), id_.isNotNull().alias("known"), F.col(text_col).alias("text"))
+    weight, hot = (sc.broadcast(x) for x in shingle_order(texts.where("known"), shingle, sample_docs))
+    schema = "id long, known boolean, n long, d1 long, d2 long, prefix array<long>, bits binary, wide binary"
+    described = materialize(texts.mapInPandas(_describe(shingle, percent, weight, hot), schema), "jac-sets")
+    named, digest = described.where("known and n > 0"), ["d1", "d2"]
+    classes = materialize(named.groupBy(*digest).agg(F.min("id").alias("rep")), "jac-classes")
+
+    first = named.join(classes.select(F.col("rep").alias("id")), "id", "left_semi")
+    keys = first.select("id", "n", F.explode("prefix").alias("key"))
+    shared = keys.groupBy("key").agg(F.min("id").alias("pivot"), F.max("id").alias("last")).where("pivot < last").select("key", "pivot")
+    members = materialize(keys.join(shared, "key").groupBy("id", "pivot").agg(F.max("n").alias("n")), "jac-members")
+    signatures = possible_rows(named.select("id", "n", "bits", "wide"), "id", members, "id", blocks_for(members.count()))
+    links = exact_pairs(screened(members, signatures, percent, screen_docs), texts.where("known").select("id", "text"), shingle, percent, block_docs, block_shingles)
+
+    # An id with several sets is linked to the class of each.
+    several = described.where("known").groupBy("id").agg(F.min(F.struct(*digest)).alias("a"), F.max(F.struct(*digest)).alias("b")).where("a <> b").select("id")
+    several = materialize(several, "jac-several")
+    same_id = named.join(several, "id", "left_semi").join(classes, digest).select("id", "rep").distinct()
+    component = connected_components(links.union(same_id))
+    # Empty sets equal nothing: each gets a digest of its own.
+    own = lambda c, alone: F.when(F.col("n") > 0, F.col(c)).otherwise(alone).alias(c)
+    keyed = described.select(F.when(F.col("known"), F.col("id")).alias("id"), "n", own("d1", F.xxhash64("id")), own("d2", F.col("id")))
+    reps = classes.unionByName(several.select(F.xxhash64("id").alias("d1"), F.col("id").alias("d2"), F.col("id").alias("rep")))
+    per_class = reps.join(component.withColumnRenamed("node", "rep"), "rep", "left").select(*digest, "rep", F.coalesce("component", "rep").alias("component"))
+    out = keyed.join(per_class, digest, "left")
     return out.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.coalesce("rep", "id").alias("representative"), F.when(F.col("id").isNotNull(), F.coalesce("component", "id")).alias("component_id"))
 
 
 def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
     """One row of each component, the one with the smallest id; columns unchanged. Here a document is an id and a text: equal
     rows are reduced to one, texts under one id or a null id take part like others. Null ids are largest, equal ids go
-    by the hash of the text."""
+    by the hash of the text. Documents are told apart by a hash of 64 bits; only those that go are moved."""
     rows = distinct_rows(docs, id_col, text_col)
     key = F.xxhash64(F.col(id_col).isNull(), F.col(id_col), F.xxhash64(text_col))
-    found = jaccard_join(rows.select(key.alias("__key"), F.col(text_col).alias("text")), "__key", "text", **options).select("__key", "component_id")
-    names = rows.select(key.alias("__key"), F.struct(F.col(id_col).isNull().alias("unnamed"), F.col(id_col).alias("id"), F.xxhash64(text_col).alias("th")).alias("name"))
-    first = found.join(names, "__key").groupBy("component_id").agg(F.min_by("__key", "name").alias("__key")).select("__key")
-    return rows.withColumn("__key", key).join(first, "__key", "left_semi").select(*docs.columns)
+    found = jaccard_join(rows.select(key.alias("key"), F.col(text_col).alias("text")), "key", "text", **options).select("key", "component_id")
+    several = found.groupBy("component_id").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("component_id")
+    grouped = materialize(found.join(several, "component_id"), "jac-groups")
+    name = F.struct(F.col(id_col).isNull().alias("unnamed"), F.col(id_col).alias("id"), F.xxhash64(text_col).alias("th"))
+    names = grouped.join(rows.select(key.alias("key"), name.alias("name")), "key")
+    first = names.groupBy("component_id").agg(F.min_by("key", "name").alias("first"))
+    gone = grouped.join(first, "component_id").where("key <> first").select("key")
+    return unpacked(without_keys(packed(rows, key=key), "key", gone))

@@ -20,31 +20,33 @@ def one_edit(a, b):
         return sum(x != y for x, y in zip(a, b)) == 1
     if len(a) > len(b):
         a, b = b, a
-    return len(b) - len(a) == 1 and any(b[:i] + b[i + 1 :] == a for i in range(len(b)))
+    k = next((k for k, (x, y) in enumerate(zip(a, b)) if x != y), len(a))
+    return len(b) - len(a) == 1 and b[k + 1 :] == a[k:]
 
 
-def line_dedup(rows, min_chars=16):
-    """{(id, text, line number)} -> (keeper id, keeper line, distance); rows: distinct (id, text)."""
-    lines = [(i, n, t, x) for i, t in set(rows) if i is not None and t is not None for n, x in enumerate(t.split("\n")) if words(x)]
+def line_dedup(rows, order=None, min_chars=1):
+    """{(id, text, line number)} -> (keeper id, keeper line, distance); rows: distinct (id, text). ``order`` ranks the
+    texts of one id."""
+    order = order or {}
+    lines = [((i, n, order.get(t, 0)), t, x) for i, t in set(rows) if i is not None and t is not None for n, x in enumerate(t.split("\n")) if words(x)]
     first = {}
-    for i, n, t, x in sorted(lines, key=lambda r: r[:2]):
-        first.setdefault(x, (i, n))
+    for at, _, x in sorted(lines, key=lambda r: r[0]):
+        first.setdefault(x, at)
     by_size = {}
     for x in first:
         by_size.setdefault(len(x), []).append(x)
     near = {}
     for x, at in first.items():
         if len(x) >= min_chars:
-            half = len(x) // 2 - 1
-            own = [first[y] for k in (-1, 0, 1) for y in by_size.get(len(x) + k, []) if len(y) >= min_chars and first[y] < at and (x[:half] == y[:half] or x[-half:] == y[-half:]) and one_edit(x, y)]
+            own = [first[y] for k in (-1, 0, 1) for y in by_size.get(len(x) + k, []) if len(y) >= min_chars and first[y] < at and one_edit(x, y)]
             if own:
                 near[x] = min(own)
     out = {}
-    for i, n, t, x in lines:
+    for at, t, x in lines:
         if x in near:
-            out[i, t, n] = (*near[x], 1)
-        elif (i, n) != first[x]:
-            out[i, t, n] = (*first[x], 0)
+            out[at[0], t, at[1]] = (*near[x][:2], 1)
+        elif at != first[x]:
+            out[at[0], t, at[1]] = (*first[x][:2], 0)
     return out
 
 
@@ -81,6 +83,23 @@ def components(sets, percent):
     return {i: root(i) for i in ids}
 
 
+def components_of_rows(rows, size, percent):
+    """{id: component}: as ``components``, where an id may have several texts."""
+    rows = [(i, t) for i, t in rows if i is not None]
+    own = components({k: shingles(t, size) for k, (_, t) in enumerate(rows)}, percent)
+    parent = {i: i for i, _ in rows}
+
+    def root(x):
+        while parent[x] != x:
+            x = parent[x]
+        return x
+
+    for k, (i, _) in enumerate(rows):
+        x, y = root(i), root(rows[own[k]][0])
+        parent[max(x, y)] = min(x, y)
+    return {i: root(i) for i, _ in rows}
+
+
 def tokens(text):
     return regex.findall(r"[\p{L}\p{M}\p{N}]+", (text or "").lower())
 
