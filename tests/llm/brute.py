@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 import re
 from collections import Counter
 from itertools import groupby
@@ -196,3 +197,34 @@ def spans(rows, gear, min_words=24):
                     piece = list(piece)
                     out.add((i, t, piece[0][0], piece[-1][1] - piece[0][0], keeper, cut))
     return out
+
+
+def mix(rows, weights=(5, 2, 1), budget=1.5, most=2):
+    """({source: target}, {(source, size): rate}, {(source, size): copies over all documents of that size}) of
+    (source, size) rows. The tilt of a source is found by bisection."""
+    sizes = {}
+    for s, n in rows:
+        sizes[s] = sizes.get(s, 0) + n
+    targets, rates, copies = mix_targets(sizes, weights, budget, most), {}, {}
+    for s in sizes:
+        count = Counter(n for x, n in rows if x == s)
+        scale = sizes[s] / sum(count.values())
+        rate = lambda a, n: min(float(most), math.exp(min(50.0, a * n / scale))) if scale else 0.0
+        low, high = -1e6, 1e6
+        full = targets[s] >= most * sizes[s] * (1 - 1e-12)
+        while not full and high - low > 1e-13 * max(1.0, abs(low)):
+            mid = (low + high) / 2
+            if mid in (low, high):
+                break
+            if sum(c * n * rate(mid, n) for n, c in count.items()) < targets[s]:
+                low = mid
+            else:
+                high = mid
+        carry = 0.0
+        for n in sorted(count, reverse=True):
+            rates[s, n] = (float(most) if full else rate(low, n)) if sizes[s] else 0.0
+            want = count[n] * n * rates[s, n]
+            k = min(max(math.floor((want + carry) / n + 0.5), 0), most * count[n]) if n else 0
+            carry += want - k * n
+            copies[s, n] = k
+    return targets, rates, copies

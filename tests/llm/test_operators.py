@@ -330,6 +330,17 @@ def test_mixing(spark, odd, none):
             source = source if isinstance(source, str) else None
             assert own["source_size"].iloc[0] == sizes[source] and own["target"].iloc[0] == pytest.approx(want[source])
             assert abs(own["taken"].sum() - want[source]) <= max(0.01 * want[source], own["size"].max())
+        # Rates against a bisection; copies against the rounding from large to small, dealt over the documents of a size.
+        rows = [(r.source, len(B.words(r.text))) for r in df.collect()]
+        _, rates, copies = B.mix(rows)
+        own = {}
+        for source, size, rate, n in zip(got["source"].where(got["source"].notna(), None), got["size"], got["rate"], got["copies"]):
+            assert rate == pytest.approx(rates[source, size], rel=1e-3, abs=1e-9)
+            own.setdefault((source, size), []).append(n)
+        assert all(max(x) - min(x) <= 1 for x in own.values())
+        # The solver stops within a millionth of the target, which may move single copies between sizes.
+        differ = [k for k in own if sum(own[k]) != copies[k]]
+        assert len(differ) <= len(own) // 50 and all(abs(sum(own[k]) - copies[k]) <= 1 for k in differ)
     again = mixing.mix_sources(docs).toPandas()
     assert sorted(map(tuple, again[["doc_id", "taken"]].values)) == sorted(map(tuple, got[["doc_id", "taken"]].values))
     assert mixing.mix_sources(none).count() == 0
