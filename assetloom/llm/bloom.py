@@ -36,21 +36,23 @@ def bloom_filter(listed: DataFrame, key: str, blocks: int, bits: int) -> DataFra
     return listed.where(F.col(key).isNotNull()).groupBy(block_of(F.col(key), blocks).alias("word_block")).agg(F.bit_or(mask_of(F.col(key), bits)).alias("word"))
 
 
-def possible_rows(df: DataFrame, key: str, listed: DataFrame, listed_key: str, blocks: int, bits: int = 5) -> DataFrame:
-    """The rows of ``df`` whose key may be listed, and few others; columns unchanged."""
-    words = F.broadcast(bloom_filter(listed, listed_key, blocks, bits))
-    mask = mask_of(F.col(key), bits)
-    return df.join(words, block_of(F.col(key), blocks) == F.col("word_block")).where(F.col("word").bitwiseAND(mask) == mask).select(*df.columns)
+def split_possible(df: DataFrame, key: str, listed: DataFrame, bits: int = 5) -> tuple[DataFrame, DataFrame]:
+    """(rows whose key may be listed, rows whose key isn't), columns unchanged. ``listed`` is a written table with a column
+    of the key's name; a null key is not listed."""
+    blocks = blocks_for(listed.count())
+    words, mask = F.broadcast(bloom_filter(listed, key, blocks, bits)), mask_of(F.col(key), bits)
+    marked = df.join(words, block_of(F.col(key), blocks) == F.col("word_block"), "left").withColumn("may", F.coalesce(F.col("word").bitwiseAND(mask) == mask, F.lit(False)))
+    asked, stay = (marked.where(F.col("may") == may).select(*df.columns) for may in (True, False))
+    return asked, stay
+
 
+def possible_rows(df: DataFrame, key: str, listed: DataFrame) -> DataFrame:
+    """The rows of ``df`` whose key may be in ``listed``, and few others; columns unchanged."""
+    return split_possible(df, key, listed)[0]
 
-def without_keys(df: DataFrame, key: str, gone: DataFrame, bits: int = 5) -> DataFrame:
+
+def without_keys(df: DataFrame, key: str, gone: DataFrame) -> DataFrame:
     """``df`` without the rows whose key is in ``gone`` (one column of that name). Only rows that may be gone are moved."""
     gone = materialize(gone.where(F.col(key).isNotNull()).distinct(), "gone")
-    n = gone.count()
-    if not n:
-        return df
-    blocks = blocks_for(n)
-    words, mask = F.broadcast(bloom_filter(gone, key, blocks, bits)), mask_of(F.col(key), bits)
-    marked = df.join(words, block_of(F.col(key), blocks) == F.col("word_block"), "left").withColumn("may", F.coalesce(F.col("word").bitwiseAND(mask) == mask, F.lit(False)))
-    stay, asked = (marked.where(F.col("may") == may).select(*df.columns) for may in (False, True))
+    asked, stay = split_possible(df, key, gone)
     return stay.unionByName(asked.join(gone, key, "left_anti"))

@@ -5,25 +5,20 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, functions as F
 
 from assetloom.common import materialize
-from assetloom.llm.bloom import block_of, blocks_for, bloom_filter, mask_of
+from assetloom.llm.bloom import split_possible
 from assetloom.llm.rows import field, packed, unpacked
 
 
-def distinct_rows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", bits: int = 5) -> DataFrame:
+def distinct_rows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row for each id and text, columns unchanged; a null id is an id. Of rows that differ elsewhere the least stays.
     Only rows that may be repeated are moved."""
     if not docs.columns:
         return docs
     key = F.xxhash64(F.col(id_col).isNull(), F.col(id_col), F.col(text_col))
     repeated = materialize(docs.groupBy(key.alias("key")).agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("key"), "repeated")
-    n = repeated.count()
-    if not n:
+    if repeated.isEmpty():
         return docs
-    blocks = blocks_for(n)
-    words, mask = F.broadcast(bloom_filter(repeated, "key", blocks, bits)), mask_of(F.col("key"), bits)
-    marked = packed(docs, key=key).join(words, block_of(F.col("key"), blocks) == F.col("word_block"), "left")
-    marked = marked.withColumn("may", F.coalesce(F.col("word").bitwiseAND(mask) == mask, F.lit(False)))
-    single, several = (marked.where(F.col("may") == may).select("row") for may in (False, True))
+    several, single = (df.select("row") for df in split_possible(packed(docs, key=key), "key", repeated))
     others = [c for c in docs.columns if c not in (id_col, text_col)]
     if not others:
         return unpacked(single).unionByName(unpacked(several).distinct())

@@ -35,7 +35,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, functions as F
 
 from assetloom.common import materialize
-from assetloom.llm.bloom import blocks_for, possible_rows, without_keys
+from assetloom.llm.bloom import possible_rows, without_keys
 from assetloom.llm.distinct import distinct_rows
 from assetloom.llm.hashing import shingle_hashes, utf8, word_hashes
 from assetloom.llm.rows import integer_id, packed, sample_of, unpacked
@@ -354,7 +354,7 @@ def exact_pairs(members: DataFrame, texts: DataFrame, shingle: int, percent: int
     sizes, placed = _deal(members, F.greatest(F.count(F.lit(1)) / block_docs, F.sum("n") / block_shingles))
     sizes, placed = materialize(sizes, "jac-sizes"), materialize(placed, "jac-placed")
     # Members are few of all documents as a rule: only texts that may be theirs are moved.
-    own_texts = possible_rows(texts, "id", placed, "id", blocks_for(placed.count()))
+    own_texts = possible_rows(texts, "id", placed)
     found = _in_blocks(own_texts.join(placed, "id"), ["pivot", "block"]).mapInPandas(_join_block(shingle, percent), "kind int, u long, v long")
     found = materialize(found, "jac-found")
     links, rest = found.where("kind = 0").select("u", "v"), found.where("kind = 1").select(F.col("u").alias("pivot"), F.col("v").alias("id")).distinct()
@@ -378,7 +378,7 @@ def jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     keys = first.select("id", "n", F.explode("prefix").alias("key"))
     shared = keys.groupBy("key").agg(F.min("id").alias("pivot"), F.max("id").alias("last")).where("pivot < last").select("key", "pivot")
     members = materialize(keys.join(shared, "key").groupBy("id", "pivot").agg(F.max("n").alias("n")), "jac-members")
-    signatures = possible_rows(named.select("id", "n", "bits", "wide"), "id", members, "id", blocks_for(members.count()))
+    signatures = possible_rows(named.select("id", "n", "bits", "wide"), "id", members)
     links = exact_pairs(screened(members, signatures, percent, screen_docs), texts.where("known").select("id", "text"), shingle, percent, block_docs, block_shingles)
 
     # An id with several sets is linked to the class of each.

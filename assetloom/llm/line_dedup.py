@@ -26,7 +26,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from assetloom.common import materialize
-from assetloom.llm.rows import field, packed, unpacked
+from assetloom.llm.bloom import possible_rows, split_possible
+from assetloom.llm.rows import as_column, field, packed, unpacked
 
 WORD = r"[^\x20\x09-\x0D]"
 AT = ["id", "no", "th"]
@@ -60,10 +61,10 @@ def _shared(keyed: DataFrame, key: str) -> DataFrame:
     return keyed.join(several, key)
 
 
-def line_table(docs: DataFrame, id_col: str, text_col: str, min_chars: int) -> DataFrame:
+def line_table(docs: DataFrame, id_col: str | Column, text_col: str, min_chars: int) -> DataFrame:
     """(id, no, th, h1, h2, halves) of every line with a word."""
-    known = docs.where(F.col(id_col).isNotNull() & F.col(text_col).isNotNull())
-    d = known.select(F.col(id_col).alias("id"), F.xxhash64(text_col).alias("th"), F.posexplode(F.split(text_col, "\n")).alias("no", "line"))
+    known = docs.where(as_column(id_col).isNotNull() & F.col(text_col).isNotNull())
+    d = known.select(as_column(id_col).alias("id"), F.xxhash64(text_col).alias("th"), F.posexplode(F.split(text_col, "\n")).alias("no", "line"))
     n = F.length("line")
     halves = F.when(n >= min_chars, _halves(F.col("line"), n))
     return d.where(F.col("line").rlike(WORD)).select(*AT, F.xxhash64("line").alias("h1"), F.xxhash64(F.lit(1), "line").alias("h2"), halves.alias("halves"))
@@ -113,13 +114,15 @@ def one_edit(a: Column, b: Column) -> Column:
     return (a != b) & (F.abs(n - m) <= 1) & (rest(a, n, m) == rest(b, m, n))
 
 
-def near_pairs(docs: DataFrame, distinct: DataFrame, id_col: str, text_col: str) -> DataFrame:
+def near_pairs(docs: DataFrame, distinct: DataFrame, id_col: str | Column, text_col: str) -> DataFrame:
     """(at, near): distinct lines with the earliest line one edit away, where that is earlier."""
     keyed = distinct.where(F.col("halves").isNotNull()).select("at", F.explode("halves").alias("key"))
     picked = _shared(keyed, "key").select("at").distinct()
     wanted = picked.select("at.*").groupBy("id", "th").agg(F.collect_set("no").alias("nos"))
-    texts = docs.where(F.col(id_col).isNotNull()).select(F.col(id_col).alias("id"), F.xxhash64(text_col).alias("th"), F.col(text_col).alias("text"))
-    lines = texts.join(wanted, ["id", "th"]).select("id", "th", F.explode("nos").alias("no"), F.split("text", "\n").alias("lines"))
+    wanted = materialize(wanted.withColumn("key", F.xxhash64("id", "th")), "lines-wanted")
+    texts = docs.where(as_column(id_col).isNotNull()).select(as_column(id_col).alias("id"), F.xxhash64(text_col).alias("th"), F.col(text_col).alias("text"))
+    texts = possible_rows(texts.withColumn("key", F.xxhash64("id", "th")), "key", wanted)
+    lines = texts.join(wanted.drop("key"), ["id", "th"]).select("id", "th", F.explode("nos").alias("no"), F.split("text", "\n").alias("lines"))
     lines = materialize(lines.select(F.struct(*AT).alias("at"), F.get("lines", F.col("no")).alias("line")).distinct(), "line-text")
 
     parts, n = lines.select("at", F.lit(0).cast("long").alias("rest"), F.col("line").alias("mid")), F.length("mid")
@@ -138,7 +141,7 @@ def near_pairs(docs: DataFrame, distinct: DataFrame, id_col: str, text_col: str)
     return both.where(one_edit(F.col("line"), F.col("other"))).groupBy("at").agg(F.min("near").alias("near"))
 
 
-def repeated_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_chars: int = 1) -> DataFrame:
+def repeated_lines(docs: DataFrame, id_col: str | Column = "doc_id", text_col: str = "text", min_chars: int = 1) -> DataFrame:
     """(id, no, th, keep_id, keep_no, distance): every line that goes, with the earlier line it goes for."""
     occurrences = materialize(line_table(docs, id_col, text_col, min_chars), "lines")
     first = F.min(F.struct(*AT)).alias("at")
@@ -150,12 +153,17 @@ def repeated_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     return gone.select(*AT, keep["id"].alias("keep_id"), keep["no"].alias("keep_no"), F.col("near").isNotNull().cast("int").alias("distance"))
 
 
-def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_chars: int = 1) -> DataFrame:
+def dedup_lines(docs: DataFrame, id_col: str | Column = "doc_id", text_col: str = "text", min_chars: int = 1) -> DataFrame:
     """``docs`` without the repeated lines; all rows and other columns stay."""
     gone = repeated_lines(docs, id_col, text_col, min_chars).groupBy("id", "th").agg(F.collect_set("no").alias("gone"))
-    joined = packed(docs, id=F.col(id_col), th=F.xxhash64(text_col)).join(gone, ["id", "th"], "left")
+    gone = materialize(gone.withColumn("key", F.xxhash64("id", "th")), "lines-gone")
+    id_, th = as_column(id_col), F.xxhash64(text_col)
+    # Only documents that may lose lines are moved.
+    rows = packed(docs, id=id_, th=th, key=F.when(id_.isNotNull(), F.xxhash64(id_, th)))
+    asked, stay = split_possible(rows, "key", gone)
+    joined = asked.join(gone.drop("key"), ["id", "th"], "left")
     lines = F.split(field(text_col), "\n")
     # array_except keeps the order and looks positions up in a hash set.
     kept = F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), "gone")
     text = F.when(F.col("gone").isNull(), field(text_col)).otherwise(F.array_join(F.transform(kept, lambda i: F.get(lines, i)), "\n"))
-    return unpacked(joined.withColumn("row", F.col("row").withField(f"`{text_col}`", text)))
+    return unpacked(joined.withColumn("row", F.col("row").withField(f"`{text_col}`", text)).select("row").unionByName(stay.select("row")))

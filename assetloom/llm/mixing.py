@@ -14,15 +14,16 @@ misses its target by about half of its smallest documents. Inside a size the cop
 are counted in salted buckets of bounded size.
 
 Defined cases: a null or blank text has size 0 and takes 0 words; a null source is a source of its own, last in order;
-repeated rows count as separate documents; an empty table gives an empty result; a null id is hashed like any value.
-Other columns pass through, whatever their names.
+repeated rows count as separate documents; an empty table gives an empty result; a null id is hashed like any value;
+other columns are not read by ``mix_sources``, and pass through ``mix_documents``, whatever their names.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
-from assetloom.common import materialize
+from assetloom.common import discard, materialize
+from assetloom.llm.distinct import distinct_rows
 
 WORD = r"[^\x20\x09-\x0D]+"
 #: Stands for the null source; other keys start with "s".
@@ -86,7 +87,8 @@ def balance(hist: DataFrame, targets: DataFrame, max_copies: int, tol: float, ma
         inside = newton.isNotNull() & (F.col("low").isNull() | (newton > F.col("low"))) & (F.col("high").isNull() | (newton < F.col("high")))
         outside = F.when(F.col("low").isNull(), F.col("tilt") * 2 - 1).when(F.col("high").isNull(), F.col("tilt") * 2 + 1).otherwise((F.col("low") + F.col("high")) / 2)
         still = F.coalesce(~F.col("full") & (F.abs(gap) > F.lit(tol) * F.col("target")), F.lit(False))
-        state = materialize(moved.select("key", "target", "scale", "full", F.when(~still, F.col("tilt")).when(inside, newton).otherwise(outside).alias("tilt"), "low", "high", still.alias("open")), "mix-state")
+        before, state = state, materialize(moved.select("key", "target", "scale", "full", F.when(~still, F.col("tilt")).when(inside, newton).otherwise(outside).alias("tilt"), "low", "high", still.alias("open")), "mix-state")
+        discard(before)
         if state.where("open").isEmpty():
             break
     return state.select("key", "tilt", "scale", "full")
@@ -109,30 +111,65 @@ def _round_sizes(max_copies: int):
     return of_source
 
 
-def mix_sources(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights: tuple[int, ...] = (5, 2, 1), budget: float = 1.5, max_copies: int = 2, tol: float = 1e-6, max_iter: int = 60, bucket_rows: int = 512) -> DataFrame:
-    """One row per input row: id, th (hash of the text), source, size, source_size, target, rate, copies, taken (words: copies * size)."""
+#: Plans of so many (source, size) rows are broadcast at most, about 10 MB; those of more are joined by shuffle.
+BROADCAST_PLAN = 200_000
+
+
+def _sizes(docs: DataFrame, id_col: str, text_col: str, source_col: str, *carry: Column) -> DataFrame:
+    """(id, th, key, size, h, carry...), written once."""
     source = F.col(source_col).cast("string")
     key = F.when(source.isNull(), F.lit(NULL_KEY)).otherwise(F.concat(F.lit("s"), source))
-    sizes = materialize(docs.select(F.col(id_col).alias("id"), F.xxhash64(text_col).alias("th"), key.alias("key"), n_words(F.col(text_col)).alias("size")), "mix-sizes")
+    id_, th = F.col(id_col), F.xxhash64(text_col)
+    return materialize(docs.select(id_.alias("id"), th.alias("th"), key.alias("key"), n_words(F.col(text_col)).alias("size"), F.xxhash64(id_, th).alias("h"), *carry), "mix-sizes")
+
+
+def _plan(sizes: DataFrame, weights: tuple[int, ...], budget: float, max_copies: int, tol: float, max_iter: int) -> DataFrame:
+    """(key, size, n, rate, of_size, source_size, target): how many copies the documents of a source and size get."""
     hist = materialize(sizes.groupBy("key", "size").agg(F.count(F.lit(1)).alias("n")), "mix-hist")
     targets = materialize(source_targets(hist, weights, budget, max_copies), "mix-targets")
     tilt = balance(hist, targets, max_copies, tol, max_iter)
-
     rate = F.when(F.col("full"), F.lit(float(max_copies))).otherwise(tilted_rate(max_copies))
     rated = hist.join(tilt, "key", "left").select("key", "size", "n", F.coalesce(rate, F.lit(0.0)).alias("rate"))
     # A source is one group here, but of its distinct sizes only: at most as many rows as its longest document has words.
     rounded = rated.groupBy("key").applyInPandas(_round_sizes(max_copies), "key string, size long, n long, rate double, of_size long")
-    plan = materialize(rounded.join(targets.drop("n_docs"), "key"), "mix-plan")
+    return materialize(rounded.join(targets.drop("n_docs"), "key"), "mix-plan")
+
 
-    dealt = sizes.join(plan, ["key", "size"]).withColumn("h", F.xxhash64("id", "th")).withColumn("bucket", F.pmod("h", F.ceil(F.col("n") / bucket_rows)))
-    # Rank inside a size: the rows of the buckets before, plus the rank inside the bucket.
-    counts = sizes.join(plan.select("key", "size", "n"), ["key", "size"]).groupBy("key", "size", F.pmod(F.xxhash64("id", "th"), F.ceil(F.col("n") / bucket_rows)).alias("bucket")).agg(F.count(F.lit(1)).alias("rows"))
+def _ranked(sizes: DataFrame, plan: DataFrame, bucket_rows: int) -> DataFrame:
+    """(id, th, key, size, h, the plan, extra): whether a document is among those of its size that get one copy more. The
+    rank inside a size is the rows of the buckets before, plus the rank inside the bucket."""
+    bucket = F.pmod(F.col("h"), F.ceil(F.col("n") / bucket_rows)).alias("bucket")
+    dealt = sizes.select("id", "th", "key", "size", "h").join(plan, ["key", "size"]).withColumn("bucket", bucket)
+    counts = dealt.groupBy("key", "size", "bucket").agg(F.count(F.lit(1)).alias("rows"))
     before = W.partitionBy("key", "size").orderBy("bucket").rowsBetween(W.unboundedPreceding, -1)
     offsets = counts.select("key", "size", "bucket", F.coalesce(F.sum("rows").over(before), F.lit(0)).alias("offset"))
     in_bucket = F.row_number().over(W.partitionBy("key", "size", "bucket").orderBy("h", "id", "th"))
     ranked = dealt.withColumn("in_bucket", in_bucket).join(offsets, ["key", "size", "bucket"])
-    extra = (F.col("offset") + F.col("in_bucket") <= F.col("of_size") % F.col("n")).cast("long")
-    copies = F.floor(F.col("of_size") / F.col("n")).cast("long") + extra
-    return ranked.select(
-        F.col("id").alias(id_col), "th", F.when(F.col("key") != NULL_KEY, F.substring("key", 2, 1 << 30)).alias(source_col), "size", "source_size", "target", "rate", copies.alias("copies"), (copies * F.col("size")).alias("taken"),
-    )
+    return ranked.withColumn("extra", F.col("offset") + F.col("in_bucket") <= F.col("of_size") % F.col("n"))
+
+
+def _copies(extra: Column) -> Column:
+    return F.floor(F.col("of_size") / F.col("n")).cast("long") + extra.cast("long")
+
+
+def mix_sources(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights: tuple[int, ...] = (5, 2, 1), budget: float = 1.5, max_copies: int = 2, tol: float = 1e-6, max_iter: int = 60, bucket_rows: int = 512) -> DataFrame:
+    """One row per input row: id, th (hash of the text), source, size, source_size, target, rate, copies, taken (words: copies * size)."""
+    sizes = _sizes(docs, id_col, text_col, source_col)
+    ranked = _ranked(sizes, _plan(sizes, weights, budget, max_copies, tol, max_iter), bucket_rows)
+    copies, source = _copies(F.col("extra")), F.when(F.col("key") != NULL_KEY, F.substring("key", 2, 1 << 30))
+    return ranked.select(F.col("id").alias(id_col), "th", source.alias(source_col), "size", "source_size", "target", "rate", copies.alias("copies"), (copies * F.col("size")).alias("taken"))
+
+
+def mix_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights: tuple[int, ...] = (5, 2, 1), budget: float = 1.5, max_copies: int = 2, tol: float = 1e-6, max_iter: int = 60, bucket_rows: int = 512) -> DataFrame:
+    """The documents that the mix takes, with size, source_size, target, copies and taken (names of the table's own columns
+    get "mix_" before). Equal rows of one id and text are one document. A document is in the first ranks of its size if
+    its hash is not above the last one's, so the texts stay where they are."""
+    sizes = _sizes(distinct_rows(docs, id_col, text_col), id_col, text_col, source_col, F.struct("*").alias("row"))
+    plan = _plan(sizes, weights, budget, max_copies, tol, max_iter)
+    last = _ranked(sizes, plan, bucket_rows).where("extra").groupBy("key", "size").agg(F.max("h").alias("last"))
+    plan = materialize(plan.join(last, ["key", "size"], "left").where("of_size > 0"), "mix-last")
+    plan = F.broadcast(plan) if plan.count() <= BROADCAST_PLAN else plan
+    copies = _copies(F.coalesce(F.col("h") <= F.col("last"), F.lit(False)))
+    taken = sizes.join(plan, ["key", "size"]).withColumn("copies", copies).where("copies > 0").withColumn("taken", F.col("copies") * F.col("size"))
+    name = lambda c: f"mix_{c}" if c in docs.columns else c
+    return taken.select("row.*", *[F.col(c).alias(name(c)) for c in ("size", "source_size", "target", "copies", "taken")])

@@ -15,6 +15,10 @@ def unpacked(rows: DataFrame) -> DataFrame:
     return rows.select("row.*")
 
 
+def as_column(c: str | Column) -> Column:
+    return F.col(c) if isinstance(c, str) else c
+
+
 def field(name: str) -> Column:
     """A column of the packed row."""
     return F.col("row").getField(name)
