@@ -4,10 +4,16 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
+from weakref import WeakKeyDictionary
 
 from pyspark.sql import DataFrame, SparkSession
 
 _OWN: dict[str, str] = {}
+#: Where the tables that materialize() has returned are written; and the lists of open scratch() blocks, innermost last.
+_PATHS: WeakKeyDictionary[DataFrame, str] = WeakKeyDictionary()
+_SCRATCH: list[list[str]] = []
 
 
 def load(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -15,19 +21,55 @@ def load(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder the cluster names in spark.checkpoint.dir; a temporary one only where that is unset."""
+    """The folder the cluster names in spark.checkpoint.dir. Only a session in one process may do without."""
     given = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
     if given:
         return given.rstrip("/")
+    if not spark.sparkContext.master.split("[")[0] == "local":
+        raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     app = spark.sparkContext.applicationId
     if app not in _OWN:
         _OWN[app] = "file://" + tempfile.mkdtemp(prefix="assetloom-")
     return _OWN[app]
 
 
-def materialize(df: DataFrame, tag: str) -> DataFrame:
-    """Writes ``df`` once to the shared folder and reads it back: cuts lineage and survives lost executors."""
+def _written(df: DataFrame, tag: str) -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{tag}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    _PATHS[out] = path
+    return out
+
+
+def materialize(df: DataFrame, tag: str) -> DataFrame:
+    """Writes ``df`` once to the shared folder and reads it back: cuts lineage and survives lost executors."""
+    out = _written(df, tag)
+    if _SCRATCH:
+        _SCRATCH[-1].append(_PATHS[out])
+    return out
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+    folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
+
+
+def discard(df: DataFrame) -> None:
+    """Deletes the table of a DataFrame that materialize() returned; nothing for others. What is read from it must be written."""
+    path = _PATHS.pop(df, None)
+    if path:
+        _delete(df.sparkSession, path)
+
+
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[Callable[[DataFrame, str], DataFrame]]:
+    """Deletes at the end the tables that were written inside, but those written by the function it gives."""
+    own: list[str] = []
+    _SCRATCH.append(own)
+    try:
+        yield _written
+    finally:
+        _SCRATCH.pop()
+        for path in own:
+            _delete(spark, path)

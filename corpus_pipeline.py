@@ -4,9 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from assetloom.common import load, materialize
+from assetloom.common import discard, load, scratch
 from assetloom.llm import decontaminate, jaccard_join, line_dedup, mixing, quality_rules
-from assetloom.llm.distinct import distinct_rows
 
 #: Near duplicates: shingles of five words, similarity of 0.8 or more.
 SHINGLE, PERCENT = 5, 80
@@ -21,9 +20,9 @@ def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Repeated lines go, and documents that consisted of nothing else; n_chars follows the text. Documents without an
     id come after the others, by a hash of the text."""
     unnamed = F.lit(1 << 62).bitwiseOR(F.xxhash64("text").bitwiseAND(F.lit((1 << 62) - 1)))
-    had = docs.where(F.col("text").rlike(line_dedup.WORD)).withColumn("__line_id", F.coalesce(F.col("doc_id").cast("long"), unnamed))
-    out = line_dedup.dedup_lines(had, "__line_id").where(F.col("text").rlike(line_dedup.WORD)).drop("__line_id")
-    out = out.unionByName(docs.where(~F.coalesce(F.col("text").rlike(line_dedup.WORD), F.lit(False))))
+    has_words = F.coalesce(F.col("text").rlike(line_dedup.WORD), F.lit(False))
+    out = line_dedup.dedup_lines(docs.where(has_words), F.coalesce(F.col("doc_id").cast("long"), unnamed)).where(has_words)
+    out = out.unionByName(docs.where(~has_words))
     return out.withColumn("n_chars", F.when(F.col("text").isNotNull(), F.length("text").cast("long")))
 
 
@@ -39,21 +38,28 @@ def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The documents of the mix with their copies. Equal rows of one id and text are one document."""
-    docs = distinct_rows(docs)
-    name = F.coalesce(F.col("doc_id").cast("string"), F.lit("null"))
-    plan = mixing.mix_sources(docs).where("copies > 0").select(name.alias("__id"), F.col("th").alias("__th"), "size", "source_size", "target", "copies", "taken")
-    named = docs.withColumns({"__id": name, "__th": F.xxhash64("text")})
-    return named.join(plan, ["__id", "__th"]).drop("__id", "__th")
+    return mixing.mix_documents(docs)
 
 
-STAGES = [("quality rules", quality), ("line dedup", lines), ("n-gram Jaccard join", near_duplicates), ("benchmark decontamination", decontamination), ("mixing", mix)]
+STAGES = [
+    ("quality rules", quality),
+    ("line dedup", lines),
+    ("n-gram Jaccard join", near_duplicates),
+    ("benchmark decontamination", decontamination),
+    ("mixing", mix),
+]
 
 #: The near-duplicate and mixing stages aren't SQL; tests hold run() against a brute-force version.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every stage's tables go when its output is written, and its input with them. Those of the last stage stay, as its
+    result is read from them."""
     docs = load(spark, sf_dir, "documents")
     for name, stage in STAGES[:-1]:
-        docs = materialize(stage(spark, docs, sf_dir), name.replace(" ", "-"))
+        with scratch(spark) as written:
+            after = written(stage(spark, docs, sf_dir), name.replace(" ", "-"))
+        discard(docs)
+        docs = after
     return STAGES[-1][1](spark, docs, sf_dir)
