@@ -7,7 +7,7 @@ from collections.abc import Iterator
 import pandas as pd
 from pyspark.sql import DataFrame, functions as F
 
-from assetloom.common import materialize
+from assetloom.common import discard, materialize
 
 
 def _large_star(edges: DataFrame) -> DataFrame:
@@ -29,11 +29,14 @@ def _mark(edges: DataFrame) -> tuple[int, int]:
     return tuple(edges.agg(F.count(F.lit(1)), F.expr("bit_xor(xxhash64(u, v))")).first())
 
 
-def _union_find(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Components of one bounded batch of edges."""
-    parent: dict = {}
+class _Forest:
+    """Union-find whose roots are the smallest nodes."""
 
-    def root(x):
+    def __init__(self):
+        self.parent: dict = {}
+
+    def root(self, x):
+        parent = self.parent
         top = parent.setdefault(x, x)
         while parent[top] != top:
             top = parent[top]
@@ -41,32 +44,53 @@ def _union_find(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             parent[x], x = top, parent[x]
         return top
 
-    for pdf in batches:
+    def add(self, pdf: pd.DataFrame) -> None:
         for a, b in zip(pdf["u"].tolist(), pdf["v"].tolist()):
-            x, y = root(a), root(b)
+            x, y = self.root(a), self.root(b)
             if x != y:
-                parent[max(x, y)] = min(x, y)
-    yield pd.DataFrame({"node": list(parent), "component": [root(x) for x in parent]})
+                self.parent[max(x, y)] = min(x, y)
+
+    def pairs(self) -> tuple[list, list]:
+        return list(self.parent), [self.root(x) for x in self.parent]
+
+
+def _contract(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """The edges of each batch as stars around the smallest node of each component there."""
+    for pdf in batches:
+        forest = _Forest()
+        forest.add(pdf)
+        node, root = forest.pairs()
+        out = pd.DataFrame({"u": node, "v": root})
+        yield out[out["u"] != out["v"]]
+
+
+def _solve(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Components of a bounded number of edges."""
+    forest = _Forest()
+    for pdf in batches:
+        forest.add(pdf)
+    node, root = forest.pairs()
+    yield pd.DataFrame({"node": node, "component": root})
 
 
-def connected_components(edges: DataFrame, max_rounds: int = 50, local_edges: int = 100_000) -> DataFrame:
+def connected_components(edges: DataFrame, local_edges: int = 1_000_000) -> DataFrame:
     """(node, component) for every node of an edge; the component is its smallest node. ``edges`` has two columns of
-    one orderable type; nulls, self-loops and repeats are ignored. Rounds grow with the logarithm of the node count;
-    each is written to the shared folder. At most ``local_edges`` distinct edges, as counted, are solved in one task."""
+    one orderable type; nulls, self-loops and repeats are ignored. Each batch of edges is contracted to a forest where it
+    lies. Up to ``local_edges`` edges that are left, as counted, are solved in one task; more by rounds, whose number
+    grows with the logarithm of the node count, each written to the shared folder."""
     a, b = edges.columns
-    state = edges.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).where(F.col(a).isNotNull() & F.col(b).isNotNull() & (F.col(a) != F.col(b))).distinct()
-    state = materialize(state, "cc")
+    kind = dict(edges.dtypes)[a]
+    given = edges.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).where(F.col(a).isNotNull() & F.col(b).isNotNull() & (F.col(a) != F.col(b)))
+    state = materialize(given.mapInPandas(_contract, f"u {kind}, v {kind}").distinct(), "cc")
     before = _mark(state)
     if before[0] <= local_edges:
-        kind = dict(state.dtypes)["u"]
-        return state.coalesce(1).mapInPandas(_union_find, f"node {kind}, component {kind}")
-    nodes = state.select(F.col("u").alias("node")).union(state.select("v")).distinct()
-    for _ in range(max_rounds):
-        state = materialize(_small_star(_large_star(state)).where("u <> v").distinct(), "cc")
+        return state.coalesce(1).mapInPandas(_solve, f"node {kind}, component {kind}")
+    nodes = materialize(state.select(F.col("u").alias("node")).union(state.select("v")).distinct(), "cc-nodes")
+    while True:
+        last, state = state, materialize(_small_star(_large_star(state)).where("u <> v").distinct(), "cc")
         now = _mark(state)
+        discard(last)
         if now == before:
             break
         before = now
-    else:
-        raise RuntimeError(f"components did not settle in {max_rounds} rounds")
     return nodes.join(state.select(F.col("u").alias("node"), F.col("v").alias("component")), "node", "left").select("node", F.coalesce("component", "node").alias("component"))

@@ -1,40 +1,64 @@
-"""Vector neighbours by blocked matrix products."""
+"""Vector neighbours by blocked matrix products.
+
+Rows are dealt by a hash of the id into blocks of about ``block_rows``, counted for each group where rows only meet inside
+groups. Every pair of blocks is one matrix product in one task. In a self-join a row goes to each pair that holds its
+block once. Rows with a null vector have no neighbours."""
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import math
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
+#: Rows of a matrix product at once, and the decimals of a distance: both directions of a pair give the same number.
+STRIP, DECIMALS = 1024, 12
+
+
+def _blocked(df: DataFrame, by: list[str], n_blocks: int | DataFrame) -> DataFrame:
+    """(by..., id, v, block, n_blocks). ``n_blocks`` is a number, or a table of them (by..., n_blocks)."""
+    rows = df.where(F.col("v").isNotNull()).select(*by, "id", "v")
+    rows = rows.withColumn("n_blocks", F.lit(n_blocks)) if isinstance(n_blocks, int) else rows.join(n_blocks, by)
+    return rows.withColumn("block", F.pmod(F.xxhash64("id"), "n_blocks").cast("int"))
+
 
-def _block_pairs(left: DataFrame, right: DataFrame, n_blocks: int, by: list[str]) -> DataFrame:
-    """Both sides, dealt over block pairs: a row goes to each pair of its block with a block of the other side."""
-    every = F.explode(F.sequence(F.lit(0), F.lit(n_blocks - 1))).alias("other")
-    a = left.select(*by, "id", "v", F.pmod(F.xxhash64("id"), F.lit(n_blocks)).cast("int").alias("bi"), every, F.lit(0).alias("side")).withColumnRenamed("other", "bj")
-    b = right.select(*by, "id", "v", F.pmod(F.xxhash64("id"), F.lit(n_blocks)).cast("int").alias("bj"), every, F.lit(1).alias("side")).withColumnRenamed("other", "bi")
-    return a.unionByName(b)
+def _count_blocks(df: DataFrame, by: list[str], block_rows: int) -> int | DataFrame:
+    if not by:
+        return max(1, -(-df.count() // block_rows))
+    return df.groupBy(*by).agg(F.ceil(F.count(F.lit(1)) / block_rows).cast("int").alias("n_blocks"))
 
 
-def n_blocks_for(rows: int, block_rows: int) -> int:
-    return max(1, -(-rows // block_rows))
+def _dealt(rows: DataFrame, by: list[str], side: int | None) -> DataFrame:
+    """Rows at the block pairs (bi, bj) they take part in. side: 0 or 1 for the left or right table of a join, None for a
+    self-join, where bi <= bj and a row of a pair (b, b) is there once."""
+    own, every = F.col("block"), F.sequence(F.lit(0), F.col("n_blocks") - 1)
+    at = lambda bi, bj, s: F.struct(bi.alias("bi"), bj.alias("bj"), F.lit(s).alias("side"))
+    if side is None:
+        pairs = F.transform(every, lambda x: F.when(x >= own, at(own, x, 0)).otherwise(at(x, own, 1)))
+    else:
+        pairs = F.transform(every, lambda x: at(own, x, 0) if side == 0 else at(x, own, 1))
+    return rows.select(*by, "id", "v", F.explode(pairs).alias("p")).select(*by, "id", "v", "p.*")
 
 
 def _matrix(series: pd.Series) -> np.ndarray:
     return np.stack([np.asarray(v, np.float64) for v in series])
 
 
-def _per_block(work, key: list[str]):
+def _per_block(work: Callable, key: list[str], self_join: bool):
     def of(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         """Calls ``work(left, right)`` for each run of equal keys in the sorted rows."""
         held: list[pd.DataFrame] = []
 
         def flush():
-            block = pd.concat(held)
+            block = pd.concat(held).sort_values("id", kind="stable")
             a, b = block[block["side"] == 0], block[block["side"] == 1]
+            if self_join and block["bi"].iloc[0] == block["bj"].iloc[0]:
+                b = a
             if len(a) and len(b):
-                yield from work(a, b)
+                for out in work(a, b):
+                    yield out.assign(**{c: a[c].iloc[0] for c in key[:-2]})
 
         for pdf in batches:
             keys = pdf[key].to_numpy()
@@ -53,64 +77,108 @@ def _per_block(work, key: list[str]):
     return of
 
 
+def _in_blocks(dealt: DataFrame, by: list[str], work: Callable, schema: str, self_join: bool) -> DataFrame:
+    key, types = [*by, "bi", "bj"], dict(dealt.dtypes)
+    schema += "".join(f", {c} {types[c]}" for c in by)
+    return dealt.repartition(*key).sortWithinPartitions(*key).mapInPandas(_per_block(work, key, self_join), schema)
+
+
+def _strips(a: pd.DataFrame, b: pd.DataFrame) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """(ids of some rows of a, their distances to all rows of b)."""
+    right = _matrix(b["v"]).T
+    for x in range(0, len(a), STRIP):
+        own = a.iloc[x : x + STRIP]
+        yield own["id"].to_numpy(), np.round(1 - _matrix(own["v"]) @ right, DECIMALS)
+
+
 def pairs_within(df: DataFrame, threshold: float, block_rows: int = 2048, by: list[str] | None = None) -> DataFrame:
     """(by..., a, b, dist) with a < b and cosine distance < threshold of unit vectors; df: (by..., id, v). With ``by``
-    only rows of equal keys meet. Every block pair is one matrix product in one task."""
+    only rows of equal keys meet."""
     by = by or []
-    blocks = n_blocks_for(df.count(), block_rows)
-    pairs = _block_pairs(df, df, blocks, by).where("bi <= bj")
 
     def work(a: pd.DataFrame, b: pd.DataFrame) -> Iterator[pd.DataFrame]:
-        ia, ib, mb = a["id"].to_numpy(), b["id"].to_numpy(), _matrix(b["v"])
-        for x in range(0, len(a), 1024):
-            own = a.iloc[x : x + 1024]
-            dist = 1 - _matrix(own["v"]) @ mb.T
-            i, j = np.nonzero(dist < threshold)
-            u, w = ia[x + i], ib[j]
-            if a["bi"].iloc[0] == a["bj"].iloc[0]:
-                ok = u < w
-                i, j, u, w = i[ok], j[ok], u[ok], w[ok]
+        right = b["id"].to_numpy()
+        for left, dist in _strips(a, b):
+            near = dist < threshold
+            if a is b:
+                near &= left[:, None] < right[None, :]
+            i, j = np.nonzero(near)
+            u, w = left[i], right[j]
             out = pd.DataFrame({"a": np.minimum(u, w), "b": np.maximum(u, w), "dist": dist[i, j]})
-            for c in by:
-                out[c] = a[c].iloc[0]
             yield out[out["a"] < out["b"]]
 
-    key = [*by, "bi", "bj"]
-    types = dict(df.dtypes)
-    schema = "".join(f"{c} {types[c]}, " for c in by)
-    out = pairs.repartition(*key).sortWithinPartitions(*key).mapInPandas(_per_block(work, key), "a long, b long, dist double" + (", " + schema.rstrip(", ") if by else ""))
-    return out.select(*by, "a", "b", "dist")
+    dealt = _dealt(_blocked(df, by, _count_blocks(df, by, block_rows)), by, None)
+    return _in_blocks(dealt, by, work, "a long, b long, dist double", True).select(*by, "a", "b", "dist")
+
+
+def _nearest(k: int, left: np.ndarray, right: np.ndarray, dist: np.ndarray, exclude_self: bool) -> pd.DataFrame:
+    """(id, neighbor, dist) of the k nearest of ``right``, which are in id order, to each of ``left``."""
+    if exclude_self:
+        dist = np.where(left[:, None] == right[None, :], np.inf, dist)
+    k = min(k, len(right))
+    row, col = np.nonzero(dist <= np.partition(dist, k - 1, axis=1)[:, k - 1 : k])
+    order = np.lexsort((col, dist[row, col], row))
+    row, col = row[order], col[order]
+    best = np.arange(len(row)) - np.searchsorted(row, row) < k
+    row, col = row[best], col[best]
+    out = pd.DataFrame({"id": left[row], "neighbor": right[col], "dist": dist[row, col]})
+    return out[np.isfinite(out["dist"])]
 
 
 def knn(queries: DataFrame, base: DataFrame, k: int, block_rows: int = 2048, exclude_self: bool = True, by: list[str] | None = None) -> DataFrame:
     """(by..., id, neighbor, dist, rank): the exact k nearest rows of ``base`` by cosine distance for each query; both
-    are (by..., id, v), and only rows of equal ``by`` meet. Each block pair keeps its k best, and a window merges them."""
-    by = by or []
-    blocks = n_blocks_for(max(queries.count(), base.count()), block_rows)
+    are (by..., id, v), and only rows of equal ``by`` meet. Each block pair keeps its k best, and a window merges them.
+    Pass the same table twice for a self-join, which takes each pair of blocks once."""
+    by, same = by or [], queries is base
 
     def work(a: pd.DataFrame, b: pd.DataFrame) -> Iterator[pd.DataFrame]:
-        b = b.sort_values("id", kind="stable")
-        ia, ib, mb = a["id"].to_numpy(), b["id"].to_numpy(), _matrix(b["v"])
-        for x in range(0, len(a), 1024):
-            own = ia[x : x + 1024]
-            dist = 1 - _matrix(a["v"].iloc[x : x + 1024]) @ mb.T
-            if exclude_self:
-                dist[own[:, None] == ib[None, :]] = np.inf
-            m = min(k, len(ib))
-            best = np.argsort(dist, axis=1, kind="stable")[:, :m]
-            out = pd.DataFrame({"id": np.repeat(own, m), "neighbor": ib[best].ravel(), "dist": np.take_along_axis(dist, best, axis=1).ravel()})
-            for c in by:
-                out[c] = a[c].iloc[0]
-            yield out[np.isfinite(out["dist"])]
-
-    key = [*by, "bi", "bj"]
-    types = dict(queries.dtypes)
-    schema = "id long, neighbor long, dist double" + "".join(f", {c} {types[c]}" for c in by)
-    near = _block_pairs(queries, base, blocks, by).repartition(*key).sortWithinPartitions(*key).mapInPandas(_per_block(work, key), schema)
+        right = b["id"].to_numpy()
+        for left, dist in _strips(a, b):
+            yield _nearest(k, left, right, dist, exclude_self)
+            if same and a is not b:
+                yield _nearest(k, right, left, dist.T, exclude_self)
+
+    n_blocks = _count_blocks(base, by, block_rows)
+    rows = _blocked(base, by, n_blocks)
+    dealt = _dealt(rows, by, None) if same else _dealt(_blocked(queries, by, n_blocks), by, 0).unionByName(_dealt(rows, by, 1))
+    near = _in_blocks(dealt, by, work, "id long, neighbor long, dist double", same)
     rank = F.row_number().over(W.partitionBy(*by, "id").orderBy("dist", "neighbor"))
     return near.withColumn("rank", rank).where(F.col("rank") <= k).select(*by, "id", "neighbor", "dist", "rank")
 
 
+def lsh_size(rows: int, threshold: float, recall: float, block_rows: int) -> tuple[int, int]:
+    """(bits, tables): buckets of about ``block_rows`` rows, and as many tables as two vectors at the threshold need to
+    share a bucket of one of them with probability ``recall``; nearer ones do so more often."""
+    same_bit = 1 - math.acos(max(-1.0, min(1.0, 1 - threshold))) / math.pi
+    bits = max(0, math.floor(math.log2(max(1.0, rows / block_rows))))
+    if bits == 0:
+        return 0, 1
+    return bits, math.ceil(math.log(1 - recall) / math.log(1 - same_bit**bits))
+
+
+def approximate_pairs(df: DataFrame, threshold: float, recall: float = 0.95, block_rows: int = 2048, by: list[str] | None = None, seed: int = 42) -> DataFrame:
+    """As ``pairs_within``, for tables too large for all pairs: only rows on the same side of ``bits`` random planes meet,
+    over several tables of planes. Distances are exact, and every row is in every table; of the pairs at the threshold
+    about ``recall`` are found, of nearer ones more. A bucket of any size is dealt into blocks."""
+    by = by or []
+    bits, tables = lsh_size(df.count(), threshold, recall, block_rows)
+
+    @F.pandas_udf("array<long>")
+    def keys(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        planes = None
+        for vectors in batches:
+            m = _matrix(vectors) if len(vectors) else np.empty((0, 1))
+            if planes is None or planes.shape[0] != m.shape[1]:
+                planes = np.random.default_rng(seed).normal(size=(m.shape[1], tables * bits))
+            side = (m @ planes > 0).reshape(len(m), tables, bits) @ (1 << np.arange(bits))
+            yield pd.Series(list(side + (np.arange(tables) << 48)))
+
+    rows = df.where(F.col("v").isNotNull()).select(*by, "id", "v")
+    bucketed = rows.select(*by, "id", "v", F.explode(keys("v")).alias("bucket"))
+    found = pairs_within(bucketed, threshold, block_rows, [*by, "bucket"])
+    return found.groupBy(*by, "a", "b").agg(F.min("dist").alias("dist"))
+
+
 def knn_graph(df: DataFrame, k: int, block_rows: int = 2048) -> DataFrame:
     """(src, dst): the k-NN relation made symmetric."""
     near = knn(df, df, k, block_rows).select(F.col("id").alias("src"), F.col("neighbor").alias("dst"))
