@@ -7,8 +7,8 @@
    smallest of them, the pivot. Common are shingles that three sampled documents hold; the sample is a 4,096th of the
    corpus at least, so a shingle that over some ten thousand documents hold brings together only documents of which
    nearly every shingle is common.
-3. A group's members first meet by their signatures only, dealt into blocks of bounded size, the pivot into each. A
-   signature tree holds a bitmap and the size of each set in its leaves, and above them the OR of their bitmaps, their
+3. Members without another of like size in their group leave it. The others first meet by their signatures only, dealt
+   into blocks of bounded size, the pivot into each. A signature tree holds a bitmap and the size of each set in its leaves, and above them the OR of their bitmaps, their
    size range and their largest count of colliding shingles. The tree is traversed against itself; a pair of nodes is
    dropped when sizes are too far apart or when the bits in common allow too little overlap. In groups of several blocks,
    members that matched none in their own are traversed against the other blocks. A member that no other could match
@@ -32,7 +32,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import xxhash
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from assetloom.common import materialize
 from assetloom.llm.bloom import possible_rows, without_keys
@@ -334,6 +334,16 @@ def _in_blocks(rows: DataFrame, key: list[str]) -> DataFrame:
     return rows.repartition(*key).sortWithinPartitions(*key)
 
 
+def near_in_size(members: DataFrame, percent: int) -> DataFrame:
+    """The members (id, n, pivot) with another of their group that is near enough in size. The windows run over the
+    distinct sizes of a group."""
+    sizes = members.groupBy("pivot", "n").agg(F.count(F.lit(1)).alias("c"))
+    order = W.partitionBy("pivot").orderBy("n")
+    near = (F.col("c") > 1) | (100 * F.lag("n").over(order) >= percent * F.col("n")) | (100 * F.col("n") >= percent * F.lead("n").over(order))
+    able = sizes.withColumn("near", near).where("near").select("pivot", "n")
+    return members.join(able, ["pivot", "n"]).select("id", "n", "pivot")
+
+
 def screened(members: DataFrame, signatures: DataFrame, percent: int, screen_docs: int) -> DataFrame:
     """The members (id, n, pivot) that some other of their group could match, by signatures (id, n, bits, wide)."""
     sizes, placed = _deal(members, F.count(F.lit(1)) / screen_docs)
@@ -377,7 +387,8 @@ def jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     first = named.join(classes.select(F.col("rep").alias("id")), "id", "left_semi")
     keys = first.select("id", "n", F.explode("prefix").alias("key"))
     shared = keys.groupBy("key").agg(F.min("id").alias("pivot"), F.max("id").alias("last")).where("pivot < last").select("key", "pivot")
-    members = materialize(keys.join(shared, "key").groupBy("id", "pivot").agg(F.max("n").alias("n")), "jac-members")
+    members = materialize(keys.join(shared, "key").select("id", "n", "pivot").distinct(), "jac-members")
+    members = materialize(near_in_size(members, percent).groupBy("id", "pivot").agg(F.max("n").alias("n")), "jac-near")
     signatures = possible_rows(named.select("id", "n", "bits", "wide"), "id", members)
     links = exact_pairs(screened(members, signatures, percent, screen_docs), texts.where("known").select("id", "text"), shingle, percent, block_docs, block_shingles)
 
