@@ -48,3 +48,8 @@ def exif_timestamp(original: Column, top_original: Column, top_datetime: Column)
     """First non-empty field as a timestamp; a field that can't be parsed gives null, not the next one."""
     first = F.coalesce(F.nullif(original, F.lit("")), F.nullif(top_original, F.lit("")), F.nullif(top_datetime, F.lit("")))
     return F.try_to_timestamp(first, F.lit("yyyy:MM:dd HH:mm:ss"))
+
+
+def json_field(document: Column, name: str, kind: str) -> Column:
+    """A field of a JSON object; null if it is absent or the document can't be read."""
+    return F.from_json(document, f"`{name}` {kind}")[name]

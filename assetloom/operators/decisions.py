@@ -2,8 +2,15 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from functools import reduce
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
+from assetloom.common import materialize
+from assetloom.operators.positions import with_position
+
 DEFAULT_THRESHOLD = 0.4
 UNDO_DEPTH = 10
 
@@ -21,6 +28,20 @@ def singleton_decisions(df: DataFrame, threshold: float = DEFAULT_THRESHOLD) ->
     return df.withColumn("keep", F.col("score") >= F.lit(threshold))
 
 
+def keep_all(df: DataFrame) -> DataFrame:
+    return df.withColumn("keep", F.lit(True))
+
+
+def select_bad(df: DataFrame, threshold: float = DEFAULT_THRESHOLD) -> DataFrame:
+    """The threshold's decisions again, whatever was toggled before."""
+    return singleton_decisions(df, threshold)
+
+
+def singles_worst_first(singles: DataFrame) -> DataFrame:
+    """``singles`` (asset_id, score, ...) with position: the lowest score first, then by id."""
+    return with_position(singles, ["score", "asset_id"])
+
+
 def threshold_sweep(df: DataFrame, steps: int = 100) -> DataFrame:
     """(threshold, n_keep) for thresholds 0, 1/steps, ... 1. Scores are counted by the step they reach, so the sweep
     reads them once and joins nothing."""
@@ -53,30 +74,54 @@ def keep_counts(df: DataFrame) -> DataFrame:
 
 
 def review_progress(order: DataFrame) -> DataFrame:
-    """position and total over the cluster order; one row per cluster."""
-    return order.withColumn("total", F.count(F.lit(1)).over(W.partitionBy()))
+    """position and total over the cluster order."""
+    return order.crossJoin(F.broadcast(order.agg(F.count(F.lit(1)).alias("total"))))
 
 
-def state_summary(df: DataFrame, pending: DataFrame, threshold: float = DEFAULT_THRESHOLD) -> DataFrame:
-    """One row: clusters of several images, singletons, pending paths, threshold."""
+def state_summary(df: DataFrame, pending: DataFrame, threshold: float = DEFAULT_THRESHOLD, stack: DataFrame | None = None) -> DataFrame:
+    """One row: clusters of several images, singletons, pending paths, threshold, whether the undo ``stack`` has an entry."""
     sizes = df.groupBy("cluster_id").agg(F.count(F.lit(1)).alias("n"))
-    return sizes.agg(F.count_if(F.col("n") > 1).alias("n_clusters"), F.count_if(F.col("n") == 1).alias("n_singletons")).crossJoin(F.broadcast(pending.agg(F.count(F.lit(1)).alias("n_pending")))).withColumn("threshold", F.lit(float(threshold)))
+    counts = sizes.agg(F.count_if(F.col("n") > 1).alias("n_clusters"), F.count_if(F.col("n") == 1).alias("n_singletons"))
+    counts = counts.crossJoin(F.broadcast(pending.agg(F.count(F.lit(1)).alias("n_pending")))).withColumn("threshold", F.lit(float(threshold)))
+    if stack is None:
+        return counts.withColumn("undo_available", F.lit(False))
+    return counts.crossJoin(F.broadcast(stack.agg((F.count(F.lit(1)) > 0).alias("undo_available"))))
 
 
 def pending_append(pending: DataFrame, batch: DataFrame) -> DataFrame:
     """The list after a batch is appended: paths on it already are skipped, repeats inside the batch stay."""
-    return pending.select("path").unionByName(batch.select("path").join(pending.select("path"), "path", "left_anti"))
+    return pending.select("path").unionByName(new_paths(pending, batch))
+
+
+def new_paths(pending: DataFrame, batch: DataFrame) -> DataFrame:
+    """What an append adds; its count is the number reported."""
+    return batch.select("path").join(pending.select("path"), "path", "left_anti")
 
 
 def pending_remove(pending: DataFrame, paths: DataFrame) -> DataFrame:
+    """The list without ``paths``: also a restore, which puts nothing back into the results."""
     return pending.select("path").join(paths.select("path"), "path", "left_anti")
 
 
+def removed_paths(pending: DataFrame, paths: DataFrame) -> DataFrame:
+    """What a removal takes off, repeated lines each; its count is the number reported."""
+    return pending.select("path").join(paths.select("path").distinct(), "path", "left_semi")
+
+
+def change_counts(pending: DataFrame, appended: DataFrame, removed: DataFrame) -> DataFrame:
+    """One row: n_new of an append and n_removed of a removal from the same list."""
+    count = lambda df, name: df.agg(F.count(F.lit(1)).alias(name))
+    return count(new_paths(pending, appended), "n_new").crossJoin(F.broadcast(count(removed_paths(pending, removed), "n_removed")))
+
+
 def confirm_batch(results: DataFrame, pending: DataFrame, delete_paths: DataFrame, all_paths: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
-    """(results without the confirmed images, pending list with the delete paths). Removed are ``all_paths`` if given."""
+    """(results without the confirmed images, pending list with the delete paths). Removed are ``all_paths`` if there are
+    any, else the delete paths; without either the results stay as they are."""
     from assetloom.operators.ranking import rerank_after_removal
 
-    return rerank_after_removal(results, all_paths if all_paths is not None else delete_paths), pending_append(pending, delete_paths)
+    removed = delete_paths if all_paths is None or all_paths.isEmpty() else all_paths
+    after = results if removed.isEmpty() else rerank_after_removal(results, removed)
+    return after, pending_append(pending, delete_paths)
 
 
 def latest_decision(log: DataFrame, key: str = "path") -> DataFrame:
@@ -85,30 +130,97 @@ def latest_decision(log: DataFrame, key: str = "path") -> DataFrame:
     return last.select(key, "l.op", "l.seq")
 
 
+def _pushes(log: DataFrame) -> Column:
+    """Whether a confirm leaves an undo entry: it does if it removes anything."""
+    paths = ["delete_paths", *(c for c in ("all_paths",) if c in log.columns)]
+    some = [F.coalesce(F.size(F.filter(c, lambda x: x.isNotNull())) > 0, F.lit(False)) for c in paths]
+    return (F.col("op") == "confirm") & reduce(lambda a, b: a | b, some)
+
+
+def _walk(depth: int):
+    def of(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        """Walks the sorted rows of one partition. An entry that the walk has not seen pushed is named by its place in the
+        stack before: -1 for the top, -2 below it. kind 0: an undo (seq) takes back ``entry``; kind 1: what is on the
+        stack (seq: its place) after the rows of a project, whose first is ``first``."""
+        project, first, stack, part = None, 0, [], 0
+        rows: list[tuple] = []
+
+        def close() -> None:
+            rows.extend((1, project, k, e, first, part) for k, e in enumerate(stack))
+
+        for pdf in batches:
+            for p, seq, push, at in zip(pdf["project"].tolist(), pdf["seq"].tolist(), pdf["push"].tolist(), pdf["part"].tolist()):
+                if project is None or p != project:
+                    if project is not None:
+                        close()
+                    project, first, stack, part = p, seq, [-k for k in range(depth, 0, -1)], at
+                if push:
+                    stack = [*stack, seq][-depth:]
+                elif stack:
+                    rows.append((0, p, seq, stack.pop(), first, part))
+            yield pd.DataFrame(rows, columns=["kind", "project", "seq", "entry", "first", "part"])
+            rows = []
+        if project is not None:
+            close()
+        yield pd.DataFrame(rows, columns=["kind", "project", "seq", "entry", "first", "part"])
+
+    return of
+
+
+def _chain(depth: int):
+    def of(pdf: pd.DataFrame) -> pd.DataFrame:
+        """One project: the stack before each of its parts, from the stacks that the parts leave."""
+        stack, out = [None] * depth, []
+        parts = sorted((part, own.sort_values("seq")["entry"].tolist()) for part, own in pdf.groupby("part"))
+        for part, entries in parts:
+            out += [(part, -k, stack[-k]) for k in range(1, depth + 1) if stack[-k] is not None]
+            now = [e if e >= 0 else stack[e] for e in entries]
+            stack = [None] * (depth - len(now)) + now
+        out += [(-1, -k, stack[-k]) for k in range(1, depth + 1) if stack[-k] is not None]
+        return pd.DataFrame([(pdf["project"].iloc[0], *r) for r in out], columns=["project", "part", "entry", "confirm"])
+
+    return of
+
+
+def match_undos(log: DataFrame, depth: int = UNDO_DEPTH) -> tuple[DataFrame, DataFrame]:
+    """((project, seq, confirm): the confirm that each undo takes back, (project, confirm): what can still be undone) of a log
+    (project, seq, op, delete_paths[, all_paths]), seq 0 or more and unique in a project. An undo takes back the last entry of a stack of
+    ``depth``. The log is sorted and walked part by part, a project of any length over several of them; a part hands on
+    at most ``depth`` entries of each project, and those alone are put in order by project."""
+    kind = dict(log.dtypes)["project"]
+    moves = log.where(_pushes(log) | (F.col("op") == "undo")).select("project", "seq", (F.col("op") == "confirm").alias("push"))
+    moves = moves.repartitionByRange("project", "seq").sortWithinPartitions("project", "seq").withColumn("part", F.spark_partition_id())
+    walked = materialize(moves.mapInPandas(_walk(depth), f"kind int, project {kind}, seq long, entry long, first long, part int"), "undo-walk")
+    # Parts are numbered in the order of the range.
+    known = walked.where("kind = 1").groupBy("project").applyInPandas(_chain(depth), f"project {kind}, part int, entry long, confirm long")
+    known = materialize(known, "undo-chain")
+    undos = walked.where("kind = 0")
+    own = undos.where("entry >= 0").select("project", "seq", F.col("entry").alias("confirm"))
+    handed = undos.where("entry < 0").join(known, ["project", "part", "entry"]).select("project", "seq", "confirm")
+    return own.unionByName(handed), known.where("part = -1").select("project", "confirm")
+
+
 def undo_fold(log: DataFrame, depth: int = UNDO_DEPTH) -> DataFrame:
     """(project, path): what is pending after a log of confirm, undo and restore. An undo takes back the last confirm not
-    undone yet, if it is among the last ``depth``, and drops its paths even if they were pending before. The log of a
-    project is one group: it holds what one person confirmed."""
-    import pandas as pd
-
-    def fold(pdf: pd.DataFrame) -> pd.DataFrame:
-        pending: dict[str, None] = {}
-        stack: list[list[str]] = []
-        for op, paths in zip(*(pdf.sort_values("seq", kind="stable")[c] for c in ("op", "delete_paths"))):
-            paths = [] if paths is None else list(paths)
-            if op == "confirm":
-                pending.update(dict.fromkeys(paths))
-                stack = [*stack, paths][-depth:]
-            elif op == "undo" and stack:
-                for p in stack.pop():
-                    pending.pop(p, None)
-            elif op == "restore":
-                for p in paths:
-                    pending.pop(p, None)
-        return pd.DataFrame({"project": pd.Series([pdf["project"].iloc[0]] * len(pending), dtype=pdf["project"].dtype), "path": pd.Series(list(pending), dtype=object)})
+    undone yet, if it is among the last ``depth``, and drops its paths even if they were pending before. The last event
+    of a path decides, so paths are folded by one aggregation."""
+    undone, _ = match_undos(log, depth)
+    added = log.where("op = 'confirm'").select("project", "seq", "delete_paths")
+    dropped = undone.join(added.withColumnRenamed("seq", "confirm"), ["project", "confirm"]).select("project", "seq", "delete_paths")
+    events = added.withColumn("there", F.lit(True)).unionByName(dropped.unionByName(log.where("op = 'restore'").select("project", "seq", "delete_paths")).withColumn("there", F.lit(False)))
+    last = events.select("project", "seq", "there", F.explode("delete_paths").alias("path")).groupBy("project", "path").agg(F.max_by("there", "seq").alias("there"))
+    return last.where("there").select("project", "path")
+
+
+def results_after(results: DataFrame, log: DataFrame, depth: int = UNDO_DEPTH) -> DataFrame:
+    """Results of one project (cluster_id, cluster_score, path, score, rank) after its log: an undo brings back what its
+    confirm removed, so removed are the paths of the confirms that stand. A restore brings nothing back."""
+    from assetloom.operators.ranking import rerank_after_removal
 
-    kind = dict(log.dtypes)["project"]
-    return log.groupBy("project").applyInPandas(fold, f"project {kind}, path string")
+    undone, _ = match_undos(log, depth)
+    stand = log.where("op = 'confirm'").join(undone.select("project", F.col("confirm").alias("seq")), ["project", "seq"], "left_anti")
+    chosen = F.when(F.size("all_paths") > 0, F.col("all_paths")).otherwise(F.col("delete_paths")) if "all_paths" in log.columns else F.col("delete_paths")
+    return rerank_after_removal(results, stand.select(F.explode(chosen).alias("path")).distinct())
 
 
 def auto_keep_best(ranked: DataFrame, least: float) -> DataFrame:

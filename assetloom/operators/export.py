@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, Window as W, functions as F
 
 from assetloom.common import materialize
 from assetloom.functions.paths import basename, dot_suffix, is_inside, stem
+from assetloom.operators.positions import with_rank
 
 
 def keepers(images: DataFrame, deleted: DataFrame) -> DataFrame:
@@ -19,33 +22,36 @@ def export_plan(sources: DataFrame, taken: DataFrame | None = None, max_rounds:
     owns as its plain name, or that is taken, is skipped and the rest move on, until no name is given twice."""
     named = sources.select("path", "seq", basename(F.col("path")).alias("name")).withColumns({"stem": stem(F.col("name")), "suffix": dot_suffix(F.col("name"))})
     used = taken.select(F.col("name").alias("dest")).distinct() if taken is not None else named.sparkSession.createDataFrame([], "dest string")
-    first = F.row_number().over(W.partitionBy("name").orderBy("seq", "path"))
-    state = materialize(
-        named.withColumn("k", first).join(used.withColumn("busy", F.lit(True)), F.col("name") == F.col("dest"), "left")
-        .select("path", "seq", "stem", "suffix", "name", F.when((F.col("k") == 1) & F.col("busy").isNull(), F.col("name")).alias("dest"), F.lit(0).alias("at")), "export",
-    )
+    busy = lambda on: used.select(F.col("dest").alias(on), F.lit(True).alias("busy")).distinct()
+    ranked = materialize(with_rank(named, "name", ["seq", "path"], "k").join(busy("name"), "name", "left"), "export")
+    own = F.col("k").eqNullSafe(1) & F.col("busy").isNull()
+    done = [ranked.where(own).select("path", "seq", F.col("name").alias("dest"))]
+    open_rows = ranked.where(~own).select("path", "seq", "stem", "suffix", "name", F.lit(0).cast("long").alias("at"))
     for _ in range(max_rounds):
-        open_rows = state.where("dest is null")
+        given = used.unionByName(reduce(DataFrame.unionByName, done).select("dest")).distinct().select(F.col("dest").alias("try"), F.lit(True).alias("busy"))
+        tried = with_rank(open_rows, "name", ["seq", "path"], "turn").withColumn("at", F.col("at") + F.col("turn"))
+        tried = tried.withColumn("try", F.concat("stem", F.lit("_"), F.col("at").cast("string"), "suffix"))
+        # One name may be tried from two stems, a few rows: the first source gets it.
+        first = F.row_number().over(W.partitionBy("try").orderBy("seq", "path")) == 1
+        tried = tried.withColumn("first", first).join(given, "try", "left").withColumn("ok", F.col("first") & F.col("busy").isNull())
+        # What stays open goes on after the numbers that its name has tried.
+        last = tried.groupBy("name").agg(F.max("at").alias("last"))
+        tried = materialize(tried.join(last, "name").select("path", "seq", "stem", "suffix", "name", "try", "ok", "last"), "export-round")
+        done.append(tried.where("ok").select("path", "seq", F.col("try").alias("dest")))
+        open_rows = tried.where("not ok").select("path", "seq", "stem", "suffix", "name", F.col("last").alias("at"))
         if open_rows.isEmpty():
-            return state.select("path", "seq", "dest")
-        given = state.where("dest is not null").select("dest").union(used)
-        turn = F.row_number().over(W.partitionBy("name").orderBy("seq", "path"))
-        tried = open_rows.withColumn("at", F.col("at") + turn).withColumn("try", F.concat("stem", F.lit("_"), F.col("at").cast("string"), "suffix"))
-        # One name may be tried from two stems: the first source gets it.
-        winner = F.row_number().over(W.partitionBy("try").orderBy("seq", "path")) == 1
-        free = tried.withColumn("ok", winner).join(given.withColumnRenamed("dest", "try").distinct().withColumn("busy", F.lit(True)), "try", "left")
-        got = F.when(F.col("ok") & F.col("busy").isNull(), F.col("try"))
-        # What stays open goes on after the numbers its name has tried.
-        last = F.max("at").over(W.partitionBy("name"))
-        state = materialize(state.where("dest is not null").unionByName(free.select("path", "seq", "stem", "suffix", "name", got.alias("dest"), last.cast("int").alias("at"))), "export")
+            return reduce(DataFrame.unionByName, done)
     raise RuntimeError("names did not settle")
 
 
-def delete_plan(listed: DataFrame, inventory: DataFrame, root: str) -> DataFrame:
-    """``listed`` (path, ...) with status: outside_root, missing or would_move, in that order of precedence."""
+def delete_plan(listed: DataFrame, inventory: DataFrame, root: str, taken: DataFrame | None = None) -> DataFrame:
+    """``listed`` (path, seq, ...) with status: outside_root, missing or would_move, in that order of precedence, and dest:
+    a free name in the trash for what would move, given out in order of ``seq`` beside the ``taken`` names there."""
     there = inventory.select("path").distinct().withColumn("__there", F.lit(True))
     status = F.when(~is_inside(F.col("path"), root), "outside_root").when(F.col("__there").isNull(), "missing").otherwise("would_move")
-    return listed.join(there, "path", "left").withColumn("status", status).drop("__there")
+    plan = materialize(listed.join(there, "path", "left").withColumn("status", status).drop("__there"), "delete-plan")
+    names = export_plan(plan.where("status = 'would_move'").select("path", "seq"), taken)
+    return plan.join(names, ["path", "seq"], "left")
 
 
 def delete_summary(plan: DataFrame) -> DataFrame:

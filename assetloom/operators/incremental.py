@@ -25,9 +25,12 @@ def refresh(current: DataFrame, cache: DataFrame | None, compute: Callable[[Data
     return cache.join(current.select("path"), "path", "left_semi").select(*fresh.columns).unionByName(fresh)
 
 
+def drift_status(processed: DataFrame, current: DataFrame) -> DataFrame:
+    """One row (status): ready if both hold the same paths, else stale."""
+    changed = incremental_split(current, processed).agg(F.count_if(F.col("status") != "cached").alias("n"))
+    return changed.select(F.when(F.col("n") > 0, "stale").otherwise("ready").alias("status"))
+
+
 def inventory_drift(processed: DataFrame | None, current: DataFrame) -> str:
     """ready if both hold the same paths, stale if not, never_run without a processed list."""
-    if processed is None:
-        return "never_run"
-    a, b = processed.select("path").distinct(), current.select("path").distinct()
-    return "ready" if a.exceptAll(b).isEmpty() and b.exceptAll(a).isEmpty() else "stale"
+    return "never_run" if processed is None else drift_status(processed, current).first().status

@@ -7,6 +7,7 @@ from pyspark.ml.stat import Summarizer
 from pyspark.sql import DataFrame, Window as W, functions as F
 
 from assetloom.functions.vectors import dot, norm
+from assetloom.operators.positions import with_position
 
 
 def cluster_centroid(df: DataFrame, cluster: str = "cluster_id") -> DataFrame:
@@ -34,8 +35,13 @@ def cluster_summary(ranked: DataFrame) -> DataFrame:
 
 
 def cluster_order(summary: DataFrame) -> DataFrame:
-    """Adds position: best cluster first, then by id. One row per cluster."""
-    return summary.withColumn("position", F.row_number().over(W.orderBy(F.desc("cluster_score"), "cluster_id")))
+    """Adds position: best cluster first, then by id."""
+    return with_position(summary, [F.desc("cluster_score"), "cluster_id"])
+
+
+def top_k(ranked: DataFrame, k: int = 3) -> DataFrame:
+    """The first k of each cluster."""
+    return ranked.where(F.col("rank") <= k)
 
 
 def results_nested(ranked: DataFrame, components: list[str] | None = None) -> DataFrame:

@@ -110,6 +110,13 @@ def results_nested(spark, sf_dir):
 
 
 PENDING_SQL = WITH_ASSETS + ", pending AS (SELECT path FROM assets WHERE asset_id % 5 = 0), batch AS (SELECT path FROM assets WHERE asset_id % 3 = 0) "
+#: Ids as paths: unlike the paths they are unique, so that parts of a list stay.
+ID_LISTS_SQL = WITH_ASSETS + ", pending AS (SELECT asset_id::VARCHAR AS path FROM assets WHERE asset_id % 5 = 0), batch AS (SELECT asset_id::VARCHAR AS path FROM assets WHERE asset_id % 3 = 0) "
+
+
+def _id_lists(spark, sf_dir):
+    ids = assets(spark, sf_dir).select("asset_id", F.col("asset_id").cast("string").alias("path"))
+    return ids.where("asset_id % 5 = 0").select("path"), ids.where("asset_id % 3 = 0").select("path")
 
 
 def _pending(a: DataFrame) -> DataFrame:
@@ -122,10 +129,15 @@ def pending_append(spark, sf_dir):
     return D.pending_append(_pending(a), a.where("asset_id % 3 = 0").select("path"))
 
 
-@query(PENDING_SQL + "SELECT path FROM pending WHERE path NOT IN (SELECT path FROM batch)")
+@query(ID_LISTS_SQL + "SELECT path FROM pending WHERE path NOT IN (SELECT path FROM batch)")
 def pending_remove(spark, sf_dir):
-    a = assets(spark, sf_dir)
-    return D.pending_remove(_pending(a), a.where("asset_id % 3 = 0").select("path"))
+    return D.pending_remove(*_id_lists(spark, sf_dir))
+
+
+@query(ID_LISTS_SQL + "SELECT count(*) FILTER (WHERE path NOT IN (SELECT path FROM pending)) AS n_new, (SELECT count(*) FROM pending WHERE path IN (SELECT path FROM batch)) AS n_removed FROM batch")
+def change_counts(spark, sf_dir):
+    pending, batch = _id_lists(spark, sf_dir)
+    return D.change_counts(pending, batch, batch)
 
 
 # Projections and predicates
@@ -196,11 +208,12 @@ def incremental_merge(spark, sf_dir):
     return I.refresh(n, cache, lambda df: df.select("path", (2 * F.col("musiq")).alias("musiq")))
 
 
-@query(CACHE_SQL + "SELECT CASE WHEN EXISTS (SELECT path FROM named EXCEPT SELECT path FROM cache) OR EXISTS (SELECT path FROM cache EXCEPT SELECT path FROM named) THEN 'stale' ELSE 'ready' END AS status")
+@query(CACHE_SQL + """SELECT 'cache' AS against, CASE WHEN EXISTS (SELECT path FROM named EXCEPT SELECT path FROM cache) OR EXISTS (SELECT path FROM cache EXCEPT SELECT path FROM named) THEN 'stale' ELSE 'ready' END AS status
+UNION ALL SELECT 'media', CASE WHEN EXISTS (SELECT path FROM named EXCEPT SELECT path FROM assets) OR EXISTS (SELECT path FROM assets EXCEPT SELECT path FROM named) THEN 'stale' ELSE 'ready' END""")
 def inventory_drift(spark, sf_dir):
     n, cache = _named(spark, sf_dir)
-    drift = I.incremental_split(n, cache).agg(F.count_if(F.col("status") != "cached").alias("n"))
-    return drift.select(F.when(F.col("n") > 0, "stale").otherwise("ready").alias("status"))
+    of = lambda name, df: I.drift_status(df, n).select(F.lit(name).alias("against"), "status")
+    return of("cache", cache).unionByName(of("media", assets(spark, sf_dir)))
 
 
 # Neighbours
@@ -244,10 +257,28 @@ def calibrate_threshold(spark, sf_dir):
     return N.calibrate_threshold(v, 0.22, low=0.0, high=1.0, clamp=None, sample=100_000).select(r("threshold", 6))
 
 
-@query("SELECT least(0.35e0, greatest(0.05e0, 0.35e0)) AS threshold")
+FIRST_DROP_SQL = """, m AS (SELECT bin, cnt, lag(cnt) OVER (ORDER BY bin) AS before, first(bin) OVER (ORDER BY cnt DESC, bin ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING) AS peak FROM hist),
+drop_at AS (SELECT min(bin) FILTER (WHERE bin > peak AND (bin = 39 OR cnt < before)) AS bin FROM m) """
+
+
+def _default_sql(dist: str) -> str:
+    """The default range, clamp and fallback over the nearest distances."""
+    hist = f""", n AS (SELECT least(39, floor({dist} * 80))::INTEGER AS bin FROM k WHERE rank = 1 AND {dist} BETWEEN 0 AND 0.5e0),
+hist AS (SELECT b.bin::INTEGER AS bin, count(n.bin) AS cnt FROM range(40) b(bin) LEFT JOIN n ON n.bin = b.bin GROUP BY 1)"""
+    return NEAR_SQL + hist + FIRST_DROP_SQL + "SELECT round(greatest(0.05e0, least(coalesce((bin + 0.5e0) * 0.0125e0, 0.35e0), 0.35e0)), 6) AS threshold FROM drop_at"
+
+
+@query(_default_sql("dist"))
 def calibrate_threshold_default(spark, sf_dir):
-    """The default range and clamp; on the given tables the clamp's upper end."""
-    return N.calibrate_threshold(vectors(spark, sf_dir), 0.35)
+    """The default range and clamp."""
+    return N.calibrate_threshold(vectors(spark, sf_dir), 0.35).select(r("threshold", 6))
+
+
+@query(_default_sql("(dist / 2)"))
+def calibrate_threshold_halved(spark, sf_dir):
+    """The same where the clamp doesn't decide: one value more in common halves all distances."""
+    half = F.transform("v", lambda x: x.cast("double") / F.sqrt(F.lit(2e0)))
+    return N.calibrate_threshold(vectors(spark, sf_dir).select("id", F.concat(half, F.array(F.sqrt(F.lit(0.5e0)))).alias("v")), 0.35).select(r("threshold", 6))
 
 
 # Time
@@ -279,6 +310,12 @@ def gap_split(spark, sf_dir):
 
 
 # Clustering
+@query()
+def near_dup_pairs_lsh(spark, sf_dir):
+    """Approximate: over random planes, with buckets small enough that the given tables fill several."""
+    return N.approximate_pairs(vectors(spark, sf_dir), NEAR, block_rows=256).select("a", "b", r("dist", 5))
+
+
 @query(NEAR_SQL + f", e AS (SELECT id, neighbor FROM p WHERE dist < {NEAR}e0), reach(node, c) AS (SELECT id, id FROM e UNION SELECT e.neighbor, r.c FROM reach r JOIN e ON e.id = r.node) SELECT node, min(c) AS component FROM reach GROUP BY node")
 def components_of_near_pairs(spark, sf_dir):
     return connected_components(N.pairs_within(vectors(spark, sf_dir), NEAR).select("a", "b"))
@@ -350,7 +387,7 @@ def keep_counts(spark, sf_dir):
     return D.keep_counts(D.default_keeps(ranked(spark, sf_dir)))
 
 
-@query(WITH_ASSETS + ", n AS (SELECT path, count(*) AS n FROM assets GROUP BY path) SELECT count(*) FILTER (WHERE n > 1) AS n_clusters, count(*) FILTER (WHERE n = 1) AS n_singletons, (SELECT count(*) FROM assets WHERE asset_id % 5 = 0) AS n_pending, 0.4e0 AS threshold FROM n")
+@query(WITH_ASSETS + ", n AS (SELECT path, count(*) AS n FROM assets GROUP BY path) SELECT count(*) FILTER (WHERE n > 1) AS n_clusters, count(*) FILTER (WHERE n = 1) AS n_singletons, (SELECT count(*) FROM assets WHERE asset_id % 5 = 0) AS n_pending, 0.4e0 AS threshold, false AS undo_available FROM n")
 def state_summary(spark, sf_dir):
     a = assets(spark, sf_dir)
     return D.state_summary(a.select(F.col("path").alias("cluster_id")), _pending(a))
@@ -358,7 +395,7 @@ def state_summary(spark, sf_dir):
 
 @query(WITH_ASSETS + "SELECT count(captured_at) AS n_times, count(*) AS n FROM assets")
 def timestamp_coverage(spark, sf_dir):
-    return assets(spark, sf_dir).agg(F.count("captured_at").alias("n_times"), F.count(F.lit(1)).alias("n"))
+    return T.timestamp_coverage(assets(spark, sf_dir))
 
 
 GRID_SQL = "WITH g AS (SELECT vec_id AS asset_id, unnest(range(64)) AS k, least(1e0, greatest(0e0, 0.5e0 + 2e0 * unnest(embedding)::DOUBLE)) AS luma FROM embeddings)"
@@ -415,15 +452,21 @@ def review_progress(spark, sf_dir):
     return D.review_progress(R.cluster_order(R.cluster_summary(ranked(spark, sf_dir)))).select("cluster_id", "position", "total")
 
 
-@query(SCORED_SQL + "SELECT asset_id, round(score, 4) AS score, row_number() OVER (PARTITION BY path ORDER BY score, asset_id) AS position FROM score")
+@query(SCORED_SQL + "SELECT asset_id, round(score, 4) AS score, row_number() OVER (ORDER BY score, asset_id) AS position FROM score")
 def singles_worst_first(spark, sf_dir):
-    order = W.partitionBy("path").orderBy("score", "asset_id")
-    return Q.ensemble_score(labelled(spark, sf_dir)).select("asset_id", r("score"), F.row_number().over(order).alias("position"))
+    return D.singles_worst_first(Q.ensemble_score(labelled(spark, sf_dir))).select("asset_id", r("score"), "position")
+
+
+@query(SCORED_SQL + "SELECT asset_id, true AS kept_all, score >= 0.6e0 AS kept_good FROM score")
+def keep_overrides(spark, sf_dir):
+    """Keep all, and the threshold again over it."""
+    kept = D.keep_all(Q.ensemble_score(labelled(spark, sf_dir))).withColumn("kept_all", F.col("keep"))
+    return D.select_bad(kept, 0.6).select("asset_id", "kept_all", F.col("keep").alias("kept_good"))
 
 
 @query(SCORED_SQL + "SELECT asset_id, cluster_id, rank FROM ranked WHERE rank <= 3")
 def topk_per_cluster(spark, sf_dir):
-    return ranked(spark, sf_dir).where("rank <= 3").select("asset_id", "cluster_id", "rank")
+    return R.top_k(ranked(spark, sf_dir), 3).select("asset_id", "cluster_id", "rank")
 
 
 REGISTRY_SQL = """WITH e AS (SELECT md5(user_id::VARCHAR) AS folder, ts AS opened, event_type = 'signup' AS ran, event_id AS image_count FROM events),
@@ -517,7 +560,7 @@ def project_key(spark, sf_dir):
 
 @query("SELECT event_id, (props->>'k')::BIGINT AS k FROM events")
 def props_json(spark, sf_dir):
-    return load(spark, sf_dir, "events").select("event_id", F.from_json("props", "k long")["k"].alias("k"))
+    return load(spark, sf_dir, "events").select("event_id", P.json_field(F.col("props"), "k", "long").alias("k"))
 
 
 # Curation
@@ -537,18 +580,39 @@ def latest_decision(spark, sf_dir):
     return D.latest_decision(load(spark, sf_dir, "events").select("user_id", op.alias("op"), F.col("event_id").alias("seq")), "user_id")
 
 
-@query()
-def undo_fold(spark, sf_dir):
+UNDO_SQL = """WITH RECURSIVE log AS (SELECT user_id AS project, event_id AS seq, CASE event_type WHEN 'purchase' THEN 'confirm' WHEN 'error' THEN 'undo' ELSE 'restore' END AS op,
+    ['/p/' || (event_id % 7)::VARCHAR, '/p/' || (event_id % 3)::VARCHAR] AS paths FROM events WHERE event_type IN ('purchase', 'error', 'signup')),
+steps AS (SELECT *, row_number() OVER (PARTITION BY project ORDER BY seq) AS k FROM log),
+walk AS (SELECT DISTINCT project, 0::BIGINT AS k, NULL::BIGINT AS seq, []::BIGINT[] AS stack, NULL::BIGINT AS undone FROM log
+    UNION ALL SELECT s.project, s.k, s.seq, CASE s.op WHEN 'confirm' THEN list_append(stack, s.seq)[-10:] WHEN 'undo' THEN stack[:-2] ELSE stack END, CASE WHEN s.op = 'undo' THEN stack[-1] END
+    FROM walk w JOIN steps s ON s.project = w.project AND s.k = w.k + 1),
+undone AS (SELECT project, seq, undone AS confirm FROM walk WHERE undone IS NOT NULL) """
+
+
+def _log(spark, sf_dir):
     op = F.when(F.col("event_type") == "purchase", "confirm").when(F.col("event_type") == "error", "undo").when(F.col("event_type") == "signup", "restore")
     paths = F.array(F.concat(F.lit("/p/"), (F.col("event_id") % 7).cast("string")), F.concat(F.lit("/p/"), (F.col("event_id") % 3).cast("string")))
-    log = load(spark, sf_dir, "events").where(op.isNotNull()).select(F.col("user_id").alias("project"), F.col("event_id").alias("seq"), op.alias("op"), paths.alias("delete_paths"))
-    return D.undo_fold(log)
+    return load(spark, sf_dir, "events").where(op.isNotNull()).select(F.col("user_id").alias("project"), F.col("event_id").alias("seq"), op.alias("op"), paths.alias("delete_paths"))
+
+
+@query(UNDO_SQL + """, e AS (SELECT project, seq, unnest(paths) AS path, op = 'confirm' AS there FROM log WHERE op <> 'undo' UNION ALL SELECT u.project, u.seq, unnest(l.paths), false FROM undone u JOIN log l ON l.project = u.project AND l.seq = u.confirm)
+SELECT project, path FROM (SELECT project, path, max_by(there, seq) AS there FROM e GROUP BY ALL) WHERE there""")
+def undo_fold(spark, sf_dir):
+    return D.undo_fold(_log(spark, sf_dir))
+
+
+@query(UNDO_SQL + "SELECT project, seq, confirm FROM undone")
+def undone_confirms(spark, sf_dir):
+    return D.match_undos(_log(spark, sf_dir))[0]
 
 
-@query(WITH_ASSETS + r"""SELECT asset_id, CASE WHEN NOT (path = '/lib/src1' OR starts_with(path, '/lib/src1/')) THEN 'outside_root' WHEN path NOT IN (SELECT path FROM assets WHERE asset_id % 3 = 0) THEN 'missing' ELSE 'would_move' END AS status FROM assets""")
+@query(WITH_ASSETS + r""", st AS (SELECT asset_id, regexp_extract(path, '([^/]+)$', 1) AS name,
+    CASE WHEN NOT (path = '/lib/src1' OR starts_with(path, '/lib/src1/')) THEN 'outside_root' WHEN path NOT IN (SELECT path FROM assets WHERE asset_id % 3 = 0) THEN 'missing' ELSE 'would_move' END AS status FROM assets),
+k AS (SELECT *, row_number() OVER (PARTITION BY status, name ORDER BY asset_id) - 1 AS k FROM st)
+SELECT asset_id, status, CASE WHEN status = 'would_move' THEN CASE WHEN k = 0 THEN name ELSE regexp_extract(name, '^(.+?)(\.[^.]*)?$', 1) || '_' || k::VARCHAR || regexp_extract(name, '^.+?(\.[^.]*)?$', 1) END END AS dest FROM k""")
 def delete_plan(spark, sf_dir):
-    a = assets(spark, sf_dir).select("asset_id", "path")
-    return X.delete_plan(a, a.where("asset_id % 3 = 0"), "/lib/src1").select("asset_id", "status")
+    a = assets(spark, sf_dir).select("path", F.col("asset_id").alias("seq"))
+    return X.delete_plan(a, a.where("seq % 3 = 0"), "/lib/src1").select(F.col("seq").alias("asset_id"), "status", "dest")
 
 
 @query(SCORED_SQL + "SELECT cluster_id, asset_id, rank = 1 AS keep FROM (SELECT *, max(score) OVER (PARTITION BY cluster_id) AS best FROM ranked) WHERE best >= 0.85e0")

@@ -1,9 +1,12 @@
 """Curation operators on the small results fixture."""
 
+import random
+
 import pytest
 from pyspark.sql import functions as F
 
 from assetloom.operators import decisions as D, export as X, incremental as I, ranking as R
+from assetloom.operators.positions import with_position, with_rank
 from assetloom.sources import media as S, sinks as K
 
 ROWS = [
@@ -69,6 +72,73 @@ def test_undo(spark):
     assert sorted(r.path for r in out.collect()) == ["0", "1"]
 
 
+LOG = "project long, seq long, op string, delete_paths array<string>, all_paths array<string>"
+
+
+def test_undo_restores_results(spark, images):
+    """The fixture's session: confirm, undo, confirm again; a confirm of nothing leaves no entry."""
+    log = [(1, 1, "confirm", ["c1_b.JPG", "c1_c.JPG"], []), (1, 2, "confirm", [], []), (1, 3, "undo", None, None)]
+    df = spark.createDataFrame(log, LOG)
+    assert D.undo_fold(df).count() == 0 and paths(D.results_after(images, df)) == sorted(r[1] for r in ROWS)
+    undone, stack = D.match_undos(df)
+    assert [tuple(r) for r in undone.collect()] == [(1, 3, 1)] and not D.state_summary(images, listed(spark), stack=stack).first().undo_available
+    df = spark.createDataFrame([*log, (1, 4, "confirm", ["c1_b.JPG"], ["c1_a.JPG", "c1_b.JPG"]), (1, 5, "restore", ["c1_b.JPG"], None)], LOG)
+    left = D.results_after(images, df)
+    assert "c1_a.JPG" not in paths(left) and "c1_b.JPG" not in paths(left) and D.undo_fold(df).count() == 0
+    assert D.state_summary(left, listed(spark), stack=D.match_undos(df)[1]).first().undo_available
+
+
+def test_undo_over_parts(spark):
+    """Logs long enough to be walked in several parts, against a plain stack."""
+    rnd = random.Random(4)
+    log = [(p, s, rnd.choice(["confirm", "confirm", "undo", "undo", "restore"]), [f"p{rnd.randrange(30)}"], None) for p, n in ((1, 4000), (2, 300), (3, 5)) for s in range(n)]
+    want, stacks = set(), {}
+    for p in (1, 2, 3):
+        pending, stack = {}, []
+        for _, s, op, own, _ in (r for r in log if r[0] == p):
+            if op == "confirm":
+                pending |= dict.fromkeys(own)
+                stack = [*stack, own][-10:]
+            elif op == "restore" or stack:
+                for x in own if op == "restore" else stack.pop():
+                    pending.pop(x, None)
+        want |= {(p, x) for x in pending}
+        stacks[p] = len(stack)
+    rnd.shuffle(log)
+    df = spark.createDataFrame(log, LOG)
+    assert {tuple(r) for r in D.undo_fold(df).collect()} == want
+    assert {r[0]: r[1] for r in D.match_undos(df)[1].groupBy("project").count().collect()} == {p: n for p, n in stacks.items() if n}
+
+
+def test_confirm_without_all_paths(spark, images):
+    results, pending = D.confirm_batch(images, listed(spark), listed(spark, "s3.JPG"), listed(spark))
+    assert "s3.JPG" not in paths(results) and paths(pending) == ["s3.JPG"]
+    results, pending = D.confirm_batch(images, listed(spark, "x"), listed(spark), listed(spark))
+    assert paths(results) == sorted(r[1] for r in ROWS) and paths(pending) == ["x"]
+    assert D.change_counts(listed(spark, "a", "b", "b"), listed(spark, "b", "c", "c"), listed(spark, "b", "z")).first() == (2, 2)
+
+
+def test_positions(spark):
+    df = spark.range(1000).select((F.col("id") * 7919 % 1000).alias("x"), F.when(F.col("id") % 3 == 0, "hot").otherwise(F.col("id").cast("string")).alias("g"))
+    assert all(r.position == r.x + 1 for r in with_position(df, ["x"]).collect())
+    hot = sorted((r.x, r.k) for r in with_rank(df, "g", ["x"], "k").where("g = 'hot'").collect())
+    assert [k for _, k in hot] == list(range(1, 335))
+    assert with_position(df.where("false"), ["x"]).count() == 0
+
+
+def test_list_readers(spark, tmp_path):
+    (tmp_path / "pending.txt").write_text(" a \n\nb\n")
+    (tmp_path / "curation.json").write_text('{"deleted": ["x", "y"]}')
+    at = lambda name: f"file://{tmp_path}/{name}"
+    assert paths(S.read_pending(spark, at("pending.txt"))) == [" a ", "b"] and paths(S.read_pending(spark, at("pending.txt"), strip=True)) == ["a", "b"]
+    assert paths(S.read_deleted(spark, at("curation.json"), at("pending.txt"))) == ["x", "y"]
+    assert paths(S.read_deleted(spark, None, at("pending.txt"))) == [" a ", "b"] and S.read_deleted(spark, None, None).count() == 0
+    K.write_paths(listed(spark, "k", "l"), at("out"))
+    assert sorted(r.value for r in spark.read.text(at("out")).collect()) == ["k", "l"]
+    K.write_clusters(spark.createDataFrame([(1, 5), (1, 4), (2, 6)], "cluster_id long, asset_id long"), at("clusters"))
+    assert {r.cluster_id: r.members for r in spark.read.json(at("clusters")).collect()} == {1: [4, 5], 2: [6]}
+
+
 def test_export_names(spark):
     rows = [("/x/a.jpg", 1), ("/y/a.jpg", 2), ("/z/a_1.jpg", 3), ("/w/a.jpg", 4), ("/v/.hid", 5), ("/u/.hid", 6), ("/t/b", 7)]
     taken = spark.createDataFrame([("b",)], "name string")
@@ -78,9 +148,10 @@ def test_export_names(spark):
 
 
 def test_delete_plan(spark):
-    plan = X.delete_plan(listed(spark, "/r/a", "/rr/a", "/r/b"), listed(spark, "/r/a", "/rr/a"), "/r")
-    assert {r.path: r.status for r in plan.collect()} == {"/r/a": "would_move", "/rr/a": "outside_root", "/r/b": "missing"}
-    assert X.delete_summary(plan).first() == (1, 2)
+    listing = spark.createDataFrame([("/r/a.x", 1), ("/rr/a.x", 2), ("/r/b", 3), ("/r/s/a.x", 4)], "path string, seq long")
+    plan = X.delete_plan(listing, listed(spark, "/r/a.x", "/rr/a.x", "/r/s/a.x"), "/r", spark.createDataFrame([("a_1.x",)], "name string"))
+    assert {r.path: (r.status, r.dest) for r in plan.collect()} == {"/r/a.x": ("would_move", "a.x"), "/rr/a.x": ("outside_root", None), "/r/b": ("missing", None), "/r/s/a.x": ("would_move", "a_2.x")}
+    assert X.delete_summary(plan).first() == (2, 2)
 
 
 def test_refresh(spark):
