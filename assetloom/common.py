@@ -4,16 +4,17 @@ from __future__ import annotations
 
 import tempfile
 import uuid
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
 from contextlib import contextmanager
 from weakref import WeakKeyDictionary
 
 from pyspark.sql import DataFrame, SparkSession
 
 _OWN: dict[str, str] = {}
-#: Where the tables that materialize() has returned are written; and the lists of open scratch() blocks, innermost last.
+#: Where the tables that materialize() has returned are written; those of open stages, innermost last; those of past stages.
 _PATHS: WeakKeyDictionary[DataFrame, str] = WeakKeyDictionary()
-_SCRATCH: list[list[str]] = []
+_OPEN: list[list[str]] = []
+_NOTED: list[str] = []
 
 
 def load(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -33,20 +34,15 @@ def shared_dir(spark: SparkSession) -> str:
     return _OWN[app]
 
 
-def _written(df: DataFrame, tag: str) -> DataFrame:
+def materialize(df: DataFrame, tag: str) -> DataFrame:
+    """Writes ``df`` once to the shared folder and reads it back: cuts lineage and survives lost executors."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{tag}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     _PATHS[out] = path
-    return out
-
-
-def materialize(df: DataFrame, tag: str) -> DataFrame:
-    """Writes ``df`` once to the shared folder and reads it back: cuts lineage and survives lost executors."""
-    out = _written(df, tag)
-    if _SCRATCH:
-        _SCRATCH[-1].append(_PATHS[out])
+    if _OPEN:
+        _OPEN[-1].append(path)
     return out
 
 
@@ -63,13 +59,18 @@ def discard(df: DataFrame) -> None:
 
 
 @contextmanager
-def scratch(spark: SparkSession) -> Iterator[Callable[[DataFrame, str], DataFrame]]:
-    """Deletes at the end the tables that were written inside, but those written by the function it gives."""
-    own: list[str] = []
-    _SCRATCH.append(own)
+def stage_tables(docs: DataFrame, keep: bool = False) -> Iterator[None]:
+    """For the stages of a pipeline, each of which is given the written output of the one before: deletes the tables that
+    earlier stages wrote on their way, unless ``docs`` still reads them, and notes those written inside for the next.
+    With ``keep`` they are not noted."""
+    for path in list(_NOTED):
+        if not any(path.rsplit("/", 1)[1] in file for file in docs.inputFiles()):
+            _delete(docs.sparkSession, path)
+            _NOTED.remove(path)
+    _OPEN.append([])
     try:
-        yield _written
+        yield
     finally:
-        _SCRATCH.pop()
-        for path in own:
-            _delete(spark, path)
+        own = _OPEN.pop()
+        if not keep:
+            _NOTED.extend(own)

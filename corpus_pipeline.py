@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from assetloom.common import discard, load, scratch
+from assetloom.common import discard, load, materialize, stage_tables
 from assetloom.llm import decontaminate, jaccard_join, line_dedup, mixing, quality_rules
 
+Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 #: Near duplicates: shingles of five words, similarity of 0.8 or more.
 SHINGLE, PERCENT = 5, 80
 
@@ -41,12 +44,22 @@ def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return mixing.mix_documents(docs)
 
 
+def swept(stage: Stage, keep: bool = False) -> Stage:
+    """``stage`` with the tables of the stages before deleted, whose output its input is."""
+
+    def run_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        with stage_tables(docs, keep):
+            return stage(spark, docs, sf_dir)
+
+    return run_stage
+
+
 STAGES = [
-    ("quality rules", quality),
-    ("line dedup", lines),
-    ("n-gram Jaccard join", near_duplicates),
-    ("benchmark decontamination", decontamination),
-    ("mixing", mix),
+    ("quality rules", swept(quality)),
+    ("line dedup", swept(lines)),
+    ("n-gram Jaccard join", swept(near_duplicates)),
+    ("benchmark decontamination", swept(decontamination)),
+    ("mixing", swept(mix, keep=True)),
 ]
 
 #: The near-duplicate and mixing stages aren't SQL; tests hold run() against a brute-force version.
@@ -54,12 +67,11 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every stage's tables go when its output is written, and its input with them. Those of the last stage stay, as its
-    result is read from them."""
+    """A stage's output goes when the next one's is written. The tables of the last stage stay, as its result is read from
+    them."""
     docs = load(spark, sf_dir, "documents")
     for name, stage in STAGES[:-1]:
-        with scratch(spark) as written:
-            after = written(stage(spark, docs, sf_dir), name.replace(" ", "-"))
+        after = materialize(stage(spark, docs, sf_dir), name.replace(" ", "-"))
         discard(docs)
         docs = after
     return STAGES[-1][1](spark, docs, sf_dir)
