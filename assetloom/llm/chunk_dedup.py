@@ -80,7 +80,8 @@ def boundaries(text: bytes, min_bytes: int, avg_bytes: int, max_bytes: int) -> l
         ends.append(last)
     if n > last:
         ends.append(n)
-    return ends if text.isascii() else [_character_end(text, e) for e in ends]
+    # Two ends in the last character become one.
+    return ends if text.isascii() else list(dict.fromkeys(_character_end(text, e) for e in ends))
 
 
 def _character_end(text: bytes, end: int) -> int:

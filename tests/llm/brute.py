@@ -165,7 +165,7 @@ def chunks(text, gear, min_bytes=12, avg_bytes=32, max_bytes=128):
         out.append((last, end))
         last = end
     whole = lambda k: next(e for e in range(k, len(raw) + 1) if e == len(raw) or raw[e] & 0xC0 != 0x80)
-    return [(whole(a), whole(b)) for a, b in out]
+    return [(whole(a), whole(b)) for a, b in out if whole(a) < whole(b)]
 
 
 def spans(rows, gear, min_words=24):

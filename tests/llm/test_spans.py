@@ -47,3 +47,14 @@ def test_every_chunk_survives(spark, seed):
 def test_documents(spark, sf_dir):
     rows = [(r.doc_id, r.text) for r in load(spark, sf_dir, "documents").select("doc_id", "text").collect()]
     check(spark, rows)
+
+
+def test_chunks_of_wide_characters():
+    """Chunks are as the restatement has them and none is empty, wherever a cut falls in the last character."""
+    rnd = random.Random(2)
+    for n in range(1, 400):
+        text = "".join(rnd.choice("abcé日𝒳 ") for _ in range(n % 97)) + "𝒳"
+        ends = chunk_dedup.boundaries(text.encode(), 12, 32, 128)
+        assert list(zip([0, *ends], ends)) == B.chunks(text, chunk_dedup.GEAR) and all(a < b for a, b in zip([0, *ends], ends))
+        for a, b in zip([0, *ends], ends):
+            text.encode()[a:b].decode()
