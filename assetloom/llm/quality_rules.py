@@ -1,11 +1,14 @@
 """Quality rules with adaptive thresholds (operator 5). DataFrame functions only.
 
-Fixed cutoffs are replaced by upper fences, q75 + max(reach * (q75 - q25), slack), of each measure within a document's
-(language, source) group. The quantiles come from mergeable sketches: values fall into logarithmic bins of relative
-width 2 * accuracy, and a sketch is the count of each bin. Counts add up, so partial sketches merge exactly and in any
-order, and a quantile is off by at most ``accuracy`` times its value. A group smaller than ``min_group`` uses the sketch
-of its language, and a language smaller than that the sketch of all documents; both are merged from the group sketches,
-not counted again. A document is kept if it passes the base rules and no measure is above its fence.
+Fixed cutoffs are replaced by upper fences of each measure within a document's (language, source) group, taken over the
+documents that pass the base rules and show the measure (value above TINY): shares are spread over orders of magnitude, and
+most documents have none of some. The sketches are mergeable: values fall into logarithmic bins of relative width
+2 * accuracy, and a sketch is the count of each bin. Counts add up, so partial sketches merge exactly and in any order. A
+fence lies ``reach`` quartile distances above the upper quartile, both counted in bins: q75 * (q75 / q25) ** reach, within
+2 * accuracy for each quantile. No constant bounds it from below or above. Where fewer than ``min_group`` documents of a
+group show a measure, the fence of its language holds, else that of all documents, both from merged group sketches, not
+counted again; a measure that fewer than ``min_group`` of all documents show sets no fence. A document is kept if it passes
+the base rules and no measure is above its fence.
 
 Rows are measured once and written with their measures; a verdict then needs the fences of the row's group only, which
 are broadcast where they are few, so no text is moved.
@@ -25,8 +28,9 @@ from assetloom.common import materialize
 
 SPACE = r"[\x20\x09-\x0D]+"
 SYMBOLS = "#*$%&|<>"
-#: measure: slack below which a fence is never set
-SLACK = {"symbol_ratio": 0.02, "dup_line_ratio": 0.4, "repeat_ratio": 0.3, "upper_ratio": 0.15, "bang_ratio": 0.1}
+#: Shares of: characters of words that are no letter, mark or digit; symbols; repeated lines; words in repeated windows;
+#: upper case among letters; exclamation marks per word.
+MEASURES = ["mark_ratio", "symbol_ratio", "dup_line_ratio", "repeat_ratio", "upper_ratio", "bang_ratio"]
 #: Fences of so many groups are broadcast at most; those of more are joined by shuffle, dealt over SALTS.
 BROADCAST_GROUPS, SALTS = 100_000, 64
 #: Smallest value that a bin tells from zero.
@@ -96,16 +100,17 @@ def measure(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", sou
     base, n = repeated_windows(base), F.size("w")
     letters = F.length(F.regexp_replace("t", r"[^\p{L}]+", ""))
     upper = F.length(F.regexp_replace("t", r"[^\p{Lu}]+", ""))
+    marks = F.length(F.regexp_replace("t", r"[\p{L}\p{M}\p{N}\x20\x09-\x0D]+", ""))
     ratio = lambda a, b: F.when(b > 0, a / b).otherwise(0.0)
     counts = base.select(
         *names, "lang", "source", n.cast("long").alias("n_words"), F.length(F.array_join("w", "")).cast("long").alias("word_chars"),
         _count_chars(F.col("t"), SYMBOLS).cast("long").alias("n_symbols"), F.size("lines").cast("long").alias("n_lines"), (F.size("lines") - F.size(F.array_distinct("lines"))).cast("long").alias("n_dup_lines"),
-        F.coalesce(_covered(F.col("starts")), F.lit(0)).cast("long").alias("n_repeat_words"), _count_chars(F.col("t"), "!").cast("long").alias("n_bangs"), letters.alias("letters"), upper.alias("upper"),
+        F.coalesce(_covered(F.col("starts")), F.lit(0)).cast("long").alias("n_repeat_words"), _count_chars(F.col("t"), "!").cast("long").alias("n_bangs"), letters.alias("letters"), upper.alias("upper"), marks.alias("n_marks"),
     )
     return counts.select(
         *names, "lang", "source", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words",
         ((F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))).alias("base_failed"),
-        ratio(F.col("n_symbols"), F.col("word_chars")).alias("symbol_ratio"), ratio(F.col("n_dup_lines"), F.col("n_lines")).alias("dup_line_ratio"),
+        ratio(F.col("n_marks"), F.col("word_chars")).alias("mark_ratio"), ratio(F.col("n_symbols"), F.col("word_chars")).alias("symbol_ratio"), ratio(F.col("n_dup_lines"), F.col("n_lines")).alias("dup_line_ratio"),
         ratio(F.col("n_repeat_words"), F.col("n_words")).alias("repeat_ratio"), ratio(F.col("upper"), F.col("letters")).alias("upper_ratio"), ratio(F.col("n_bangs"), F.col("n_words")).alias("bang_ratio"),
     )
 
@@ -118,36 +123,34 @@ def sketch(measured: DataFrame, measures: list[str], accuracy: float) -> DataFra
     return measured.select("lang", "source", pairs.alias("p")).groupBy("lang", "source", F.col("p.measure").alias("measure"), binned.alias("bin")).agg(F.count(F.lit(1)).alias("n"))
 
 
-def fences(sketches: DataFrame, measures: list[str], accuracy: float, reach: float, by: list[str], slack: dict[str, float]) -> DataFrame:
-    """(by..., rows, fence_<measure>...) from sketches merged to the columns ``by``. A window holds one sketch only,
-    whose number of bins is bounded by the accuracy."""
-    merged = sketches.groupBy(*by, "measure", "bin").agg(F.sum("n").alias("n"))
+def fences(sketches: DataFrame, measures: list[str], accuracy: float, reach: float, by: list[str], min_group: int) -> DataFrame:
+    """(by..., fence_<measure>...) from sketches merged to the columns ``by``; null where fewer than ``min_group`` documents
+    show the measure. A window holds one sketch only, whose number of bins is bounded by the accuracy."""
+    merged = sketches.groupBy(*by, "measure", "bin").agg(F.sum(F.when(F.col("bin") > 0, F.col("n")).otherwise(0)).alias("n"))
     part = W.partitionBy(*by, "measure")
-    run = merged.withColumn("upto", F.sum("n").over(part.orderBy("bin").rowsBetween(W.unboundedPreceding, 0))).withColumn("rows", F.sum("n").over(part))
-    gamma = (1 + accuracy) / (1 - accuracy)
-    value = F.when(F.col("bin") == 0, F.lit(0.0)).otherwise(F.lit(TINY * 2 / (1 + gamma)) * F.pow(F.lit(gamma), F.col("bin").cast("double")))
-    q = lambda p: F.min(F.when(F.col("upto") >= F.ceil(p * F.col("rows")), F.col("value")))
-    quart = run.withColumn("value", value).groupBy(*by, "measure").agg(F.max("rows").alias("rows"), q(0.25).alias("q25"), q(0.75).alias("q75"))
-    slacks = reduce(lambda a, m: a.when(F.col("measure") == m, F.lit(slack[m])), measures[1:], F.when(F.col("measure") == measures[0], F.lit(slack[measures[0]])))
-    quart = quart.withColumn("fence", F.col("q75") + F.greatest(F.lit(reach) * (F.col("q75") - F.col("q25")), slacks))
-    return quart.groupBy(*by).agg(F.max("rows").alias("rows"), *[F.max(F.when(F.col("measure") == m, F.col("fence"))).alias(f"fence_{m}") for m in measures])
+    run = merged.withColumn("upto", F.sum("n").over(part.orderBy("bin").rowsBetween(W.unboundedPreceding, 0))).withColumn("shown", F.sum("n").over(part))
+    q = lambda p: F.min(F.when((F.col("bin") > 0) & (F.col("upto") >= F.ceil(p * F.col("shown"))), F.col("bin")))
+    quart = run.groupBy(*by, "measure").agg(F.max("shown").alias("shown"), q(0.25).alias("b25"), q(0.75).alias("b75"))
+    # The upper end of the bin, so that values like the quartile itself are never above.
+    edge = F.lit(TINY) * F.pow(F.lit((1 + accuracy) / (1 - accuracy)), F.col("b75") + F.lit(float(reach)) * (F.col("b75") - F.col("b25")))
+    quart = quart.withColumn("fence", F.when(F.col("shown") >= min_group, edge))
+    return quart.groupBy(*by).agg(*[F.max(F.when(F.col("measure") == m, F.col("fence"))).alias(f"fence_{m}") for m in measures])
 
 
-def with_verdict(docs: DataFrame, carry: list[Column], text_col: str = "text", lang_col: str = "lang", source_col: str = "source", accuracy: float = 0.01, reach: float = 3.0, min_group: int = 200, slack: dict[str, float] | None = None) -> DataFrame:
+def with_verdict(docs: DataFrame, carry: list[Column], text_col: str = "text", lang_col: str = "lang", source_col: str = "source", accuracy: float = 0.01, reach: float = 3.0, min_group: int = 200, measures: list[str] | None = None) -> DataFrame:
     """kept_0, kept_1, ... (the ``carry`` columns), the counts, base_failed, kept and the measures of every row."""
-    slack = slack or SLACK
-    measures = list(slack)
+    measures = measures or MEASURES
     # Null groups get keys of their own, so that the joins below are plain equi-joins.
     key = lambda c: F.when(F.col(c).isNull(), F.lit("n")).otherwise(F.concat(F.lit("s"), F.col(c).cast("string")))
     measured = measure(docs, text_col, lang_col, source_col, carry).withColumns({"lang": key("lang"), "source": key("source")})
     measured = materialize(measured, "quality")
-    sketches = materialize(sketch(measured, measures, accuracy), "quality-sketch")
+    sketches = materialize(sketch(measured.where(~F.col("base_failed")), measures, accuracy), "quality-sketch")
     names = [f"fence_{m}" for m in measures]
-    group = fences(sketches, measures, accuracy, reach, ["lang", "source"], slack)
-    lang = fences(sketches, measures, accuracy, reach, ["lang"], slack).select("lang", F.col("rows").alias("lang_rows"), F.struct(*names).alias("of_lang"))
-    whole = fences(sketches.withColumn("all", F.lit(0)), measures, accuracy, reach, ["all"], slack).select("all", F.struct(*names).alias("of_all"))
+    group = fences(sketches, measures, accuracy, reach, ["lang", "source"], min_group)
+    lang = fences(sketches, measures, accuracy, reach, ["lang"], min_group).select("lang", F.struct(*names).alias("of_lang"))
+    whole = fences(sketches.withColumn("all", F.lit(0)), measures, accuracy, reach, ["all"], min_group).select("all", F.struct(*names).alias("of_all"))
     limits = group.withColumn("all", F.lit(0)).join(lang, "lang").join(whole, "all")
-    chosen = F.when(F.col("rows") >= min_group, F.struct(*names)).when(F.col("lang_rows") >= min_group, F.col("of_lang")).otherwise(F.col("of_all"))
+    chosen = F.struct(*[F.coalesce(n, f"of_lang.{n}", f"of_all.{n}").alias(n) for n in names])
     limits = materialize(limits.select("lang", "source", chosen.alias("limit")), "quality-limits")
     if limits.count() <= BROADCAST_GROUPS:
         judged = measured.join(F.broadcast(limits), ["lang", "source"], "left")
@@ -155,15 +158,15 @@ def with_verdict(docs: DataFrame, carry: list[Column], text_col: str = "text", l
         # A group may hold a third of all rows: it is dealt over salts, and the limits, one row per group, go to each.
         salted = limits.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
         judged = measured.withColumn("salt", F.floor(F.rand(7) * SALTS).cast("int")).join(salted, ["lang", "source", "salt"], "left")
-    above = reduce(lambda a, m: a | (F.col(m) > F.col(f"limit.fence_{m}")), measures, F.lit(False))
-    return judged.withColumn("kept", ~F.col("base_failed") & ~F.coalesce(above, F.lit(False)))
+    above = reduce(lambda a, m: a | F.coalesce(F.col(m) > F.col(f"limit.fence_{m}"), F.lit(False)), measures, F.lit(False))
+    return judged.withColumn("kept", ~F.col("base_failed") & ~above)
 
 
 def judge(docs: DataFrame, id_col: str = "doc_id", **options) -> DataFrame:
     """One row per document: id, the counts, base_failed, kept, the measures."""
     out = with_verdict(docs, [F.col(id_col)], **options)
     counts = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept"]
-    return out.select(F.col("kept_0").alias(id_col), *counts, *(options.get("slack") or SLACK))
+    return out.select(F.col("kept_0").alias(id_col), *counts, *(options.get("measures") or MEASURES))
 
 
 def filter_quality(docs: DataFrame, **options) -> DataFrame:

@@ -68,33 +68,34 @@ cover AS (SELECT doc_id, count(DISTINCT i + o) AS n FROM twice, (VALUES (0), (1)
 c AS (SELECT w.doc_id, lang, source, len(w)::BIGINT AS n_words, length(array_to_string(w, ''))::BIGINT AS word_chars,
         length(regexp_replace(t, '[^#*$%&|<>]+', '', 'g'))::BIGINT AS n_symbols, len(ls)::BIGINT AS n_lines,
         (len(ls) - len(list_distinct(ls)))::BIGINT AS n_dup_lines, coalesce(cover.n, 0)::BIGINT AS n_repeat_words,
-        length(regexp_replace(t, '[^!]+', '', 'g')) AS n_bangs, length(regexp_replace(t, '[^\p{L}]+', '', 'g')) AS letters,
+        length(regexp_replace(t, '[^!]+', '', 'g')) AS n_bangs, length(regexp_replace(t, '[\p{L}\p{M}\p{N}\x20\x09-\x0D]+', '', 'g')) AS n_marks, length(regexp_replace(t, '[^\p{L}]+', '', 'g')) AS letters,
         length(regexp_replace(t, '[^\p{Lu}]+', '', 'g')) AS upper FROM w LEFT JOIN cover USING (doc_id)),
 m AS (SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed,
+        CASE WHEN word_chars > 0 THEN n_marks / word_chars ELSE 0e0 END AS mark_ratio,
         CASE WHEN word_chars > 0 THEN n_symbols / word_chars ELSE 0e0 END AS symbol_ratio,
         CASE WHEN n_lines > 0 THEN n_dup_lines / n_lines ELSE 0e0 END AS dup_line_ratio,
         CASE WHEN n_words > 0 THEN n_repeat_words / n_words ELSE 0e0 END AS repeat_ratio,
         CASE WHEN letters > 0 THEN upper / letters ELSE 0e0 END AS upper_ratio,
         CASE WHEN n_words > 0 THEN n_bangs / n_words ELSE 0e0 END AS bang_ratio FROM c),
-long AS (SELECT doc_id, coalesce(lang, chr(0)) AS lang, coalesce(source, chr(0)) AS source, measure, value, slack FROM (
-    SELECT doc_id, lang, source, 'symbol' AS measure, symbol_ratio AS value, 0.02e0 AS slack FROM m
-    UNION ALL SELECT doc_id, lang, source, 'dup_line', dup_line_ratio, 0.4e0 FROM m
-    UNION ALL SELECT doc_id, lang, source, 'repeat', repeat_ratio, 0.3e0 FROM m
-    UNION ALL SELECT doc_id, lang, source, 'upper', upper_ratio, 0.15e0 FROM m
-    UNION ALL SELECT doc_id, lang, source, 'bang', bang_ratio, 0.1e0 FROM m)),
-bins AS (SELECT lang, source, measure, slack, CASE WHEN value > 1e-4 THEN ceil(ln(value / 1e-4) / ln(1.01e0 / 0.99e0)) ELSE 0 END AS bin, count(*) AS n FROM long GROUP BY ALL),
-level AS (SELECT 2 AS lv, lang, source, measure, slack, bin, n FROM bins
-    UNION ALL SELECT 1, lang, NULL, measure, slack, bin, sum(n) FROM bins GROUP BY ALL
-    UNION ALL SELECT 0, NULL, NULL, measure, slack, bin, sum(n) FROM bins GROUP BY ALL),
-run AS (SELECT *, sum(n) OVER (PARTITION BY lv, lang, source, measure ORDER BY bin) AS upto, sum(n) OVER (PARTITION BY lv, lang, source, measure) AS rows,
-    CASE WHEN bin = 0 THEN 0e0 ELSE 1e-4 * 2 / (1 + 1.01e0 / 0.99e0) * pow(1.01e0 / 0.99e0, bin) END AS value FROM level),
-quart AS (SELECT lv, lang, source, measure, slack, max(rows) AS rows, min(value) FILTER (WHERE upto >= ceil(0.25e0 * rows)) AS q25, min(value) FILTER (WHERE upto >= ceil(0.75e0 * rows)) AS q75 FROM run GROUP BY ALL),
-fence AS (SELECT lv, lang, source, measure, rows, q75 + greatest(3e0 * (q75 - q25), slack) AS fence FROM quart),
-above AS (SELECT l.doc_id, bool_or(l.value > CASE WHEN g.rows >= 200 THEN g.fence WHEN b.rows >= 200 THEN b.fence ELSE a.fence END) AS bad FROM long l
-    JOIN fence g ON g.lv = 2 AND g.lang = l.lang AND g.source = l.source AND g.measure = l.measure
-    JOIN fence b ON b.lv = 1 AND b.lang = l.lang AND b.measure = l.measure
-    JOIN fence a ON a.lv = 0 AND a.measure = l.measure GROUP BY l.doc_id)
-SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND NOT bad AS kept FROM m JOIN above USING (doc_id)
+long AS (SELECT doc_id, coalesce(lang, chr(0)) AS lang, coalesce(source, chr(0)) AS source, measure, value FROM (
+    SELECT doc_id, lang, source, 'mark' AS measure, mark_ratio AS value FROM m WHERE NOT base_failed
+    UNION ALL SELECT doc_id, lang, source, 'symbol', symbol_ratio FROM m WHERE NOT base_failed
+    UNION ALL SELECT doc_id, lang, source, 'dup_line', dup_line_ratio FROM m WHERE NOT base_failed
+    UNION ALL SELECT doc_id, lang, source, 'repeat', repeat_ratio FROM m WHERE NOT base_failed
+    UNION ALL SELECT doc_id, lang, source, 'upper', upper_ratio FROM m WHERE NOT base_failed
+    UNION ALL SELECT doc_id, lang, source, 'bang', bang_ratio FROM m WHERE NOT base_failed)),
+bins AS (SELECT lang, source, measure, ceil(ln(value / 1e-4) / ln(1.01e0 / 0.99e0)) AS bin, count(*) AS n FROM long WHERE value > 1e-4 GROUP BY ALL),
+level AS (SELECT 2 AS lv, lang, source, measure, bin, n FROM bins
+    UNION ALL SELECT 1, lang, NULL, measure, bin, sum(n) FROM bins GROUP BY ALL
+    UNION ALL SELECT 0, NULL, NULL, measure, bin, sum(n) FROM bins GROUP BY ALL),
+run AS (SELECT *, sum(n) OVER (PARTITION BY lv, lang, source, measure ORDER BY bin) AS upto, sum(n) OVER (PARTITION BY lv, lang, source, measure) AS shown FROM level),
+quart AS (SELECT lv, lang, source, measure, max(shown) AS shown, min(bin) FILTER (WHERE upto >= ceil(0.25e0 * shown)) AS b25, min(bin) FILTER (WHERE upto >= ceil(0.75e0 * shown)) AS b75 FROM run GROUP BY ALL),
+fence AS (SELECT lv, lang, source, measure, 1e-4 * pow(1.01e0 / 0.99e0, b75 + 3e0 * (b75 - b25)) AS fence FROM quart WHERE shown >= 200),
+above AS (SELECT l.doc_id, bool_or(coalesce(l.value > coalesce(g.fence, b.fence, a.fence), FALSE)) AS bad FROM long l
+    LEFT JOIN fence g ON g.lv = 2 AND g.lang = l.lang AND g.source = l.source AND g.measure = l.measure
+    LEFT JOIN fence b ON b.lv = 1 AND b.lang = l.lang AND b.measure = l.measure
+    LEFT JOIN fence a ON a.lv = 0 AND a.measure = l.measure GROUP BY l.doc_id)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND NOT coalesce(bad, FALSE) AS kept FROM m LEFT JOIN above USING (doc_id)
 """
 
 

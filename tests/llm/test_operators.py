@@ -1,5 +1,6 @@
 """Each operator against a plain restatement, on documents with nulls, blanks, ties, repeats and clashing columns."""
 
+import math
 import random
 import zlib
 
@@ -193,7 +194,7 @@ def test_quality_rules(spark, odd, none, monkeypatch):
 
 def test_rows_of_one_text_have_their_own_verdict(spark):
     long = " ".join(f"w{k}" for k in range(60))
-    rows = [(1, long + "!" * 40, "en", "loud"), (1, long + "!" * 40, "en", "calm"), *[(k, long + "!" * 40, "en", "loud") for k in range(2, 9)], *[(k, long, "en", "calm") for k in range(10, 20)]]
+    rows = [(1, long + "!" * 40, "en", "loud"), (1, long + "!" * 40, "en", "calm"), *[(k, long + "!" * 40, "en", "loud") for k in range(2, 9)], *[(k, long + ".", "en", "calm") for k in range(10, 20)]]
     kept = quality_rules.filter_quality(spark.createDataFrame(rows, "doc_id long, text string, lang string, source string"), min_group=5)
     assert {(r.doc_id, r.source) for r in kept.collect() if r.doc_id == 1} == {(1, "loud")}
 
@@ -202,11 +203,31 @@ def test_quality_sketches_merge(spark):
     rows = [(("a", "b")[k % 2], float(k % 97) / 97) for k in range(1000)]
     df = spark.createDataFrame(rows, "source string, m double").withColumn("lang", F.lit("x"))
     s = quality_rules.sketch(df, ["m"], 0.01)
-    f = {tuple(r)[:1]: r.fence_m for r in quality_rules.fences(s, ["m"], 0.01, 0.0, ["source"], {"m": 0.0}).collect()}
-    both = quality_rules.fences(s, ["m"], 0.01, 0.0, ["lang"], {"m": 0.0}).first().fence_m
-    exact = lambda v: sorted(v)[-(-3 * len(v) // 4) - 1]
-    assert both == pytest.approx(exact([v for _, v in rows]), rel=0.011)
-    assert all(f[x,] == pytest.approx(exact([v for y, v in rows if y == x]), rel=0.011) for x in "ab")
+    f = {tuple(r)[:1]: r.fence_m for r in quality_rules.fences(s, ["m"], 0.01, 0.0, ["source"], 1).collect()}
+    both = quality_rules.fences(s, ["m"], 0.01, 0.0, ["lang"], 1).first().fence_m
+    level = lambda v, p: sorted(x for x in v if x)[math.ceil(p * sum(x > 0 for x in v)) - 1]
+    bin_width = 1.01 / 0.99
+    # A fence without reach is the upper end of the bin of the upper quartile.
+    for fence, of in [(both, "ab"), (f["a",], "a"), (f["b",], "b")]:
+        q75 = level([v for y, v in rows if y in of], 0.75)
+        assert q75 <= fence <= q75 * bin_width * (1 + 1e-9)
+    wide = quality_rules.fences(s, ["m"], 0.01, 3.0, ["lang"], 1).first().fence_m
+    values = [v for _, v in rows]
+    assert wide == pytest.approx(level(values, 0.75) * (level(values, 0.75) / level(values, 0.25)) ** 3, rel=0.09)
+    # Zeros are not counted, and too few documents that show a measure set no fence.
+    shown = sum(v > 0 for v in values)
+    assert quality_rules.fences(s, ["m"], 0.01, 3.0, ["lang"], shown).first().fence_m == wide
+    assert quality_rules.fences(s, ["m"], 0.01, 3.0, ["lang"], shown + 1).first().fence_m is None
+
+
+def test_fences_move_with_the_group(spark):
+    """The same share of marks goes in a source that has few of them and stays in one that has many."""
+    words = " ".join(f"w{k}" for k in range(120))
+    text = lambda marks: words + " " + "." * marks
+    rows = [(k, text(2 + k % 2), "en", "plain") for k in range(20)] + [(100 + k, text(30 + 10 * (k % 3)), "en", "dotted") for k in range(20)]
+    rows += [(50, text(40), "en", "plain"), (51, text(40), "en", "dotted")]
+    got = {r.doc_id: r.kept for r in quality_rules.judge(spark.createDataFrame(rows, "doc_id long, text string, lang string, source string"), min_group=10).collect()}
+    assert [k for k, kept in got.items() if not kept] == [50]
 
 
 def test_rule_ensemble(spark, odd, none):
