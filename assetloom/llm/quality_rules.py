@@ -25,9 +25,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from assetloom.common import materialize
+from assetloom.llm.text import SYMBOLS, count_chars, lines_of, n_letters, n_upper, ratio, words_of
 
-SPACE = r"[\x20\x09-\x0D]+"
-SYMBOLS = "#*$%&|<>"
 #: Shares of: characters of words that are no letter, mark or digit; symbols; repeated lines; words in repeated windows;
 #: upper case among letters; exclamation marks per word.
 MEASURES = ["mark_ratio", "symbol_ratio", "dup_line_ratio", "repeat_ratio", "upper_ratio", "bang_ratio"]
@@ -37,16 +36,6 @@ BROADCAST_GROUPS, SALTS = 100_000, 64
 TINY = 1e-4
 
 
-def words_of(text: Column) -> Column:
-    """The words of a text, in order; empty for null."""
-    return F.filter(F.split(F.coalesce(text, F.lit("")), SPACE), lambda w: w != "")
-
-
-def _count_chars(text: Column, chars: str) -> Column:
-    """How many characters of ``text`` are among the ASCII ``chars``: the bytes that removing each of them saves."""
-    return reduce(lambda a, c: a + (F.octet_length(text) - F.octet_length(F.replace(text, F.lit(c), F.lit("")))), chars, F.lit(0))
-
-
 def _covered(starts: Column) -> Column:
     """Positions covered by 3-word windows at the sorted ``starts``: each adds the gap to the next, at most 3."""
     step = F.transform(starts, lambda s, k: F.least(F.lit(3).cast("long"), F.coalesce(F.get(starts, k + 1) - s, F.lit(3).cast("long"))))
@@ -96,23 +85,37 @@ def measure(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", sou
     kept = [c.alias(f"kept_{k}") for k, c in enumerate(carry or [])]
     names = [f"kept_{k}" for k in range(len(kept))]
     base = docs.select(*kept, F.col(lang_col).alias("lang"), F.col(source_col).alias("source"), F.coalesce(F.col(text_col), F.lit("")).alias("t"))
-    base = base.withColumn("w", words_of(F.col("t"))).withColumn("lines", F.filter(F.split("t", "\n"), lambda x: x.rlike(r"[^\x20\x09-\x0D]")))
+    base = base.withColumn("w", words_of(F.col("t"))).withColumn("lines", lines_of(F.col("t")))
     base, n = repeated_windows(base), F.size("w")
-    letters = F.length(F.regexp_replace("t", r"[^\p{L}]+", ""))
-    upper = F.length(F.regexp_replace("t", r"[^\p{Lu}]+", ""))
     marks = F.length(F.regexp_replace("t", r"[\p{L}\p{M}\p{N}\x20\x09-\x0D]+", ""))
-    ratio = lambda a, b: F.when(b > 0, a / b).otherwise(0.0)
+    text, n_lines = F.col("t"), F.size("lines")
     counts = base.select(
-        *names, "lang", "source", n.cast("long").alias("n_words"), F.length(F.array_join("w", "")).cast("long").alias("word_chars"),
-        _count_chars(F.col("t"), SYMBOLS).cast("long").alias("n_symbols"), F.size("lines").cast("long").alias("n_lines"), (F.size("lines") - F.size(F.array_distinct("lines"))).cast("long").alias("n_dup_lines"),
-        F.coalesce(_covered(F.col("starts")), F.lit(0)).cast("long").alias("n_repeat_words"), _count_chars(F.col("t"), "!").cast("long").alias("n_bangs"), letters.alias("letters"), upper.alias("upper"), marks.alias("n_marks"),
-    )
+        *names,
+        "lang",
+        "source",
+        n.cast("long").alias("n_words"),
+        F.length(F.array_join("w", "")).cast("long").alias("word_chars"),
+        count_chars(text, SYMBOLS).cast("long").alias("n_symbols"),
+        n_lines.cast("long").alias("n_lines"),
+        (n_lines - F.size(F.array_distinct("lines"))).cast("long").alias("n_dup_lines"),
+        F.coalesce(_covered(F.col("starts")), F.lit(0)).cast("long").alias("n_repeat_words"),
+        count_chars(text, "!").cast("long").alias("n_bangs"),
+        n_letters(text).alias("letters"),
+        n_upper(text).alias("upper"),
+        marks.alias("n_marks"),
+    )
+    share = lambda a, b, name: ratio(F.col(a), F.col(b)).alias(name)
     return counts.select(
-        *names, "lang", "source", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words",
+        *names,
+        *("lang", "source", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"),
         ((F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))).alias("base_failed"),
-        ratio(F.col("n_marks"), F.col("word_chars")).alias("mark_ratio"), ratio(F.col("n_symbols"), F.col("word_chars")).alias("symbol_ratio"), ratio(F.col("n_dup_lines"), F.col("n_lines")).alias("dup_line_ratio"),
-        ratio(F.col("n_repeat_words"), F.col("n_words")).alias("repeat_ratio"), ratio(F.col("upper"), F.col("letters")).alias("upper_ratio"), ratio(F.col("n_bangs"), F.col("n_words")).alias("bang_ratio"),
-    )
+        share("n_marks", "word_chars", "mark_ratio"),
+        share("n_symbols", "word_chars", "symbol_ratio"),
+        share("n_dup_lines", "n_lines", "dup_line_ratio"),
+        share("n_repeat_words", "n_words", "repeat_ratio"),
+        share("upper", "letters", "upper_ratio"),
+        share("n_bangs", "n_words", "bang_ratio"),
+    )
 
 
 def sketch(measured: DataFrame, measures: list[str], accuracy: float) -> DataFrame:

@@ -24,31 +24,34 @@ from pyspark.sql import Column, DataFrame, functions as F
 from assetloom.common import materialize
 from assetloom.llm.langid import held_out
 from assetloom.llm.rows import sample_of
+from assetloom.llm.text import SYMBOLS, count_chars, lines_of, n_letters, n_upper, ratio, words_of
 
 Condition = tuple[int, str, float]
-SPACE = r"[\x20\x09-\x0D]+"
-SYMBOLS = "#*$%&|<>"
-STATISTICS = ["n_words", "mean_word", "symbol_ratio", "bar_ratio", "bang_ratio", "upper_ratio", "digit_ratio", "dup_line_ratio", "words_per_line", "distinct_ratio", "stop_ratio"]
-
-
-def _count_chars(text: Column, chars: str) -> Column:
-    return reduce(lambda a, c: a + (F.octet_length(text) - F.octet_length(F.replace(text, F.lit(c), F.lit("")))), chars, F.lit(0))
+STATISTICS = [
+    *("n_words", "mean_word", "symbol_ratio", "bar_ratio", "bang_ratio", "upper_ratio", "digit_ratio"),
+    *("dup_line_ratio", "words_per_line", "distinct_ratio", "stop_ratio"),
+]
 
 
 def text_statistics(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """(id, statistics...) of every whole text."""
     t = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("t"))
-    t = t.withColumn("w", F.filter(F.split("t", SPACE), lambda w: w != "")).withColumn("lines", F.filter(F.split("t", "\n"), lambda x: x.rlike(r"[^\x20\x09-\x0D]")))
+    t, text = t.withColumn("w", words_of(F.col("t"))).withColumn("lines", lines_of(F.col("t"))), F.col("t")
     n, chars, lines = F.size("w"), F.length(F.array_join("w", "")), F.size("lines")
-    ratio = lambda a, b: F.when(b > 0, a / b).otherwise(0.0)
-    letters, text = F.length(F.regexp_replace("t", r"[^\p{L}]+", "")), F.col("t")
     return t.select(
-        "id", n.cast("double").alias("n_words"), ratio(chars, n).alias("mean_word"), ratio(_count_chars(text, SYMBOLS), chars).alias("symbol_ratio"),
-        ratio(_count_chars(text, "|"), n).alias("bar_ratio"), ratio(_count_chars(text, "!"), n).alias("bang_ratio"),
-        ratio(F.length(F.regexp_replace("t", r"[^\p{Lu}]+", "")), letters).alias("upper_ratio"), ratio(_count_chars(text, "0123456789"), chars).alias("digit_ratio"),
-        ratio(lines - F.size(F.array_distinct("lines")), lines).alias("dup_line_ratio"), ratio(n, lines).alias("words_per_line"),
-        ratio(F.size(F.array_distinct("w")), n).alias("distinct_ratio"), ratio(F.size(F.filter("w", lambda w: F.length(w) <= 3)), n).alias("stop_ratio"),
-    )
+        "id",
+        n.cast("double").alias("n_words"),
+        ratio(chars, n).alias("mean_word"),
+        ratio(count_chars(text, SYMBOLS), chars).alias("symbol_ratio"),
+        ratio(count_chars(text, "|"), n).alias("bar_ratio"),
+        ratio(count_chars(text, "!"), n).alias("bang_ratio"),
+        ratio(n_upper(text), n_letters(text)).alias("upper_ratio"),
+        ratio(count_chars(text, "0123456789"), chars).alias("digit_ratio"),
+        ratio(lines - F.size(F.array_distinct("lines")), lines).alias("dup_line_ratio"),
+        ratio(n, lines).alias("words_per_line"),
+        ratio(F.size(F.array_distinct("w")), n).alias("distinct_ratio"),
+        ratio(F.size(F.filter("w", lambda w: F.length(w) <= 3)), n).alias("stop_ratio"),
+    )
 
 
 def rules_of(debug: str) -> list[tuple[Condition, ...]]:
