@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import string
+
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from assetloom.common import load
-from assetloom.llm import chunk_dedup, decontaminate, fixity, jaccard_join, langid, line_dedup, mixing, quality_rules, rule_ensemble, urls
+from assetloom.llm import chunk_dedup, decontaminate, fixity, jaccard_join, langid, line_dedup, manifest, mixing, quality_rules, rule_ensemble, urls
 
 URL_RULES = [("block", "com", "/en/"), ("allow", "example.com", "/en/7"), ("allow", "net", "/de/"), ("block", "example.net", "/de/8"), ("block", "org", "/es/")]
 
@@ -159,5 +161,52 @@ SELECT d.doc_id, coalesce(max(n.n), 0)::BIGINT AS n_shingles, min(r.c) AS compon
 """
 
 
-QUERIES = {"op1_line_dedup": op1_line_dedup, "op2_decontamination": op2_decontamination, "op3_substring_dedup": op3_substring_dedup, "op4_language_id": op4_language_id, "op5_quality_rules": op5_quality_rules, "op6_quality_classifier": op6_quality_classifier, "op7_warc_fixity": op7_warc_fixity, "op8_url_filters": op8_url_filters, "op9_jaccard_join": op9_jaccard_join, "op10_mixing": op10_mixing}
-ORACLE = {"op1_line_dedup": OP1_SQL, "op2_decontamination": OP2_SQL, "op5_quality_rules": OP5_SQL, "op7_warc_fixity": OP7_SQL, "op8_url_filters": OP8_SQL, "op9_jaccard_join": OP9_SQL}
+def op13_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every row's proof, and what it says of the row after tampering: texts in lower case where 5 divides the id's CRC."""
+    docs, text = load(spark, sf_dir, "documents"), F.col("text")
+    hit = F.crc32(F.col("doc_id").cast("string")) % 5 == 0
+    suspect = F.when(hit, F.translate(text, string.ascii_uppercase, string.ascii_lowercase)).otherwise(text)
+    found = manifest.leaf_digest([suspect if c == "text" else F.col(c) for c in manifest.COLUMNS])
+    proofs = manifest.build_manifest(docs, carry={"doc_id": F.col("doc_id"), "found": found}).proofs()
+    out = proofs.select("doc_id", "leaf", "subroot", "root", manifest.proof_digest(F.col("proof")).alias("proof_sha256"), manifest.fold_proof(F.col("found"), F.col("proof")).alias("folded_root"))
+    return out.withColumn("verified", F.col("folded_root") == F.col("root"))
+
+
+def _op13_sql(levels: int = 6, upper: int = 3) -> str:
+    """The tree level by level, for up to 16 ** levels rows of a source and 16 ** upper sources."""
+    part = lambda c: f"CASE WHEN {c} IS NULL THEN '-' ELSE strlen({c}::VARCHAR)::VARCHAR || ':' || {c}::VARCHAR END"
+    hash_of = lambda text: "sha256(" + " || ".join(part(text if c == "text" else c) for c in manifest.COLUMNS) + ")"
+    crc = "list_reduce(list_prepend(4294967295::BIGINT, list_transform(string_split(doc_id::VARCHAR, ''), lambda c: ascii(c)::BIGINT)), lambda h, c: STEP)"
+    step = "xor(h, c)"
+    for _ in range(8):
+        step = f"list_transform([{step}], lambda x: xor(x >> 1, (x & 1) * 3988292384))[1]"
+    crc = f"xor({crc.replace('STEP', step)}, 4294967295)"
+    lowered = "translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+    tables = [
+        f"d AS (SELECT *, coalesce('s' || source, '') AS k, {hash_of('text')} AS leaf, CASE WHEN {crc} % 5 = 0 THEN {hash_of(lowered)} ELSE {hash_of('text')} END AS found FROM documents)",
+        "a0 AS (SELECT doc_id, found, leaf, k, leaf AS h, row_number() OVER (PARTITION BY k ORDER BY doc_id NULLS FIRST, leaf) - 1 AS i, count(*) OVER (PARTITION BY k) AS n FROM d)",
+    ]
+
+    def climb(t: str, steps: int) -> None:
+        run, size = "PARTITION BY k, i // 16 ORDER BY i ROWS BETWEEN", "CASE WHEN n > 1 THEN coalesce(string_agg(h, '') OVER ({}), '') ELSE '' END"
+        for x in range(steps):
+            if x:
+                tables.append(f"{t}{x} AS (SELECT k, i // 16 AS i, (n + 15) // 16 AS n, CASE WHEN n > 1 THEN sha256(string_agg(h, '' ORDER BY i)) ELSE min(h) END AS h FROM {t}{x - 1} GROUP BY k, i // 16, n)")
+            tables.append(f"{t}s{x} AS (SELECT k, i, n, h, {size.format(run + ' UNBOUNDED PRECEDING AND 1 PRECEDING')} AS l, {size.format(run + ' 1 FOLLOWING AND UNBOUNDED FOLLOWING')} AS r FROM {t}{x})")
+
+    climb("a", levels + 1)
+    tables.append(f"u0 AS (SELECT '' AS k, k AS source_key, h, row_number() OVER (ORDER BY k) - 1 AS i, count(*) OVER () AS n FROM a{levels})")
+    climb("u", upper + 1)
+    steps = [f"as{x}" for x in range(levels)] + [f"us{x}" for x in range(upper)]
+    fold = "a0.found"
+    for s in steps:
+        fold = f"CASE WHEN {s}.n > 1 THEN sha256({s}.l || {fold} || {s}.r) ELSE {fold} END"
+    joins = " ".join(f"JOIN as{x} ON as{x}.k = a0.k AND as{x}.i = a0.i // {16**x}" for x in range(levels))
+    joins += " JOIN u0 ON u0.source_key = a0.k " + " ".join(f"JOIN us{x} ON us{x}.i = u0.i // {16**x}" for x in range(upper))
+    proof = " || ".join(f"{s}.l || {s}.r" for s in steps)
+    tables.append(f"p AS (SELECT doc_id, leaf, u0.h AS subroot, (SELECT h FROM u{upper}) AS root, sha256({proof}) AS proof_sha256, {fold} AS folded_root FROM a0 {joins})")
+    return "WITH " + ",\n".join(tables) + "\nSELECT *, folded_root = root AS verified FROM p"
+
+
+QUERIES = {"op1_line_dedup": op1_line_dedup, "op2_decontamination": op2_decontamination, "op3_substring_dedup": op3_substring_dedup, "op4_language_id": op4_language_id, "op5_quality_rules": op5_quality_rules, "op6_quality_classifier": op6_quality_classifier, "op7_warc_fixity": op7_warc_fixity, "op8_url_filters": op8_url_filters, "op9_jaccard_join": op9_jaccard_join, "op10_mixing": op10_mixing, "op13_merkle_manifest": op13_merkle_manifest}
+ORACLE = {"op1_line_dedup": OP1_SQL, "op2_decontamination": OP2_SQL, "op5_quality_rules": OP5_SQL, "op7_warc_fixity": OP7_SQL, "op8_url_filters": OP8_SQL, "op9_jaccard_join": OP9_SQL, "op13_merkle_manifest": _op13_sql()}
