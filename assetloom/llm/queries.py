@@ -7,7 +7,7 @@ import string
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from assetloom.common import load
-from assetloom.llm import chunk_dedup, decontaminate, fixity, jaccard_join, langid, line_dedup, manifest, mixing, quality_rules, rule_ensemble, urls
+from assetloom.llm import alignment, chunk_dedup, decontaminate, fixity, jaccard_join, langid, line_dedup, manifest, mixing, quality_rules, rule_ensemble, urls
 
 URL_RULES = [("block", "com", "/en/"), ("allow", "example.com", "/en/7"), ("allow", "net", "/de/"), ("block", "example.net", "/de/8"), ("block", "org", "/es/")]
 
@@ -161,6 +161,14 @@ SELECT d.doc_id, coalesce(max(n.n), 0)::BIGINT AS n_shingles, min(r.c) AS compon
 """
 
 
+def op12_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = alignment.align_documents(load(spark, sf_dir, "documents"))
+    digest = F.when(F.col("n_a") > 0, F.sha2("groups", 256)).otherwise("")
+    short = found.select("doc_id", "n_a", "n_b", "n_groups", digest.alias("groups_sha256"), "pairs", "times")
+    out = alignment.score_links(short, alignment.vocabulary_size(alignment.B_FILE))
+    return out.select("doc_id", "n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum", "groups_sha256")
+
+
 def op13_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every row's proof, and what it says of the row after tampering: texts in lower case where 5 divides the id's CRC."""
     docs, text = load(spark, sf_dir, "documents"), F.col("text")
@@ -208,5 +216,5 @@ def _op13_sql(levels: int = 6, upper: int = 3) -> str:
     return "WITH " + ",\n".join(tables) + "\nSELECT *, folded_root = root AS verified FROM p"
 
 
-QUERIES = {"op1_line_dedup": op1_line_dedup, "op2_decontamination": op2_decontamination, "op3_substring_dedup": op3_substring_dedup, "op4_language_id": op4_language_id, "op5_quality_rules": op5_quality_rules, "op6_quality_classifier": op6_quality_classifier, "op7_warc_fixity": op7_warc_fixity, "op8_url_filters": op8_url_filters, "op9_jaccard_join": op9_jaccard_join, "op10_mixing": op10_mixing, "op13_merkle_manifest": op13_merkle_manifest}
+QUERIES = {"op1_line_dedup": op1_line_dedup, "op2_decontamination": op2_decontamination, "op3_substring_dedup": op3_substring_dedup, "op4_language_id": op4_language_id, "op5_quality_rules": op5_quality_rules, "op6_quality_classifier": op6_quality_classifier, "op7_warc_fixity": op7_warc_fixity, "op8_url_filters": op8_url_filters, "op9_jaccard_join": op9_jaccard_join, "op10_mixing": op10_mixing, "op12_token_alignment": op12_token_alignment, "op13_merkle_manifest": op13_merkle_manifest}
 ORACLE = {"op1_line_dedup": OP1_SQL, "op2_decontamination": OP2_SQL, "op5_quality_rules": OP5_SQL, "op7_warc_fixity": OP7_SQL, "op8_url_filters": OP8_SQL, "op9_jaccard_join": OP9_SQL, "op13_merkle_manifest": _op13_sql()}
