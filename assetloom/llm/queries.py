@@ -7,7 +7,7 @@ import string
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from assetloom.common import load
-from assetloom.llm import alignment, chunk_dedup, decontaminate, fixity, jaccard_join, langid, line_dedup, manifest, mixing, quality_rules, rule_ensemble, urls
+from assetloom.llm import alignment, chunk_dedup, decontaminate, fixity, jaccard_join, langid, line_dedup, manifest, mixing, quality_rules, rule_ensemble, secret_scan, urls
 
 URL_RULES = [("block", "com", "/en/"), ("allow", "example.com", "/en/7"), ("allow", "net", "/de/"), ("block", "example.net", "/de/8"), ("block", "org", "/es/")]
 
@@ -161,6 +161,50 @@ SELECT d.doc_id, coalesce(max(n.n), 0)::BIGINT AS n_shingles, min(r.c) AS compon
 """
 
 
+def op11_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = secret_scan.scan_secrets(load(spark, sf_dir, "documents"))
+    of_kind = lambda *kinds: F.filter("spans", lambda s: s["kind"].isin(*kinds))
+    counts = [F.size(of_kind(k)).cast("long").alias(f"n_{k}") for k in ("assign", "access", "hex")]
+    return found.select("doc_id", *counts, F.sha2(secret_scan.listed(of_kind("assign", "access", "hex")), 256).alias("base_sha256"), secret_scan.listed(F.col("spans")).alias("spans"))
+
+
+def _op11_sql(reach: int = 200) -> str:
+    """Places from the lengths of the pieces between matches. Letters in either case are spelled out, as folding would add
+    letters beyond ASCII."""
+    either = lambda words: "|".join("".join(f"[{c.upper()}{c}]" if c.isalpha() else c for c in w) for w in words)
+    quote = lambda p: "'" + p.replace("'", "''") + "'"
+    assigned = lambda words, value: "(" + either(words) + ")" + r"""["']?\x20*[:=]\x20*["']?""" + f"({value}+)"
+    secret = assigned(["password", "passwd", "secret", "token", "api_?key"], "[A-Za-z0-9+/_.=-]")
+    login = assigned(["access_key_id", "client_id", "account", "username", "user", "login"], "[A-Za-z0-9@_.+-]")
+    host = assigned(["hostname", "host", "endpoint", "server"], "[A-Za-z0-9_.:/-]")
+    kinds = {
+        "assign": secret, "access": "AKIA[A-Z0-9]{14,}", "hex": "[0-9a-f]{16,}", "login": login, "host": host,
+        "url": r"""://[^\x00-\x20"'<>]+""", "bare": "[A-Za-z0-9+/=_-]{32,}", "blank": r"\n[\x09\x0D\x20]*\n",
+    }
+    tables = ["d AS (SELECT doc_id, coalesce(text, '') AS t FROM documents)"]
+    for k, p in kinds.items():
+        tables.append(f"{k}_m AS (SELECT doc_id, unnest(range(1, len(m) + 1)) AS i, m, g FROM (SELECT doc_id, regexp_extract_all(t, {quote(p)}) AS m, string_split_regex(t, {quote(p)}) AS g FROM d))")
+        size = lambda what: f"coalesce(list_sum(list_transform({what}, lambda x: length(x))), 0)::BIGINT"
+        tables.append(f"{k} AS (SELECT doc_id, m[i] AS w, {size('g[1:i]')} + {size('m[1:i - 1]')} AS s, {size('g[1:i]')} + {size('m[1:i]')} AS e FROM {k}_m)")
+    value = lambda t: f"length(regexp_extract(w, {quote(kinds[t])}, 2))"
+    return f"""WITH {", ".join(tables)},
+strong AS (SELECT doc_id, 0 AS kind, s, e FROM assign WHERE {value('assign')} >= 12 UNION ALL SELECT doc_id, 1, s, e FROM access UNION ALL SELECT doc_id, 2, s, e FROM hex),
+maybe AS (SELECT doc_id, 'S' AS role, 3 AS kind, s, e FROM assign WHERE {value('assign')} BETWEEN 6 AND 11
+    UNION ALL SELECT doc_id, 'S', 3, s, e FROM bare WHERE regexp_matches(w, '[a-z]') AND regexp_matches(w, '[A-Z]') AND regexp_matches(w, '[0-9]')
+    UNION ALL SELECT doc_id, 'I', 4, s, e FROM login WHERE {value('login')} >= 3),
+weak AS (SELECT * FROM maybe WHERE NOT EXISTS (SELECT 1 FROM strong WHERE strong.doc_id = maybe.doc_id AND strong.s < maybe.e AND maybe.s < strong.e)),
+parts AS (SELECT *, (SELECT count(*) FROM blank WHERE blank.doc_id = p.doc_id AND blank.s < p.s) AS scope FROM (SELECT doc_id, role, false AS strong, kind, s, e FROM weak
+    UNION ALL SELECT doc_id, CASE kind WHEN 0 THEN 'S' ELSE 'I' END, true, kind, s, e FROM strong WHERE kind < 2
+    UNION ALL SELECT doc_id, 'E', true, -1, s, e FROM url UNION ALL SELECT doc_id, 'E', true, -1, s, e FROM host) p),
+near AS (SELECT a.doc_id, a.role, a.kind, a.s, a.e, bool_or(b.role = 'I' AND b.strong) AS access, bool_or(b.role = 'I' AND NOT b.strong) AS login, bool_or(b.role = 'S') AS secret, bool_or(b.role = 'E') AS endpoint
+    FROM parts a JOIN parts b ON a.doc_id = b.doc_id AND a.scope = b.scope AND a.role <> b.role AND b.s - a.e <= {reach} AND a.s - b.e <= {reach} WHERE NOT a.strong GROUP BY ALL),
+found AS (SELECT doc_id, kind, s, e FROM strong UNION ALL SELECT doc_id, kind, s, e FROM near WHERE CASE role WHEN 'S' THEN access OR login AND endpoint ELSE secret AND endpoint END),
+named AS (SELECT *, (['assign', 'access', 'hex', 'secret', 'login'])[kind + 1] || ':' || s::VARCHAR || ':' || e::VARCHAR AS x FROM found)
+SELECT d.doc_id, count(*) FILTER (WHERE kind = 0) AS n_assign, count(*) FILTER (WHERE kind = 1) AS n_access, count(*) FILTER (WHERE kind = 2) AS n_hex,
+    sha256(coalesce(string_agg(x, ',' ORDER BY s, kind, e) FILTER (WHERE kind < 3), '')) AS base_sha256, coalesce(string_agg(x, ',' ORDER BY s, kind, e), '') AS spans
+FROM d LEFT JOIN named ON named.doc_id = d.doc_id GROUP BY d.doc_id"""
+
+
 def op12_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = alignment.align_documents(load(spark, sf_dir, "documents"))
     digest = F.when(F.col("n_a") > 0, F.sha2("groups", 256)).otherwise("")
@@ -216,5 +260,5 @@ def _op13_sql(levels: int = 6, upper: int = 3) -> str:
     return "WITH " + ",\n".join(tables) + "\nSELECT *, folded_root = root AS verified FROM p"
 
 
-QUERIES = {"op1_line_dedup": op1_line_dedup, "op2_decontamination": op2_decontamination, "op3_substring_dedup": op3_substring_dedup, "op4_language_id": op4_language_id, "op5_quality_rules": op5_quality_rules, "op6_quality_classifier": op6_quality_classifier, "op7_warc_fixity": op7_warc_fixity, "op8_url_filters": op8_url_filters, "op9_jaccard_join": op9_jaccard_join, "op10_mixing": op10_mixing, "op12_token_alignment": op12_token_alignment, "op13_merkle_manifest": op13_merkle_manifest}
-ORACLE = {"op1_line_dedup": OP1_SQL, "op2_decontamination": OP2_SQL, "op5_quality_rules": OP5_SQL, "op7_warc_fixity": OP7_SQL, "op8_url_filters": OP8_SQL, "op9_jaccard_join": OP9_SQL, "op13_merkle_manifest": _op13_sql()}
+QUERIES = {"op1_line_dedup": op1_line_dedup, "op2_decontamination": op2_decontamination, "op3_substring_dedup": op3_substring_dedup, "op4_language_id": op4_language_id, "op5_quality_rules": op5_quality_rules, "op6_quality_classifier": op6_quality_classifier, "op7_warc_fixity": op7_warc_fixity, "op8_url_filters": op8_url_filters, "op9_jaccard_join": op9_jaccard_join, "op10_mixing": op10_mixing, "op11_secret_scan": op11_secret_scan, "op12_token_alignment": op12_token_alignment, "op13_merkle_manifest": op13_merkle_manifest}
+ORACLE = {"op1_line_dedup": OP1_SQL, "op2_decontamination": OP2_SQL, "op5_quality_rules": OP5_SQL, "op7_warc_fixity": OP7_SQL, "op8_url_filters": OP8_SQL, "op9_jaccard_join": OP9_SQL, "op11_secret_scan": _op11_sql(), "op13_merkle_manifest": _op13_sql()}
