@@ -89,8 +89,9 @@ def scanned(text: Column) -> Column:
 def linked_parts(parts: DataFrame, reach: int = 200) -> DataFrame:
     """(row, kind, start, end) of the weak parts that complete a credential; parts: (row, role, strong, kind, start, end,
     scope). Parts of equal place are told apart by their kind."""
-    scope = W.partitionBy("row", "scope").orderBy("start", "end", "kind")
-    before, after = scope.rowsBetween(W.unboundedPreceding, -1), scope.rowsBetween(1, W.unboundedFollowing)
+    scope, order = W.partitionBy("row", "scope"), ["start", "end", "kind"]
+    # What comes after is what comes before in the other order: a frame up to the end would be read anew for every part.
+    before, after = (scope.orderBy(*by).rowsBetween(W.unboundedPreceding, -1) for by in (order, [F.desc(c) for c in order]))
 
     def near(which: Column) -> Column:
         """Whether one of the parts of ``which`` is within reach."""
