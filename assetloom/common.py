@@ -4,17 +4,15 @@ from __future__ import annotations
 
 import tempfile
 import uuid
-from collections.abc import Iterator
-from contextlib import contextmanager
+from contextvars import ContextVar
 from weakref import WeakKeyDictionary
 
 from pyspark.sql import DataFrame, SparkSession
 
 _OWN: dict[str, str] = {}
-#: Where the tables that materialize() has returned are written; those of open stages, innermost last; those of past stages.
+#: Where the tables that materialize() has returned are written, and what is open in this thread, innermost last.
 _PATHS: WeakKeyDictionary[DataFrame, str] = WeakKeyDictionary()
-_OPEN: list[list[str]] = []
-_NOTED: list[str] = []
+_OPEN: ContextVar[tuple[Scratch, ...]] = ContextVar("open", default=())
 
 
 def load(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -41,12 +39,12 @@ def materialize(df: DataFrame, tag: str) -> DataFrame:
     df.write.parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     _PATHS[out] = path
-    if _OPEN:
-        _OPEN[-1].append(path)
+    if _OPEN.get():
+        _OPEN.get()[-1].paths.append(path)
     return out
 
 
-def _delete(spark: SparkSession, path: str) -> None:
+def delete(spark: SparkSession, path: str) -> None:
     folder = spark._jvm.org.apache.hadoop.fs.Path(path)
     folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
 
@@ -55,22 +53,40 @@ def discard(df: DataFrame) -> None:
     """Deletes the table of a DataFrame that materialize() returned; nothing for others. What is read from it must be written."""
     path = _PATHS.pop(df, None)
     if path:
-        _delete(df.sparkSession, path)
-
-
-@contextmanager
-def stage_tables(docs: DataFrame, keep: bool = False) -> Iterator[None]:
-    """For the stages of a pipeline, each of which is given the written output of the one before: deletes the tables that
-    earlier stages wrote on their way, unless ``docs`` still reads them, and notes those written inside for the next.
-    With ``keep`` they are not noted."""
-    for path in list(_NOTED):
-        if not any(path.rsplit("/", 1)[1] in file for file in docs.inputFiles()):
-            _delete(docs.sparkSession, path)
-            _NOTED.remove(path)
-    _OPEN.append([])
-    try:
-        yield
-    finally:
-        own = _OPEN.pop()
-        if not keep:
-            _NOTED.extend(own)
+        delete(df.sparkSession, path)
+
+
+def exists(spark: SparkSession, path: str) -> bool:
+    """Whether there is a file or folder of that path, in whatever store it names."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return at.getFileSystem(spark._jsc.hadoopConfiguration()).exists(at)
+
+
+def children(spark: SparkSession, path: str) -> list[str]:
+    """Names in a folder; none where there is none."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    store = at.getFileSystem(spark._jsc.hadoopConfiguration())
+    return [x.getPath().getName() for x in store.listStatus(at)] if store.exists(at) else []
+
+
+class Scratch:
+    """The tables that materialize() writes while this is open (``with``), the innermost one where several are. Whoever opened
+    it deletes them, once nothing is left to be read from them."""
+
+    def __init__(self) -> None:
+        self.paths: list[str] = []
+
+    def __enter__(self) -> Scratch:
+        self._before = _OPEN.set((*_OPEN.get(), self))
+        return self
+
+    def __exit__(self, *_: object) -> None:
+        _OPEN.reset(self._before)
+
+    def delete(self, spark: SparkSession, but_for: DataFrame | None = None) -> None:
+        """Deletes the tables, those excepted that ``but_for`` reads."""
+        read = but_for.inputFiles() if but_for is not None else []
+        for path in self.paths:
+            if not any(path.rsplit("/", 1)[1] in file for file in read):
+                delete(spark, path)
+        self.paths = []

@@ -20,9 +20,12 @@ def norm(v: Column) -> Column:
 
 def l2_normalize(v: Column) -> Column:
     """Unit vector; a zero vector stays as it is."""
-    n = norm(v)
-    scale = F.when(n == 0, 1e0).otherwise(n)
-    return F.transform(v, lambda x: x.cast("double") / scale)
+    return scaled(v, F.when(norm(v) == 0, 1e0).otherwise(norm(v)))
+
+
+def scaled(v: Column, by: Column) -> Column:
+    """v / by. The divisor is a list of one value, so that it is computed once and not for each element."""
+    return F.get(F.transform(F.array(by), lambda n: F.transform(v, lambda x: x.cast("double") / n)), 0)
 
 
 def cosine_distance(u: Column, v: Column) -> Column:

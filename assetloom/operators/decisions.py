@@ -8,7 +8,7 @@ from functools import reduce
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
-from assetloom.common import materialize
+from assetloom.common import discard, materialize
 from assetloom.operators.positions import with_position
 
 DEFAULT_THRESHOLD = 0.4
@@ -204,23 +204,68 @@ def undo_fold(log: DataFrame, depth: int = UNDO_DEPTH) -> DataFrame:
     """(project, path): what is pending after a log of confirm, undo and restore. An undo takes back the last confirm not
     undone yet, if it is among the last ``depth``, and drops its paths even if they were pending before. The last event
     of a path decides, so paths are folded by one aggregation."""
-    undone, _ = match_undos(log, depth)
-    added = log.where("op = 'confirm'").select("project", "seq", "delete_paths")
-    dropped = undone.join(added.withColumnRenamed("seq", "confirm"), ["project", "confirm"]).select("project", "seq", "delete_paths")
-    events = added.withColumn("there", F.lit(True)).unionByName(dropped.unionByName(log.where("op = 'restore'").select("project", "seq", "delete_paths")).withColumn("there", F.lit(False)))
-    last = events.select("project", "seq", "there", F.explode("delete_paths").alias("path")).groupBy("project", "path").agg(F.max_by("there", "seq").alias("there"))
+    last = _path_events(log, depth).groupBy("project", "path").agg(F.max_by("there", "at").alias("there"))
     return last.where("there").select("project", "path")
 
 
+def _path_events(log: DataFrame, depth: int) -> DataFrame:
+    """(project, path, at, there): at which events a path was put on the pending list or taken off."""
+    undone, _ = match_undos(log, depth)
+    added = log.where("op = 'confirm'").select("project", F.col("seq").alias("at"), "delete_paths")
+    dropped = undone.join(added.withColumnRenamed("at", "confirm"), ["project", "confirm"]).select("project", F.col("seq").alias("at"), "delete_paths")
+    restored = log.where("op = 'restore'").select("project", F.col("seq").alias("at"), "delete_paths")
+    events = added.withColumn("there", F.lit(True)).unionByName(dropped.unionByName(restored).withColumn("there", F.lit(False)))
+    return events.select("project", F.explode(F.array_distinct("delete_paths")).alias("path"), "at", "there")
+
+
+def _removes(log: DataFrame) -> Column:
+    """The paths that a confirm takes out of the results: all of them where it names any, else those to delete."""
+    return F.when(F.size("all_paths") > 0, F.col("all_paths")).otherwise(F.col("delete_paths")) if "all_paths" in log.columns else F.col("delete_paths")
+
+
+def removal_intervals(log: DataFrame, depth: int = UNDO_DEPTH) -> DataFrame:
+    """(project, path, since, until): a confirm at ``since`` took the path out of the results of its project, the undo of that
+    confirm at ``until`` brought it back; null if none did."""
+    undone, _ = match_undos(log, depth)
+    back = undone.select("project", F.col("confirm").alias("since"), F.col("seq").alias("until"))
+    taken = log.where("op = 'confirm'").select("project", F.col("seq").alias("since"), F.explode(F.array_distinct(_removes(log))).alias("path"))
+    return taken.where("path is not null").join(back, ["project", "since"], "left").select("project", "path", "since", "until")
+
+
+def results_as_of(results: DataFrame, log: DataFrame, asked: DataFrame, depth: int = UNDO_DEPTH) -> DataFrame:
+    """The results of many projects as they were after the events up to ``seq``, for each asked (project, seq): (project, seq,
+    cluster_id, cluster_score, path, score, rank, best_image). results: (project, cluster_id, cluster_score, path, score, rank).
+    The log is matched once, whatever is asked."""
+    from assetloom.operators.ranking import rerank_after_removal
+
+    intervals = removal_intervals(log, depth)
+    out = (F.col("since") <= F.col("seq")) & (F.col("until").isNull() | (F.col("until") > F.col("seq")))
+    gone = asked.distinct().join(intervals, "project").where(out).select("project", "seq", "path").distinct()
+    return rerank_after_removal(results.join(asked.distinct(), "project"), gone, by=["project", "seq"])
+
+
+def pending_as_of(log: DataFrame, asked: DataFrame, depth: int = UNDO_DEPTH) -> DataFrame:
+    """(project, seq, path): what was pending after the events up to ``seq``, for each asked (project, seq). A path's state
+    holds from one of its events to the next."""
+    events = _path_events(log, depth)
+    until = F.lead("at").over(W.partitionBy("project", "path").orderBy("at"))
+    spans = events.withColumn("until", until).where("there")
+    held = (F.col("at") <= F.col("seq")) & (F.col("until").isNull() | (F.col("until") > F.col("seq")))
+    return asked.distinct().join(spans, "project").where(held).select("project", "seq", "path")
+
+
 def results_after(results: DataFrame, log: DataFrame, depth: int = UNDO_DEPTH) -> DataFrame:
-    """Results of one project (cluster_id, cluster_score, path, score, rank) after its log: an undo brings back what its
-    confirm removed, so removed are the paths of the confirms that stand. A restore brings nothing back."""
+    """Results after the whole log: an undo brings back what its confirm removed, so removed are the paths of the confirms
+    that stand, each in its own project. A restore brings nothing back. Results without a project column are those of one
+    project, and the log may hold no other."""
     from assetloom.operators.ranking import rerank_after_removal
 
-    undone, _ = match_undos(log, depth)
-    stand = log.where("op = 'confirm'").join(undone.select("project", F.col("confirm").alias("seq")), ["project", "seq"], "left_anti")
-    chosen = F.when(F.size("all_paths") > 0, F.col("all_paths")).otherwise(F.col("delete_paths")) if "all_paths" in log.columns else F.col("delete_paths")
-    return rerank_after_removal(results, stand.select(F.explode(chosen).alias("path")).distinct())
+    gone = removal_intervals(log, depth).where("until is null").select("project", "path").distinct()
+    if "project" in results.columns:
+        return rerank_after_removal(results, gone, by=["project"])
+    if log.select("project").distinct().limit(2).count() > 1:
+        raise ValueError("a log of several projects needs results with their project")
+    return rerank_after_removal(results, gone.select("path"))
 
 
 def auto_keep_best(ranked: DataFrame, least: float) -> DataFrame:
@@ -242,3 +287,37 @@ def matchup_pairs(ranked: DataFrame, adjacent: bool = True) -> DataFrame:
 def matchup_wins(outcomes: DataFrame) -> DataFrame:
     """(winner, n_wins) from rows with a winner."""
     return outcomes.groupBy("winner").agg(F.count(F.lit(1)).alias("n_wins"))
+
+
+def matchup_strengths(outcomes: DataFrame, prior: float = 0.5, tolerance: float = 1e-7, max_rounds: int = 200) -> DataFrame:
+    """(cluster_id, item, n_games, n_wins, strength) from games (cluster_id, winner, loser): the Bradley-Terry strengths, by
+    which x beats y with x / (x + y). Every item also wins and loses ``prior`` games against one of strength 1, so there is
+    exactly one solution, whoever has met whom.
+
+    A round is the minorise-maximise update of every item, and a step of the common scale of each cluster, which the
+    update alone would move by little; both are written. Rounds go on until no strength moves by more than ``tolerance`` of
+    itself, or ``max_rounds`` were run. Games are counted by pair first, so a round moves one row for each pair and end."""
+    games = outcomes.where("winner is not null and loser is not null and winner <> loser")
+    ends = F.explode(F.array(F.struct(F.col("winner").alias("item"), F.col("loser").alias("other"), F.lit(1).alias("won")), F.struct(F.col("loser").alias("item"), F.col("winner").alias("other"), F.lit(0).alias("won"))))
+    pairs = games.select("cluster_id", ends.alias("g")).groupBy("cluster_id", "g.item", "g.other").agg(F.count(F.lit(1)).alias("n"), F.sum("g.won").alias("won"))
+    pairs = materialize(pairs, "matchup-pairs")
+    totals = materialize(pairs.groupBy("cluster_id", "item").agg(F.sum("n").alias("n_games"), F.sum("won").alias("n_wins")), "matchup-totals")
+    now = materialize(totals.select("cluster_id", "item", "n_wins", F.lit(1e0).alias("strength"), F.lit(0e0).alias("moved")), "matchup-strength")
+    s = F.col("strength")
+    for _ in range(max_rounds):
+        other = now.select("cluster_id", F.col("item").alias("other"), s.alias("against"))
+        met = pairs.join(now.select("cluster_id", "item", "strength"), ["cluster_id", "item"]).join(other, ["cluster_id", "other"])
+        share = met.groupBy("cluster_id", "item").agg(F.sum(F.col("n") / (s + F.col("against"))).alias("share"))
+        updated = (F.col("n_wins") + prior) / (F.col("share") + 2 * prior / (s + 1e0))
+        step = materialize(now.join(share, ["cluster_id", "item"]).select("cluster_id", "item", "n_wins", s.alias("before"), updated.alias("strength")), "matchup-update")
+        # The games between items cancel out of the sum of all conditions; what is left fixes the scale.
+        gap, slope = F.sum(2 * s / (s + 1e0) - 1e0), F.sum(2 * s / ((s + 1e0) * (s + 1e0)))
+        scale = step.groupBy("cluster_id").agg(F.exp(-gap / slope).alias("scale"))
+        scaled = s * F.col("scale")
+        after = materialize(step.join(scale, "cluster_id").select("cluster_id", "item", "n_wins", scaled.alias("strength"), F.abs(scaled / F.col("before") - 1e0).alias("moved")), "matchup-strength")
+        for table in (now, step):
+            discard(table)
+        now = after
+        if (after.agg(F.max("moved")).first()[0] or 0.0) <= tolerance:
+            break
+    return totals.join(now.select("cluster_id", "item", "strength"), ["cluster_id", "item"])

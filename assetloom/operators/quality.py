@@ -23,25 +23,68 @@ def component_stats(df: DataFrame, names: list[str]) -> DataFrame:
     return df.agg(*[f(F.col(f"`{c}`").cast("double")).alias(f"{p}_{c}") for c in names for p, f in (("mean", F.avg), ("std", F.stddev_pop))])
 
 
-def component_norm(df: DataFrame, names: list[str]) -> DataFrame:
-    """``df`` with norm_<c>: the sigmoid of the z-score, 0.0 where the spread is below 1e-6. The statistics are one row."""
+def part_moments(df: DataFrame, names: list[str], part: list[str] | None = None) -> DataFrame:
+    """(part..., component, n, mean, m2) of every part's values that aren't null; m2 is the sum of squared distances from the
+    mean. Written once for each part, as a part comes, these are all that ``moment_stats`` reads."""
+    part = part or []
+    pairs = F.explode(F.array(*[F.struct(F.lit(c).alias("component"), F.col(f"`{c}`").cast("double").alias("x")) for c in names]))
+    x = df.select(*part, pairs.alias("p")).select(*part, "p.*").where("x is not null")
+    moments = x.groupBy(*part, "component").agg(F.count(F.lit(1)).alias("n"), F.avg("x").alias("mean"), F.var_pop("x").alias("var"))
+    return moments.select(*part, "component", "n", "mean", (F.col("var") * F.col("n")).alias("m2"))
+
+
+def combine_moments(moments: DataFrame) -> DataFrame:
+    """(component, n, mean, m2) of all parts together. The squares are taken from the common mean, in a second pass over the
+    parts' rows, as they would cancel out otherwise."""
+    n, share = F.sum("n").alias("n"), F.sum(F.col("n") * F.col("mean"))
+    whole = moments.groupBy("component").agg(n, (share / F.sum("n")).alias("mean")).where("n > 0")
+    off = F.col("p.mean") - F.col("w.mean")
+    m2 = moments.alias("p").join(whole.alias("w"), "component").groupBy("component").agg(F.sum(F.col("p.m2") + F.col("p.n") * off * off).alias("m2"))
+    return whole.join(m2, "component").select("component", "n", "mean", "m2")
+
+
+def without_moments(moments: DataFrame, gone: DataFrame) -> DataFrame:
+    """``moments`` (part..., component, n, mean, m2) without those of removed rows, given by the same columns: neither the
+    rows that stay nor those of other parts are read again."""
+    keys = [c for c in moments.columns if c not in ("n", "mean", "m2")]
+    left = gone.select(*keys, F.col("n").alias("gone_n"), F.col("mean").alias("gone_mean"), F.col("m2").alias("gone_m2"))
+    joined = moments.join(left, keys, "left")
+    n = F.col("n") - F.col("gone_n")
+    mean = (F.col("n") * F.col("mean") - F.col("gone_n") * F.col("gone_mean")) / n
+    off = F.col("gone_mean") - mean
+    m2 = F.col("m2") - F.col("gone_m2") - F.col("gone_n") * n / F.col("n") * off * off
+    untouched = F.col("gone_n").isNull()
+    pick = lambda c, new: F.when(untouched, F.col(c)).otherwise(new).alias(c)
+    return joined.where(untouched | (n > 0)).select(*keys, pick("n", n), pick("mean", mean), pick("m2", F.greatest(m2, F.lit(0e0))))
+
+
+def moment_stats(moments: DataFrame, names: list[str]) -> DataFrame:
+    """As ``component_stats``, from the moments of parts."""
+    whole = combine_moments(moments)
+    at = lambda c, v: F.max(F.when(F.col("component") == c, v))
+    return whole.agg(*[at(c, v).alias(f"{p}_{c}") for c in names for p, v in (("mean", F.col("mean")), ("std", F.sqrt(F.col("m2") / F.col("n"))))])
+
+
+def component_norm(df: DataFrame, names: list[str], stats: DataFrame | None = None) -> DataFrame:
+    """``df`` with norm_<c>: the sigmoid of the z-score, 0.0 where the spread is below 1e-6. The statistics are one row: those
+    of ``df``, or ``stats`` where they are kept (``moment_stats``)."""
 
     def norm(c: str) -> Column:
         z = (F.col(f"`{c}`").cast("double") - F.col(f"`mean_{c}`")) / F.col(f"`std_{c}`")
         return F.when(F.col(f"`std_{c}`") < 1e-6, 0e0).otherwise(1e0 / (1e0 + F.exp(-z)))
 
-    out = df.crossJoin(F.broadcast(component_stats(df, names)))
+    out = df.crossJoin(F.broadcast(component_stats(df, names) if stats is None else stats))
     for c in names:
         out = out.withColumn(f"norm_{c}", norm(c))
     return out.drop(*[f"{p}_{c}" for c in names for p in ("mean", "std")])
 
 
-def ensemble_score(df: DataFrame, names: list[str] | None = None, weights: dict[str, float] | None = None) -> DataFrame:
+def ensemble_score(df: DataFrame, names: list[str] | None = None, weights: dict[str, float] | None = None, stats: DataFrame | None = None) -> DataFrame:
     """``df`` with norm_<c> and score: the weighted mean of the components present, minus the exposure penalty, plus the
-    region bonus, where those columns exist."""
+    region bonus, where those columns exist. ``stats`` as in ``component_norm``."""
     weights = weights or SCORE_WEIGHTS
     present = names if names is not None else [c for c in [*weights, "exposure_penalty", "face_bonus"] if c in df.columns]
-    out = component_norm(df, present)
+    out = component_norm(df, present, stats)
     main = [c for c in weights if c in present]
     total = sum(weights[c] for c in main)
     score = reduce(lambda a, c: a + F.lit(weights[c]) * F.col(f"`norm_{c}`"), main, F.lit(0e0)) / F.lit(total if total > 0 else 1e0)

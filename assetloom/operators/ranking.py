@@ -6,16 +6,20 @@ from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.stat import Summarizer
 from pyspark.sql import DataFrame, Window as W, functions as F
 
-from assetloom.functions.vectors import dot, norm
+from assetloom.functions.vectors import dot, norm, scaled
 from assetloom.operators.positions import with_position
 
 
-def cluster_centroid(df: DataFrame, cluster: str = "cluster_id") -> DataFrame:
-    """(cluster, centroid): the mean vector over max(its norm, 1e-8). Partial sums combine before the shuffle."""
+def mean_vectors(df: DataFrame, by: list[str]) -> DataFrame:
+    """(by..., mean) of the vectors of each group. Partial sums combine before the shuffle."""
     v = array_to_vector(F.transform("embedding", lambda x: x.cast("double")))
-    mean = df.groupBy(cluster).agg(vector_to_array(Summarizer.mean(v)).alias("mean"))
-    scale = F.greatest(norm(F.col("mean")), F.lit(1e-8))
-    return mean.select(cluster, F.transform("mean", lambda x: x / scale).alias("centroid"))
+    return df.groupBy(*by).agg(vector_to_array(Summarizer.mean(v)).alias("mean"))
+
+
+def cluster_centroid(df: DataFrame, cluster: str = "cluster_id") -> DataFrame:
+    """(cluster, centroid): the mean vector over max(its norm, 1e-8)."""
+    length = F.greatest(norm(F.col("mean")), F.lit(1e-8))
+    return mean_vectors(df, [cluster]).select(cluster, scaled(F.col("mean"), length).alias("centroid"))
 
 
 def centrality(df: DataFrame, cluster: str = "cluster_id") -> DataFrame:
@@ -55,11 +59,12 @@ def results_nested(ranked: DataFrame, components: list[str] | None = None) -> Da
     return out.select(F.lit(1).alias("schema_version"), "cluster_id", "cluster_score", F.col("images")[0]["path"].alias("best_image"), "images")
 
 
-def rerank_after_removal(results: DataFrame, removed: DataFrame) -> DataFrame:
-    """Results (cluster_id, cluster_score, path, score, rank) without the ``removed`` paths: rank by score, ties in the
-    old order; best_image is the first that stays in list order; cluster_score is left as it was; clusters without
-    images are gone."""
-    left = results.join(removed.select("path").distinct(), "path", "left_anti")
-    new = F.row_number().over(W.partitionBy("cluster_id").orderBy(F.desc("score"), "rank"))
-    first = F.first("path").over(W.partitionBy("cluster_id").orderBy("rank"))
-    return left.select("cluster_id", "cluster_score", "path", "score", new.alias("new_rank"), first.alias("best_image")).withColumnRenamed("new_rank", "rank")
+def rerank_after_removal(results: DataFrame, removed: DataFrame, by: list[str] | None = None) -> DataFrame:
+    """Results (by..., cluster_id, cluster_score, path, score, rank) without the ``removed`` (by..., path): rank by score,
+    ties in the old order; best_image is the first that stays in list order; cluster_score is left as it was; clusters
+    without images are gone."""
+    by = by or []
+    left = results.join(removed.select(*by, "path").distinct(), [*by, "path"], "left_anti")
+    cluster = W.partitionBy(*by, "cluster_id")
+    new, first = F.row_number().over(cluster.orderBy(F.desc("score"), "rank")), F.first("path").over(cluster.orderBy("rank"))
+    return left.select(*by, "cluster_id", "cluster_score", "path", "score", new.alias("new_rank"), first.alias("best_image")).withColumnRenamed("new_rank", "rank")

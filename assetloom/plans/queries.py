@@ -2,18 +2,21 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
+import numpy as np
 from pyspark.sql import DataFrame, SparkSession, Window as W, functions as F
 
-from assetloom.common import load
+from assetloom.common import load, shared_dir
 from assetloom.functions import paths as P, vectors as V
-from assetloom.operators import decisions as D, export as X, incremental as I, linkage as L, neighbors as N, quality as Q, ranking as R, registry as G, temporal as T
+from assetloom.operators import decisions as D, export as X, incremental as I, linkage as L, model_hooks as M, neighbors as N, pivots, quality as Q, ranking as R, recluster as C, registry as G, temporal as T
 from assetloom.operators.components import connected_components
 from assetloom.plans.assets import ASSETS_SQL, assets, grids, regions
 from assetloom.plans.flow import cluster_assets, ranked_assets
 from assetloom.sources import media as S
 from assetloom.sources.sinks import cluster_members
+from assetloom.streaming.refresh import read_target, refresh_part
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -216,6 +219,25 @@ def inventory_drift(spark, sf_dir):
     return of("cache", cache).unionByName(of("media", assets(spark, sf_dir)))
 
 
+@query(CACHE_SQL + "SELECT coalesce(n.path, c.path) AS path, CASE WHEN n.path IS NULL THEN 'removed' WHEN c.path IS NULL THEN 'new' ELSE 'cached' END AS status FROM named n FULL JOIN cache c ON n.path = c.path")
+def drift_split(spark, sf_dir):
+    """The split by prints of buckets: most of them hold no change."""
+    return I.drift_split(*_named(spark, sf_dir))
+
+
+@query("SELECT path, length(path) AS n, batch FROM (SELECT 'u' || (event_id % 701)::VARCHAR AS path, min(event_id % 3) AS batch FROM events GROUP BY ALL)")
+def refresh_replayed(spark, sf_dir):
+    """Three batches of events, of which the second is cut off and then runs twice, as after a failure."""
+    e = load(spark, sf_dir, "events").select(F.concat(F.lit("u"), (F.col("event_id") % 701).cast("string")).alias("path"), (F.col("event_id") % 3).alias("batch"))
+    target = f"{shared_dir(spark)}/replayed-{uuid.uuid4().hex}"
+    add = lambda rows, part: refresh_part(rows, target, part, lambda df: df.select("path", F.length("path").cast("long").alias("n"), "batch"))
+    add(e.where("batch = 0"), "q-0")
+    add(e.where("batch = 1").limit(100), "q-1")
+    for batch in (1, 1, 2):
+        add(e.where(F.col("batch") == batch), f"q-{batch}")
+    return read_target(spark, target).select("path", "n", "batch")
+
+
 # Neighbours
 DIST = "1e0 - list_dot_product(a.embedding::DOUBLE[], b.embedding::DOUBLE[])"
 NEAR_SQL = f"WITH RECURSIVE p AS (SELECT a.vec_id AS id, b.vec_id AS neighbor, {DIST} AS dist FROM embeddings a JOIN embeddings b ON a.vec_id <> b.vec_id), k AS (SELECT *, row_number() OVER (PARTITION BY id ORDER BY dist, neighbor) AS rank FROM p) "
@@ -242,6 +264,30 @@ def near_dup_pairs(spark, sf_dir):
     return N.pairs_within(vectors(spark, sf_dir), NEAR).select("a", "b", r("dist", 5))
 
 
+@query(NEAR_SQL + f"SELECT id AS a, neighbor AS b, round(dist, 5) AS dist FROM p WHERE id < neighbor AND dist < {NEAR}e0")
+def near_dup_pairs_pruned(spark, sf_dir):
+    """The same pairs, from the pairs of blocks that pivots don't rule out."""
+    return pivots.pairs_within_pruned(vectors(spark, sf_dir), NEAR, block_rows=64).select("a", "b", r("dist", 5))
+
+
+@query()
+def knn_descent(spark, sf_dir):
+    return N.knn_descent(vectors(spark, sf_dir), 5).select("id", "neighbor", r("dist", 5), "rank")
+
+
+@query("SELECT 'descent' AS kind, true AS reached UNION ALL SELECT 'planes', true")
+def approximate_recall(spark, sf_dir):
+    """Whether the approximate ways find 0.9 or more of what the exact ones find: neighbours among 5, pairs below NEAR."""
+    v = vectors(spark, sf_dir)
+
+    def recall(kind: str, exact: DataFrame, found: DataFrame, on: list[str]) -> DataFrame:
+        hit = exact.join(found.select(*on).withColumn("hit", F.lit(1)), on, "left")
+        return hit.agg((F.count("hit") >= 0.9 * F.count(F.lit(1))).alias("reached")).select(F.lit(kind).alias("kind"), "reached")
+
+    near = recall("descent", N.knn(v, v, 5), N.knn_descent(v, 5, start_rows=32), ["id", "neighbor"])
+    return near.unionByName(recall("planes", N.pairs_within(v, NEAR), N.approximate_pairs(v, NEAR, block_rows=64), ["a", "b"]))
+
+
 HIST_SQL = NEAR_SQL + ", n AS (SELECT least(39, floor(dist * 40))::INTEGER AS bin FROM k WHERE rank = 1 AND dist BETWEEN 0 AND 1), hist AS (SELECT b.bin::INTEGER AS bin, count(n.bin) AS cnt FROM range(40) b(bin) LEFT JOIN n ON n.bin = b.bin GROUP BY 1) "
 
 
@@ -313,7 +359,7 @@ def gap_split(spark, sf_dir):
 @query()
 def near_dup_pairs_lsh(spark, sf_dir):
     """Approximate: over random planes, with buckets small enough that the given tables fill several."""
-    return N.approximate_pairs(vectors(spark, sf_dir), NEAR, block_rows=256).select("a", "b", r("dist", 5))
+    return N.approximate_pairs(vectors(spark, sf_dir), NEAR, block_rows=64).select("a", "b", r("dist", 5))
 
 
 @query(NEAR_SQL + f", e AS (SELECT id, neighbor FROM p WHERE dist < {NEAR}e0), reach(node, c) AS (SELECT id, id FROM e UNION SELECT e.neighbor, r.c FROM reach r JOIN e ON e.id = r.node) SELECT node, min(c) AS component FROM reach GROUP BY node")
@@ -333,7 +379,38 @@ def cluster_tight(spark, sf_dir):
 
 @query()
 def cluster_knn(spark, sf_dir):
-    return L.average_linkage(assets(spark, sf_dir), TIGHT, neighbors=50)
+    """Merges follow the graph of the 10 nearest."""
+    return L.average_linkage(assets(spark, sf_dir), TIGHT, neighbors=10)
+
+
+@query("SELECT vec_id AS asset_id, true AS same FROM embeddings WHERE vec_id % 11 <> 3")
+def recluster(spark, sf_dir):
+    """Clusters kept up to date over two inserts and a removal, held to a run over what is there at the end."""
+    a = assets(spark, sf_dir).select("asset_id", "embedding")
+    state, _ = C.update_clustering(C.empty_clustering(spark), TIGHT, a.where("asset_id % 5 > 1"))
+    state, _ = C.update_clustering(state, TIGHT, a.where("asset_id % 5 = 1"), a.where("asset_id % 11 = 3"))
+    state, _ = C.update_clustering(state, TIGHT, a.where("asset_id % 5 = 0 AND asset_id % 11 <> 3"), a.where("asset_id % 11 = 3"))
+    whole = L.average_linkage(a.where("asset_id % 11 <> 3"), TIGHT).withColumnRenamed("cluster", "expected")
+    return state.labels().join(whole, "asset_id", "full").select("asset_id", F.col("cluster").eqNullSafe(F.col("expected")).alias("same"))
+
+
+def _cuts(name: str, clusters: DataFrame, e: DataFrame, within: list[str], threshold: float) -> DataFrame:
+    """One row: rows, clusters named by another than their smallest row, and pairs of clusters in one of ``within`` that are
+    closer on average than the threshold, and so would have merged."""
+    wrong = clusters.groupBy("cluster").agg(F.min("asset_id").alias("least")).agg(F.count_if(F.col("least") != F.col("cluster")).alias("misnamed"))
+    mean = R.mean_vectors(clusters.join(e, "asset_id"), [*within, "cluster"]).withColumnRenamed("mean", "v").withColumn("id", F.col("cluster").cast("long"))
+    close = N.pairs_within(mean.select(*within, "id", "v"), threshold - 1e-9, by=within).agg(F.count(F.lit(1)).alias("mergeable"))
+    return clusters.agg(F.lit(name).alias("kind"), F.count(F.lit(1)).alias("n")).crossJoin(F.broadcast(wrong)).crossJoin(F.broadcast(close))
+
+
+@query("SELECT unnest(['loose', 'tight', 'nested']) AS kind, count(*) AS n, 0::BIGINT AS misnamed, 0::BIGINT AS mergeable FROM embeddings")
+def cluster_cuts(spark, sf_dir):
+    """What holds for average linkage below a threshold: no two clusters are left that are closer."""
+    a = assets(spark, sf_dir)
+    unit = a.select("asset_id", "embedding")
+    nested = L.two_stage(a, TIGHT, LOOSE).select("asset_id", "parent", F.col("sub").alias("cluster"))
+    loose, tight = (L.average_linkage(a, t) for t in (LOOSE, TIGHT))
+    return _cuts("loose", loose, unit, [], LOOSE).unionByName(_cuts("tight", tight, unit, [], TIGHT)).unionByName(_cuts("nested", nested, unit, ["parent"], TIGHT))
 
 
 @query()
@@ -361,6 +438,16 @@ def component_stats(spark, sf_dir):
     return s.select(*[r(c, 6) for c in s.columns])
 
 
+@query(SCORED_SQL + "SELECT " + ", ".join(f"round(m_{c}, 6) AS mean_{c}, round(s_{c}, 6) AS std_{c}" for c in COMPONENTS) + " FROM stats")
+def component_stats_kept(spark, sf_dir):
+    """The same from kept moments: parts of rows, of which one came twice as much as stays and one changed."""
+    a = assets(spark, sf_dir).withColumn("part", F.col("asset_id") % 4)
+    parts = Q.part_moments(a.unionByName(a.where("part = 1").withColumn("musiq", F.col("musiq") + 5)), COMPONENTS, ["part"])
+    gone = Q.part_moments(a.where("part = 1").withColumn("musiq", F.col("musiq") + 5), COMPONENTS, ["part"])
+    s = Q.moment_stats(Q.without_moments(parts, gone), COMPONENTS)
+    return s.select(*[r(c, 6) for c in s.columns])
+
+
 @query(SCORED_SQL + "SELECT asset_id, " + ", ".join(f"round(norm_{c}, 6) AS norm_{c}" for c in COMPONENTS) + " FROM scored")
 def component_norm(spark, sf_dir):
     return Q.component_norm(assets(spark, sf_dir), COMPONENTS).select("asset_id", *[r(f"norm_{c}", 6) for c in COMPONENTS])
@@ -393,6 +480,16 @@ def state_summary(spark, sf_dir):
     return D.state_summary(a.select(F.col("path").alias("cluster_id")), _pending(a))
 
 
+@query("WITH n AS (SELECT label, count(*) AS n FROM embeddings GROUP BY label) SELECT *, (SELECT count(*) FILTER (WHERE n > 1) FROM n) AS n_clusters, (SELECT count(*) FILTER (WHERE n = 1) FROM n) AS n_singletons, 0::BIGINT AS n_pending, 0.4e0 AS threshold FROM (VALUES ('left', true), ('undone', false)) v(log, undo_available)")
+def state_summary_undo(spark, sf_dir):
+    """A log with a confirm that can be undone, and one whose confirms all are."""
+    clusters = load(spark, sf_dir, "embeddings").select(F.col("label").alias("cluster_id"))
+    none = clusters.where("false").select(F.lit("").alias("path"))
+    log = load(spark, sf_dir, "events").where("event_id < 12").select(F.lit("p").alias("project"), F.col("event_id").alias("seq"), F.when(F.col("event_id") % 2 == 0, "confirm").otherwise("undo").alias("op"), F.array(F.lit("/x")).alias("delete_paths"))
+    of = lambda name, df: D.state_summary(clusters, none, stack=D.match_undos(df)[1]).withColumn("log", F.lit(name))
+    return of("left", log.where("seq < 11")).unionByName(of("undone", log))
+
+
 @query(WITH_ASSETS + "SELECT count(captured_at) AS n_times, count(*) AS n FROM assets")
 def timestamp_coverage(spark, sf_dir):
     return T.timestamp_coverage(assets(spark, sf_dir))
@@ -508,6 +605,18 @@ def export_plan(spark, sf_dir):
     return X.export_plan(assets(spark, sf_dir).select("path", F.col("asset_id").alias("seq"))).select(F.col("seq").alias("asset_id"), "dest")
 
 
+@query(WITH_ASSETS + """, s AS (SELECT asset_id, CASE WHEN asset_id % 3 = 0 THEN 'x_' || (asset_id % 9)::VARCHAR || '.jpg' ELSE 'x.jpg' END AS name FROM assets)
+SELECT count(*) AS n, count(*) AS distinct_names, count(DISTINCT name) AS plain, true AS numbered, 0::BIGINT AS taken_again FROM s""")
+def export_plan_clashes(spark, sf_dir):
+    """Names of which some are the numbered forms of others: all are given once, every plain name stays with one source, and the
+    rest are numbered."""
+    name = F.when(F.col("asset_id") % 3 == 0, F.concat(F.lit("x_"), (F.col("asset_id") % 9).cast("string"), F.lit(".jpg"))).otherwise("x.jpg")
+    plan = X.export_plan(assets(spark, sf_dir).select(F.concat(F.lit("/a/"), F.col("asset_id").cast("string"), F.lit("/"), name).alias("path"), F.col("asset_id").alias("seq")))
+    kept = F.element_at(F.split("path", "/"), -1) == F.col("dest")
+    known = F.broadcast(plan.groupBy("dest").agg(F.count(F.lit(1)).alias("times")).agg(F.count(F.lit(1)).alias("distinct_names"), F.count_if(F.col("times") > 1).alias("taken_again")))
+    return plan.agg(F.count(F.lit(1)).alias("n"), F.count_if(kept).alias("plain"), F.every(kept | F.col("dest").rlike(r"^x(_[0-9]+)+\.jpg$")).alias("numbered")).crossJoin(known)
+
+
 # Scalars
 @query("""SELECT event_id, try_strptime(coalesce(nullif(a, ''), nullif(b, ''), nullif(c, '')), '%Y:%m:%d %H:%M:%S') AS taken FROM (SELECT event_id, CASE event_id % 4 WHEN 0 THEN strftime(ts, '%Y:%m:%d %H:%M:%S') WHEN 1 THEN 'broken' ELSE '' END AS a,
 CASE WHEN event_id % 4 = 2 THEN strftime(ts, '%Y:%m:%d %H:%M:%S') END AS b, strftime(ts, '%Y:%m:%d 00:00:00') AS c FROM events)""")
@@ -606,6 +715,37 @@ def undone_confirms(spark, sf_dir):
     return D.match_undos(_log(spark, sf_dir))[0]
 
 
+#: Points of the log at which states are asked for.
+ASKED = [40, 150, 600, 2000]
+AS_OF_SQL = UNDO_SQL + ", asked AS (SELECT DISTINCT project, unnest([" + ", ".join(map(str, ASKED)) + "])::BIGINT AS upto FROM log) "
+
+
+def _asked(log: DataFrame) -> DataFrame:
+    return log.select("project").distinct().select("project", F.explode(F.array(*[F.lit(n).cast("long") for n in ASKED])).alias("seq"))
+
+
+@query(AS_OF_SQL + """, e AS (SELECT project, seq, unnest(paths) AS path, op = 'confirm' AS there FROM log WHERE op <> 'undo' UNION ALL SELECT u.project, u.seq, unnest(l.paths), false FROM undone u JOIN log l ON l.project = u.project AND l.seq = u.confirm)
+SELECT project, upto AS seq, path FROM (SELECT project, upto, path, max_by(there, seq) AS there FROM e JOIN asked USING (project) WHERE seq <= upto GROUP BY ALL) WHERE there""")
+def pending_as_of(spark, sf_dir):
+    log = _log(spark, sf_dir)
+    return D.pending_as_of(log, _asked(log))
+
+
+@query(AS_OF_SQL + """, r AS (SELECT DISTINCT project, k % 2 AS cluster_id, 7e0 AS cluster_score, '/p/' || k::VARCHAR AS path, ((k * 5) % 7)::DOUBLE AS score, k // 2 + 1 AS rank FROM log, range(7) t(k)),
+gone AS (SELECT DISTINCT l.project, a.upto, unnest(l.paths) AS path FROM log l JOIN asked a ON a.project = l.project AND l.seq <= a.upto LEFT JOIN undone u ON u.project = l.project AND u.confirm = l.seq AND u.seq <= a.upto WHERE l.op = 'confirm' AND u.seq IS NULL),
+kept AS (SELECT r.*, a.upto FROM r JOIN asked a USING (project) LEFT JOIN gone g ON g.project = r.project AND g.upto = a.upto AND g.path = r.path WHERE g.path IS NULL)
+SELECT project, upto AS seq, cluster_id, path, row_number() OVER (PARTITION BY project, upto, cluster_id ORDER BY score DESC, rank) AS rank, first(path) OVER (PARTITION BY project, upto, cluster_id ORDER BY rank) AS best_image FROM kept""")
+def results_as_of(spark, sf_dir):
+    """Seven results of each project, as they were at some points of its log."""
+    log = _log(spark, sf_dir)
+    k = F.explode(F.sequence(F.lit(0).cast("long"), F.lit(6).cast("long"))).alias("k")
+    results = log.select("project").distinct().select("project", k).select(
+        "project", (F.col("k") % 2).alias("cluster_id"), F.lit(7e0).alias("cluster_score"), F.concat(F.lit("/p/"), F.col("k").cast("string")).alias("path"),
+        ((F.col("k") * 5) % 7).cast("double").alias("score"), F.expr("k div 2 + 1").alias("rank"),
+    )
+    return D.results_as_of(results, log, _asked(log)).select("project", "seq", "cluster_id", "path", "rank", "best_image")
+
+
 @query(WITH_ASSETS + r""", st AS (SELECT asset_id, regexp_extract(path, '([^/]+)$', 1) AS name,
     CASE WHEN NOT (path = '/lib/src1' OR starts_with(path, '/lib/src1/')) THEN 'outside_root' WHEN path NOT IN (SELECT path FROM assets WHERE asset_id % 3 = 0) THEN 'missing' ELSE 'would_move' END AS status FROM assets),
 k AS (SELECT *, row_number() OVER (PARTITION BY status, name ORDER BY asset_id) - 1 AS k FROM st)
@@ -624,3 +764,85 @@ def auto_keep_best(spark, sf_dir):
 @query(SCORED_SQL + "SELECT cluster_id, asset_id AS a, lead(asset_id) OVER w AS b FROM ranked WINDOW w AS (PARTITION BY cluster_id ORDER BY rank) QUALIFY b IS NOT NULL")
 def matchup_pairs(spark, sf_dir):
     return D.matchup_pairs(ranked(spark, sf_dir)).select("cluster_id", "a", "b")
+
+
+GAMES_SQL = """WITH RECURSIVE g AS (SELECT user_id % 3 AS cluster_id, event_id % 7 AS a, (event_id * 5 + 3) % 11 AS b, event_type IN ('purchase', 'signup') AS first FROM events),
+games AS (SELECT cluster_id, CASE WHEN first THEN a ELSE b END AS winner, CASE WHEN first THEN b ELSE a END AS loser FROM g WHERE a <> b) """
+
+
+def _games(spark, sf_dir):
+    a, b, first = F.col("event_id") % 7, (F.col("event_id") * 5 + 3) % 11, F.col("event_type").isin("purchase", "signup")
+    e = load(spark, sf_dir, "events").select((F.col("user_id") % 3).alias("cluster_id"), F.when(first, a).otherwise(b).alias("winner"), F.when(first, b).otherwise(a).alias("loser"))
+    return e.where("winner <> loser")
+
+
+@query(GAMES_SQL + "SELECT winner, count(*) AS n_wins FROM games GROUP BY winner")
+def matchup_wins(spark, sf_dir):
+    return D.matchup_wins(_games(spark, sf_dir))
+
+
+@query(GAMES_SQL + """, pairs AS (SELECT cluster_id, item, other, count(*)::DOUBLE AS n, sum(won)::DOUBLE AS won FROM (SELECT cluster_id, winner AS item, loser AS other, 1 AS won FROM games UNION ALL SELECT cluster_id, loser, winner, 0 FROM games) GROUP BY ALL),
+totals AS (SELECT cluster_id, item, sum(n) AS n_games, sum(won) AS n_wins FROM pairs GROUP BY ALL),
+walk AS (SELECT 0 AS k, cluster_id, item, 1e0 AS s FROM totals
+    UNION ALL (WITH now AS (SELECT * FROM walk), m AS (SELECT any_value(x.k) + 1 AS k, p.cluster_id, p.item, (any_value(t.n_wins) + 0.5e0) / (sum(p.n / (x.s + y.s)) + 1e0 / (any_value(x.s) + 1e0)) AS s
+        FROM pairs p JOIN now x ON x.cluster_id = p.cluster_id AND x.item = p.item JOIN now y ON y.cluster_id = p.cluster_id AND y.item = p.other JOIN totals t ON t.cluster_id = p.cluster_id AND t.item = p.item WHERE x.k < 150 GROUP BY p.cluster_id, p.item)
+        SELECT k, cluster_id, item, s * exp(-(sum(2 * s / (s + 1) - 1) OVER c) / (sum(2 * s / ((s + 1) * (s + 1))) OVER c)) FROM m WINDOW c AS (PARTITION BY cluster_id)))
+SELECT cluster_id, item, n_games::BIGINT AS n_games, n_wins::BIGINT AS n_wins, round(s, 4) AS strength FROM walk JOIN totals USING (cluster_id, item) WHERE k = 150""")
+def matchup_strengths(spark, sf_dir):
+    """Games between the days and weeks of events; 150 rounds of the recursion are as good as convergence."""
+    return D.matchup_strengths(_games(spark, sf_dir)).select("cluster_id", "item", "n_games", "n_wins", r("strength"))
+
+
+# User models, with plain functions in their place
+def _pool_model():
+    """Token 0 and the mean of the patches, of 8 tokens of 8 values."""
+
+    def run(x: np.ndarray) -> np.ndarray:
+        tokens = np.asarray(x, np.float64).reshape(len(x), 8, 8)
+        return np.concatenate([tokens[:, 0], tokens[:, 3:].mean(axis=1)], axis=1)
+
+    return run
+
+
+@query("""WITH v AS (SELECT vec_id, unnest(range(64)) AS k, unnest(embedding)::DOUBLE AS x, unnest(list_reverse(embedding))::DOUBLE AS y FROM embeddings),
+p AS (SELECT vec_id, k % 8 AS pos, max((x + y) / 2) FILTER (WHERE k // 8 = 0) AS head, avg((x + y) / 2) FILTER (WHERE k // 8 >= 3) AS patch FROM v GROUP BY ALL),
+a AS (SELECT vec_id, pos + 1 AS pos, head AS v FROM p UNION ALL SELECT vec_id, pos + 9, patch FROM p), n AS (SELECT vec_id, sqrt(sum(v * v)) AS n FROM a GROUP BY vec_id)
+SELECT vec_id, pos, round(v / n, 6) + 0e0 AS v FROM a JOIN n USING (vec_id)""")
+def embed_pooled(spark, sf_dir):
+    """A model in batches, over a row and its mirror image: pooled, averaged, normalised."""
+    e = load(spark, sf_dir, "embeddings").select("vec_id", F.col("embedding").cast("array<double>").alias("x")).withColumn("mirrored", F.reverse("x"))
+    out = M.embed(e, "x", _pool_model, flipped_col="mirrored", input_shape=[64])
+    return out.select("vec_id", F.posexplode("embedding").alias("pos", "v")).select("vec_id", (F.col("pos") + 1).cast("long").alias("pos"), r("v", 6))
+
+
+def _strict_model():
+    """Fails on a batch with a value it doesn't take."""
+
+    def run(values: list) -> list:
+        if any(v > 60 for v in values):
+            raise ValueError("out of range")
+        return [2 * v for v in values]
+
+    return run
+
+
+def _missing_model():
+    raise ImportError("no weights")
+
+
+@query("SELECT event_id, round(CASE WHEN value > 60 THEN 0e0 ELSE 2e0 * value END, 6) AS strict FROM events")
+def score_metrics(spark, sf_dir):
+    """A scorer that fails for some rows, and so for most batches, beside one that can't be made."""
+    out = M.score_metrics(load(spark, sf_dir, "events").select("event_id", "value"), "value", {"strict": _strict_model, "missing": _missing_model})
+    return out.drop("value").select("event_id", *[r(c, 6) for c in out.columns if c in ("strict", "missing")])
+
+
+def _contrast(grid: np.ndarray) -> float:
+    if grid.max() < 0.8:
+        raise ValueError("too dark")
+    return float(grid.max() - grid.min())
+
+
+@query(GRID_SQL + " SELECT asset_id, round(CASE WHEN max(luma) < 0.8e0 THEN 0e0 ELSE max(luma) - min(luma) END, 6) + 0e0 AS contrast FROM g GROUP BY asset_id")
+def pixel_metric(spark, sf_dir):
+    return grids(assets(spark, sf_dir)).select("asset_id", M.pixel_metric(F.col("luma"), _contrast).alias("contrast")).select("asset_id", r("contrast", 6))

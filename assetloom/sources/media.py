@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from assetloom.common import exists
 from assetloom.functions.paths import basename, is_media, parent
 
 IMAGES = "array<struct<path:string,score:double,centrality:double,rank:int,exif_timestamp:double,score_components:map<string,double>>>"
@@ -56,11 +57,12 @@ def read_results(spark: SparkSession, path: str, lines: bool = False) -> DataFra
 
 
 def read_deleted(spark: SparkSession, curation_path: str | None, legacy_path: str | None) -> DataFrame:
-    """(path): the deleted set of a curation document, else of a legacy list, else nothing."""
-    if curation_path:
+    """(path): the deleted set of a curation document, if it is there, else the lines of a legacy list without blanks around
+    them, else nothing."""
+    if curation_path and exists(spark, curation_path):
         return spark.read.schema("deleted array<string>").option("multiLine", True).json(curation_path).select(F.explode("deleted").alias("path"))
     if legacy_path:
-        return read_pending(spark, legacy_path)
+        return read_pending(spark, legacy_path, strip=True)
     return spark.createDataFrame([], "path string")
 
 

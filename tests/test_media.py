@@ -8,10 +8,10 @@ import pytest
 from pyspark.sql import functions as F
 
 from assetloom.functions.paths import is_inside
-from assetloom.operators.model_hooks import embed, score_metrics
+from assetloom.operators.model_hooks import embed, pixel_metric, score_metrics, unavailable_metrics
 from assetloom.operators.quality import exposure_penalty, laplacian_sharpness
 from assetloom.sources import media as S
-from assetloom.streaming.refresh import refresh_stream
+from assetloom.streaming.refresh import read_target, refresh_stream
 
 
 def png(path, grid):
@@ -73,6 +73,9 @@ def test_hooks(spark):
         raise RuntimeError
 
     got = score_metrics(df, "x", {"total": total, "broken": broken})
+    assert [tuple(r) for r in unavailable_metrics(spark, {"total": total, "broken": broken}).collect()] == [("broken", "RuntimeError: ")]
+    grids = df.select("id", pixel_metric(F.when(F.col("id") < 3, F.col("x")), lambda g: float(1 / g.max())).alias("m"))
+    assert {r.id: r.m for r in grids.collect()} == {1: 0.25, 2: float("inf"), 3: 0.0}
     assert "broken" not in got.columns and {r.id: r.total for r in got.collect()} == {1: 7.0, 2: 0.0, 3: 0.0}
 
 
@@ -89,4 +92,7 @@ def test_streaming_refresh(spark, tmp_path):
     refresh_stream(spark, source, "path string", target, check, compute).awaitTermination()
     add("bb", "ccc")
     refresh_stream(spark, source, "path string", target, check, compute).awaitTermination()
-    assert sorted(map(tuple, spark.read.parquet(target).collect())) == [("a", 1), ("bb", 2), ("ccc", 3)]
+    assert sorted((r.path, r.n) for r in read_target(spark, target).collect()) == [("a", 1), ("bb", 2), ("ccc", 3)]
+    # Another checkpoint sees all files again, and neither repeats nor overwrites what is there.
+    refresh_stream(spark, source, "path string", target, f"{check}2", compute).awaitTermination()
+    assert sorted((r.path, r.n) for r in read_target(spark, target).collect()) == [("a", 1), ("bb", 2), ("ccc", 3)]
