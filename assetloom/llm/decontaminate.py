@@ -9,8 +9,8 @@ holds an item if at least ``min_share`` of the item's tokens agree along an alig
 aligned tokens agrees to ``window_share``. The second rule catches parts of items; short runs of common words meet neither.
 
 The benchmark is a stated query set. It is read in blocks of at most ``block_tokens`` tokens: the driver builds the index
-of one block, broadcasts it, and of several blocks each pass is written before the next begins, so that one block is all
-that is held at once. A block's index takes 16 bytes for each token and mask.
+of one block and broadcasts it. Of several blocks each pass is run before the next begins, so that one block is all
+that is held at once; a pass writes what it has found, and no texts. A block's index takes 16 bytes for each token and mask.
 
 Tokens are runs of letters, marks and digits (Unicode) of the lower-cased text. Defined cases: null and empty texts hold
 nothing; items of fewer than ``min_tokens`` tokens are skipped, or with ``short_items`` held by texts that hold all their
@@ -31,6 +31,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
 
 from assetloom.common import materialize
+from assetloom.llm.bloom import without_keys
 from assetloom.llm.hashing import mix64, utf8, word_hashes
 from assetloom.llm.rows import field, integer_id, packed, unpacked
 
@@ -204,10 +205,21 @@ def contaminated_pairs(docs: DataFrame, bench: DataFrame, id_col: str = "doc_id"
 
 
 def drop_contaminated(docs: DataFrame, bench: DataFrame, text_col: str = "text", **options) -> DataFrame:
-    """The documents that hold no benchmark item, columns unchanged."""
+    """The documents that hold no benchmark item, columns unchanged. Whether one goes depends on its text alone: of several
+    blocks each pass writes only hashes of the texts that hold an item, and the rows that may have one are looked up at last."""
+    gone = []
     for block, only in _passes(bench, **options):
-        kept = unpacked(packed(docs).withColumn("hits", hits_column(field(text_col), block)).where(F.size("hits") == 0))
-        docs = kept if only else materialize(kept, "clean")
-        if not only:
-            block.unpersist()
-    return docs
+        hits = hits_column(field(text_col), block)
+        if only:
+            return unpacked(packed(docs).withColumn("hits", hits).where(F.size("hits") == 0))
+        found = packed(docs).withColumn("hits", hits).where(F.size("hits") > 0).select(_text_key(field(text_col)).alias("key"))
+        gone.append(materialize(found.distinct(), "leaks"))
+        block.unpersist()
+    if not gone:
+        return docs
+    return unpacked(without_keys(packed(docs, key=_text_key(F.col(text_col))), "key", reduce(DataFrame.unionByName, gone)))
+
+
+def _text_key(text: Column) -> Column:
+    """128 bits of a text; null for null."""
+    return F.when(text.isNotNull(), F.concat_ws("-", F.xxhash64(text), F.xxhash64(F.lit(1), text)))

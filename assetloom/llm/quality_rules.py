@@ -1,14 +1,17 @@
 """Quality rules with adaptive thresholds (operator 5). DataFrame functions only.
 
 Fixed cutoffs are replaced by upper fences of each measure within a document's (language, source) group, taken over the
-documents that pass the base rules and show the measure (value above TINY): shares are spread over orders of magnitude, and
-most documents have none of some. The sketches are mergeable: values fall into logarithmic bins of relative width
-2 * accuracy, and a sketch is the count of each bin. Counts add up, so partial sketches merge exactly and in any order. A
-fence lies ``reach`` quartile distances above the upper quartile, both counted in bins: q75 * (q75 / q25) ** reach, within
-2 * accuracy for each quantile. No constant bounds it from below or above. Where fewer than ``min_group`` documents of a
-group show a measure, the fence of its language holds, else that of all documents, both from merged group sketches, not
-counted again; a measure that fewer than ``min_group`` of all documents show sets no fence. A document is kept if it passes
-the base rules and no measure is above its fence.
+documents that pass the base rules and show the measure. All measures are shares, spread over orders of magnitude below a
+half and crowded below one, so they are compared as odds on a logarithmic scale: a fence lies ``reach`` quartile distances
+above the upper quartile there, and as a share it is always a value below one.
+
+The sketches are mergeable: odds fall into logarithmic bins of relative width 2 * accuracy, and a sketch is the count of each
+bin. Counts add up, so partial sketches merge exactly and in any order; those of languages and of all documents come from
+the groups' sketches. A small group knows little of its own spread: its sketch is merged with that of its language, scaled to
+``weight`` documents, the language's with that of all documents, and that one with ``blank_weight`` documents that say
+nothing, as they are spread over all bins alike. So fences pass continuously from a group's own documents to its parents' as the group gets
+smaller. Counts are whole numbers throughout. A document is kept if it passes the base rules and no measure is above its
+fence. A merged sketch has a row for each of BINS bins, group and measure.
 
 Rows are measured once and written with their measures; a verdict then needs the fences of the row's group only, which
 are broadcast where they are few, so no text is moved.
@@ -28,12 +31,12 @@ from assetloom.common import materialize
 from assetloom.llm.text import SYMBOLS, count_chars, lines_of, n_letters, n_upper, ratio, words_of
 
 #: Shares of: characters of words that are no letter, mark or digit; symbols; repeated lines; words in repeated windows;
-#: upper case among letters; exclamation marks per word.
+#: upper case among letters; exclamation marks among words and these.
 MEASURES = ["mark_ratio", "symbol_ratio", "dup_line_ratio", "repeat_ratio", "upper_ratio", "bang_ratio"]
 #: Fences of so many groups are broadcast at most; those of more are joined by shuffle, dealt over SALTS.
 BROADCAST_GROUPS, SALTS = 100_000, 64
-#: Smallest value that a bin tells from zero.
-TINY = 1e-4
+#: Least odds that a bin tells from none, and the number of bins above it, the last without an end.
+TINY, BINS = 1e-4, 1151
 
 
 def _covered(starts: Column) -> Column:
@@ -114,33 +117,53 @@ def measure(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", sou
         share("n_dup_lines", "n_lines", "dup_line_ratio"),
         share("n_repeat_words", "n_words", "repeat_ratio"),
         share("upper", "letters", "upper_ratio"),
-        share("n_bangs", "n_words", "bang_ratio"),
+        ratio(F.col("n_bangs"), F.col("n_bangs") + F.col("n_words")).alias("bang_ratio"),
     )
 
 
+def _odds(share: Column) -> Column:
+    """share / (1 - share); null for 1, which is above everything."""
+    return F.when(share < 1, share / (1 - share))
+
+
 def sketch(measured: DataFrame, measures: list[str], accuracy: float) -> DataFrame:
-    """(lang, source, measure, bin, n): the mergeable sketches. Bin 0 holds values up to TINY."""
+    """(lang, source, measure, bin, n): the mergeable sketches. Bin 0 holds odds up to TINY."""
     pairs = F.explode(F.array(*[F.struct(F.lit(m).alias("measure"), F.col(m).cast("double").alias("value")) for m in measures]))
     width = F.log(F.lit((1 + accuracy) / (1 - accuracy)))
-    binned = F.when(F.col("p.value") > TINY, F.ceil(F.log(F.col("p.value") / TINY) / width)).otherwise(0).cast("int")
-    return measured.select("lang", "source", pairs.alias("p")).groupBy("lang", "source", F.col("p.measure").alias("measure"), binned.alias("bin")).agg(F.count(F.lit(1)).alias("n"))
-
-
-def fences(sketches: DataFrame, measures: list[str], accuracy: float, reach: float, by: list[str], min_group: int) -> DataFrame:
-    """(by..., fence_<measure>...) from sketches merged to the columns ``by``; null where fewer than ``min_group`` documents
-    show the measure. A window holds one sketch only, whose number of bins is bounded by the accuracy."""
-    merged = sketches.groupBy(*by, "measure", "bin").agg(F.sum(F.when(F.col("bin") > 0, F.col("n")).otherwise(0)).alias("n"))
-    part = W.partitionBy(*by, "measure")
-    run = merged.withColumn("upto", F.sum("n").over(part.orderBy("bin").rowsBetween(W.unboundedPreceding, 0))).withColumn("shown", F.sum("n").over(part))
-    q = lambda p: F.min(F.when((F.col("bin") > 0) & (F.col("upto") >= F.ceil(p * F.col("shown"))), F.col("bin")))
-    quart = run.groupBy(*by, "measure").agg(F.max("shown").alias("shown"), q(0.25).alias("b25"), q(0.75).alias("b75"))
+    odds = _odds(F.col("p.value"))
+    place = F.when(odds.isNull(), BINS).when(odds > TINY, F.least(F.ceil(F.log(odds / TINY) / width), F.lit(BINS))).otherwise(0)
+    return measured.select("lang", "source", pairs.alias("p")).groupBy("lang", "source", F.col("p.measure").alias("measure"), place.cast("int").alias("bin")).agg(F.count(F.lit(1)).alias("n"))
+
+
+def _merged(own: DataFrame, parent: DataFrame, by: list[str], above: list[str], weight: int) -> DataFrame:
+    """(by..., measure, bin, w, whole): own counts (by..., measure, bin, n) beside the parent's sketch (above..., measure, bin, w,
+    whole) scaled to ``weight`` documents. whole is the sum of w. Both are multiplied by the parent's whole, so they stay
+    whole numbers."""
+    total = own.groupBy(*by, "measure").agg(F.sum(F.when(F.col("bin") > 0, F.col("n")).otherwise(0)).alias("own_n"))
+    bins = total.join(parent, [*above, "measure"]).join(own.where("bin > 0"), [*by, "measure", "bin"], "left")
+    exact = lambda c: c.cast("decimal(38,0)")
+    w = exact(F.coalesce("n", F.lit(0)) * F.col("whole")) + exact(F.lit(weight) * F.col("w"))
+    return bins.select(*by, "measure", "bin", w.cast("decimal(38,0)").alias("w"), exact((F.col("own_n") + weight) * F.col("whole")).alias("whole"))
+
+
+def fences(sketches: DataFrame, accuracy: float, reach: float, weight: int, blank_weight: int) -> DataFrame:
+    """(lang, source, measure, fence): the odds above which a share is rejected, from each group's merged sketch."""
+    count = lambda *by: sketches.groupBy(*by, "measure", "bin").agg(F.sum("n").cast("decimal(20,0)").alias("n"))
+    every = sketches.select("measure").distinct().select("measure", F.explode(F.sequence(F.lit(1), F.lit(BINS))).alias("bin"))
+    blank = every.select("measure", "bin", F.lit(1).cast("decimal(20,0)").alias("w"), F.lit(BINS).cast("decimal(20,0)").alias("whole"))
+    whole = materialize(_merged(count(), blank, [], [], blank_weight), "quality-all")
+    lang = materialize(_merged(count("lang"), whole, ["lang"], [], weight), "quality-lang")
+    group = _merged(count("lang", "source"), lang, ["lang", "source"], ["lang"], weight)
+    part = W.partitionBy("lang", "source", "measure").orderBy("bin").rowsBetween(W.unboundedPreceding, 0)
+    run = group.withColumn("upto", F.sum("w").over(part))
+    q = lambda k: F.min(F.when(4 * F.col("upto") >= k * F.col("whole"), F.col("bin")))
+    quart = run.groupBy("lang", "source", "measure").agg(q(1).alias("b25"), q(3).alias("b75"))
     # The upper end of the bin, so that values like the quartile itself are never above.
     edge = F.lit(TINY) * F.pow(F.lit((1 + accuracy) / (1 - accuracy)), F.col("b75") + F.lit(float(reach)) * (F.col("b75") - F.col("b25")))
-    quart = quart.withColumn("fence", F.when(F.col("shown") >= min_group, edge))
-    return quart.groupBy(*by).agg(*[F.max(F.when(F.col("measure") == m, F.col("fence"))).alias(f"fence_{m}") for m in measures])
+    return quart.select("lang", "source", "measure", edge.alias("fence"))
 
 
-def with_verdict(docs: DataFrame, carry: list[Column], text_col: str = "text", lang_col: str = "lang", source_col: str = "source", accuracy: float = 0.01, reach: float = 3.0, min_group: int = 200, measures: list[str] | None = None) -> DataFrame:
+def with_verdict(docs: DataFrame, carry: list[Column], text_col: str = "text", lang_col: str = "lang", source_col: str = "source", accuracy: float = 0.01, reach: float = 3.0, weight: int = 200, blank_weight: int = 20, measures: list[str] | None = None) -> DataFrame:
     """kept_0, kept_1, ... (the ``carry`` columns), the counts, base_failed, kept and the measures of every row."""
     measures = measures or MEASURES
     # Null groups get keys of their own, so that the joins below are plain equi-joins.
@@ -148,20 +171,17 @@ def with_verdict(docs: DataFrame, carry: list[Column], text_col: str = "text", l
     measured = measure(docs, text_col, lang_col, source_col, carry).withColumns({"lang": key("lang"), "source": key("source")})
     measured = materialize(measured, "quality")
     sketches = materialize(sketch(measured.where(~F.col("base_failed")), measures, accuracy), "quality-sketch")
-    names = [f"fence_{m}" for m in measures]
-    group = fences(sketches, measures, accuracy, reach, ["lang", "source"], min_group)
-    lang = fences(sketches, measures, accuracy, reach, ["lang"], min_group).select("lang", F.struct(*names).alias("of_lang"))
-    whole = fences(sketches.withColumn("all", F.lit(0)), measures, accuracy, reach, ["all"], min_group).select("all", F.struct(*names).alias("of_all"))
-    limits = group.withColumn("all", F.lit(0)).join(lang, "lang").join(whole, "all")
-    chosen = F.struct(*[F.coalesce(n, f"of_lang.{n}", f"of_all.{n}").alias(n) for n in names])
-    limits = materialize(limits.select("lang", "source", chosen.alias("limit")), "quality-limits")
+    found = fences(sketches, accuracy, reach, weight, blank_weight).groupBy("lang", "source")
+    limits = found.agg(F.struct(*[F.max(F.when(F.col("measure") == m, F.col("fence"))).alias(f"fence_{m}") for m in measures]).alias("limit"))
+    limits = materialize(limits, "quality-limits")
     if limits.count() <= BROADCAST_GROUPS:
         judged = measured.join(F.broadcast(limits), ["lang", "source"], "left")
     else:
         # A group may hold a third of all rows: it is dealt over salts, and the limits, one row per group, go to each.
         salted = limits.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
         judged = measured.withColumn("salt", F.floor(F.rand(7) * SALTS).cast("int")).join(salted, ["lang", "source", "salt"], "left")
-    above = reduce(lambda a, m: a | F.coalesce(F.col(m) > F.col(f"limit.fence_{m}"), F.lit(False)), measures, F.lit(False))
+    over = lambda m: F.coalesce(F.coalesce(_odds(F.col(m)), F.lit(float("inf"))) > F.col(f"limit.fence_{m}"), F.lit(False))
+    above = reduce(lambda a, m: a | over(m), measures, F.lit(False))
     return judged.withColumn("kept", ~F.col("base_failed") & ~above)
 
 

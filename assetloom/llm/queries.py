@@ -78,25 +78,25 @@ m AS (SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_fail
         CASE WHEN n_lines > 0 THEN n_dup_lines / n_lines ELSE 0e0 END AS dup_line_ratio,
         CASE WHEN n_words > 0 THEN n_repeat_words / n_words ELSE 0e0 END AS repeat_ratio,
         CASE WHEN letters > 0 THEN upper / letters ELSE 0e0 END AS upper_ratio,
-        CASE WHEN n_words > 0 THEN n_bangs / n_words ELSE 0e0 END AS bang_ratio FROM c),
-long AS (SELECT doc_id, coalesce(lang, chr(0)) AS lang, coalesce(source, chr(0)) AS source, measure, value FROM (
+        CASE WHEN n_words > 0 THEN n_bangs / (n_bangs + n_words) ELSE 0e0 END AS bang_ratio FROM c),
+long AS (SELECT doc_id, coalesce(lang, chr(0)) AS lang, coalesce(source, chr(0)) AS source, measure, value, CASE WHEN value < 1 THEN value / (1 - value) ELSE 'inf'::DOUBLE END AS odds FROM (
     SELECT doc_id, lang, source, 'mark' AS measure, mark_ratio AS value FROM m WHERE NOT base_failed
     UNION ALL SELECT doc_id, lang, source, 'symbol', symbol_ratio FROM m WHERE NOT base_failed
     UNION ALL SELECT doc_id, lang, source, 'dup_line', dup_line_ratio FROM m WHERE NOT base_failed
     UNION ALL SELECT doc_id, lang, source, 'repeat', repeat_ratio FROM m WHERE NOT base_failed
     UNION ALL SELECT doc_id, lang, source, 'upper', upper_ratio FROM m WHERE NOT base_failed
     UNION ALL SELECT doc_id, lang, source, 'bang', bang_ratio FROM m WHERE NOT base_failed)),
-bins AS (SELECT lang, source, measure, ceil(ln(value / 1e-4) / ln(1.01e0 / 0.99e0)) AS bin, count(*) AS n FROM long WHERE value > 1e-4 GROUP BY ALL),
-level AS (SELECT 2 AS lv, lang, source, measure, bin, n FROM bins
-    UNION ALL SELECT 1, lang, NULL, measure, bin, sum(n) FROM bins GROUP BY ALL
-    UNION ALL SELECT 0, NULL, NULL, measure, bin, sum(n) FROM bins GROUP BY ALL),
-run AS (SELECT *, sum(n) OVER (PARTITION BY lv, lang, source, measure ORDER BY bin) AS upto, sum(n) OVER (PARTITION BY lv, lang, source, measure) AS shown FROM level),
-quart AS (SELECT lv, lang, source, measure, max(shown) AS shown, min(bin) FILTER (WHERE upto >= ceil(0.25e0 * shown)) AS b25, min(bin) FILTER (WHERE upto >= ceil(0.75e0 * shown)) AS b75 FROM run GROUP BY ALL),
-fence AS (SELECT lv, lang, source, measure, 1e-4 * pow(1.01e0 / 0.99e0, b75 + 3e0 * (b75 - b25)) AS fence FROM quart WHERE shown >= 200),
-above AS (SELECT l.doc_id, bool_or(coalesce(l.value > coalesce(g.fence, b.fence, a.fence), FALSE)) AS bad FROM long l
-    LEFT JOIN fence g ON g.lv = 2 AND g.lang = l.lang AND g.source = l.source AND g.measure = l.measure
-    LEFT JOIN fence b ON b.lv = 1 AND b.lang = l.lang AND b.measure = l.measure
-    LEFT JOIN fence a ON a.lv = 0 AND a.measure = l.measure GROUP BY l.doc_id)
+bins AS (SELECT lang, source, measure, CASE WHEN odds > 1e-4 THEN CASE WHEN value < 1 THEN least(ceil(ln(odds / 1e-4) / ln(1.01e0 / 0.99e0)), 1151) ELSE 1151 END ELSE 0 END::INTEGER AS bin, count(*) AS n FROM long GROUP BY ALL),
+whole AS (SELECT e.measure, e.bin, coalesce(n, 0)::HUGEINT * 1151 + 20 AS w, (total + 20)::HUGEINT * 1151 AS whole FROM (SELECT measure, unnest(range(1, 1152)) AS bin, total FROM (SELECT measure, coalesce(sum(n) FILTER (WHERE bin > 0), 0) AS total FROM bins GROUP BY measure)) e
+    LEFT JOIN (SELECT measure, bin, sum(n) AS n FROM bins WHERE bin > 0 GROUP BY ALL) o ON o.measure = e.measure AND o.bin = e.bin),
+of_lang AS (SELECT t.lang, p.measure, p.bin, coalesce(o.n, 0)::HUGEINT * p.whole + 200 * p.w AS w, (t.total + 200)::HUGEINT * p.whole AS whole FROM (SELECT lang, measure, coalesce(sum(n) FILTER (WHERE bin > 0), 0) AS total FROM bins GROUP BY ALL) t
+    JOIN whole p ON p.measure = t.measure LEFT JOIN (SELECT lang, measure, bin, sum(n) AS n FROM bins WHERE bin > 0 GROUP BY ALL) o ON o.lang = t.lang AND o.measure = p.measure AND o.bin = p.bin),
+of_group AS (SELECT t.lang, t.source, p.measure, p.bin, coalesce(o.n, 0)::HUGEINT * p.whole + 200 * p.w AS w, (t.total + 200)::HUGEINT * p.whole AS whole FROM (SELECT lang, source, measure, coalesce(sum(n) FILTER (WHERE bin > 0), 0) AS total FROM bins GROUP BY ALL) t
+    JOIN of_lang p ON p.lang = t.lang AND p.measure = t.measure LEFT JOIN bins o ON o.bin > 0 AND o.lang = t.lang AND o.source = t.source AND o.measure = p.measure AND o.bin = p.bin),
+run AS (SELECT *, sum(w) OVER (PARTITION BY lang, source, measure ORDER BY bin) AS upto FROM of_group),
+quart AS (SELECT lang, source, measure, min(bin) FILTER (WHERE 4 * upto >= whole) AS b25, min(bin) FILTER (WHERE 4 * upto >= 3 * whole) AS b75 FROM run GROUP BY ALL),
+fence AS (SELECT lang, source, measure, 1e-4 * pow(1.01e0 / 0.99e0, b75 + 3e0 * (b75 - b25)) AS fence FROM quart),
+above AS (SELECT doc_id, bool_or(odds > fence) AS bad FROM long JOIN fence USING (lang, source, measure) GROUP BY doc_id)
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND NOT coalesce(bad, FALSE) AS kept FROM m LEFT JOIN above USING (doc_id)
 """
 

@@ -6,7 +6,7 @@ weighs the rules and drops most. The rest is compiled into one Spark column expr
 
 Trees and weights are fitted on about ``sample_rows`` labelled rows at most (all of them, if there are fewer), chosen
 by a hash of the id. Defined cases: null, empty and blank texts have zero statistics and are scored like any other;
-labels other than 0 and 1, null ones, and those of unknown documents are ignored; if the labels left are all alike the score is that label
+labels may be booleans, numbers or their text; others than 0 and 1, null ones, and those of unknown documents are ignored; if the labels left are all alike the score is that label
 smoothed towards one half, and 0.5 without any; repeated rows are scored alike, repeated labels count twice; an empty
 table gives an empty result; null ids are scored but never learnt from; other columns are not read.
 """
@@ -106,8 +106,9 @@ def score_column(intercept: float, rules: list[tuple[float, tuple[Condition, ...
 def score_quality(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", sample_rows: int = 20_000, trees: int = 16, depth: int = 3, penalty: float = 0.001, folds: int = 3, fold: int = 1) -> DataFrame:
     """One row per document: id, held_out, score, predicted. Learns from labels whose id isn't held out."""
     stats = materialize(text_statistics(docs, id_col, text_col), "rule-stats")
-    known = F.col(id_col).isNotNull() & F.col(label_col).isin(0, 1) & ~held_out(F.col(id_col), folds, fold)
-    usable = labels.where(known).select(F.col(id_col).alias("id"), F.col(label_col).cast("int").alias("label"))
+    label = F.col(label_col).try_cast("double")
+    known = F.col(id_col).isNotNull() & label.isin(0.0, 1.0) & ~held_out(F.col(id_col), folds, fold)
+    usable = labels.where(known).select(F.col(id_col).alias("id"), label.cast("int").alias("label"))
     sample = usable.where(sample_of(F.col("id"), sample_rows / max(1, usable.count())))
     labelled = materialize(sample.join(stats, "id"), "rule-sample")
     intercept, rules = fit_rules(labelled, STATISTICS, "label", trees, depth, penalty)
