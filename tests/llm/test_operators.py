@@ -3,6 +3,7 @@
 import math
 import random
 import zlib
+from collections import Counter
 
 import pytest
 from pyspark.sql import functions as F
@@ -177,47 +178,89 @@ def test_language_pieces():
 
 
 def test_quality_rules(spark, odd, none, monkeypatch):
-    plain = sorted(map(str, quality_rules.judge(odd, min_group=4).collect()))
-    got = quality_rules.judge(odd, min_group=4).toPandas()
+    plain = sorted(map(str, quality_rules.judge(odd, weight=4).collect()))
+    got = quality_rules.judge(odd, weight=4).toPandas()
     want = [B.quality_base(r.text) for r in odd.collect()]
     cols = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed"]
     assert sorted(map(tuple, got[cols].values.tolist())) == sorted(want)
     assert not got[got["base_failed"]]["kept"].any()
-    kept = quality_rules.filter_quality(odd, min_group=4)
+    kept = quality_rules.filter_quality(odd, weight=4)
     assert kept.columns == odd.columns and kept.count() == got["kept"].sum()
     assert quality_rules.judge(none).count() == 0
     # The other ways of the joins and of the windows give the same.
     monkeypatch.setattr(quality_rules, "BROADCAST_GROUPS", 0)
     monkeypatch.setattr(quality_rules, "window_hash", lambda a, b, c: F.pmod(F.xxhash64(a, b, c), F.lit(5)))
-    assert sorted(map(str, quality_rules.judge(odd, min_group=4).collect())) == plain
+    assert sorted(map(str, quality_rules.judge(odd, weight=4).collect())) == plain
 
 
 def test_rows_of_one_text_have_their_own_verdict(spark):
     long = " ".join(f"w{k}" for k in range(60))
     rows = [(1, long + "!" * 40, "en", "loud"), (1, long + "!" * 40, "en", "calm"), *[(k, long + "!" * 40, "en", "loud") for k in range(2, 9)], *[(k, long + ".", "en", "calm") for k in range(10, 20)]]
-    kept = quality_rules.filter_quality(spark.createDataFrame(rows, "doc_id long, text string, lang string, source string"), min_group=5)
+    kept = quality_rules.filter_quality(spark.createDataFrame(rows, "doc_id long, text string, lang string, source string"), weight=2, blank_weight=2)
     assert {(r.doc_id, r.source) for r in kept.collect() if r.doc_id == 1} == {(1, "loud")}
 
 
-def test_quality_sketches_merge(spark):
-    rows = [(("a", "b")[k % 2], float(k % 97) / 97) for k in range(1000)]
-    df = spark.createDataFrame(rows, "source string, m double").withColumn("lang", F.lit("x"))
-    s = quality_rules.sketch(df, ["m"], 0.01)
-    f = {tuple(r)[:1]: r.fence_m for r in quality_rules.fences(s, ["m"], 0.01, 0.0, ["source"], 1).collect()}
-    both = quality_rules.fences(s, ["m"], 0.01, 0.0, ["lang"], 1).first().fence_m
-    level = lambda v, p: sorted(x for x in v if x)[math.ceil(p * sum(x > 0 for x in v)) - 1]
-    bin_width = 1.01 / 0.99
-    # A fence without reach is the upper end of the bin of the upper quartile.
-    for fence, of in [(both, "ab"), (f["a",], "a"), (f["b",], "b")]:
-        q75 = level([v for y, v in rows if y in of], 0.75)
-        assert q75 <= fence <= q75 * bin_width * (1 + 1e-9)
-    wide = quality_rules.fences(s, ["m"], 0.01, 3.0, ["lang"], 1).first().fence_m
-    values = [v for _, v in rows]
-    assert wide == pytest.approx(level(values, 0.75) * (level(values, 0.75) / level(values, 0.25)) ** 3, rel=0.09)
-    # Zeros are not counted, and too few documents that show a measure set no fence.
-    shown = sum(v > 0 for v in values)
-    assert quality_rules.fences(s, ["m"], 0.01, 3.0, ["lang"], shown).first().fence_m == wide
-    assert quality_rules.fences(s, ["m"], 0.01, 3.0, ["lang"], shown + 1).first().fence_m is None
+def plain_fences(rows, weight, blank_weight, reach=3.0, accuracy=0.01):
+    """{(lang, source, measure): fence} from (lang, source, measure, share) rows, with the same whole numbers."""
+    bins, width = quality_rules.BINS, math.log((1 + accuracy) / (1 - accuracy))
+
+    def place(x):
+        if x >= 1:
+            return bins
+        odds = x / (1 - x)
+        return min(math.ceil(math.log(odds / quality_rules.TINY) / width), bins) if odds > quality_rules.TINY else 0
+
+    def merged(own, parent, share):
+        total, whole = sum(own.values()), sum(parent.values())
+        assert sum(own.get(b, 0) * whole + share * w for b, w in parent.items()) == (total + share) * whole
+        return {b: own.get(b, 0) * whole + share * w for b, w in parent.items()}
+
+    out = {}
+    for measure in {r[2] for r in rows}:
+        counts = lambda keep: Counter(b for r in rows if r[2] == measure and keep(r) and (b := place(r[3])))
+        whole = merged(counts(lambda r: True), dict.fromkeys(range(1, bins + 1), 1), blank_weight)
+        for lang, source in {r[:2] for r in rows}:
+            group = merged(counts(lambda r: r[:2] == (lang, source)), merged(counts(lambda r: r[0] == lang), whole, weight), weight)
+            total, upto, b25, b75 = sum(group.values()), 0, None, None
+            for b in sorted(group):
+                upto += group[b]
+                b25 = b if b25 is None and 4 * upto >= total else b25
+                b75 = b if b75 is None and 4 * upto >= 3 * total else b75
+            out[lang, source, measure] = quality_rules.TINY * math.exp(width * (b75 + reach * (b75 - b25)))
+    return out
+
+
+@pytest.mark.parametrize(("weight", "blank_weight"), [(200, 20), (1, 1), (5, 0)])
+def test_quality_fences(spark, weight, blank_weight):
+    """Merged whole-number sketches of groups of 1 to 400 rows, with zeros, ones and a measure that some groups don't show."""
+    rnd = random.Random(3)
+    rows = []
+    for lang, source, n in [("en", "a", 400), ("en", "b", 7), ("de", "a", 60), ("de", "c", 1)]:
+        rows += [(lang, source, "m", rnd.choice([0.0, 1.0, 1e-5, rnd.random() ** 3, rnd.random() / 50])) for _ in range(n)]
+        rows += [(lang, source, "k", 0.0 if source == "c" else rnd.random() / 9) for _ in range(n)]
+    table = spark.createDataFrame([(a, b, x if m == "m" else None, x if m == "k" else None) for a, b, m, x in rows], "lang string, source string, m double, k double")
+    sketches = quality_rules.sketch(table.where("m is not null"), ["m"], 0.01).unionByName(quality_rules.sketch(table.where("k is not null"), ["k"], 0.01))
+    got = {(r.lang, r.source, r.measure): r.fence for r in quality_rules.fences(sketches, 0.01, 3.0, weight, blank_weight).collect()}
+    assert got == pytest.approx(plain_fences(rows, weight, blank_weight), rel=1e-9)
+
+
+def test_every_measure_rejects_by_its_group(spark):
+    """A value that is usual in one group and far out in another goes in the other only, for every measure."""
+    words = [f"w{k}" for k in range(60)]
+    base = " ".join(words)
+    texts = {
+        "mark_ratio": lambda k: base + ";" * k,
+        "symbol_ratio": lambda k: base + " " + "#" * k,
+        "dup_line_ratio": lambda k: base + "".join(f"\nq{j // 2}" for j in range(2 * k)) + "".join(f"\nz{j}" for j in range(60)),
+        "repeat_ratio": lambda k: base + " w0 w1 w2" + "".join(f" w{j}" for j in range(3, 3 + k // 2)),
+        "upper_ratio": lambda k: base + "Q" * k,
+        "bang_ratio": lambda k: base + "!" * k,
+    }
+    for measure, text in texts.items():
+        rows = [(j, text(2 + j % 2), "en", "calm") for j in range(60)] + [(100 + j, text(24 + j % 2), "en", "loud") for j in range(60)] + [(1000, text(25), "en", "calm")]
+        df = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")
+        kept = {r.doc_id: r.kept for r in quality_rules.judge(df, measures=[measure], weight=2, blank_weight=1).collect()}
+        assert not kept[1000] and sum(kept.values()) >= 118, measure
 
 
 def test_fences_move_with_the_group(spark):

@@ -61,3 +61,15 @@ def test_stages(chain, sf_dir):
 def test_run(spark, chain, sf_dir):
     key = lambda r: (r.doc_id, r.text, r.copies, r.taken)
     assert sorted(map(key, corpus_pipeline.run(spark, sf_dir).collect())) == sorted(map(key, chain[-1][1].collect()))
+
+
+def test_runs_side_by_side(spark, chain, sf_dir):
+    """Results of stages that are read late, and runs in between, lose nothing."""
+    docs = load(spark, sf_dir, "documents")
+    quality, lines = corpus_pipeline.STAGES[0][1], corpus_pipeline.STAGES[1][1]
+    first, second = quality(spark, docs, sf_dir), quality(spark, docs, sf_dir)
+    other = corpus_pipeline.run(spark, sf_dir)
+    kept = materialize(first, "test-first")
+    shorter = lines(spark, kept, sf_dir)
+    assert sorted(rows(second)) == sorted(rows(kept)) == sorted(rows(chain[0][1]))
+    assert sorted(rows(shorter)) == sorted(rows(chain[1][1])) and other.count() == chain[-1][1].count()

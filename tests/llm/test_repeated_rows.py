@@ -54,3 +54,19 @@ def test_pipeline_stages_on_repeated_rows(spark):
     assert sorted((str(r.doc_id), r.text) for r in out.collect()) == sorted([("1", a), ("None", b), ("2", c)])
     mixed = corpus_pipeline.mix(spark, docs, "").collect()
     assert len(mixed) == len({(r.doc_id, r.text) for r in mixed}) and all(1 <= r.copies <= 2 and r.taken == r.copies * r.size for r in mixed)
+
+
+def test_columns_without_an_order(spark):
+    """Maps beside a repeated id and text: one row stays, the same at every run."""
+    a, b = phrases(5, 2, 40)
+    docs = spark.createDataFrame([(1, a, {"k": 2}), (1, a, {"k": 1}), (2, b, None), (2, b, {}), (3, a, {"k": 3})], "doc_id long, text string, notes map<string,int>")
+    docs = docs.selectExpr("*", "'en' AS lang", "'web' AS source", "1L AS n_chars", "parse_json('{}') AS v")
+    out = jaccard_join.drop_near_duplicates(docs, shingle=5, percent=80)
+    assert out.columns == docs.columns and {r.doc_id: r.notes for r in out.select("doc_id", "notes").collect()}[1] == {"k": 1} and out.count() == 2
+    assert {r.doc_id for r in corpus_pipeline.mix(spark, docs, "").select("doc_id").collect()} <= {1, 2, 3}
+
+
+def test_text_ids_in_the_line_stage(spark):
+    line = " ".join(phrases(6, 1, 9))
+    docs = spark.createDataFrame([("b", f"{line}\nfirst own line", "en", "web", 1), ("a", f"{line}\nanother of its own", "en", "web", 1), (None, line + "\nneither of them", "en", "web", 1)], SCHEMA.replace("doc_id long", "doc_id string"))
+    assert {(r.doc_id, r.text) for r in corpus_pipeline.lines(spark, docs, "").collect()} == {("a", f"{line}\nanother of its own"), ("b", "first own line"), (None, "neither of them")}

@@ -44,4 +44,13 @@ def test_stated_rules(spark):
     df = spark.createDataFrame([(k, k / 10.0, (k * 7 % 10) / 10.0) for k in range(10)], "id long, a double, b double")
     rule = ((0, "<=", 0.5), (1, ">", 0.3))
     got = {r.id: r.f for r in df.select("id", rule_ensemble.rule_column(rule, ["a", "b"]).alias("f")).collect()}
-    assert got == {k: float(k / 10 <= 0.5 and (k * 7 % 10) / 10 > 0.3) for k in range(10)} 
+    assert got == {k: float(k / 10 <= 0.5 and (k * 7 % 10) / 10 > 0.3) for k in range(10)}
+
+
+def test_kinds_of_labels(spark, sf_dir):
+    """Booleans and text are labels like numbers."""
+    docs, labels = load(spark, sf_dir, "documents"), load(spark, sf_dir, "labels").select("doc_id", "quality")
+    score = lambda c: {r.doc_id: r.score for r in rule_ensemble.score_quality(docs, labels.withColumn("quality", c)).collect()}
+    assert score(F.col("quality")) == score(F.col("quality").cast("boolean")) == score(F.col("quality").cast("string"))
+    odd = F.when(F.col("doc_id") % 2 == 0, F.col("quality").cast("string")).otherwise("good")
+    assert len(score(odd)) == docs.count()
