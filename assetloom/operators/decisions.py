@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 from functools import reduce
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
@@ -289,28 +290,34 @@ def matchup_wins(outcomes: DataFrame) -> DataFrame:
     return outcomes.groupBy("winner").agg(F.count(F.lit(1)).alias("n_wins"))
 
 
-def matchup_strengths(outcomes: DataFrame, prior: float = 0.5, tolerance: float = 1e-7, max_rounds: int = 200) -> DataFrame:
-    """(cluster_id, item, n_games, n_wins, strength) from games (cluster_id, winner, loser): the Bradley-Terry strengths, by
-    which x beats y with x / (x + y). Every item also wins and loses ``prior`` games against one of strength 1, so there is
-    exactly one solution, whoever has met whom.
+def _strengths_of(prior: float, tolerance: float, max_rounds: int):
+    def of(pdf: pd.DataFrame) -> pd.DataFrame:
+        """One cluster: the same rounds over arrays."""
+        items, codes = np.unique(pdf["item"].to_numpy(), return_inverse=True)
+        other, n = np.searchsorted(items, pdf["other"].to_numpy()), pdf["n"].to_numpy(np.float64)
+        wins, s = np.bincount(codes, pdf["won"], len(items)), np.ones(len(items))
+        for _ in range(max_rounds):
+            before, share = s, np.bincount(codes, n / (s[codes] + s[other]), len(items))
+            s = (wins + prior) / (share + 2 * prior / (s + 1))
+            s = s * np.exp(-(2 * s / (s + 1) - 1).sum() / (2 * s / (s + 1) ** 2).sum())
+            if np.abs(s / before - 1).max() <= tolerance:
+                break
+        return pd.DataFrame({"cluster_id": pdf["cluster_id"].iloc[0], "item": items, "strength": s})
 
-    A round is the minorise-maximise update of every item, and a step of the common scale of each cluster, which the
-    update alone would move by little; both are written. Rounds go on until no strength moves by more than ``tolerance`` of
-    itself, or ``max_rounds`` were run. Games are counted by pair first, so a round moves one row for each pair and end."""
-    games = outcomes.where("winner is not null and loser is not null and winner <> loser")
-    ends = F.explode(F.array(F.struct(F.col("winner").alias("item"), F.col("loser").alias("other"), F.lit(1).alias("won")), F.struct(F.col("loser").alias("item"), F.col("winner").alias("other"), F.lit(0).alias("won"))))
-    pairs = games.select("cluster_id", ends.alias("g")).groupBy("cluster_id", "g.item", "g.other").agg(F.count(F.lit(1)).alias("n"), F.sum("g.won").alias("won"))
-    pairs = materialize(pairs, "matchup-pairs")
-    totals = materialize(pairs.groupBy("cluster_id", "item").agg(F.sum("n").alias("n_games"), F.sum("won").alias("n_wins")), "matchup-totals")
-    now = materialize(totals.select("cluster_id", "item", "n_wins", F.lit(1e0).alias("strength"), F.lit(0e0).alias("moved")), "matchup-strength")
+    return of
+
+
+def _strength_rounds(pairs: DataFrame, prior: float, tolerance: float, max_rounds: int) -> DataFrame:
+    """(cluster_id, item, strength) by written rounds over the pairs (cluster_id, item, other, n, won)."""
     s = F.col("strength")
+    now = pairs.groupBy("cluster_id", "item").agg(F.sum("won").alias("n_wins")).withColumns({"strength": F.lit(1e0), "moved": F.lit(0e0)})
+    now = materialize(now, "matchup-strength")
     for _ in range(max_rounds):
         other = now.select("cluster_id", F.col("item").alias("other"), s.alias("against"))
         met = pairs.join(now.select("cluster_id", "item", "strength"), ["cluster_id", "item"]).join(other, ["cluster_id", "other"])
         share = met.groupBy("cluster_id", "item").agg(F.sum(F.col("n") / (s + F.col("against"))).alias("share"))
         updated = (F.col("n_wins") + prior) / (F.col("share") + 2 * prior / (s + 1e0))
         step = materialize(now.join(share, ["cluster_id", "item"]).select("cluster_id", "item", "n_wins", s.alias("before"), updated.alias("strength")), "matchup-update")
-        # The games between items cancel out of the sum of all conditions; what is left fixes the scale.
         gap, slope = F.sum(2 * s / (s + 1e0) - 1e0), F.sum(2 * s / ((s + 1e0) * (s + 1e0)))
         scale = step.groupBy("cluster_id").agg(F.exp(-gap / slope).alias("scale"))
         scaled = s * F.col("scale")
@@ -320,4 +327,26 @@ def matchup_strengths(outcomes: DataFrame, prior: float = 0.5, tolerance: float
         now = after
         if (after.agg(F.max("moved")).first()[0] or 0.0) <= tolerance:
             break
-    return totals.join(now.select("cluster_id", "item", "strength"), ["cluster_id", "item"])
+    return now.select("cluster_id", "item", "strength")
+
+
+def matchup_strengths(outcomes: DataFrame, prior: float = 0.5, tolerance: float = 1e-7, max_rounds: int = 500, max_local: int = 200_000) -> DataFrame:
+    """(cluster_id, item, n_games, n_wins, strength) from games (cluster_id, winner, loser): the Bradley-Terry strengths, by
+    which x beats y with x / (x + y). Every item also wins and loses ``prior`` games against one of strength 1, so there is
+    exactly one solution, whoever has met whom.
+
+    A round is the minorise-maximise update of every item, and a step of the common scale of each cluster, which the
+    update alone would move by little: the games between items cancel out of the sum of all conditions, and what is left fixes
+    the scale. Rounds go on until no strength moves by more than ``tolerance`` of itself, or ``max_rounds`` were run. Games
+    are counted by pair first. A cluster of up to ``max_local`` pairs is solved in a task, larger ones by distributed rounds."""
+    games = outcomes.where("winner is not null and loser is not null and winner <> loser")
+    ends = F.explode(F.array(F.struct(F.col("winner").alias("item"), F.col("loser").alias("other"), F.lit(1).alias("won")), F.struct(F.col("loser").alias("item"), F.col("winner").alias("other"), F.lit(0).alias("won"))))
+    pairs = games.select("cluster_id", ends.alias("g")).groupBy("cluster_id", "g.item", "g.other").agg(F.count(F.lit(1)).alias("n"), F.sum("g.won").alias("won"))
+    pairs = materialize(pairs, "matchup-pairs")
+    kinds = dict(pairs.dtypes)
+    large = pairs.groupBy("cluster_id").agg(F.count(F.lit(1)).alias("size")).where(F.col("size") > max_local).select("cluster_id")
+    local = pairs.join(large, "cluster_id", "left_anti").groupBy("cluster_id").applyInPandas(_strengths_of(prior, tolerance, max_rounds), f"cluster_id {kinds['cluster_id']}, item {kinds['item']}, strength double")
+    rest = pairs.join(large, "cluster_id", "left_semi")
+    found = local if rest.isEmpty() else local.unionByName(_strength_rounds(materialize(rest, "matchup-rest"), prior, tolerance, max_rounds))
+    totals = pairs.groupBy("cluster_id", "item").agg(F.sum("n").alias("n_games"), F.sum("won").alias("n_wins"))
+    return totals.join(found, ["cluster_id", "item"])

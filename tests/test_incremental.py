@@ -172,7 +172,10 @@ def test_strengths(spark):
     rnd, true = random.Random(8), [0.2, 0.5, 1.0, 2.0, 4.0]
     games = [(1, a, b) if rnd.random() < true[a] / (true[a] + true[b]) else (1, b, a) for _ in range(400) for a, b in [rnd.sample(range(5), 2)]]
     games += [(2, 10, 11)] * 3 + [(2, 12, 13), (2, 13, 12)] + [(1, 3, 3), (1, None, 2)]
-    got = {(r.cluster_id, r["item"]): r for r in D.matchup_strengths(spark.createDataFrame(games, "cluster_id long, winner long, loser long"), prior=0.5).collect()}
+    table = spark.createDataFrame(games, "cluster_id long, winner long, loser long")
+    got = {(r.cluster_id, r["item"]): r for r in D.matchup_strengths(table, prior=0.5).collect()}
+    rounds = {(r.cluster_id, r["item"]): r.strength for r in D.matchup_strengths(table, prior=0.5, tolerance=1e-3, max_local=0).collect()}
+    assert rounds == pytest.approx({k: r.strength for k, r in got.items()}, rel=0.02)
     s = {k: r.strength for k, r in got.items()}
     for (c, x), r in got.items():
         own = [g for g in games if g[0] == c and x in g[1:] and g[1] != g[2] and None not in g]
