@@ -8,13 +8,18 @@ from __future__ import annotations
 
 import math
 from collections.abc import Callable, Iterator
+from itertools import chain
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from assetloom.common import discard, materialize
+from assetloom.operators.runs import in_batches, runs
 
+#: Ids and vectors of one side of a pair of blocks.
+Side = tuple[np.ndarray, np.ndarray]
 #: Rows of a matrix product at once, and the decimals of a distance: both directions of a pair give the same number.
 STRIP, DECIMALS = 1024, 12
 
@@ -48,49 +53,43 @@ def _matrix(series: pd.Series) -> np.ndarray:
     return np.stack([np.asarray(v, np.float64) for v in series])
 
 
-def _per_block(work: Callable, key: list[str], self_join: bool):
-    def of(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        """Calls ``work(left, right)`` for each run of equal keys in the sorted rows."""
-        held: list[pd.DataFrame] = []
-
-        def flush():
-            block = pd.concat(held).sort_values("id", kind="stable")
-            a, b = block[block["side"] == 0], block[block["side"] == 1]
-            if self_join and block["bi"].iloc[0] == block["bj"].iloc[0]:
-                b = a
-            if len(a) and len(b):
-                for out in work(a, b):
-                    yield out.assign(**{c: a[c].iloc[0] for c in key[:-2]})
-
-        for pdf in batches:
-            keys = pdf[key].to_numpy()
-            cuts = [0, *(np.flatnonzero((keys[1:] != keys[:-1]).any(axis=1)) + 1), len(pdf)]
-            for x, y in zip(cuts, cuts[1:]):
-                part = pdf.iloc[x:y]
-                if not len(part):
-                    continue
-                if held and (held[-1][key].iloc[0] != part[key].iloc[0]).any():
-                    yield from flush()
-                    held = []
-                held.append(part)
-        if held:
-            yield from flush()
+def _per_block(work: Callable, key: list[str], self_join: bool, names: list[str]):
+    def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Calls ``work(left, right)``, both (ids, vectors) in order of id, for each run of equal keys in the sorted rows."""
+        first = next(batches, None)
+        if first is None:
+            return
+        by = [pa.field(c, first.schema.field(c).type) for c in key[:-2]]
+
+        def parts() -> Iterator[tuple[np.ndarray, ...]]:
+            for run in runs(chain([first], batches), key):
+                order = np.argsort(run["id"], kind="stable")
+                ids, vectors, right = run["id"][order], run["v"][order], run["side"][order] == 1
+                a = b = (ids[~right], vectors[~right])
+                if not (self_join and run["bi"][0] == run["bj"][0]):
+                    b = (ids[right], vectors[right])
+                if len(a[0]) and len(b[0]):
+                    for out in work(a, b):
+                        yield *out, *(np.repeat(run[c.name][:1], len(out[0])) for c in by)
+
+        yield from in_batches(parts(), pa.schema([(names[0], pa.int64()), (names[1], pa.int64()), (names[2], pa.float64()), *by]))
 
     return of
 
 
-def _in_blocks(dealt: DataFrame, by: list[str], work: Callable, schema: str, self_join: bool) -> DataFrame:
+def _in_blocks(dealt: DataFrame, by: list[str], work: Callable, names: list[str], self_join: bool) -> DataFrame:
+    """What ``work`` finds in every block pair: two ids and a distance, under ``names``, after the ``by`` of the block."""
     key, types = [*by, "bi", "bj"], dict(dealt.dtypes)
-    schema += "".join(f", {c} {types[c]}" for c in by)
-    return dealt.repartition(*key).sortWithinPartitions(*key).mapInPandas(_per_block(work, key, self_join), schema)
+    schema = "{} long, {} long, {} double".format(*names) + "".join(f", {c} {types[c]}" for c in by)
+    found = dealt.repartition(*key).sortWithinPartitions(*key).mapInArrow(_per_block(work, key, self_join, names), schema)
+    return found.select(*by, *names)
 
 
-def _strips(a: pd.DataFrame, b: pd.DataFrame) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+def _strips(a: Side, b: Side) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """(ids of some rows of a, their distances to all rows of b)."""
-    right = _matrix(b["v"]).T
-    for x in range(0, len(a), STRIP):
-        own = a.iloc[x : x + STRIP]
-        yield own["id"].to_numpy(), np.round(1 - _matrix(own["v"]) @ right, DECIMALS)
+    (ids, vectors), right = a, b[1].T
+    for x in range(0, len(ids), STRIP):
+        yield ids[x : x + STRIP], np.round(1 - vectors[x : x + STRIP] @ right, DECIMALS)
 
 
 def pairs_within(df: DataFrame, threshold: float, block_rows: int = 2048, by: list[str] | None = None) -> DataFrame:
@@ -104,18 +103,16 @@ def pairs_within(df: DataFrame, threshold: float, block_rows: int = 2048, by: li
 def near_in_blocks(dealt: DataFrame, threshold: float, by: list[str], self_join: bool = True) -> DataFrame:
     """The pairs closer than ``threshold`` of rows dealt to block pairs (by..., bi, bj, side, id, v)."""
 
-    def work(a: pd.DataFrame, b: pd.DataFrame) -> Iterator[pd.DataFrame]:
-        right = b["id"].to_numpy()
+    def work(a: Side, b: Side) -> Iterator[tuple[np.ndarray, ...]]:
+        right = b[0]
         for left, dist in _strips(a, b):
             near = dist < threshold
-            if a is b:
-                near &= left[:, None] < right[None, :]
+            near &= left[:, None] < right[None, :] if a is b else left[:, None] != right[None, :]
             i, j = np.nonzero(near)
             u, w = left[i], right[j]
-            out = pd.DataFrame({"a": np.minimum(u, w), "b": np.maximum(u, w), "dist": dist[i, j]})
-            yield out[out["a"] < out["b"]]
+            yield np.minimum(u, w), np.maximum(u, w), dist[i, j]
 
-    return _in_blocks(dealt, by, work, "a long, b long, dist double", self_join).select(*by, "a", "b", "dist")
+    return _in_blocks(dealt, by, work, ["a", "b", "dist"], self_join)
 
 
 def pairs_across(left: DataFrame, right: DataFrame, threshold: float, block_rows: int = 2048, by: list[str] | None = None) -> DataFrame:
@@ -126,7 +123,7 @@ def pairs_across(left: DataFrame, right: DataFrame, threshold: float, block_rows
     return near_in_blocks(dealt, threshold, by, self_join=False)
 
 
-def _nearest(k: int, left: np.ndarray, right: np.ndarray, dist: np.ndarray, exclude_self: bool) -> pd.DataFrame:
+def _nearest(k: int, left: np.ndarray, right: np.ndarray, dist: np.ndarray, exclude_self: bool) -> tuple[np.ndarray, ...]:
     """(id, neighbor, dist) of the k nearest of ``right``, which are in id order, to each of ``left``."""
     if exclude_self:
         dist = np.where(left[:, None] == right[None, :], np.inf, dist)
@@ -135,9 +132,9 @@ def _nearest(k: int, left: np.ndarray, right: np.ndarray, dist: np.ndarray, excl
     order = np.lexsort((col, dist[row, col], row))
     row, col = row[order], col[order]
     best = np.arange(len(row)) - np.searchsorted(row, row) < k
+    best &= np.isfinite(dist[row, col])
     row, col = row[best], col[best]
-    out = pd.DataFrame({"id": left[row], "neighbor": right[col], "dist": dist[row, col]})
-    return out[np.isfinite(out["dist"])]
+    return left[row], right[col], dist[row, col]
 
 
 def knn(queries: DataFrame, base: DataFrame, k: int, block_rows: int = 2048, exclude_self: bool = True, by: list[str] | None = None) -> DataFrame:
@@ -146,8 +143,8 @@ def knn(queries: DataFrame, base: DataFrame, k: int, block_rows: int = 2048, exc
     Pass the same table twice for a self-join, which takes each pair of blocks once."""
     by, same = by or [], queries is base
 
-    def work(a: pd.DataFrame, b: pd.DataFrame) -> Iterator[pd.DataFrame]:
-        right = b["id"].to_numpy()
+    def work(a: Side, b: Side) -> Iterator[tuple[np.ndarray, ...]]:
+        right = b[0]
         for left, dist in _strips(a, b):
             yield _nearest(k, left, right, dist, exclude_self)
             if same and a is not b:
@@ -156,7 +153,7 @@ def knn(queries: DataFrame, base: DataFrame, k: int, block_rows: int = 2048, exc
     n_blocks = _count_blocks(base, by, block_rows)
     rows = _blocked(base, by, n_blocks)
     dealt = _dealt(rows, by, None) if same else _dealt(_blocked(queries, by, n_blocks), by, 0).unionByName(_dealt(rows, by, 1))
-    near = _in_blocks(dealt, by, work, "id long, neighbor long, dist double", same)
+    near = _in_blocks(dealt, by, work, ["id", "neighbor", "dist"], same)
     rank = F.row_number().over(W.partitionBy(*by, "id").orderBy("dist", "neighbor"))
     return near.withColumn("rank", rank).where(F.col("rank") <= k).select(*by, "id", "neighbor", "dist", "rank")
 
