@@ -28,6 +28,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window as W, functions as F
 
 from assetloom.common import materialize
+from assetloom.llm.bloom import split_possible
 from assetloom.llm.distinct import distinct_rows
 from assetloom.llm.hashing import _table, utf8
 from assetloom.llm.rows import field, integer_id, packed, unpacked
@@ -188,6 +189,10 @@ def drop_spans(docs: DataFrame, spans: DataFrame, id_col: str = "doc_id", text_c
         return pd.Series(out)
 
     holes = spans.where("cut").groupBy(F.col(id_col).alias("id"), "th").agg(F.collect_list(F.struct("start", "n_bytes")).alias("holes"))
-    rows = packed(docs, id=integer_id(docs, id_col), th=F.xxhash64(text_col)).join(holes, ["id", "th"], "left")
-    hit, rest = rows.where("holes is not null"), rows.where("holes is null")
-    return unpacked(rest).unionByName(unpacked(hit.withColumn("row", F.col("row").withField(f"`{text_col}`", without(field(text_col), F.col("holes"))))))
+    holes = materialize(holes.withColumn("key", F.xxhash64("id", "th")), "holes")
+    rows = packed(docs, id=integer_id(docs, id_col), th=F.xxhash64(text_col))
+    # Only rows that may have holes are moved.
+    asked, stay = split_possible(rows.withColumn("key", F.xxhash64("id", "th")), "key", holes)
+    asked = asked.join(holes.drop("key"), ["id", "th"], "left")
+    asked = asked.withColumn("row", F.col("row").withField(f"`{text_col}`", without(field(text_col), F.col("holes"))))
+    return unpacked(stay).unionByName(unpacked(asked))
