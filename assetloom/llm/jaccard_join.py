@@ -44,6 +44,8 @@ from assetloom.operators.components import connected_components
 #: Cells of the tables that order shingles: of words, and of common shingles at least and at most (32 MB of bits).
 CELLS = 1 << 16
 HOT_CELLS = (1 << 22, 1 << 28)
+#: Common shingles' cells are sent to the driver by stretches of two to the power of this.
+STRETCH = 16
 #: The least share of documents that is sampled for the order.
 LEAST_SHARE = 1 / 4096
 #: Bits of a signature; sets above WIDE_FROM shingles have a second one.
@@ -66,6 +68,17 @@ def _sample_counts(size: int):
     return of
 
 
+def _packed_bits(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """The cells of each stretch as bits, the lowest first in each byte."""
+    for pdf in batches:
+        out = []
+        for own in pdf["cells"]:
+            flags = np.zeros(1 << STRETCH, np.uint8)
+            flags[own] = 1
+            out.append(np.packbits(flags, bitorder="little").tobytes())
+        yield pd.DataFrame({"at": pdf["at"], "bits": out})
+
+
 def shingle_order(texts: DataFrame, size: int, sample_docs: int) -> tuple[np.ndarray, np.ndarray]:
     """(weight of a word by cell, bits of the common shingles by cell) from about ``sample_docs`` documents, or a 4,096th
     of all if that is more. A shingle is common if three of them hold it."""
@@ -77,9 +90,13 @@ def shingle_order(texts: DataFrame, size: int, sample_docs: int) -> tuple[np.nda
     hot = counts.where("kind = 1")
     cells = min(HOT_CELLS[1], max(HOT_CELLS[0], 1 << (64 * hot.count()).bit_length()))
     cell = F.col("cell").bitwiseAND(F.lit(cells - 1))
-    flags = hot.groupBy(F.shiftright(cell, 3).alias("at")).agg(F.bit_or(F.call_function("shiftleft", F.lit(1), cell.bitwiseAND(F.lit(7)).cast("int"))).alias("flag")).toPandas()
-    bits = np.zeros(cells >> 3, np.uint8)
-    bits[flags["at"].to_numpy(np.int64)] = flags["flag"].to_numpy(np.uint8)
+    # A row of packed bits for every stretch of cells: 4,096 rows of 8 kB at most reach the driver.
+    stretch, inside = F.shiftright(cell, STRETCH), cell.bitwiseAND(F.lit((1 << STRETCH) - 1)).cast("int")
+    flags = hot.groupBy(stretch.alias("at")).agg(F.collect_set(inside).alias("cells")).mapInPandas(_packed_bits, "at long, bits binary")
+    bits = np.zeros((cells >> STRETCH, 1 << STRETCH >> 3), np.uint8)
+    for r in flags.toLocalIterator():
+        bits[r["at"]] = np.frombuffer(r["bits"], np.uint8)
+    bits = bits.reshape(-1)
     return np.minimum(255, np.log2(words + 1) * 16).astype(np.uint16), bits
 
 
