@@ -6,8 +6,9 @@ place, with the profile's length for those it lacks. The nearest language wins,
 is 1 minus the distance over the largest possible.
 
 Profiles are learnt on a bounded sample: of each label about ``sample_docs`` rows, by a hash of the id. Every label gets
-one. They are ``profile_size`` n-grams each, so what is broadcast grows with the number of labels only. Every whole text
-is then judged, beside its table, without a shuffle.
+one. They are ``profile_size`` n-grams each and held ``block_labels`` at a time, in the order of their names. As a rule one
+block holds all, and every whole text is judged beside its table, without a shuffle. Of more labels, the n-grams of each text
+are written once, and every further block is a pass over those, which keeps the nearest label so far.
 
 n-grams are of 1 to 3 letters of the lower-cased text; combining marks belong to words like letters, other characters
 separate words, and word edges count as one letter. Defined cases: null texts and texts without a letter (Unicode
@@ -20,17 +21,19 @@ from __future__ import annotations
 import unicodedata
 from collections.abc import Iterator
 from functools import lru_cache
+from itertools import chain
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
+from assetloom.common import discard, materialize
 from assetloom.llm.hashing import mix64
-from assetloom.llm.rows import sample_of
+from assetloom.operators.positions import with_position
 
 UND = "und"
-#: Code points looked at at once.
-PIECE = 1 << 20
+#: Code points looked at at once, and the most labels whose counts are broadcast.
+PIECE, FEW_LABELS = 1 << 20, 100_000
 
 
 @lru_cache(1)
@@ -83,19 +86,29 @@ def _count_sample(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             yield pd.DataFrame({"lang": lang, "gram": every.view(np.int64), "n": n})
 
 
-def learn_profiles(labelled: DataFrame, sample_docs: int, profile_size: int) -> dict[str, list[int]]:
-    """language -> its n-grams, most frequent first. labelled: (id, text, lang), no nulls."""
-    # One row per label.
+def learn_profiles(labelled: DataFrame, sample_docs: int, profile_size: int) -> DataFrame:
+    """(lang, rank, gram): the n-grams of every language, the most frequent first. labelled: (id, text, lang), no nulls."""
     shares = labelled.groupBy("lang").agg((F.lit(float(sample_docs)) / F.count(F.lit(1))).alias("share"))
+    shares = materialize(shares, "lang-shares")
     chosen = F.shiftrightunsigned(F.xxhash64("id"), 11) < F.least("share", F.lit(1.0)) * float(1 << 53)
-    sample = labelled.join(F.broadcast(shares), "lang").where(chosen).select(F.lower("text").alias("text"), "lang")
+    sample = labelled.join(F.broadcast(shares) if shares.count() <= FEW_LABELS else shares, "lang").where(chosen).select(F.lower("text").alias("text"), "lang")
     counts = sample.mapInPandas(_count_sample, "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
     rank = F.row_number().over(W.partitionBy("lang").orderBy(F.desc("n"), F.xxhash64("gram"), "gram"))
-    top = counts.withColumn("rank", rank).where(F.col("rank") <= profile_size).orderBy("lang", "rank").collect()
-    out: dict[str, list[int]] = {}
-    for r in top:
-        out.setdefault(r["lang"], []).append(r["gram"])
-    return out
+    return materialize(counts.withColumn("rank", rank).where(F.col("rank") <= profile_size).select("lang", "rank", "gram"), "lang-profiles")
+
+
+def profile_blocks(profiles: DataFrame, block_labels: int) -> Iterator[dict[str, list[int]]]:
+    """language -> its n-grams, for ``block_labels`` languages at a time, in order of their names."""
+    langs = profiles.where("rank = 1").select("lang")
+    n = langs.count()
+    if n > block_labels:
+        profiles = profiles.join(with_position(langs, ["lang"], "at"), "lang")
+    for first in range(0, max(n, 1), block_labels):
+        own = profiles.where(F.col("at").between(first + 1, first + block_labels)) if n > block_labels else profiles
+        out: dict[str, list[int]] = {}
+        for r in own.select("lang", "rank", "gram").orderBy("lang", "rank").collect():
+            out.setdefault(r["lang"], []).append(r["gram"])
+        yield out
 
 
 class Profiles:
@@ -118,26 +131,41 @@ class Profiles:
         return len(top) * self.size - np.bincount(self.lang[at], saved, len(self.langs)).astype(np.int64)
 
 
-def identify(text: Column, profiles_b, doc_grams: int) -> Column:
-    """struct(lang, score) of a text."""
+def _top(text: str | None, doc_grams: int) -> np.ndarray:
+    grams, counts = gram_counts(text) if text else (np.empty(0, np.uint64), np.empty(0, np.int64))
+    return most_frequent(grams, counts, doc_grams) if len(grams) else grams
+
+
+def top_grams(text: Column, doc_grams: int) -> Column:
+    """A text's most frequent n-grams in order, as longs."""
+
+    @F.pandas_udf("array<long>")
+    def tops(texts: pd.Series) -> pd.Series:
+        return pd.Series([_top(t, doc_grams).view(np.int64) for t in texts])
+
+    return tops(F.lower(text))
+
+
+def nearest(c: Column, profiles_b, doc_grams: int, is_text: bool) -> Column:
+    """struct(lang, cost, n): the nearest language of a text, or of its n-grams in order, its distance and the number of
+    n-grams. No language where there are none."""
 
-    @F.pandas_udf("struct<lang:string,score:double>")
+    @F.pandas_udf("struct<lang:string,cost:long,n:int>")
     def judge(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         known = Profiles(*profiles_b.value)
-        for texts in batches:
+        for values in batches:
             out = []
-            for t in texts:
-                grams, counts = gram_counts(t) if t else (np.empty(0), np.empty(0))
-                if not len(grams) or not known.langs:
-                    out.append((UND, 0.0))
+            for x in values:
+                top = _top(x, doc_grams) if is_text else np.asarray(x, np.int64).view(np.uint64)
+                if not len(top) or not known.langs:
+                    out.append((None, 0, len(top)))
                     continue
-                top = most_frequent(grams, counts, doc_grams)
                 cost = known.distances(top)
                 best = int(cost.argmin())
-                out.append((known.langs[best], max(0.0, float(1 - cost[best] / (len(top) * known.size)))))
-            yield pd.DataFrame(out, columns=["lang", "score"])
+                out.append((known.langs[best], int(cost[best]), len(top)))
+            yield pd.DataFrame(out, columns=["lang", "cost", "n"])
 
-    return judge(F.lower(text))
+    return judge(F.lower(c) if is_text else c)
 
 
 def held_out(id_col: Column, folds: int, fold: int) -> Column:
@@ -145,11 +173,25 @@ def held_out(id_col: Column, folds: int, fold: int) -> Column:
     return F.coalesce(F.crc32(id_col.cast("string").cast("binary")) % folds == fold, F.lit(False))
 
 
-def identify_languages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", sample_docs: int = 2000, profile_size: int = 400, doc_grams: int = 300, folds: int = 5, fold: int = 0) -> DataFrame:
+def identify_languages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", sample_docs: int = 2000, profile_size: int = 400, doc_grams: int = 300, folds: int = 5, fold: int = 0, block_labels: int = 1000) -> DataFrame:
     """One row per input row: id, held_out, lang_pred, score. Learns from rows with a label that aren't held out."""
+    sc = docs.sparkSession.sparkContext
     d = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.col(lang_col).alias("lang"))
     out = held_out(F.col("id"), folds, fold)
     profiles = learn_profiles(d.where(~out & F.col("id").isNotNull() & F.col("lang").isNotNull() & F.col("text").isNotNull()), sample_docs, profile_size)
-    block = docs.sparkSession.sparkContext.broadcast((profiles, profile_size))
-    judged = d.select("id", out.alias("held_out"), identify(F.col("text"), block, doc_grams).alias("j"))
-    return judged.select(F.col("id").alias(id_col), "held_out", F.col("j.lang").alias("lang_pred"), F.col("j.score").alias("score"))
+    blocks = profile_blocks(profiles, block_labels)
+    first, second = sc.broadcast((next(blocks), profile_size)), next(blocks, None)
+    if second is None:
+        judged = d.select("id", out.alias("held_out"), nearest(F.col("text"), first, doc_grams, True).alias("j"))
+    else:
+        tops = materialize(d.select("id", out.alias("held_out"), top_grams(F.col("text"), doc_grams).alias("top")), "lang-tops")
+        judged = materialize(tops.withColumn("j", nearest(F.col("top"), first, doc_grams, False)), "lang-judged")
+        for block in chain([second], blocks):
+            other = nearest(F.col("top"), sc.broadcast((block, profile_size)), doc_grams, False)
+            # On a tie the label of the earlier block stays, as names ascend.
+            closer = F.when(F.col("other.cost") < F.col("j.cost"), F.col("other")).otherwise(F.col("j"))
+            last, judged = judged, materialize(judged.withColumn("other", other).select("id", "held_out", "top", closer.alias("j")), "lang-judged")
+            discard(last)
+    share = F.greatest(F.lit(0.0), 1 - F.col("j.cost") / (F.col("j.n") * F.lit(profile_size)))
+    score = F.when(F.col("j.lang").isNull(), 0.0).otherwise(share)
+    return judged.select(F.col("id").alias(id_col), "held_out", F.coalesce("j.lang", F.lit(UND)).alias("lang_pred"), score.alias("score"))

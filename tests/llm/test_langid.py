@@ -82,5 +82,19 @@ def test_many_labels(spark):
     """Every label is learnt, however many there are."""
     name = lambda k: "".join(chr(0x4E00 + (k * 7 + j) % 3000) for j in range(6))
     df = spark.createDataFrame([(1000 * j + k, name(k), f"l{k:03}") for k in range(320) for j in range(4)], "doc_id long, text string, lang string")
-    got = {r.doc_id: r.lang_pred for r in langid.identify_languages(df).collect()}
+    answer = lambda **o: {r.doc_id: (r.lang_pred, r.score) for r in langid.identify_languages(df, **o).collect()}
+    whole = answer()
+    assert answer(block_labels=90) == whole  # four blocks, one after the other
+    got = {i: lang for i, (lang, _) in whole.items()}
     assert sum(got[1000 * j + k] == f"l{k:03}" for k in range(320) for j in range(4)) >= 1270
+
+
+def test_ties_between_blocks(spark):
+    """Languages of equal profiles: the first by name, in whatever block."""
+    df = spark.createDataFrame([(k, "one two three four", "dbca"[k % 4]) for k in range(40)] + [(99, None, None), (98, "12", "a")], "doc_id long, text string, lang string")
+    seen = []
+    for size in (1, 3, 4):
+        got = {r.doc_id: (r.lang_pred, r.score) for r in langid.identify_languages(df, block_labels=size).collect()}
+        assert len(got) == 42 and got[99] == got[98] == ("und", 0.0) and {got[k][0] for k in range(40)} == {"a"}
+        seen.append(got)
+    assert seen[0] == seen[1] == seen[2]
