@@ -97,6 +97,22 @@ def test_vectors_of_a_bucket_move_once(spark):
     assert got == {(r.a, r.b) for r in neighbors.pairs_within(df, 0.5).collect() if group[r.a] is not None and group[r.a] == group[r.b]}
 
 
+def test_descent_sends_a_vector_to_a_group_once(spark, monkeypatch):
+    """Not to each of the two lists' lengths of meetings; and lists grow with the rows, as recall falls with them."""
+    assert neighbors.spare_entries(2000) == 20 and neighbors.spare_entries(100_000) > neighbors.spare_entries(10_000) > 20
+    rng, sent = np.random.default_rng(5), []
+    v = rng.normal(size=(700, 16))
+    df = frame(spark, v / np.linalg.norm(v, axis=1, keepdims=True))
+    meet, cogroup = neighbors._meet, type(df.groupBy("id")).cogroup
+    monkeypatch.setattr(type(df.groupBy("id")), "cogroup", lambda links, vectors: sent.append(vectors._df.groupBy("id").count().agg({"count": "max"}).first()[0]) or cogroup(links, vectors))
+    monkeypatch.setattr(neighbors, "LEAST_MEETINGS", 64)
+    monkeypatch.setattr(neighbors, "_meet", lambda most: sent.append(most) or meet(most))
+    exact = {(r.id, r.neighbor, r.dist) for r in neighbors.knn(df, df, 5).collect()}
+    found = {(r.id, r.neighbor, r.dist) for r in neighbors.knn_descent(df, 5, start_rows=64).collect()}
+    assert len(found) == len(exact) and len(found & exact) >= 0.95 * len(exact)
+    assert sent and max(sent) <= max(25, neighbors.GROUPS)
+
+
 def test_threshold_counts_all_rows(spark, monkeypatch):
     """More rows than the sample of 5,000 that was the default."""
     seen, nearest = [], neighbors.nn_distance
