@@ -1,9 +1,16 @@
 """What must hold however many rows there are: shares of rows sent, whole results, bounded rests."""
 
+import os
+import time
+from urllib.parse import urlparse
+
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
+from assetloom import common
 from assetloom.operators import decisions, linkage, neighbors, pivots
+from assetloom.plans import queries
 
 D = 8
 
@@ -142,3 +149,42 @@ def test_undo_chain_solves_projects_in_batches(spark):
     pdf = spark.range(40).selectExpr("id AS project", "0 AS part", "0L AS seq", "5L AS entry").toPandas()
     out = list(decisions._chain(3, ["project", "part", "entry", "confirm"])(iter([pdf])))
     assert sum(map(len, out)) == 40 and len(out) <= 2
+
+
+def shuffle_files(spark):
+    files = spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllFiles()
+    return {files.apply(k).getName() for k in range(files.size()) if files.apply(k).getName().startswith("shuffle_")}
+
+
+def test_written_tables_leave_no_shuffle_files(spark):
+    """Rounds don't pile up on disk until the driver collects its garbage, and nothing else is cleaned up."""
+    was, other = spark.conf.get(common.CLEANUP), spark.range(500).repartition(3, "id").groupBy("id").count()
+    assert len(other.collect()) == 500
+    before = shuffle_files(spark)
+    df = spark.range(300).repartition(3, "id").groupBy((F.col("id") % 7).alias("k")).count()
+    kept = common.materialize(df, "sizes")
+    for _ in range(50):
+        if not (left := shuffle_files(spark) - before):
+            break
+        time.sleep(0.1)
+    assert not left and kept.count() == 7 and spark.conf.get(common.CLEANUP) == was
+    # What others have shuffled stays: the same plan runs again from it.
+    assert len(other.collect()) == 500
+
+
+def test_cleaning_ends_with_the_last_thread(spark):
+    was = spark.conf.get(common.CLEANUP)
+    one, two = common.cleaned_up(spark), common.cleaned_up(spark)
+    one.__enter__(), two.__enter__()
+    one.__exit__(None, None, None)
+    assert spark.conf.get(common.CLEANUP) == "true"
+    two.__exit__(None, None, None)
+    assert spark.conf.get(common.CLEANUP) == was
+
+
+def test_recall_leaves_its_result_only(spark, sf_dir):
+    folder = urlparse(common.shared_dir(spark)).path
+    there = set(os.listdir(folder))
+    got = {tuple(r) for r in queries.approximate_recall(spark, sf_dir).collect()}
+    assert got == {("descent", True), ("planes", True)}
+    assert [x.split("-")[0] for x in set(os.listdir(folder)) - there] == ["recall"]
