@@ -9,7 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from assetloom import common
-from assetloom.operators import decisions, linkage, neighbors, pivots
+from assetloom.operators import decisions, graph_linkage, linkage, neighbors, pivots
 from assetloom.plans import queries
 
 D = 8
@@ -188,3 +188,30 @@ def test_recall_leaves_its_result_only(spark, sf_dir):
     got = {tuple(r) for r in queries.approximate_recall(spark, sf_dir).collect()}
     assert got == {("descent", True), ("planes", True)}
     assert [x.split("-")[0] for x in set(os.listdir(folder)) - there] == ["recall"]
+
+
+def test_queue_for_a_cluster_takes_no_rounds(spark, monkeypatch):
+    """A cluster that takes one row after another: a round each, but in a task."""
+    edges = spark.createDataFrame([(k, k + 1, 0.01 * (k + 1)) for k in range(12)], "a long, b long, dist double")
+    written = []
+    monkeypatch.setattr(graph_linkage, "materialize", lambda df, tag, own=graph_linkage.materialize: (written.append(tag), own(df, tag))[1])
+    labels = lambda **options: {r.id: r.cluster for r in graph_linkage.cluster_graph(edges, 0.09, max_local=5, **options).collect()}
+    got = labels()
+    assert got == dict.fromkeys(range(9), 0) and "graph-pairs" not in written
+    assert labels(finish_edges=0) == labels(finish_edges=7) == got
+
+
+def test_heap_equals_rounds():
+    rnd = np.random.default_rng(5)
+    a, b = np.unique(np.sort(rnd.integers(0, 400, size=(3000, 2)), axis=1), axis=0).T
+    a, b = a[a < b], b[a < b]
+    rounds, heap, both = (graph_linkage.contract(a, b, rnd_dist, np.ones(len(a)), 0.5, least)[1] for rnd_dist in [rnd.random(len(a))] for least in (0, 1, 16))
+    assert (heap == rounds).all() and (both == rounds).all() and 10 < len(set(rounds.tolist())) < 390
+
+
+def test_large_components_beside_small_ones(spark, monkeypatch):
+    monkeypatch.setattr(graph_linkage, "SMALL_EDGES", 3)
+    rows = [(10 * p, 10 * p + k, 10 * p + k + 1, 0.1 * (k + 1), 1) for p in range(6) for k in range(2 + p)]
+    edges = spark.createDataFrame(rows, "component long, a long, b long, total double, n long").coalesce(1)
+    got = {r.id: r.cluster for r in graph_linkage._solved(edges, 0.45).collect()}
+    assert got == {10 * p + k: 10 * p + (k if k > 4 else 0) for p in range(6) for k in range(3 + p)}
