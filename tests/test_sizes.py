@@ -5,11 +5,12 @@ import time
 from urllib.parse import urlparse
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
 from assetloom import common
-from assetloom.operators import decisions, graph_linkage, linkage, neighbors, pivots
+from assetloom.operators import decisions, graph_linkage, linkage, neighbors, pivots, runs
 from assetloom.plans import queries
 
 D = 8
@@ -215,3 +216,36 @@ def test_large_components_beside_small_ones(spark, monkeypatch):
     edges = spark.createDataFrame(rows, "component long, a long, b long, total double, n long").coalesce(1)
     got = {r.id: r.cluster for r in graph_linkage._solved(edges, 0.45).collect()}
     assert got == {10 * p + k: 10 * p + (k if k > 4 else 0) for p in range(6) for k in range(3 + p)}
+
+
+def test_remembered_neighbours_equal_looks(monkeypatch):
+    """Vectors in groups, weighted, and many at equal distances; most of those whose neighbour merged needn't look again."""
+    rng = np.random.default_rng(6)
+    spread = points(1500, 60, seed=6, noise=0.6)
+    even = np.unique(rng.integers(-1, 2, size=(1200, D)), axis=0).astype(float)
+    even = even[(even != 0).any(axis=1)]
+    even /= np.linalg.norm(even, axis=1, keepdims=True)
+    cases = [(v, t, rng.integers(1, 4, len(v))) for v in (spread, even) for t in (0.1, 0.4, 0.9)]
+    monkeypatch.setattr(linkage, "DIRECT", 10**9)
+    direct = [linkage.merge_rounds(np.arange(len(v)), v, t, w) for v, t, w in cases]
+    looked = []
+    monkeypatch.setattr(linkage, "DIRECT", 20)
+    monkeypatch.setattr(linkage, "MOST_ROWS", 300)
+    monkeypatch.setattr(linkage, "LOOKING", 200)
+    monkeypatch.setattr(linkage, "_nearest", lambda k, a, b, own, known=linkage._nearest: (looked.append(len(a[0]) * len(b[0])), known(k, a, b, own))[1])
+    for listed in (1, 3, 12):
+        monkeypatch.setattr(linkage, "LISTED", listed)
+        looked.append(-1)
+        for want, (v, t, w) in zip(direct, cases):
+            assert (linkage.merge_rounds(np.arange(len(v)), v, t, w) == want).all()
+    pairs = [sum(x for x in looked[a + 1 : b]) for starts in [[k for k, x in enumerate(looked) if x < 0] + [len(looked)]] for a, b in zip(starts, starts[1:])]
+    assert pairs[2] < 0.8 * pairs[0]
+
+
+def test_packed_vectors():
+    batch = pa.RecordBatch.from_arrays([pa.array([[1.0, 2.0], [3.0, None], [5.0, 6.0]], pa.list_(pa.float32())), pa.array([1, 2, 3])], ["v", "id"])
+    packed = pa.RecordBatch.from_arrays([runs.packed.func(batch.slice(1)["v"])], ["v"])
+    assert packed.schema.field("v").type == pa.binary()
+    assert np.array_equal(runs.columns_of(packed)["v"], [[3, np.nan], [5, 6]], equal_nan=True)
+    with pytest.raises(ValueError):
+        runs.columns_of(pa.RecordBatch.from_arrays([runs.packed.func(pa.array([[1.0], [1.0, 2.0]]))], ["v"]))
